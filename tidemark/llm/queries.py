@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .exact_dedup import dedup_once
 from .mixing import entropy_mix
+from .pii import personal_report
+from .secrets import secret_report
 from .simhash import simhash_groups
 
 
@@ -21,14 +23,24 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_once(read_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_entropy_mixing": op1_entropy_mixing,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_pii_spans": op7_pii_spans,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {
