@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import held_out, read_table
 from .exact_dedup import dedup_once
 from .mixing import entropy_mix
 from .pii import personal_report
 from .secrets import secret_report
 from .simhash import simhash_groups
+from .toxicity import THRESHOLD, fit_toxicity, with_toxicity
 
 
 def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,13 @@ def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")), "found")
+    score = F.col("found.score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), F.size("found.passages").alias("n_passages"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -37,6 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_entropy_mixing": op1_entropy_mixing,
+    "op3_toxicity": op3_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pii_spans": op7_pii_spans,
     "op8_exact_dedup": op8_exact_dedup,

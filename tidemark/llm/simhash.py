@@ -9,10 +9,8 @@ distance.  Links become groups by connected components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +55,12 @@ def text_fingerprint(text: str | None, width: int) -> int:
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, fp long`` (the 64 bits as a signed number) for every row of ``docs``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.fromiter((text_fingerprint(t, width) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found.view(np.int64)})
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        found = np.fromiter((text_fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
+        return pa.array(found.view(np.int64))
 
-    # the id travels as text: pandas would turn longs with nulls into doubles
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, fp long")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("fp"))
 
 
 def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
