@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read_table
 from .exact_dedup import dedup_once
+from .language import fit_languages, with_language
 from .mixing import entropy_mix
 from .pii import personal_report
 from .secrets import secret_report
@@ -19,6 +20,12 @@ def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = with_language(docs.select("doc_id", "text"), fit_languages(docs), "found")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.size("found.spans").alias("n_spans"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = with_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")), "found")
@@ -45,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_entropy_mixing": op1_entropy_mixing,
+    "op2_language_spans": op2_language_spans,
     "op3_toxicity": op3_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pii_spans": op7_pii_spans,
