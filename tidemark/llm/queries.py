@@ -9,6 +9,7 @@ from .common import held_out, read_table
 from .exact_dedup import dedup_once
 from .language import fit_languages, with_language
 from .mixing import entropy_mix
+from .pieces import PieceModel, with_pieces
 from .pii import personal_report
 from .secrets import secret_report
 from .simhash import simhash_groups
@@ -33,6 +34,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), F.size("found.passages").alias("n_passages"))
 
 
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_pieces(docs, PieceModel.load(), "found", keep_ids=False)
+    best, second = F.col("found.scores")[0], F.get("found.scores", F.lit(1))
+    return found.select("doc_id", "found.n_pieces", best.alias("score"), second.alias("second_score"), "found.ids_sha256", "found.exact")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,6 +62,7 @@ QUERIES = {
     "op1_entropy_mixing": op1_entropy_mixing,
     "op2_language_spans": op2_language_spans,
     "op3_toxicity": op3_toxicity,
+    "op5_piece_encoding": op5_piece_encoding,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pii_spans": op7_pii_spans,
     "op8_exact_dedup": op8_exact_dedup,
