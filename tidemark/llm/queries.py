@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, read_table
+from .embeddings import embedding_groups
 from .exact_dedup import dedup_once
 from .language import fit_languages, with_language
 from .mixing import entropy_mix
@@ -34,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), F.size("found.passages").alias("n_passages"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_pieces(docs, PieceModel.load(), "found", keep_ids=False)
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_entropy_mixing": op1_entropy_mixing,
     "op2_language_spans": op2_language_spans,
     "op3_toxicity": op3_toxicity,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_piece_encoding": op5_piece_encoding,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pii_spans": op7_pii_spans,
