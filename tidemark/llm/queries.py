@@ -9,6 +9,7 @@ from .common import held_out, read_table
 from .embeddings import embedding_groups
 from .exact_dedup import dedup_once
 from .language import fit_languages, with_language
+from .licenses import with_licenses
 from .mixing import entropy_mix
 from .pieces import PieceModel, with_pieces
 from .pii import personal_report
@@ -59,6 +60,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_once(read_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_licenses(docs, "found")
+    spans = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["wording"], x["start"].cast("string"), x["end"].cast("string"), x["missing"].cast("string"), x["foreign"].cast("string")))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +80,7 @@ QUERIES = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_pii_spans": op7_pii_spans,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
 }
 
