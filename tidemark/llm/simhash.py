@@ -1,14 +1,22 @@
 """SimHash near-dedup by multi-index hashing.
 
-Fingerprints are cut into two 32-bit halves.  Two fingerprints at 3 or fewer
-differing bits have a half that differs in at most one bit, so every
-fingerprint looks up, in a table keyed by halves, the Hamming ball of radius
-one around each of its halves; what the table returns is verified by the whole
-distance.  Links become groups by connected components.
+A fingerprint is cut into segments.  Fingerprints that differ in few bits agree
+up to a small Hamming ball in some segment, so every fingerprint looks up, in a
+table keyed by segments, the ball around each of its own; what the table
+returns is verified by the whole distance.  Links become groups by connected
+components.
+
+Two settings share these steps.  *Close* groups link 64-bit fingerprints at 3
+or fewer differing bits: two halves, balls of radius one, no link is missed.
+*Similar* groups link texts whose word shingles are alike to 0.8 or more: their
+bits differ in up to 15 of 100, so the fingerprint is wider and has many
+segments, which grow with the logarithm of the number of documents.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,23 +41,29 @@ def text_fingerprint(text: str | None, width: int) -> int:
     shingles are ``width`` words joined by spaces, repeats included, or the
     whole sequence if there are fewer words.  No words (or null): zero.
     """
+    hashes = _shingle_hashes(text, width)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
+    bits = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), BLOCK):
+        octets = hashes[lo : lo + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if n <= width:
-        return xxhash.xxh64_intdigest(flat, 42)
+        return np.array([digest(flat, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[: n - width] + 1))
-    digest = xxhash.xxh64_intdigest
-    bits, total = np.zeros(64, np.int64), n - width + 1
-    for lo in range(0, total, BLOCK):
-        cut = slice(lo, min(lo + BLOCK, total))
-        hashes = [digest(flat[s:e], 42) for s, e in zip(starts[cut].tolist(), ends[width - 1 :][cut].tolist())]
-        octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        bits += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > total, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(flat[s:e], 42) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, n - width + 1)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,3 +134,163 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, id
     least = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = materialize(placed.join(least, "component").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- similar texts: wide fingerprints ----
+
+#: Segments of a wide fingerprint, and bits of a segment beyond the logarithm of the number of fingerprints:
+#: a lookup then meets a fixed number of unrelated fingerprints at any size.
+SEGMENTS, SPARE_BITS = 20, 6
+#: Bits of a wide fingerprint; a multiple of 64 that holds all segments of up to 2**(WIDE / SEGMENTS - SPARE_BITS) texts.
+WIDE = 640
+#: Members and visitors of a segment's value whose pairs are few enough to be joined; fuller ones are compared in blocks.
+FEW, COMPARED = 8, 2_048
+
+
+def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
+    """``WIDE / 64`` words of 64 bits; a bit is 1 if set in over half of the shingles' mixed hashes.
+
+    Shingles are those of :func:`text_fingerprint`; one XXH64 for each is
+    stretched by odd multipliers.  No words: all bits zero.
+    """
+    hashes = _shingle_hashes(text, width)
+    lanes = WIDE // 64
+    if not len(hashes):
+        return np.zeros(lanes, np.uint64)
+    odd = (np.arange(lanes, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    counts = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(hashes), 4_080):
+        mixed = hashes[lo : lo + 4_080, None] * odd
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        for part in range(0, len(bits), 255):
+            counts += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def differing_bits(similarity: float) -> int:
+    """Bits in which wide fingerprints of texts of a Jaccard similarity of shingles differ: the expectation and one deviation more."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = math.acos(cosine) / math.pi
+    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Group of every document under links between texts of ``similarity`` or more on ``width``-word shingles.
+
+    Similarity is read from the distance of the wide fingerprints.  Segments
+    are looked up with the ball of radius one.  Of a segment value that many
+    fingerprints share only a spanning forest of its links leaves the task, so
+    a large group never spells out its pairs.  Equal fingerprints are one node.
+
+    Word-less and null texts have the zero fingerprint and form one group.  A
+    null id ranks above every id.  Repeated rows stay; an empty table gives an
+    empty result.  Returns ``doc_id long, component_id long``.
+    """
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([wide_fingerprint(t.as_py(), width).astype("<u8").tobytes() for t in texts], pa.binary())
+
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("wide")), "wide")
+    nodes = rows.groupBy("wide").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("wide"))
+    nodes = materialize(nodes, "nodes")
+    bits = max(8, math.ceil(math.log2(max(2, nodes.count()))) + SPARE_BITS)
+    if bits * SEGMENTS > WIDE:
+        raise ValueError(f"{SEGMENTS} segments of {bits} bits need a wider fingerprint")
+    most = differing_bits(similarity)
+
+    @F.arrow_udf("array<long>")
+    def segments(column: pa.Array) -> pa.Array:
+        octets = np.frombuffer(b"".join(v.as_py() for v in column), np.uint8).reshape(len(column), WIDE // 8)
+        spread = np.unpackbits(octets, axis=1, bitorder="little")[:, : bits * SEGMENTS].reshape(-1, SEGMENTS, bits)
+        values = spread.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+        return pa.array(values.tolist(), pa.list_(pa.int64()))
+
+    cut = materialize(nodes.select("node", F.posexplode(segments("wide")).alias("segment", "value")), "segments")
+    slot = lambda value: (F.col("segment").cast("long") * (1 << bits) + value).alias("slot")
+    members = cut.select(slot(F.col("value")), "node")
+    counts = materialize(members.groupBy("slot").agg(F.count("*").alias("members")), "slots")
+    ball = f"filter(sequence(0, {bits - 1}), i -> (value & shiftleft(1L, i)) = 0)"
+    probes = cut.withColumn("bit", F.explode(F.expr(ball))).select(slot(F.expr("value + shiftleft(1L, bit)")), "node")
+    visits = materialize(probes.join(counts, "slot").select("slot", "node"), "visits")
+    shared = materialize(members.join(counts.where("members > 1").select("slot"), "slot"), "shared")
+    met = visits.select("slot", "node", F.lit(False).alias("member")).union(shared.select("slot", "node", F.lit(True).alias("member")))
+    # a slot that is only visited needs its members, even a single one
+    visited = visits.groupBy("slot").agg(F.count("*").alias("visitors"))
+    lone = members.join(counts.where("members = 1").select("slot"), "slot").join(visited.select("slot"), "slot", "left_semi")
+    met = materialize(met.union(lone.select("slot", "node", F.lit(True).alias("member"))), "met")
+    size = met.groupBy("slot").agg(F.count_if("member").alias("members"), F.count_if(~F.col("member")).alias("visitors"))
+    size = materialize(size, "size")
+    is_few = (F.col("members") <= FEW) & (F.col("visitors") <= FEW)
+    few = materialize(met.join(size.where(is_few).select("slot"), "slot"), "few")
+    table = few.where("member").select("slot", F.col("node").alias("b"))
+    pairs = few.select("slot", F.col("node").alias("a")).join(table, "slot").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wide = nodes.select("node", "wide")
+    pairs = materialize(pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a"), "pairs")
+    pairs = pairs.join(wide.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b")
+
+    @F.arrow_udf("int")
+    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
+        words = [np.frombuffer(b"".join(v.as_py() for v in side), "<u8").reshape(len(side), -1) for side in (x, y)]
+        return pa.array(np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int32), pa.int32())
+
+    links = pairs.where(distance("x", "y") <= most).select("a", "b")
+    # full slots: blocks of members against blocks of all that met there
+    full = size.where(~is_few).select("slot", F.ceil(F.col("members") / COMPARED).cast("int").alias("cuts"), F.ceil((F.col("members") + F.col("visitors")) / COMPARED).cast("int").alias("waves"))
+    full = materialize(met.join(full, "slot").join(wide, "node"), "full")
+    grain = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    left = full.where("member").select("slot", (grain % F.col("cuts")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"), F.lit(True).alias("member"), "node", "wide")
+    right = full.select("slot", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), (grain % F.col("waves")).cast("int").alias("wave"), F.lit(False).alias("member"), "node", "wide")
+
+    def compare(block: pa.Table) -> pa.Table:
+        member = block["member"].to_numpy(zero_copy_only=False).astype(bool)
+        names = block["node"].to_numpy()
+        words = np.frombuffer(b"".join(block["wide"].to_pylist()), "<u8").reshape(len(names), -1)
+        roots = spanning_roots(names[~member], words[~member], names[member], words[member], most)
+        return pa.table({"a": pa.array(roots[0], pa.int64()), "b": pa.array(roots[1], pa.int64())})
+
+    forest = left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "a long, b long")
+    joined = materialize(connected_components(links.union(forest)), "joined")
+    placed = materialize(nodes.join(joined, "node", "left").select("wide", "least", F.coalesce("component", "node").alias("component")), "placed")
+    least = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    named = materialize(placed.join(least, "component").select("wide", "component_id"), "named")
+    return rows.join(named, "wide").select("doc_id", "component_id")
+
+
+def spanning_roots(left: np.ndarray, left_words: np.ndarray, right: np.ndarray, right_words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, other) that join what links of ``most`` or fewer bits between two blocks join.
+
+    At most two for each node: search spreads from node to node over the links,
+    and a node that is found is not looked at again.
+    """
+    a, b = [], []
+    open_left, open_right = np.ones(len(left), bool), np.ones(len(right), bool)
+    for seed in range(len(right)):
+        if not open_right[seed]:
+            continue
+        open_right[seed] = False
+        queue = [(True, seed)]
+        while queue:
+            in_right, i = queue.pop()
+            one = right_words[i] if in_right else left_words[i]
+            rest = np.flatnonzero(open_left if in_right else open_right)
+            others = left_words if in_right else right_words
+            near = rest[np.bitwise_count(others[rest] ^ one).sum(axis=1) <= most]
+            (open_left if in_right else open_right)[near] = False
+            a += [(right if in_right else left)[i]] * len(near)
+            b += (left if in_right else right)[near].tolist()
+            queue += [(not in_right, int(j)) for j in near]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id is the least of their similar group; all columns, nothing else.
+
+    Rows without a word are no copies of anything and stay.
+    """
+    groups = similar_groups(docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), width, similarity, id_col, text_col)
+    gone = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).dropna().distinct(), "gone")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
