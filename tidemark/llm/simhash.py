@@ -143,6 +143,11 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, id
 SEGMENTS, SPARE_BITS = 20, 6
 #: Bits of a wide fingerprint; a multiple of 64 that holds all segments of up to 2**(WIDE / SEGMENTS - SPARE_BITS) texts.
 WIDE = 640
+#: Least shingle hashes that are kept of a text, by which the similarity of a pair is verified.
+LOW = 384
+#: Standard deviations of the distance at the linking similarity within which a pair is verified by its shingles, and
+#: within which the members of a large group link by distance alone.
+LOOSE, GROUPED = 2.5, 1.0
 #: Members and visitors of a segment's value whose pairs are few enough to be joined; fuller ones are compared in blocks.
 FEW, COMPARED = 8, 2_048
 
@@ -153,7 +158,21 @@ def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
     Shingles are those of :func:`text_fingerprint`; one XXH64 for each is
     stretched by odd multipliers.  No words: all bits zero.
     """
-    hashes = _shingle_hashes(text, width)
+    return _wide(_shingle_hashes(text, width))
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The ``LOW`` least distinct shingle hashes, cut to 32 bits, in order: all of them for most texts."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:LOW]
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets from their least hashes; exact if neither set was cut."""
+    both = np.union1d(a, b)[: LOW if max(len(a), len(b)) >= LOW else None]
+    return np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).size / max(1, len(both))
+
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
     lanes = WIDE // 64
     if not len(hashes):
         return np.zeros(lanes, np.uint64)
@@ -170,37 +189,45 @@ def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def differing_bits(similarity: float) -> int:
-    """Bits in which wide fingerprints of texts of a Jaccard similarity of shingles differ: the expectation and one deviation more."""
+def differing_bits(similarity: float, deviations: float) -> int:
+    """Bits in which wide fingerprints of texts of a Jaccard similarity of shingles differ: the expectation and some deviations more."""
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
-    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+    return round(WIDE * share + deviations * math.sqrt(WIDE * share * (1 - share)))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group of every document under links between texts of ``similarity`` or more on ``width``-word shingles.
 
-    Similarity is read from the distance of the wide fingerprints.  Segments
-    are looked up with the ball of radius one.  Of a segment value that many
-    fingerprints share only a spanning forest of its links leaves the task, so
-    a large group never spells out its pairs.  Equal fingerprints are one node.
+    Segments are looked up with the ball of radius one.  What is met is
+    verified by the distance of the whole fingerprints and then by the shingles
+    themselves (the least ``LOW`` of their hashes).  Of a segment value that
+    many fingerprints share only a spanning forest of the links leaves the
+    task, so a large group never spells out its pairs; there the distance
+    alone decides.  Equal fingerprints are one node.
 
     Word-less and null texts have the zero fingerprint and form one group.  A
     null id ranks above every id.  Repeated rows stay; an empty table gives an
     empty result.  Returns ``doc_id long, component_id long``.
     """
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<wide:binary,low:binary>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(t.as_py(), width).astype("<u8").tobytes() for t in texts], pa.binary())
-
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("wide")), "wide")
+        wide, low = [], []
+        for text in texts:
+            hashes = _shingle_hashes(text.as_py(), width)
+            wide.append(_wide(hashes).astype("<u8").tobytes())
+            low.append(least_hashes(hashes).tobytes())
+        return pa.StructArray.from_arrays([pa.array(wide, pa.binary()), pa.array(low, pa.binary())], ["wide", "low"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("f"))
+    rows = materialize(rows.select("doc_id", "f.wide", "f.low"), "wide")
     nodes = rows.groupBy("wide").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("wide"))
     nodes = materialize(nodes, "nodes")
     bits = max(8, math.ceil(math.log2(max(2, nodes.count()))) + SPARE_BITS)
     if bits * SEGMENTS > WIDE:
         raise ValueError(f"{SEGMENTS} segments of {bits} bits need a wider fingerprint")
-    most = differing_bits(similarity)
+    loose, most = differing_bits(similarity, LOOSE), differing_bits(similarity, GROUPED)
 
     @F.arrow_udf("array<long>")
     def segments(column: pa.Array) -> pa.Array:
@@ -237,7 +264,17 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         words = [np.frombuffer(b"".join(v.as_py() for v in side), "<u8").reshape(len(side), -1) for side in (x, y)]
         return pa.array(np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int32), pa.int32())
 
-    links = pairs.where(distance("x", "y") <= most).select("a", "b")
+    @F.arrow_udf("double")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([resemblance(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(x, y)], pa.float64())
+
+    close = materialize(pairs.where(distance("x", "y") <= loose).select("a", "b"), "close")
+    ends = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
+    lows = nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id")).join(rows.select("doc_id", "low"), "doc_id")
+    lows = materialize(lows.groupBy("node").agg(F.min("low").alias("low")), "lows")
+    half = materialize(close.join(lows.select(F.col("node").alias("a"), F.col("low").alias("x")), "a"), "half")
+    pairs = half.join(lows.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
+    links = materialize(pairs.where(alike("x", "y") >= similarity).select("a", "b"), "links")
     # full slots: blocks of members against blocks of all that met there
     full = size.where(~is_few).select("slot", F.ceil(F.col("members") / COMPARED).cast("int").alias("cuts"), F.ceil((F.col("members") + F.col("visitors")) / COMPARED).cast("int").alias("waves"))
     full = materialize(met.join(full, "slot").join(wide, "node"), "full")
@@ -257,7 +294,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     placed = materialize(nodes.join(joined, "node", "left").select("wide", "least", F.coalesce("component", "node").alias("component")), "placed")
     least = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = materialize(placed.join(least, "component").select("wide", "component_id"), "named")
-    return rows.join(named, "wide").select("doc_id", "component_id")
+    return rows.select("doc_id", "wide").join(named, "wide").select("doc_id", "component_id")
 
 
 def spanning_roots(left: np.ndarray, left_words: np.ndarray, right: np.ndarray, right_words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
