@@ -289,7 +289,7 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (abs(move) > 0.04) AS n_large_moves, max(gap_days) AS max_gap_days, {', '.join(f'0.0::DOUBLE AS missing_{c}' for c in ('open', 'high', 'low', 'close', 'volume'))},
         {', '.join(f'count(*) FILTER ({t}) AS {k}' for k, t in _KINDS.items())} FROM moved GROUP BY 1""",
     "large_moves": f"{_with(DAILY, _MOVES.format('bars'))} SELECT ticker, {DAY}, {r8('move', 'move')} FROM moved WHERE abs(move) > 0.04",
-    "calendar_gaps": f"{_with(DAILY, 'some AS (SELECT * FROM bars WHERE day(session) NOT BETWEEN 3 AND 15)', _MOVES.format('some'))} SELECT ticker, {DAY}, gap_days FROM moved WHERE gap_days > 10",
+    "calendar_gaps": f"{_with(DAILY, 'partly AS (SELECT * FROM bars WHERE day(session) NOT BETWEEN 3 AND 15)', _MOVES.format('partly'))} SELECT ticker, {DAY}, gap_days FROM moved WHERE gap_days > 10",
     "ohlc_violations": f"{_with(DAILY, _DEFECTS, _SLACK)} " + " UNION ALL ".join(f"SELECT ticker, {DAY}, '{k}' AS violation FROM slacked WHERE {t}" for k, t in _KINDS.items()),
     "open_session_drop": f"{_with(DAILY)} SELECT ticker, strftime(max(session), '%Y-%m-%d') AS last_session, count(*) AS n_rows FROM bars WHERE session < DATE '1996-07-01' GROUP BY 1",
     **{name: f"{_with(DAILY, RET)} {_select(family, 'returned')}" for name, family in FEATURES.items()},
@@ -302,8 +302,8 @@ ORACLE: dict[str, str] = {
         SELECT (SELECT count(*) FROM asset) AS n_before, (SELECT count(*) FROM asset) - count(*) AS n_after, count(*) AS n_lost, {r8('count(*)::DOUBLE / (SELECT count(*) FROM asset)', 'lost_share')},
         coalesce(array_to_string(list_sort(list(strftime(session, '%Y-%m-%d')))[1:50], ','), '') AS lost_sessions FROM gone""",
     "benchmark_lost_sessions": f"{_with(DAILY, _LOST)} SELECT ticker, {DAY} FROM asset WHERE session NOT IN (SELECT session FROM bench)",
-    "asof_signal": f"""{_with(DAILY)}, moments AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS moment FROM orders), some AS (SELECT session FROM bars WHERE ticker = 'F' AND day(session) % 3 = 0)
-        SELECT 'F' AS ticker, strftime(moment, '%Y-%m-%d') AS moment, strftime(session, '%Y-%m-%d') AS signal FROM moments ASOF LEFT JOIN some ON moment >= session""",
+    "asof_signal": f"""{_with(DAILY)}, moments AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS moment FROM orders), thirds AS (SELECT session FROM bars WHERE ticker = 'F' AND day(session) % 3 = 0)
+        SELECT 'F' AS ticker, strftime(moment, '%Y-%m-%d') AS moment, strftime(session, '%Y-%m-%d') AS signal FROM moments ASOF LEFT JOIN thirds ON moment >= session""",
     "next_session": f"{_with(DAILY)} SELECT ticker, {DAY}, strftime(lead(bars.session) OVER (PARTITION BY ticker ORDER BY bars.session), '%Y-%m-%d') AS next_session FROM bars",
     "label_c2c": f"{_with(DAILY)}, f AS (SELECT *, lead(close, 3) OVER ({W}) / close - 1 AS fr FROM bars) SELECT ticker, {DAY}, {r8('fr', 'future_return')}, CAST(fr > 0 AS BIGINT) AS target FROM f",
     "label_o2c": f"{_with(DAILY)}, f AS (SELECT *, {_FR} AS fr FROM bars) SELECT ticker, {DAY}, {r8('fr', 'future_return')}, CAST(fr > 0 AS BIGINT) AS target FROM f",
@@ -363,6 +363,7 @@ ORACLE: dict[str, str] = {
         SELECT ticker, model, {r8('model_ba', 'model_ba')}, {r8('mean_auc', 'mean_auc')}, {r8('mean_mcc', 'mean_mcc')}, baseline, {r8('baseline_ba', 'baseline_ba')}, fold_wins, {r8('margin', 'margin')},
             round(margin, 8) >= 0.01 AS margin_ok, fold_wins >= 4 AS wins_ok, coalesce(mean_auc > 0.5, false) AS auc_ok, coalesce(mean_mcc > 0, false) AS mcc_ok,
             round(margin, 8) >= 0.01 AND fold_wins >= 4 AND coalesce(mean_auc > 0.5, false) AND coalesce(mean_mcc > 0, false) AS edge FROM g""",
+    "lookback_sequences": f"{_with(*DATASET)} SELECT ticker, strftime(session, '%Y-%m-%d') AS session, CAST(5 AS BIGINT) AS length, {r8('total', 'total')} FROM (SELECT ticker, session, {roll('count(*)', 5)} AS n, {roll('sum(return_1d + intraday_range)', 5)} AS total FROM rows_) WHERE n = 5",
     "overnight_variance": f"{_with(DAILY)}, s AS (SELECT ticker, {div('open', lag('close', 1))} - 1 AS night, close / open - 1 AS day FROM bars) SELECT ticker, {r8('var_samp(night) / (var_samp(night) + var_samp(day))', 'overnight_share')} FROM s WHERE night IS NOT NULL GROUP BY 1",
     "lag_autocorrelation": f"{_with(DAILY, RET)}, b AS (" + " UNION ALL ".join(f"SELECT ticker, CAST({k} AS BIGINT) AS lag, ret, {lag('ret', k)} AS before FROM returned" for k in (1, 2, 3, 5, 10)) + f") SELECT ticker, lag, {r8(_CORR('ret', 'before'), 'autocorrelation')} FROM b WHERE ret IS NOT NULL AND before IS NOT NULL GROUP BY 1, 2",
     "feature_target_correlation": f"{_with(*DATASET)}, b AS (" + " UNION ALL ".join(f"SELECT ticker, '{n}' AS feature, {n} AS x, CAST(target AS DOUBLE) AS y FROM rows_" for n in ALL) + f") SELECT ticker, feature, {r8(_CORR('x', 'y'), 'correlation')} FROM b GROUP BY 1, 2",

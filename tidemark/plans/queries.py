@@ -20,6 +20,7 @@ from ..operators import features as ft
 from ..operators import folds as fo
 from ..operators import labels as lb
 from ..operators import metrics as mt
+from ..operators import models as md
 from ..operators import quality as ql
 from ..operators import ranking as rk
 from ..sources import panels
@@ -200,7 +201,8 @@ def label_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return lb.build_dataset(panels.daily(spark, sf))
+    """The labelled rows, kept: they feed every fold and candidate, and a kept table is a leaf to the optimizer."""
+    return lb.build_dataset(panels.daily(spark, sf)).persist()
 
 
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,7 +249,7 @@ def _scored(spark: SparkSession, sf: str, with_rule: bool = True) -> DataFrame:
     rows = _dataset(spark, sf)
     folds = fo.development_folds(rows)
     out = bl.baseline_oof(rows, folds)
-    return out.unionByName(bl.reversion_oof(rows, folds)) if with_rule else out
+    return (out.unionByName(bl.reversion_oof(rows, folds)) if with_rule else out).persist()
 
 
 def _baseline(name: str) -> Query:
@@ -331,7 +333,7 @@ def net_sharpe_scan(spark: SparkSession, sf: str) -> DataFrame:
 def _days(config: bt.BacktestConfig) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf: str) -> DataFrame:
         rule = _scored(spark, sf).where("candidate in ('reversion', 'last_direction')")
-        return bt.daily(bt.strategies(rule, config), config)
+        return bt.daily(bt.strategies(rule, config), config).persist()
 
     return build
 
@@ -417,6 +419,30 @@ def edge_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _out(rk.edge_gate(suite.where("candidate = 'reversion'"), suite.where("candidate <> 'reversion'")))
 
 
+# ---- models (no SQL: iterative fits) ----
+
+
+def _model(candidate: md.Candidate) -> Query:
+    """Out-of-fold scores of one setting on the asset, with the small feature set."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _dataset(spark, sf).where(F.col("ticker") == ASSET)
+        return md.model_oof(rows, fo.development_folds(rows), [candidate], list(ft.feature_columns())).drop("future_return")
+
+    return query
+
+
+def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _dataset(spark, sf).where(F.col("ticker") == ASSET)
+    found = md.fit(md.Candidate("logistic", {"C": 1.0, "balanced": True}), rows, list(ft.feature_columns())).importance()
+    return rk.top_absolute(spark.createDataFrame(sorted(found.items()), "name string, value double"))
+
+
+def lookback_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    s = md.sequences(_dataset(spark, sf), ["return_1d", "intraday_range"], 5)
+    return _out(s.select("ticker", "session", F.size("sequence").alias("length"), F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
 # ---- exploratory statistics ----
 
 
@@ -480,7 +506,7 @@ QUERIES: dict[str, Query] = {
         oof_union, metric_suite, roc_auc, avg_precision, roc_points, pr_points, confusion, fold_aggregate, class_balance,
         calibration_bins, ece_mce, calibration_report, probability_histogram, threshold_scan, best_threshold, net_sharpe_scan,
         positions, cost_intraday, cost_c2c, equity_curve, drawdown, trades_blocks, trades_intraday, backtest_metrics, backtest_compare, buy_and_hold,
-        block_bootstrap, bootstrap_difference, candidate_rank, edge_gate,
+        block_bootstrap, bootstrap_difference, candidate_rank, edge_gate, feature_importance, lookback_sequences,
         overnight_variance, lag_autocorrelation, feature_target_correlation, rolling_feature_correlation, hourly_strategy, stream_bars,
     )
 }
@@ -496,4 +522,7 @@ QUERIES |= {
     "rolling_beta": _benchmark_family(("rolling_beta",)),
     "rolling_correlation": _benchmark_family(("rolling_correlation",)),
     **{f"baseline_{n}": _baseline(n) for n in bl.BASELINES},
+    "logistic_oof": _model(md.Candidate("logistic", {"C": 1.0, "balanced": True})),
+    "gradient_boosting_oof": _model(md.Candidate("gradient_boosting", {"rate": 0.1, "leaves": 7, "rounds": 10})),
+    "random_forest_oof": _model(md.Candidate("random_forest", {"trees": 20, "depth": 4, "least": 30})),
 }
