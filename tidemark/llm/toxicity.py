@@ -41,8 +41,8 @@ SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 #: Logistic calibration: strength of the ridge.
 RIDGE = 0.05
-#: Documents after which a training task sends its counts on, so that its memory is bounded.
-FLUSH = 400
+#: Tokens after which a training task sends its counts on, so that its memory is bounded.
+FLUSH = 150_000
 
 WORD = re.compile(r"[^\W\d_]+")
 END = "\n"
@@ -188,7 +188,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
     sample = materialize(_labelled(docs, labels, bound), "training")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, with_toxic, held = Counter(), Counter(), 0
+        seen, with_toxic = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
             columns = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([with_toxic[t] for t in seen], pa.int64())]
@@ -200,8 +200,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
                 seen.update(tokens)
                 if toxic.as_py() > 0:
                     with_toxic.update(tokens)
-                held += 1
-                if held % FLUSH == 0:
+                if len(seen) >= FLUSH:
                     yield out()
                     seen.clear()
                     with_toxic.clear()
