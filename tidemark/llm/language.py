@@ -153,6 +153,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     All sequences advance together, longest first, so that a step is a few
     array operations over those that are still running.
     """
+    if not scores.size:
+        return np.zeros(len(scores), np.int16)
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     start, lengths = first[:-1][order], lengths[order]
