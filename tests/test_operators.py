@@ -36,7 +36,7 @@ def column(df, name, by="session"):
 
 
 def scored(spark, rows):
-    return spark.createDataFrame([("m", "x", f, date.fromordinal(735000 + i), float(p), int(p >= 0.5), y, r) for i, (f, p, y, r) in enumerate(rows)], "candidate string, ticker string, fold long, session date, proba_up double, prediction int, target int, future_return double")
+    return spark.createDataFrame([("m", "x", f, date.fromordinal(735000 + i), float(p), int(p >= 0.5), y, float(r)) for i, (f, p, y, r) in enumerate(rows)], "candidate string, ticker string, fold long, session date, proba_up double, prediction int, target int, future_return double")
 
 
 def near(a, b, tol=1e-9):

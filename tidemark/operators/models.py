@@ -88,7 +88,7 @@ def estimator(candidate: Candidate, total_weight: float, seed: int = 42) -> Any:
     p = candidate.params
     common = {"featuresCol": "features", "labelCol": "target", "weightCol": "weight"}
     if candidate.family == "logistic":
-        return LogisticRegression(regParam=1.0 / (float(p.get("C", 1.0)) * total_weight), elasticNetParam=0.0, standardization=False, maxIter=int(p.get("max_iter", 2000)), tol=1e-10, **common)
+        return LogisticRegression(regParam=1.0 / (float(p.get("C", 1.0)) * total_weight), elasticNetParam=0.0, standardization=False, maxIter=int(p.get("max_iter", 2000)), tol=1e-9, **common)
     if candidate.family == "gradient_boosting":
         depth = max(1, math.ceil(math.log2(p.get("leaves", 15))))
         return GBTClassifier(maxIter=int(p.get("rounds", 200)), stepSize=float(p.get("rate", 0.05)), maxDepth=depth, minInstancesPerNode=int(p.get("least", 40)), seed=seed, **common)
@@ -178,7 +178,7 @@ def model_oof(rows: DataFrame, folds: DataFrame, chosen: list[Candidate], names:
 
     def one(candidate: Candidate, r: Any) -> DataFrame:
         one_fold = rows.sparkSession.createDataFrame([r.asDict()], folds.schema)
-        train, held = fold_rows(rows, one_fold, "train"), fold_rows(rows, one_fold, "eval")
+        train, held = fold_rows(rows, one_fold, "train").persist(), fold_rows(rows, one_fold, "eval")
         scored = fit(candidate, train, names, seed).score(held)
         return scored.select(F.lit(candidate.name).alias("candidate"), "ticker", "fold", "session", "row_idx", "proba_up", (F.col("proba_up") >= 0.5).cast("int").alias("prediction"), "target", "future_return")
 
