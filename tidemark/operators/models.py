@@ -23,6 +23,8 @@ from .folds import fold_rows
 
 #: Order of the families by complexity, the tie-break of the ranking.
 COMPLEXITY = {"logistic": 1, "random_forest": 2, "gradient_boosting": 3, "lstm": 4}
+#: Training rows that one task handles in an iteration, at least.
+ROWS_A_PARTITION = 100_000
 #: Parameter grids by family.
 GRIDS: dict[str, list[dict[str, Any]]] = {
     "logistic": [{"C": 1.0, "balanced": True}, {"C": 0.1, "balanced": True}, {"C": 0.01, "balanced": True}, {"C": 0.01, "balanced": False}, {"C": 0.001, "balanced": False}],
@@ -146,7 +148,8 @@ def fit(candidate: Candidate, train: DataFrame, names: list[str], seed: int = 42
     balanced = bool(candidate.params.get("balanced", candidate.family == "random_forest"))
     rows, total = weighted(train, balanced)
     scales = scaling(train, names)
-    moved = scaled(rows, scales).withColumn("target", F.col("target").cast("double"))
+    # every iteration is a job over all partitions: few rows go into few
+    moved = scaled(rows, scales).withColumn("target", F.col("target").cast("double")).coalesce(1 + int(total) // ROWS_A_PARTITION)
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), estimator(candidate, total, seed)])
     return Fitted(candidate, names, scales, pipeline.fit(moved))
 

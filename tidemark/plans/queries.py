@@ -455,8 +455,10 @@ def overnight_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lag_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
+    lags = (1, 2, 3, 5, 10)
     p = ft.with_return(panels.daily(spark, sf))
-    each = p.select("ticker", "ret", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), ft.lagged("ret", k).alias("before")) for k in (1, 2, 3, 5, 10)])).alias("x")).select("ticker", "ret", "x.*")
+    p = p.select("ticker", "ret", *[ft.lagged("ret", k).alias(f"_{k}") for k in lags])
+    each = p.select("ticker", "ret", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"_{k}").alias("before")) for k in lags])).alias("x")).select("ticker", "ret", "x.*")
     both = each.where("ret is not null and before is not null").groupBy("ticker", "lag")
     c = both.agg(F.covar_samp("ret", "before").alias("c"), (F.stddev_samp("ret") * F.stddev_samp("before")).alias("s"))
     return _out(c.select("ticker", "lag", F.try_divide("c", "s").alias("autocorrelation")))
