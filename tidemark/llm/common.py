@@ -7,12 +7,17 @@ costs a re-read and never a result.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_SHARED = "/tmp/checkpoints/tidemark"
+#: Ids up to this many are broadcast to leave rows out (a long each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,3 +77,21 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone(_gone long)``, a written table.
+
+    Up to ``BROADCAST_IDS`` ids are broadcast, so the texts are not shuffled;
+    beyond that both sides are.  Rows without an id stay.
+    """
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[id_col] == side["_gone"], "left_anti")
+
+
+def give_back_memory() -> None:
+    """Return what a task's Python has freed to the system: workers are reused and would hold their peak."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back_memory, materialize, without_ids
 from .components import connected_components
 
 #: Bits in which linked fingerprints may differ; the ball of radius one around two halves covers up to 3.
@@ -218,6 +218,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
             hashes = _shingle_hashes(text.as_py(), width)
             wide.append(_wide(hashes).astype("<u8").tobytes())
             low.append(least_hashes(hashes).tobytes())
+        give_back_memory()
         return pa.StructArray.from_arrays([pa.array(wide, pa.binary()), pa.array(low, pa.binary())], ["wide", "low"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("f"))
@@ -330,4 +331,4 @@ def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8
     """
     groups = similar_groups(docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), width, similarity, id_col, text_col)
     gone = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).dropna().distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without_ids(docs, id_col, gone)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize
+from .common import give_back_memory, held_out, materialize
 
 #: Labelled documents that the model is fitted on, at most; near copies count once.
 MAX_LABELLED = 24_000
@@ -204,7 +204,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
                     yield out()
                     seen.clear()
                     with_toxic.clear()
+                    give_back_memory()
         yield out()
+        seen.clear()
+        with_toxic.clear()
+        give_back_memory()
 
     totals = sample.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("k")).first()
     if not totals["k"] or totals["k"] == totals["n"]:
@@ -285,6 +289,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, name: str, text_col: st
             text = value.as_py()
             segments, x = model.features(text)
             rows.append({"score": model.probability(x), "passages": _in_text(text, segments) if segments else []})
+        give_back_memory()
         return pa.array(rows, kind)
 
     return docs.withColumn(name, judge(F.col(text_col).cast("string")))
