@@ -13,7 +13,7 @@ from .licenses import with_licenses
 from .mixing import entropy_mix
 from .pieces import PieceModel, with_pieces
 from .pii import personal_report
-from .secrets import secret_report
+from .secrets import RULES, secret_report
 from .simhash import simhash_groups
 from .toxicity import THRESHOLD, fit_toxicity, with_toxicity
 
@@ -84,7 +84,25 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
+
+
+def _secret_sql() -> str:
+    """The secret scan as SQL: every rule on every text, matches and the stretches between them laid end to end."""
+    kinds, columns, laid = [r.kind for r in RULES], [], []
+    for no, r in enumerate(RULES):
+        regex = r.regex.replace("'", "''") if r.kind != "hex" else "[0-9a-f]{24,}"
+        columns.append(f"regexp_extract_all(t, '{regex}') AS v_{r.kind}, regexp_extract_all(t, '{regex}', {r.group}) AS a_{r.kind}, string_split_regex(t, '{regex}') AS g_{r.kind}")
+        start = f"coalesce(list_sum(list_transform(g_{r.kind}[1:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(v_{r.kind}[1:i - 1], lambda y: length(y))), 0)"
+        laid.append(f"list_transform(list_filter(range(1, len(v_{r.kind}) + 1), lambda i: length(a_{r.kind}[i]) >= {r.least}), lambda i: {{'s': CAST({start} AS BIGINT), 'k': {no}, 'e': CAST({start} + length(v_{r.kind}[i]) AS BIGINT)}}) AS s_{r.kind}")
+    names = "[" + ", ".join(f"'{k}'" for k in kinds) + "]"
+    base = [r.kind for r in RULES if r.base]
+    joined = lambda ks: f"array_to_string(list_transform(list_sort(flatten([{', '.join(f's_{k}' for k in ks)}])), lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(columns)} FROM d), p AS (SELECT doc_id, {', '.join(laid)} FROM m)
+        SELECT doc_id, {', '.join(f'CAST(len(s_{k}) AS BIGINT) AS n_{k}' for k in base)}, sha256({joined(base)}) AS base_sha256, {joined(kinds)} AS spans FROM p"""
+
+
 ORACLE_SQL = {
+    "op10_secret_scan": _secret_sql(),
     "op8_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
