@@ -102,4 +102,6 @@ def dedup_once(docs: DataFrame, buckets: int = 64) -> DataFrame:
     """:func:`exact_dedup` against a new index in the shared folder."""
     spark = docs.sparkSession
     index = DigestIndex(spark, shared_path(spark, "digest-index"), buckets)
-    return exact_dedup(docs, index)
+    out = exact_dedup(docs, index)
+    index.close()  # what the result reads is written
+    return out
