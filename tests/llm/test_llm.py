@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -509,6 +510,16 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.with_licenses(nothing, "f").isEmpty()
 
 
+def test_licenses_short_wording_among_long():
+    scan = licenses.Matcher(licenses.TEMPLATES).scan
+    for text in ("(c) 2020 acme. This work is licensed under the ACME General Public License. All rights reserved.", "This work is licensed under a commercial agreement. All rights reserved."):
+        (found,) = scan(text)
+        assert text[found["start"] : found["end"]] == "All rights reserved" and found["missing"] == found["foreign"] == 0
+    mit = licenses.TEMPLATES["mit/text"].replace("Permission is", "Authorization is").replace("without limitation", "without any limitation")
+    (found,) = scan(f"permission of the {'copyright holder ' * 20}\n{mit}")
+    assert (found["wording"], found["missing"], found["foreign"]) == ("text", 1, 1)
+
+
 def test_licenses_documents(spark):
     base = "/root/testdata/sf0.01"
     docs = common.read_table(spark, base, "documents").toPandas().set_index("doc_id").text

@@ -1,17 +1,17 @@
 """License scan by conditional compression.
 
-Candidate blocks of lines are compressed with each license template as a
-zstandard raw dictionary; the templates that shrink a block most are compared
-with it word by word, and one whose wording differs too little to be another
-license is confirmed.
+Blocks of lines around trigger words are compared word by word with every
+license template; a wording that differs too little to be another license is
+confirmed.  Of those that overlap, the one whose template, as a zstandard raw
+dictionary, spares most in compressing what was found counts.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -51,11 +51,9 @@ TRIGGER = re.compile(r"licen[sc]e|copyright|permission (?:is|to)|redistribut|war
 MARGIN = 240
 #: Block size; a longer one (a text full of triggers) is cut, with MARGIN characters in common.
 MOST = 6_000
-#: Templates that are tried by wording, in the order of their reductions, and share of the words that may differ.
-TRIED, TOLERANCE = 5, 0.08
-#: Bytes that a template must spare to be tried.
-LEAST_GAIN = 6
-WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: Share of the words that may be missing, and that may be foreign.
+TOLERANCE = 0.08
+WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.A | re.I)
 LEVEL = 3
 
 
@@ -72,55 +70,92 @@ class Matcher:
         for name, text in self.templates.items():
             raw = zstandard.ZstdCompressionDict(_folded(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.primed[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)
-            self.words[name] = WORD.findall(text.lower())
-
-    def gains(self, block: str) -> list[tuple[int, str]]:
-        """Templates by the bytes that each spares in compressing the block, most first, then by name."""
-        data = _folded(block).encode("utf-8", "surrogatepass")
-        alone = len(self.plain.compress(data))
-        return sorted(((alone - len(c.compress(data)), name) for name, c in self.primed.items()), key=lambda g: (-g[0], g[1]))
-
-    def confirm(self, name: str, words: list[str]) -> tuple[int, int, int, int] | None:
-        """First and last word of the template's wording among ``words``, its missing and its foreign words; or None."""
+            self.words[name] = [w.lower() for w in WORD.findall(text)]
+        self.vocabulary = {w for words in self.words.values() for w in words}
+
+    def gain(self, name: str, found: str) -> int:
+        """Bytes that a template spares in compressing the stretch where its wording was found."""
+        data = _folded(found).encode("utf-8", "surrogatepass")
+        return len(self.plain.compress(data)) - len(self.primed[name].compress(data))
+
+    def masks(self, words: list[str]) -> dict[str, int]:
+        """The places (bits) of each word of the templates among ``words``."""
+        bits: dict[str, bytearray] = {}
+        for j, w in enumerate(words):
+            if w in self.vocabulary:
+                if w not in bits:
+                    bits[w] = bytearray(len(words) // 8 + 1)
+                bits[w][j >> 3] |= 1 << (j & 7)
+        return {w: int.from_bytes(b, "little") for w, b in bits.items()}
+
+    def confirm(self, name: str, where: dict[str, int], n_words: int) -> list[tuple[int, int, int, int]]:
+        """Places of the template's wording among the words of ``where``: first word, end, missing and foreign words.
+
+        None is overlooked: every alignment with at most the allowed missing
+        and the allowed foreign words is followed; of places that overlap the
+        one with the fewest of both counts.
+        """
         wanted = self.words[name]
         allowed = int(TOLERANCE * len(wanted))
-        parts = [m for m in SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
-        if not parts:
-            return None
-        found = sum(m.size for m in parts)
-        first, last = parts[0].b, parts[-1].b + parts[-1].size
-        missing, foreign = len(wanted) - found, last - first - found
-        return (first, last, missing, foreign) if missing <= allowed and foreign <= allowed else None
+        if not wanted or sum(w not in where for w in wanted) > allowed:
+            return []
+        ends = _ends([where.get(w, 0) for w in wanted], (1 << n_words + 1) - 1, allowed)
+        out: list[tuple[int, int, int, int]] = []
+        busy = 0
+        for missing, foreign in sorted(ends, key=lambda k: (sum(k), k)):
+            open_ends = ends[missing, foreign] & ~busy
+            while open_ends:
+                last = open_ends.bit_length() - 1
+                first = last - (len(wanted) - missing + foreign)
+                span = (1 << last + 1) - (1 << first + 1)
+                if not busy & span:
+                    out.append((first, last, missing, foreign))
+                    busy |= span
+                open_ends &= ~(1 << last) & ~busy
+        return out
 
     def scan(self, text: str) -> list[dict]:
         """Licenses of a text: name, wording, place (code points), bytes spared, words missing and foreign."""
-        out: list[dict] = []
-        taken: list[tuple[int, int]] = []
-        for start, end in blocks(text):
-            work = [(start, end)]
-            while work:
-                a, b = work.pop()
-                block = text[a:b]
-                places = [m.span() for m in WORD.finditer(block.lower())] if len(block.lower()) == len(block) else [m.span() for m in WORD.finditer(block)]
-                words = [block[x:y].lower() for x, y in places]
-                hit = None
-                for gain, name in self.gains(block)[:TRIED]:
-                    if gain < LEAST_GAIN:
-                        break
-                    hit = self.confirm(name, words)
-                    if hit:
-                        break
-                if not hit:
-                    continue
-                first, last, missing, foreign = hit
-                x, y = a + places[first][0], a + places[last - 1][1]
-                if not any(x < v and u < y for u, v in taken):
-                    taken.append((x, y))
+        found: list[dict] = []
+        for a, b in blocks(text):
+            places = [m.span() for m in WORD.finditer(text, a, b)]
+            where = self.masks([text[x:y].lower() for x, y in places])
+            for name in self.templates:
+                for first, last, missing, foreign in self.confirm(name, where, len(places)):
+                    x, y = places[first][0], places[last - 1][1]
                     license_id, wording = name.split("/")
-                    out.append({"license": license_id, "wording": wording, "start": x, "end": y, "gain": gain, "missing": missing, "foreign": foreign})
-                # the rest of the block may hold another one
-                work += [(u, v) for u, v in ((a, x), (y, b)) if v - u < b - a and TRIGGER.search(text[u:v])]
-        return sorted(out, key=lambda r: (r["start"], r["license"]))
+                    found.append({"license": license_id, "wording": wording, "start": x, "end": y, "gain": self.gain(name, text[x:y]), "missing": missing, "foreign": foreign})
+        out: list[dict] = []  # in the order of their places
+        for r in sorted(found, key=lambda r: (-r["gain"], r["missing"] + r["foreign"], r["start"], r["license"], r["wording"])):
+            i = bisect_left(out, r["end"], key=lambda o: o["start"])
+            if not i or out[i - 1]["end"] <= r["start"]:
+                out.insert(i, r)
+        return out
+
+
+def _ends(masks: list[int], everywhere: int, allowed: int) -> dict[tuple[int, int], int]:
+    """Word boundaries (bits) where all of a template can end, by missing and foreign words.
+
+    ``masks`` has, for each of its words, a bit for each equal word of the
+    block.  A state holds the boundaries that its first words can reach.
+    """
+    states = {(0, 0): everywhere}
+    for i, mask in enumerate(masks):
+        after: dict[tuple[int, int], int] = {}
+        for (missing, foreign), bits in states.items():
+            if taken := (bits & mask) << 1:
+                after[missing, foreign] = after.get((missing, foreign), 0) | taken
+            if missing < allowed:
+                after[missing + 1, foreign] = after.get((missing + 1, foreign), 0) | bits
+        if i + 1 < len(masks):
+            for foreign in range(allowed):
+                for missing in range(allowed + 1):
+                    if bits := after.get((missing, foreign), 0) << 1 & everywhere:
+                        after[missing, foreign + 1] = after.get((missing, foreign + 1), 0) | bits
+        states = after
+        if not states:
+            break
+    return states
 
 
 def _folded(text: str) -> str:
