@@ -510,6 +510,16 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.with_licenses(nothing, "f").isEmpty()
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_licenses_wrapped(prefix):
+    scan = licenses.Matcher(licenses.TEMPLATES).scan
+    for (name, text), width in itertools.product(licenses.TEMPLATES.items(), (60, 70, 80)):
+        lines = textwrap.wrap(text, width - len(prefix), break_on_hyphens=False)
+        found = scan("import os\n\n" + "\n".join(prefix + x for x in lines) + "\n\nx = 1\n")
+        assert name in {f"{f['license']}/{f['wording']}" for f in found}, (name, width)
+    assert [f["license"] for f in scan(f"x = 1\n{prefix}All rights\n{prefix}reserved.\n")] == ["proprietary"]
+
+
 def test_licenses_short_wording_among_long():
     scan = licenses.Matcher(licenses.TEMPLATES).scan
     for text in ("(c) 2020 acme. This work is licensed under the ACME General Public License. All rights reserved.", "This work is licensed under a commercial agreement. All rights reserved."):

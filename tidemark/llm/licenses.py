@@ -46,9 +46,10 @@ TEMPLATES = {
     "proprietary/line": "All rights reserved.",
 }
 #: Lines with one of these words open a block.
-TRIGGER = re.compile(r"licen[sc]e|copyright|permission (?:is|to)|redistribut|warrant|public domain|rights reserved|creative commons|public license|spdx|unencumbered", re.I)
-#: Characters on either side of a trigger that belong to its block at least; blocks that touch are one.
-MARGIN = 240
+TRIGGER = re.compile(r"licen[sc]e|copyright|permission\W+(?:is|to)|redistribut|warrant|public\W+domain|rights\W+reserved|creative\W+commons|public\W+license|spdx|unencumbered", re.I)
+#: Lengths of the longest template that a block reaches to either side of a trigger (prefixes and indents lengthen a
+#: wording), and characters after which a line's end is no longer waited for; blocks that touch are one.
+REACH, MARGIN = 2, 240
 #: Block size; a longer one (a text full of triggers) is cut, with MARGIN characters in common.
 MOST = 6_000
 #: Share of the words that may be missing, and that may be foreign.
@@ -65,6 +66,7 @@ class Matcher:
 
     def __post_init__(self) -> None:
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
+        self.reach = REACH * max(map(len, self.templates.values()), default=0)
         self.primed = {}
         self.words = {}
         for name, text in self.templates.items():
@@ -117,7 +119,7 @@ class Matcher:
     def scan(self, text: str) -> list[dict]:
         """Licenses of a text: name, wording, place (code points), bytes spared, words missing and foreign."""
         found: list[dict] = []
-        for a, b in blocks(text):
+        for a, b in blocks(text, self.reach):
             places = [m.span() for m in WORD.finditer(text, a, b)]
             where = self.masks([text[x:y].lower() for x, y in places])
             for name in self.templates:
@@ -163,13 +165,13 @@ def _folded(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Stretches around triggers: whole lines within ``MARGIN`` characters, cut where lines are longer."""
+def blocks(text: str, reach: int) -> list[tuple[int, int]]:
+    """Stretches of ``reach`` characters to either side of triggers, then out to whole lines (``MARGIN`` characters at most)."""
     spans: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a = max(0, m.start() - MARGIN, text.rfind("\n", max(0, m.start() - MARGIN), m.start()) + 1)
-        stop = text.find("\n", m.end(), m.end() + MARGIN)
-        b = stop if stop >= 0 else min(len(text), m.end() + MARGIN)
+        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        start, stop = text.rfind("\n", max(0, a - MARGIN), a), text.find("\n", b, b + MARGIN)
+        a, b = (start + 1 if start >= 0 else max(0, a - MARGIN)), (stop if stop >= 0 else min(len(text), b + MARGIN))
         if spans and a <= spans[-1][1] + 1:
             spans[-1][1] = max(spans[-1][1], b)
         else:
