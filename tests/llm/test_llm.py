@@ -530,6 +530,13 @@ def test_licenses_short_wording_among_long():
     assert (found["wording"], found["missing"], found["foreign"]) == ("text", 1, 1)
 
 
+def test_licenses_many_in_a_row():
+    names = [n for n in licenses.TEMPLATES if n.endswith(("/text", "/header"))] * 12
+    random.Random(4).shuffle(names)
+    found = licenses.Matcher(licenses.TEMPLATES).scan("\n".join(licenses.TEMPLATES[n] for n in names))
+    assert [f"{f['license']}/{f['wording']}" for f in found] == names
+
+
 def test_licenses_documents(spark):
     base = "/root/testdata/sf0.01"
     docs = common.read_table(spark, base, "documents").toPandas().set_index("doc_id").text

@@ -50,8 +50,9 @@ TRIGGER = re.compile(r"licen[sc]e|copyright|permission\W+(?:is|to)|redistribut|w
 #: Lengths of the longest template that a block reaches to either side of a trigger (prefixes and indents lengthen a
 #: wording), and characters after which a line's end is no longer waited for; blocks that touch are one.
 REACH, MARGIN = 2, 240
-#: Block size; a longer one (a text full of triggers) is cut, with MARGIN characters in common.
-MOST = 6_000
+#: Words of a block that are compared at once; the parts of a longer one (a text full of triggers) have as many words
+#: in common as the longest wording can have, so every wording is whole in one of them.
+PART = 1_000
 #: Share of the words that may be missing, and that may be foreign.
 TOLERANCE = 0.08
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.A | re.I)
@@ -74,6 +75,8 @@ class Matcher:
             self.primed[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)
             self.words[name] = [w.lower() for w in WORD.findall(text)]
         self.vocabulary = {w for words in self.words.values() for w in words}
+        #: Words of the longest wording with all foreign ones that it may have.
+        self.longest = max((len(words) + int(TOLERANCE * len(words)) for words in self.words.values()), default=0)
 
     def gain(self, name: str, found: str) -> int:
         """Bytes that a template spares in compressing the stretch where its wording was found."""
@@ -121,12 +124,14 @@ class Matcher:
         found: list[dict] = []
         for a, b in blocks(text, self.reach):
             places = [m.span() for m in WORD.finditer(text, a, b)]
-            where = self.masks([text[x:y].lower() for x, y in places])
-            for name in self.templates:
-                for first, last, missing, foreign in self.confirm(name, where, len(places)):
-                    x, y = places[first][0], places[last - 1][1]
-                    license_id, wording = name.split("/")
-                    found.append({"license": license_id, "wording": wording, "start": x, "end": y, "gain": self.gain(name, text[x:y]), "missing": missing, "foreign": foreign})
+            for lo in range(0, max(1, len(places) - self.longest), PART):
+                part = places[lo : lo + PART + self.longest]
+                where = self.masks([text[x:y].lower() for x, y in part])
+                for name in self.templates:
+                    for first, last, missing, foreign in self.confirm(name, where, len(part)):
+                        x, y = part[first][0], part[last - 1][1]
+                        license_id, wording = name.split("/")
+                        found.append({"license": license_id, "wording": wording, "start": x, "end": y, "gain": self.gain(name, text[x:y]), "missing": missing, "foreign": foreign})
         out: list[dict] = []  # in the order of their places
         for r in sorted(found, key=lambda r: (-r["gain"], r["missing"] + r["foreign"], r["start"], r["license"], r["wording"])):
             i = bisect_left(out, r["end"], key=lambda o: o["start"])
@@ -176,13 +181,7 @@ def blocks(text: str, reach: int) -> list[tuple[int, int]]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    out = []
-    for a, b in spans:
-        while b - a > MOST:
-            out.append((a, a + MOST))
-            a += MOST - MARGIN
-        out.append((a, b))
-    return out
+    return [(a, b) for a, b in spans]
 
 
 def with_licenses(docs: DataFrame, name: str, templates: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
