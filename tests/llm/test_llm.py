@@ -365,6 +365,14 @@ def test_simhash_awkward(awkward, nothing):
     assert simhash.simhash_groups(nothing).isEmpty()
 
 
+def test_segments_meet_pairs_at_any_size():
+    p = simhash.differing_share(0.8)
+    for count in (2, 8_000, 100_000, 260_000, 10**6, 16 * 10**6, 10**9):
+        bits = simhash.segment_bits(count)
+        one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+        assert 1 - (1 - one) ** simhash.segment_count(bits, 0.8) >= 0.99
+
+
 def test_similar_groups(spark, awkward, nothing):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

@@ -10,7 +10,8 @@ Two settings share these steps.  *Close* groups link 64-bit fingerprints at 3
 or fewer differing bits: two halves, balls of radius one, no link is missed.
 *Similar* groups link texts whose word shingles are alike to 0.8 or more: their
 bits differ in up to 15 of 100, so the fingerprint is wider and has many
-segments, which grow with the logarithm of the number of documents.
+segments.  Segments grow with the logarithm of the number of documents, and
+their number with them, so that a pair at 0.8 is met as surely at any size.
 """
 
 from __future__ import annotations
@@ -138,10 +139,10 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, id
 
 # ---- similar texts: wide fingerprints ----
 
-#: Segments of a wide fingerprint, and bits of a segment beyond the logarithm of the number of fingerprints:
-#: a lookup then meets a fixed number of unrelated fingerprints at any size.
-SEGMENTS, SPARE_BITS = 20, 6
-#: Bits of a wide fingerprint; a multiple of 64 that holds all segments of up to 2**(WIDE / SEGMENTS - SPARE_BITS) texts.
+#: Chance that a pair at the linking similarity is met in some segment, and bits of a segment beyond the logarithm of
+#: the number of fingerprints: a lookup then meets a fixed number of unrelated fingerprints at any size.
+MET, SPARE_BITS = 0.99, 6
+#: Least bits of a wide fingerprint; it has more where its segments need them.
 WIDE = 640
 #: Least shingle hashes that are kept of a text, by which the similarity of a pair is verified.
 LOW = 384
@@ -152,13 +153,13 @@ LOOSE, GROUPED = 2.5, 1.0
 FEW, COMPARED = 8, 2_048
 
 
-def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
-    """``WIDE / 64`` words of 64 bits; a bit is 1 if set in over half of the shingles' mixed hashes.
+def wide_fingerprint(text: str | None, width: int, wide: int = WIDE) -> np.ndarray:
+    """``wide / 64`` words of 64 bits; a bit is 1 if set in over half of the shingles' mixed hashes.
 
     Shingles are those of :func:`text_fingerprint`; one XXH64 for each is
     stretched by odd multipliers.  No words: all bits zero.
     """
-    return _wide(_shingle_hashes(text, width))
+    return _wide(_shingle_hashes(text, width), wide)
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -172,12 +173,12 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).size / max(1, len(both))
 
 
-def _wide(hashes: np.ndarray) -> np.ndarray:
-    lanes = WIDE // 64
+def _wide(hashes: np.ndarray, wide: int) -> np.ndarray:
+    lanes = wide // 64
     if not len(hashes):
         return np.zeros(lanes, np.uint64)
     odd = (np.arange(lanes, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-    counts = np.zeros(WIDE, np.int64)
+    counts = np.zeros(wide, np.int64)
     for lo in range(0, len(hashes), 4_080):
         mixed = hashes[lo : lo + 4_080, None] * odd
         mixed ^= mixed >> np.uint64(31)
@@ -189,11 +190,27 @@ def _wide(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def differing_bits(similarity: float, deviations: float) -> int:
-    """Bits in which wide fingerprints of texts of a Jaccard similarity of shingles differ: the expectation and some deviations more."""
-    cosine = 2 * similarity / (1 + similarity)
-    share = math.acos(cosine) / math.pi
-    return round(WIDE * share + deviations * math.sqrt(WIDE * share * (1 - share)))
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits in fingerprints of texts of a Jaccard similarity of shingles."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def differing_bits(similarity: float, deviations: float, wide: int = WIDE) -> int:
+    """Bits in which wide fingerprints of texts of a similarity differ: the expectation and some deviations more."""
+    share = differing_share(similarity)
+    return round(wide * share + deviations * math.sqrt(wide * share * (1 - share)))
+
+
+def segment_bits(count: int) -> int:
+    """Bits of a segment for so many fingerprints."""
+    return max(8, math.ceil(math.log2(max(2, count))) + SPARE_BITS)
+
+
+def segment_count(bits: int, similarity: float) -> int:
+    """Segments of so many bits of which, with the chance ``MET``, one differs in at most a bit between texts of a similarity."""
+    share = differing_share(similarity)
+    one = (1 - share) ** bits + bits * share * (1 - share) ** (bits - 1)
+    return math.ceil(math.log(1 - MET) / math.log1p(-one)) if one < MET else 1
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,12 +228,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     empty result.  Returns ``doc_id long, component_id long``.
     """
 
+    most_bits = segment_bits(docs.count())
+    width_bits = 64 * math.ceil(max(WIDE, most_bits * segment_count(most_bits, similarity)) / 64)
+
     @F.arrow_udf("struct<wide:binary,low:binary>")
     def run(texts: pa.Array) -> pa.Array:
         wide, low = [], []
         for text in texts:
             hashes = _shingle_hashes(text.as_py(), width)
-            wide.append(_wide(hashes).astype("<u8").tobytes())
+            wide.append(_wide(hashes, width_bits).astype("<u8").tobytes())
             low.append(least_hashes(hashes).tobytes())
         give_back_memory()
         return pa.StructArray.from_arrays([pa.array(wide, pa.binary()), pa.array(low, pa.binary())], ["wide", "low"])
@@ -225,15 +245,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     rows = materialize(rows.select("doc_id", "f.wide", "f.low"), "wide")
     nodes = rows.groupBy("wide").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("wide"))
     nodes = materialize(nodes, "nodes")
-    bits = max(8, math.ceil(math.log2(max(2, nodes.count()))) + SPARE_BITS)
-    if bits * SEGMENTS > WIDE:
-        raise ValueError(f"{SEGMENTS} segments of {bits} bits need a wider fingerprint")
-    loose, most = differing_bits(similarity, LOOSE), differing_bits(similarity, GROUPED)
+    bits = segment_bits(nodes.count())
+    n_segments = segment_count(bits, similarity)
+    loose, most = differing_bits(similarity, LOOSE, width_bits), differing_bits(similarity, GROUPED, width_bits)
 
     @F.arrow_udf("array<long>")
     def segments(column: pa.Array) -> pa.Array:
-        octets = np.frombuffer(b"".join(v.as_py() for v in column), np.uint8).reshape(len(column), WIDE // 8)
-        spread = np.unpackbits(octets, axis=1, bitorder="little")[:, : bits * SEGMENTS].reshape(-1, SEGMENTS, bits)
+        octets = np.frombuffer(b"".join(v.as_py() for v in column), np.uint8).reshape(len(column), width_bits // 8)
+        spread = np.unpackbits(octets, axis=1, bitorder="little")[:, : bits * n_segments].reshape(-1, n_segments, bits)
         values = spread.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
         return pa.array(values.tolist(), pa.list_(pa.int64()))
 
