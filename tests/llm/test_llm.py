@@ -373,6 +373,30 @@ def test_segments_meet_pairs_at_any_size():
         assert 1 - (1 - one) ** simhash.segment_count(bits, 0.8) >= 0.99
 
 
+def jaccard(a, b):
+    x, y = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("changed", [4, 7])
+def test_similar_groups_of_a_family(spark, changed):
+    """Full slots: copies around and below the similarity link only where their shingles say so."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(240)]
+    texts = []
+    for _ in range(40):
+        t = list(base)
+        for _ in range(changed):
+            t[rng.randrange(240)] = word()
+        texts.append(" ".join(t))
+    edges = [(i, j) for i, j in itertools.combinations(range(40), 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = brute_components([(i, i) for i in range(40)] + edges)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_similar_groups(spark, awkward, nothing):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

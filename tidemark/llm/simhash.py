@@ -146,11 +146,13 @@ MET, SPARE_BITS = 0.99, 6
 WIDE = 640
 #: Least shingle hashes that are kept of a text, by which the similarity of a pair is verified.
 LOW = 384
-#: Standard deviations of the distance at the linking similarity within which a pair is verified by its shingles, and
-#: within which the members of a large group link by distance alone.
-LOOSE, GROUPED = 2.5, 1.0
+#: Standard deviations of the distance at the linking similarity within which a pair is verified by its shingles (LOOSE),
+#: and below which a large group's first links are sought, most of which then hold (FIRM).
+LOOSE, FIRM = 3.0, -2.0
 #: Members and visitors of a segment's value whose pairs are few enough to be joined; fuller ones are compared in blocks.
 FEW, COMPARED = 8, 2_048
+#: Partners of a member that a round over full slots proposes at most; the last round (None) proposes all that are left.
+PROPOSED = (8, 64, 512, None)
 
 
 def wide_fingerprint(text: str | None, width: int, wide: int = WIDE) -> np.ndarray:
@@ -219,9 +221,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     Segments are looked up with the ball of radius one.  What is met is
     verified by the distance of the whole fingerprints and then by the shingles
     themselves (the least ``LOW`` of their hashes).  Of a segment value that
-    many fingerprints share only a spanning forest of the links leaves the
-    task, so a large group never spells out its pairs; there the distance
-    alone decides.  Equal fingerprints are one node.
+    many fingerprints share not all pairs leave the task: first a spanning
+    forest of the closest ones, then, in rounds, pairs that links verified so
+    far do not join, until none is left.  A tight group never spells out its
+    pairs, and every link is verified.  Equal fingerprints are one node.
 
     Word-less and null texts have the zero fingerprint and form one group.  A
     null id ranks above every id.  Repeated rows stay; an empty table gives an
@@ -247,7 +250,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     nodes = materialize(nodes, "nodes")
     bits = segment_bits(nodes.count())
     n_segments = segment_count(bits, similarity)
-    loose, most = differing_bits(similarity, LOOSE, width_bits), differing_bits(similarity, GROUPED, width_bits)
+    loose, firm = differing_bits(similarity, LOOSE, width_bits), differing_bits(similarity, FIRM, width_bits)
 
     @F.arrow_udf("array<long>")
     def segments(column: pa.Array) -> pa.Array:
@@ -289,28 +292,56 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         return pa.array([resemblance(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(x, y)], pa.float64())
 
     close = materialize(pairs.where(distance("x", "y") <= loose).select("a", "b"), "close")
-    ends = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-    lows = nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id")).join(rows.select("doc_id", "low"), "doc_id")
-    lows = materialize(lows.groupBy("node").agg(F.min("low").alias("low")), "lows")
-    half = materialize(close.join(lows.select(F.col("node").alias("a"), F.col("low").alias("x")), "a"), "half")
-    pairs = half.join(lows.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
-    links = materialize(pairs.where(alike("x", "y") >= similarity).select("a", "b"), "links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` (a written table) whose shingles are alike enough."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        lows = rows.select(F.xxhash64("wide").alias("node"), "low").join(ends, "node", "left_semi")
+        lows = materialize(lows.groupBy("node").agg(F.min("low").alias("low")), "lows")
+        half = materialize(pairs.join(lows.select(F.col("node").alias("a"), F.col("low").alias("x")), "a"), "half")
+        both = half.join(lows.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
+        return materialize(both.where(alike("x", "y") >= similarity).select("a", "b"), "links")
+
+    links = verified(close)
     # full slots: blocks of members against blocks of all that met there
     full = size.where(~is_few).select("slot", F.ceil(F.col("members") / COMPARED).cast("int").alias("cuts"), F.ceil((F.col("members") + F.col("visitors")) / COMPARED).cast("int").alias("waves"))
     full = materialize(met.join(full, "slot").join(wide, "node"), "full")
     grain = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    left = full.where("member").select("slot", (grain % F.col("cuts")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"), F.lit(True).alias("member"), "node", "wide")
-    right = full.select("slot", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), (grain % F.col("waves")).cast("int").alias("wave"), F.lit(False).alias("member"), "node", "wide")
-
-    def compare(block: pa.Table) -> pa.Table:
-        member = block["member"].to_numpy(zero_copy_only=False).astype(bool)
-        names = block["node"].to_numpy()
-        words = np.frombuffer(b"".join(block["wide"].to_pylist()), "<u8").reshape(len(names), -1)
-        roots = spanning_roots(names[~member], words[~member], names[member], words[member], most)
-        return pa.table({"a": pa.array(roots[0], pa.int64()), "b": pa.array(roots[1], pa.int64())})
-
-    forest = left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "a long, b long")
-    joined = materialize(connected_components(links.union(forest)), "joined")
+    columns = ["node", "wide", "label"]
+    tested = close
+
+    def propose(labels: DataFrame | None, cap: int | None) -> DataFrame:
+        """Close pairs of full slots that may be links: the first forest without labels, then pairs of different labels."""
+        named = full.withColumn("label", F.col("node")) if labels is None else full.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        left = named.where("member").select("slot", (grain % F.col("cuts")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"), F.lit(True).alias("member"), *columns)
+        right = named.select("slot", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), (grain % F.col("waves")).cast("int").alias("wave"), F.lit(False).alias("member"), *columns)
+        first = labels is None
+
+        def compare(block: pa.Table) -> pa.Table:
+            member = block["member"].to_numpy(zero_copy_only=False).astype(bool)
+            names, groups = block["node"].to_numpy(), block["label"].to_numpy()
+            words = np.frombuffer(b"".join(block["wide"].to_pylist()), "<u8").reshape(len(names), -1)
+            if first:
+                found = spanning_roots(names[~member], words[~member], names[member], words[member], firm)
+            else:
+                found = unjoined(names[~member], words[~member], groups[~member], names[member], words[member], groups[member], loose, cap)
+            return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+        found = left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "a long, b long")
+        return materialize(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+
+    joined = None
+    for cap in (0, *PROPOSED) if not full.isEmpty() else ():
+        found = propose(joined, cap)
+        if joined is not None and found.isEmpty():
+            break
+        fresh_pairs = materialize(found.join(tested, ["a", "b"], "left_anti"), "untested")
+        tested = tested.union(fresh_pairs)
+        if joined is None or not fresh_pairs.isEmpty():
+            links = links.union(verified(fresh_pairs))
+            joined = materialize(connected_components(links), "joined")
+    if joined is None:
+        joined = materialize(connected_components(links), "joined")
     placed = materialize(nodes.join(joined, "node", "left").select("wide", "least", F.coalesce("component", "node").alias("component")), "placed")
     least = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = materialize(placed.join(least, "component").select("wide", "component_id"), "named")
@@ -343,6 +374,20 @@ def spanning_roots(left: np.ndarray, left_words: np.ndarray, right: np.ndarray,
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def unjoined(left: np.ndarray, left_words: np.ndarray, left_labels: np.ndarray, right: np.ndarray, right_words: np.ndarray, right_labels: np.ndarray, most: int, cap: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (node, other) of ``most`` or fewer bits and different labels; of each node of ``right`` the ``cap`` closest."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for name, one, label in zip(right, right_words, right_labels):
+        other = np.flatnonzero(left_labels != label)
+        bits = np.bitwise_count(left_words[other] ^ one).sum(axis=1, dtype=np.int64)
+        near = other[bits <= most]
+        if cap is not None and len(near) > cap:
+            near = near[np.lexsort((left[near], bits[bits <= most]))[:cap]]
+        a.append(np.full(len(near), name, np.int64))
+        b.append(left[near])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose id is the least of their similar group; all columns, nothing else.
 
