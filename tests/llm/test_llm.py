@@ -397,6 +397,23 @@ def test_similar_groups_of_a_family(spark, changed):
     assert got == want and len(set(want.values())) > 1
 
 
+def test_similar_groups_of_long_texts(spark):
+    """Texts of more shingles than a sketch holds, closely around the similarity, go by all their shingles."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want = [], {}
+    for k in range(24):
+        base = [word() for _ in range(1_800)]
+        near = list(base)
+        for at in range(0, 10 * (38 + k % 4), 10):  # 5 shingles for each changed word
+            near[at] = word()
+        texts = " ".join(base), " ".join(near)
+        rows += [(2 * k + i, t, "en", "s") for i, t in enumerate(texts)]
+        want[2 * k + 1] = 2 * k + (jaccard(*texts) < 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table(spark, rows)).collect()}
+    assert {k: got[k] for k in want} == want and len({v - k for k, v in want.items()}) == 2
+
+
 def test_similar_groups(spark, awkward, nothing):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

@@ -144,11 +144,12 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, id
 MET, SPARE_BITS = 0.99, 6
 #: Least bits of a wide fingerprint; it has more where its segments need them.
 WIDE = 640
-#: Least shingle hashes that are kept of a text, by which the similarity of a pair is verified.
-LOW = 384
+#: Least shingle hashes that are kept of a text, by which the similarity of a pair is estimated, and standard errors of
+#: an estimate from cut sets around the linking similarity within which all shingles are read.
+LOW, DOUBT = 384, 5.0
 #: Standard deviations of the distance at the linking similarity within which a pair is verified by its shingles (LOOSE),
 #: and below which a large group's first links are sought, most of which then hold (FIRM).
-LOOSE, FIRM = 3.0, -2.0
+LOOSE, FIRM = 5.0, -2.0
 #: Members and visitors of a segment's value whose pairs are few enough to be joined; fuller ones are compared in blocks.
 FEW, COMPARED = 8, 2_048
 #: Partners of a member that a round over full slots proposes at most; the last round (None) proposes all that are left.
@@ -220,7 +221,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
     Segments are looked up with the ball of radius one.  What is met is
     verified by the distance of the whole fingerprints and then by the shingles
-    themselves (the least ``LOW`` of their hashes).  Of a segment value that
+    themselves: the least ``LOW`` of their hashes, and all of them where a set
+    was cut and its estimate lies near ``similarity``.  Of a segment value that
     many fingerprints share not all pairs leave the task: first a spanning
     forest of the closest ones, then, in rounds, pairs that links verified so
     far do not join, until none is left.  A tight group never spells out its
@@ -287,6 +289,21 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         words = [np.frombuffer(b"".join(v.as_py() for v in side), "<u8").reshape(len(side), -1) for side in (x, y)]
         return pa.array(np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int32), pa.int32())
 
+    @F.arrow_udf("struct<wide:binary,all:binary>")
+    def whole(texts: pa.Array) -> pa.Array:
+        hashes = [_shingle_hashes(t.as_py(), width) for t in texts]
+        found = [_wide(h, width_bits).astype("<u8").tobytes() for h in hashes], [np.unique(h).astype("<u8").tobytes() for h in hashes]
+        return pa.StructArray.from_arrays([pa.array(f, pa.binary()) for f in found], ["wide", "all"])
+
+    @F.arrow_udf("double")
+    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(x, y):
+            a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
+            both = np.intersect1d(a, b, assume_unique=True).size
+            out.append(both / max(1, len(a) + len(b) - both))
+        return pa.array(out, pa.float64())
+
     @F.arrow_udf("double")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([resemblance(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(x, y)], pa.float64())
@@ -300,7 +317,23 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         lows = materialize(lows.groupBy("node").agg(F.min("low").alias("low")), "lows")
         half = materialize(pairs.join(lows.select(F.col("node").alias("a"), F.col("low").alias("x")), "a"), "half")
         both = half.join(lows.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
-        return materialize(both.where(alike("x", "y") >= similarity).select("a", "b"), "links")
+        was_cut = F.greatest(F.length("x"), F.length("y")) >= 4 * LOW
+        scored = materialize(both.select("a", "b", alike("x", "y").alias("alike"), was_cut.alias("cut")), "scored")
+        doubtful = F.col("cut") & (F.abs(F.col("alike") - similarity) <= DOUBT * math.sqrt(similarity * (1 - similarity) / LOW))
+        sure, unsure = scored.where(~doubtful & (F.col("alike") >= similarity)).select("a", "b"), scored.where(doubtful).select("a", "b")
+        if unsure.isEmpty():
+            return sure
+        # the few texts of doubtful pairs are read again
+        ends = unsure.select(F.col("a").alias("node")).union(unsure.select(F.col("b").alias("node"))).distinct()
+        ids = rows.withColumn("node", F.xxhash64("wide")).join(ends, "node", "left_semi").select(F.col("doc_id").alias("_wanted")).distinct()
+        ids = materialize(ids, "wanted")
+        texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+        texts = materialize(texts.join(ids, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi"), "texts")
+        sets = texts.select(whole("_text").alias("f")).select(F.xxhash64("f.wide").alias("node"), F.col("f.all").alias("all"))
+        sets = materialize(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.min("all").alias("all")), "sets")
+        left = materialize(unsure.join(sets.select(F.col("node").alias("a"), F.col("all").alias("x")), "a"), "left")
+        exact = left.join(sets.select(F.col("node").alias("b"), F.col("all").alias("y")), "b").where(jaccard("x", "y") >= similarity)
+        return sure.union(materialize(exact.select("a", "b"), "exact"))
 
     links = verified(close)
     # full slots: blocks of members against blocks of all that met there
