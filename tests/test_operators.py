@@ -262,3 +262,12 @@ def test_stream_equals_batch(spark, sf):
 
     batch = panels.hourly(spark, sf).orderBy("ticker", "session").collect()
     assert replay_events(spark, sf).select("ticker", "session", *panels.BAR_COLUMNS).orderBy("ticker", "session").collect() == batch
+
+
+def test_model_queries_take_every_ticker(spark, sf):
+    from tidemark.plans.queries import QUERIES, _dataset
+
+    tickers = {r["ticker"] for r in _dataset(spark, sf).select("ticker").distinct().collect()}
+    assert len(tickers) > 1
+    for name in ("logistic_oof", "feature_importance"):
+        assert {r["ticker"] for r in QUERIES[name](spark, sf).select("ticker").distinct().collect()} == tickers, name

@@ -6,6 +6,7 @@ Sessions leave as text and floats rounded, so that results compare by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -423,19 +424,26 @@ def edge_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model(candidate: md.Candidate) -> Query:
-    """Out-of-fold scores of one setting on the asset, with the small feature set."""
+    """Out-of-fold scores of one setting on every ticker, with the small feature set."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = _dataset(spark, sf).where(F.col("ticker") == ASSET)
+        rows = _dataset(spark, sf)
         return md.model_oof(rows, fo.development_folds(rows), [candidate], list(ft.feature_columns())).drop("future_return")
 
     return query
 
 
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _dataset(spark, sf).where(F.col("ticker") == ASSET)
-    found = md.fit(md.Candidate("logistic", {"C": 1.0, "balanced": True}), rows, list(ft.feature_columns())).importance()
-    return rk.top_absolute(spark.createDataFrame(sorted(found.items()), "name string, value double"))
+    """Largest coefficients of a logistic model of each ticker."""
+    rows = _dataset(spark, sf)
+    tickers = [r["ticker"] for r in rows.select("ticker").distinct().orderBy("ticker").collect()]
+    candidate = md.Candidate("logistic", {"C": 1.0, "balanced": True})
+
+    def one(ticker: str) -> DataFrame:
+        found = md.fit(candidate, rows.where(F.col("ticker") == ticker), list(ft.feature_columns())).importance()
+        return rk.top_absolute(spark.createDataFrame(sorted(found.items()), "name string, value double")).select(F.lit(ticker).alias("ticker"), "*")
+
+    return reduce(DataFrame.unionByName, map(one, tickers))
 
 
 def lookback_sequences(spark: SparkSession, sf: str) -> DataFrame:
@@ -525,6 +533,6 @@ QUERIES |= {
     "rolling_correlation": _benchmark_family(("rolling_correlation",)),
     **{f"baseline_{n}": _baseline(n) for n in bl.BASELINES},
     "logistic_oof": _model(md.Candidate("logistic", {"C": 1.0, "balanced": True})),
-    "gradient_boosting_oof": _model(md.Candidate("gradient_boosting", {"rate": 0.1, "leaves": 7, "rounds": 10})),
-    "random_forest_oof": _model(md.Candidate("random_forest", {"trees": 20, "depth": 4, "least": 30})),
+    "gradient_boosting_oof": _model(md.Candidate("gradient_boosting", {"rate": 0.1, "leaves": 7})),
+    "random_forest_oof": _model(md.Candidate("random_forest", {"trees": 400, "depth": 6, "least": 30})),
 }
