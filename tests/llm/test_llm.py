@@ -78,11 +78,70 @@ def test_components(spark):
 # ---- 1 mixing ----
 
 
-def test_targets_reshare_until_none_is_above():
-    t = mixing.source_targets({"a": 100, "b": 1000, "c": 1000, None: 10})
-    assert t["a"] == 200 and t["b"] <= 2000 and t[None] == 20
-    assert abs(sum(t.values()) - 1.5 * 2110) < 1e-6
-    assert mixing.source_targets({}) == {} and mixing.source_targets({"a": 0}) == {"a": 0}
+def brute_targets(sizes):
+    """Shares by weight; whoever is above twice its size is held there, and the rest is dealt again."""
+    order = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    held = {}
+    while len(held) < len(order):
+        left = 1.5 * sum(sizes.values()) - sum(held.values())
+        total = sum(weight[s] for s in order if s not in held)
+        above = [s for s in order if s not in held and left * weight[s] / total >= 2 * sizes[s]]
+        if not above:
+            return held | {s: left * weight[s] / total for s in order if s not in held}
+        held |= {s: 2.0 * sizes[s] for s in above}
+    return held
+
+
+def dense_rates(sizes, target):
+    """Rates of one source by bisection of the tilt over all of its documents."""
+    x = np.array(sizes, float)
+    scale = (x**2).sum() / x.sum()
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        tilt = (low + high) / 2
+        rates = 2 / (1 + np.exp(np.clip(-tilt * x / scale, -700, 700)))
+        low, high = (tilt, high) if rates @ x < target else (low, tilt)
+    return rates
+
+
+def test_mix_against_a_dense_solver(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * max(0, int(rng.gauss(60, 40)))), "en", rng.choice(["a", "b", "b", "b", "c", "Z", "é", None])) for i in range(1500)]
+    rows += [(2000 + i, "", "en", "void") for i in range(3)]
+    out = mixing.entropy_mix(table(spark, rows)).toPandas()
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_targets(sizes)
+    for source in sizes:
+        g = out[out.source.isna() if source is None else out.source == source].sort_values("doc_id")
+        assert g.target.iloc[0] == pytest.approx(want[source]) and (g.source_size == sizes[source]).all()
+        worded = g[g["size"] > 0]
+        if 0 < want[source] < 2 * sizes[source]:
+            assert np.allclose(worded.rate, dense_rates(worded["size"], want[source]), atol=1e-4)
+        elif len(worded):
+            assert (worded.rate == 2).all() and (worded.copies == 2).all()
+        assert abs(g.taken.sum() - want[source]) <= max(1, 0.002 * want[source])
+
+
+def test_mix_of_repeated_rows(spark):
+    """A third of all rows repeat one id, source and text, another third have no id."""
+    rows = [(7, "x y z", "en", "a")] * 400 + [(None, f"w{i} v", "en", "a") for i in range(400)] + [(10 + i, "k " * (i % 9 + 1), "en", "b") for i in range(400)]
+    out = mixing.entropy_mix(table(spark, rows)).toPandas()
+    assert len(out) == 1200
+    hot = out[out.doc_id == 7]
+    assert len(hot) == 400 and hot.copies.max() - hot.copies.min() <= 1 and hot.rate.nunique() == 1
+    for _, g in out.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 10
+    spread, mixing.SPREAD = mixing.SPREAD, 7  # repeated rows dealt to many tasks
+    try:
+        again = mixing.entropy_mix(table(spark, rows[::-1])).toPandas()
+        taken = mixing.mix_rows(table(spark, rows)).select("doc_id", "text").toPandas()
+    finally:
+        mixing.SPREAD = spread
+    assert sorted(out[["doc_id", "size", "copies"]].fillna(-1).itertuples(index=False)) == sorted(again[["doc_id", "size", "copies"]].fillna(-1).itertuples(index=False))
+    assert len(taken) == out.copies.sum() and (taken.doc_id == 7).sum() == hot.copies.sum()
 
 
 def test_mix_meets_targets(spark):
@@ -136,8 +195,8 @@ def test_viterbi_is_optimal():
             assert abs(got - brute_viterbi(scores[a:b].astype(float), 2.0)) < 1e-4
 
 
-def test_language_held_out_and_spans(spark, sf):
-    docs = common.read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+def test_language_held_out_and_spans(spark, sf01):
+    docs = common.read_table(spark, sf01, "documents").select("doc_id", "text", "lang")
     model = language.fit_languages(docs)
     out = language.with_language(docs, model, "f").where(common.held_out(docs["doc_id"])).select("lang", "f.lang", "f.spans", "text").toPandas()
     out.columns = ["lang", "found", "spans", "text"]
@@ -198,8 +257,8 @@ def test_segments_match_definition():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
-def test_toxicity_held_out(spark):
-    base = "/root/testdata/sf0.1"
+def test_toxicity_held_out(spark, sf1):
+    base = sf1
     docs = common.read_table(spark, base, "documents").select("doc_id", "text")
     labels = common.read_table(spark, base, "labels")
     model = toxicity.fit_toxicity(docs, labels)
@@ -262,47 +321,97 @@ def model():
     return pieces.PieceModel.load()
 
 
-def brute_segmentations(model, chunk):
+@pytest.fixture(scope="module")
+def vocabulary():
+    """Id and score of every ordinary piece, as the library reads the file."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    ordinary = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    return {sp.id_to_piece(i): (i, sp.get_score(i) if sp.get_score(i) > pieces.RESERVED else 0.0) for i in ordinary}
+
+
+def brute_segmentations(model, vocabulary, chunk):
     out = []
 
     def go(at, score, ids):
         if at == len(chunk):
             out.append((score, ids))
             return
-        if chunk[at] not in model.number:
-            go(at + 1, score + model.unknown, ids + [model.byte_ids[b] for b in chunk[at].encode()])
+        if chunk[at] not in vocabulary:
+            go(at + 1, score + model.unknown, ids + [int(model.byte_ids[b]) for b in chunk[at].encode()])
         for end in range(at + 1, len(chunk) + 1):
-            k = model.number.get(chunk[at:end])
-            if k is not None:
-                go(end, score + model.scores[k], ids + [model.ids[k]])
+            if chunk[at:end] in vocabulary:
+                k, s = vocabulary[chunk[at:end]]
+                go(end, score + s, ids + [k])
 
     go(0, 0.0, [])
     return sorted(out, key=lambda x: -x[0])
 
 
-def test_n_best_against_all_segmentations(model):
+def test_n_best_against_all_segmentations(model, vocabulary):
     for chunk in ["▁the", "▁▁▁hello,", "▁Éèaux", "日本x", "▁①ab", "\n\n▁x", "▁thandsh"]:
-        every = brute_segmentations(model, chunk)
+        every = brute_segmentations(model, vocabulary, chunk)
         assert [round(s, 6) for s, _ in model.n_best(chunk, 6)] == [round(s, 6) for s, _ in every[:6]]
         ids, score, gap = model.segment([chunk])[0]
         assert score == every[0][0] and (len(every) == 1 or abs(gap - every[0][0] + every[1][0]) < 1e-9)
         assert model._best_two(chunk)[0].tobytes() == ids
 
 
-def test_text_n_best_and_round_trip(model):
+def test_text_n_best_and_round_trip(model, vocabulary):
     encoder = pieces.Encoder(model, 4)
     text = "ab ①b the"
-    options = [brute_segmentations(model, c) for c in pieces.chunks_of(text)]
+    options = [brute_segmentations(model, vocabulary, c) for c in pieces.chunks_of(text)]
     totals = sorted((sum(o[0] for o in pick) for pick in itertools.product(*options)), reverse=True)[:4]
     found = encoder.segmentations(text)
     assert np.allclose([s for s, _ in found], totals)
     assert all(model.decode(ids) == text for _, ids in found)
     for t in ["", " ", "▁", "a▁ b  ▁▁c\n\t", "日本語 \U0001f600 é", "x" * 500, " lead and trail "]:
-        chunks = pieces.chunks_of(t)
+        chunks = model.chunks(t)
         encoder.learn([chunks])
         assert model.decode(encoder.encode(chunks)[0]) == t
 
 
+def test_unspaced_texts_are_cut_where_no_piece_crosses(model):
+    """Long chunks: parts join to the text, and have the score and gap of the whole."""
+    rng = random.Random(3)
+    for alphabet in ("日本語の文字列処理とテキスト", "абвгдежзиклмнопрст", "abcdefgh", "日ab本"):
+        text = "".join(rng.choice(alphabet) for _ in range(700))
+        (whole,) = pieces.chunks_of(text)
+        parts = model.chunks(text)
+        assert "".join(parts) == whole
+        ids, score, gap = model._best_two(whole)
+        found = model.segment(parts)
+        assert b"".join(f[0] for f in found) == ids.tobytes()
+        assert sum(f[1] for f in found) == pytest.approx(score) and min(f[2] for f in found) == pytest.approx(gap)
+    assert max(map(len, model.chunks("日本語の文字列処理とテキスト" * 5_000))) <= 4 * pieces.LONG
+
+
+def test_trie_of_any_size():
+    """The transition table grows with the vocabulary."""
+    words = sorted({f"{a}{b}" for a in range(700) for b in range(700)})
+    big = pieces.PieceModel(words, list(range(len(words))), [-1.0] * len(words), list(range(256)), [w.encode() for w in words])
+    assert len(big.slot_key) >= 2 * (big.slot_key >= 0).sum() and big.n_best("123456", 1)[0][0] == -1.0
+
+
+def test_encoder_forgets(model):
+    """What is kept is bounded, and does not change what comes out."""
+    kept, pieces.KEPT_CHARS = pieces.KEPT_CHARS, 50
+    try:
+        encoder = pieces.Encoder(model)
+        for i in range(40):
+            text = f"text number {i} of {i * 7919 % 1000} ones"
+            chunks = model.chunks(text)
+            encoder.learn([chunks])
+            ids, scores = encoder.encode(chunks)
+            assert model.decode(ids) == text and encoder.held <= 50 + len(text) + 1
+            fresh = pieces.Encoder(model)
+            fresh.learn([chunks])
+            assert fresh.encode(chunks)[1] == scores
+    finally:
+        pieces.KEPT_CHARS = kept
+
+
 def test_pieces_awkward(awkward, nothing, model):
     rows = pieces.with_pieces(awkward, model, "f").collect()
     assert len(rows) == len(AWKWARD) and all(r["f"]["exact"] for r in rows)
@@ -339,10 +448,11 @@ def test_near_pairs_find_every_link(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = {frozenset((a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3}
-    assert {frozenset((r["a"], r["b"])) for r in simhash.near_pairs(df).collect()} == want
-    dense, simhash.DENSE = simhash.DENSE, 2
+    dense = simhash.DENSE
     try:
-        assert {frozenset((r["a"], r["b"])) for r in simhash.near_pairs(df).collect()} == want
+        for simhash.DENSE in (dense, 2, 0):  # whole halves, halves with bytes, halves with nibbles
+            with common.Scratch(spark, "test") as scratch:
+                assert {frozenset((r["a"], r["b"])) for r in simhash.near_pairs(df, scratch).collect()} == want
     finally:
         simhash.DENSE = dense
 
@@ -378,8 +488,8 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("changed", [4, 7])
-def test_similar_groups_of_a_family(spark, changed):
+@pytest.mark.parametrize("changed, full", [(4, 0), (7, 64)])
+def test_similar_groups_of_a_family(spark, changed, full):
     """Full slots: copies around and below the similarity link only where their shingles say so."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -393,8 +503,13 @@ def test_similar_groups_of_a_family(spark, changed):
     edges = [(i, j) for i, j in itertools.combinations(range(40), 2) if jaccard(texts[i], texts[j]) >= 0.8]
     want = brute_components([(i, i) for i in range(40)] + edges)
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table(spark, rows)).collect()}
-    assert got == want and len(set(want.values())) > 1
+    few = simhash.FEW
+    try:
+        simhash.FEW = full
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table(spark, rows)).collect()}
+        assert got == want and len(set(want.values())) > 1
+    finally:
+        simhash.FEW = few
 
 
 def test_similar_groups_of_long_texts(spark):
@@ -432,11 +547,6 @@ def test_similar_groups(spark, awkward, nothing):
             clean.append(10 * k + 1)
     kept = {r["doc_id"] for r in simhash.keep_one_of_similar(table(spark, rows)).collect()}
     assert not kept & set(copies) and set(clean) <= kept and {10 * k for k in range(60)} <= kept
-    few, simhash.FEW = simhash.FEW, 0  # every slot through the block comparison
-    try:
-        assert {r["doc_id"] for r in simhash.keep_one_of_similar(table(spark, rows)).collect()} == kept
-    finally:
-        simhash.FEW = few
     assert simhash.keep_one_of_similar(awkward).columns == awkward.columns
     assert simhash.keep_one_of_similar(nothing).isEmpty()
 
@@ -527,18 +637,42 @@ def test_exact_dedup_awkward(spark, awkward, nothing):
     assert exact_dedup.dedup_once(nothing).isEmpty()
 
 
-def test_digest_index_persists(spark, tmp_path):
-    path = str(tmp_path / "index")
-    first = exact_dedup.DigestIndex(spark, path, 4)
-    exact_dedup.exact_dedup(table(spark, [(1, "a", None, None), (2, "b", None, None)]), first).collect()
-    first.close()
-    again = exact_dedup.DigestIndex(spark, path)
-    assert again.buckets == 4
-    out = {r["doc_id"]: r for r in exact_dedup.exact_dedup(table(spark, [(9, "b", None, None), (10, "c", None, None), (11, "c", None, None)]), again).collect()}
-    assert out[9]["keep_id"] == 2 and not out[9]["kept"] and out[11]["kept"] and not out[10]["kept"]
-    assert again.read().count() == 3
-    plan = again.read().hint("merge").join(again.read().hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan
+BATCHES = [
+    [(1, "a"), (2, "b"), (2, "b"), (None, "lone")],
+    [(9, "b"), (10, "c"), (11, "c"), (2, "b"), (None, "lone"), (3, None)],
+    [(4, ""), (20, "d"), (11, "c"), (None, "d")],
+]
+#: What a batch must give: digests of earlier batches are held, of the rest the largest id stays.
+BATCH_SQL = """
+    SELECT doc_id, coalesce(h.keep_id, max(doc_id) OVER same) AS keep_id, count(*) OVER same AS group_size,
+           h.text IS NULL AND doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(b.text) AS text_sha256
+    FROM batch b LEFT JOIN held h ON b.text = h.text WINDOW same AS (PARTITION BY b.text)
+"""
+
+
+def test_digest_index_over_batches(spark, tmp_path):
+    import duckdb
+
+    path, db = str(tmp_path / "index"), duckdb.connect()
+    db.sql("CREATE TABLE held (text VARCHAR, keep_id BIGINT)")
+    db.sql("CREATE TABLE batch (doc_id BIGINT, text VARCHAR)")
+    for no, rows in enumerate(BATCHES):
+        db.sql("DELETE FROM batch")
+        db.executemany("INSERT INTO batch VALUES (?, coalesce(?, ''))", rows)
+        index = exact_dedup.DigestIndex(spark, path, 4)  # opened anew by its path
+        assert index.buckets == 4 and index.is_empty == (no == 0)
+        got = exact_dedup.exact_dedup(table(spark, [(i, t, None, None) for i, t in rows]), index).collect()
+        key = lambda r: tuple((v is None, v) for v in r)
+        assert sorted(map(tuple, got), key=key) == sorted(db.sql(BATCH_SQL).fetchall(), key=key)
+        db.sql("INSERT INTO held SELECT text, max(doc_id) FROM batch WHERE text NOT IN (SELECT text FROM held) GROUP BY text")
+        assert index.read().count() == db.sql("SELECT count(*) FROM held").fetchall()[0][0]
+        index.close()
+    index = exact_dedup.DigestIndex(spark, path)
+    whole = index.compacted(str(tmp_path / "whole"), 8)
+    assert whole.buckets == 8 and sorted(whole.read().collect()) == sorted(index.read().collect())
+    plan = whole.lacking(whole.read())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan
+    assert [exact_dedup.buckets_for(n) for n in (0, 10**6, 10**9)] == [16, 16, 500]
 
 
 # ---- 9 licenses ----
@@ -586,8 +720,8 @@ def test_licenses_many_in_a_row():
     assert [f"{f['license']}/{f['wording']}" for f in found] == names
 
 
-def test_licenses_documents(spark):
-    base = "/root/testdata/sf0.01"
+def test_licenses_documents(spark, sf01):
+    base = sf01
     docs = common.read_table(spark, base, "documents").toPandas().set_index("doc_id").text
     out = queries.op9_license_scan(spark, base).toPandas().set_index("doc_id")
     lines = {"mit": "Released under the MIT License", "apache-2.0": "Licensed under the Apache License, Version 2.0", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0", "gpl-3.0": "This work is licensed under the GNU General Public License, version 3", "proprietary": "All rights reserved"}
@@ -638,22 +772,3 @@ def test_secrets_without_broadcast(spark, awkward):
         assert len(secrets.secret_report(awkward).toPandas()) == len(rows) == len(AWKWARD)
     finally:
         secrets.BROADCAST_ROWS = bound
-
-
-# ---- pipeline ----
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    docs = common.read_table(spark, sf, "documents")
-    held = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, held = held, common.materialize(stage(spark, held, sf), name)
-        assert held.columns == docs.columns
-        assert {r["doc_id"] for r in held.select("doc_id").collect()} <= {r["doc_id"] for r in before.select("doc_id").collect()}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    out = corpus_pipeline.STAGES[-1][1](spark, held, sf).collect()
-    model = pieces.PieceModel.load()
-    assert out and all(model.decode(np.array(r["ids"])) == texts[r["doc_id"]] for r in out)
-    assert len(out) == held.count()

@@ -10,14 +10,16 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_SHARED = "/tmp/checkpoints/tidemark"
-#: Ids up to this many are broadcast to leave rows out (a long each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys up to this many are broadcast to leave rows out (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,15 +36,66 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, for whatever store it lies in."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(hadoop)
     return path
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    hadoop, fs = hadoop_path(spark, path)
+    fs.delete(hadoop, True)
+
+
+class Scratch:
+    """Tables that one call writes in the shared folder.
+
+    A written table ends the lineage before it.  At the end of the ``with``
+    block all tables go but the kept ones, which the call's result reads.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root = spark, shared_path(spark, name)
+        self._paths: list[str] = []
+        self._kept: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        for path in self._paths:
+            if kind is not None or path not in self._kept:
+                remove_path(self.spark, path)
+
+    def own_path(self, name: str, keep: bool = False) -> str:
+        """A path for what one table's writer does not write."""
+        path = f"{self.root}/{len(self._paths)}-{name}"
+        self._paths.append(path)
+        if keep:
+            self._kept.add(path)
+        return path
+
+    def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        """Write ``df`` and read it back."""
+        path = self.own_path(name, keep)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def counted(self, df: DataFrame, name: str, test: Column | None = None) -> tuple[DataFrame, int]:
+        """:meth:`write`, and the number of rows (for which ``test`` holds), counted on the way."""
+        seen = Observation()
+        out = self.write(df.observe(seen, (F.count(F.lit(1)) if test is None else F.count_if(test)).alias("n")), name)
+        return out, seen.get["n"]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here."""
     path = shared_path(df.sparkSession, name)
@@ -50,12 +103,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a table that :func:`materialize` wrote once nothing reads it."""
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        hadoop = jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound the Arrow batches of the jobs run inside; the session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,14 +136,34 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone(_gone long)``, a written table.
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the UTF-8 text as binary; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``BROADCAST_KEYS`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows of ``gone``, and one row of each of those in ``again``.
 
-    Up to ``BROADCAST_IDS`` ids are broadcast, so the texts are not shuffled;
-    beyond that both sides are.  Rows without an id stay.
+    Both are written tables ``id long, digest binary``: an id (which may be
+    null) with the :func:`text_digest` of its text.  So of rows that share an
+    id only those with that very text are meant.  Few keys are broadcast, and
+    no text moves; beyond the bound both sides are shuffled by key.
     """
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs[id_col] == side["_gone"], "left_anti")
+    (digest,) = fresh(docs, "digest")
+    rows = docs.withColumn(digest, text_digest(F.col(text_col)))
+    same = lambda side: rows[id_col].cast("long").eqNullSafe(side["id"]) & (rows[digest] == side["digest"])
+    gone = _small(gone)
+    kept = rows.join(gone, same(gone), "left_anti")
+    if again is None or again.isEmpty():
+        return kept.select(*docs.columns)
+    again = _small(again)
+    once = kept.join(again, same(again), "left_semi").dropDuplicates([id_col, digest])
+    return kept.join(again, same(again), "left_anti").unionByName(once).select(*docs.columns)
 
 
 def give_back_memory() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Label every node of ``edges(a long, b long)`` with its component's least node.
 
     Contraction in rounds.  In a round each node hooks to its least neighbour
@@ -23,33 +23,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the nodes of every component that still has an edge vanish.  A hub's edges
     are only ever pre-aggregated (``min``) or joined between two written
     tables, so adaptive execution can split them.  Every round is written to
-    the shared folder.
+    the shared folder: into ``scratch``, or into one of its own of which only
+    the result stays.
 
     Nulls, loops and repeated edges are ignored.  An edge table without proper
     edges gives an empty result.  Returns ``node long, component long`` for
     nodes that have an edge to another node.
     """
-    edges = materialize(_pairs(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()).distinct(), "edges")
+    if scratch is None:
+        with Scratch(edges.sparkSession, "components") as own:
+            return own.write(connected_components(edges, own), "labels", keep=True)
+    edges, left = scratch.counted(_pairs(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()).distinct(), "edges")
     levels: list[DataFrame] = []
-    while not edges.isEmpty():
+    while left:
         hooks = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        hooks = materialize(hooks, "hooks")
-        while True:
+        hooks, moved = scratch.write(hooks, "hooks"), 1
+        while moved:
             up = hooks.select(F.col("node").alias("to"), F.col("to").alias("upper"))
-            jumped = materialize(hooks.join(up, "to", "left").select("node", F.coalesce("upper", "to").alias("next"), "to"), "jumped")
-            stable = jumped.where(F.col("next") != F.col("to")).isEmpty()
+            jumped = hooks.join(up, "to", "left").select("node", F.coalesce("upper", "to").alias("next"), "to")
+            jumped, moved = scratch.counted(jumped, "jumped", F.col("next") != F.col("to"))
             hooks = jumped.select("node", F.col("next").alias("to"))
-            if stable:
-                break
         levels.append(hooks)
-        left = edges.where("a < b").join(hooks.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-        left = materialize(left.select("b", "x"), "half")
-        both = left.join(hooks.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = materialize(_pairs(both).distinct(), "edges")
+        half = edges.where("a < b").join(hooks.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        half = scratch.write(half.select("b", "x"), "half")
+        both = half.join(hooks.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges, left = scratch.counted(_pairs(both).distinct(), "edges")
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = levels[0]
     for deeper in levels[1:]:
         up = deeper.select(F.col("node").alias("to"), F.col("to").alias("upper"))
-        labels = materialize(labels.join(up, "to", "left").select("node", F.coalesce("upper", "to").alias("to")), "labels")
+        labels = scratch.write(labels.join(up, "to", "left").select("node", F.coalesce("upper", "to").alias("to")), "labels")
     return labels.select("node", F.col("to").alias("component"))

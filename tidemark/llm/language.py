@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize
+from .common import Scratch, held_out
 
 #: Documents of each language that the model is fitted on, in expectation.
 TRAIN_PER_LANGUAGE = 4_000
@@ -216,10 +216,11 @@ def fit_languages(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> La
             slots = np.flatnonzero(joint)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), no), pa.int32()), pa.array(slots, pa.int32()), pa.array(joint[slots], pa.int64())], names=["no", "slot", "n"])
 
-    sums = materialize(sample.mapInArrow(count, "no int, slot int, n long").groupBy("no", "slot").agg(F.sum("n").alias("n")), "trigrams")
     counts = np.zeros((SLOTS + len(SCRIPTS) + 2, len(languages)))
-    for r in sums.collect():  # at most SLOTS + the number of scripts for each language
-        counts[r["slot"], r["no"]] = r["n"]
+    with Scratch(docs.sparkSession, "languages") as scratch:
+        sums = scratch.write(sample.mapInArrow(count, "no int, slot int, n long").groupBy("no", "slot").agg(F.sum("n").alias("n")), "trigrams")
+        for r in sums.collect():  # at most SLOTS + the number of scripts for each language
+            counts[r["slot"], r["no"]] = r["n"]
     grams, scripts = counts[:SLOTS], counts[SLOTS:]
     logs = np.log(grams + SMOOTH) - np.log(grams.sum(axis=0) + SMOOTH * np.count_nonzero(grams.any(axis=1)))
     logs[~grams.any(axis=1)] = 0.0  # a trigram that no language has says nothing

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import BROADCAST_KEYS, Scratch, fresh
 
 #: Copies of one document at most.
 CAP = 2
@@ -32,6 +32,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 #: Documents that are rounded together, as expected; a source of more is dealt into several such cells by hash.
 CELL = 2048
+#: Times that one task repeats a row at most.
+SPREAD = 10_000
 #: The largest miss of a target, as a share of it, at which Newton's method ends.
 TOLERANCE = 1e-6
 
@@ -41,82 +43,133 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
-    """Words to take from each source: ``share`` of all words by weight, none above ``cap`` times its size.
+def _per_source(sized: DataFrame, weights: Sequence[float], cap: float, scratch: Scratch) -> DataFrame:
+    """``source, words, n, scale, limit, weight``, a row for each source, numbered by code point (null last).
 
-    Sources are ordered by code point, null last.  The excess over a cap is
-    shared among the sources below theirs by weight until none is above; if all
-    reach the cap the rest is not taken.
+    Sources are ranked by a range partitioning, part by part, so their number
+    is not bounded by a task or by the driver, which sees one count a part.
     """
-    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    limit = {s: float(cap * sizes[s]) for s in order}
-    left, open_, out = share * sum(sizes.values()), list(order), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / total >= limit[s]]
-        if not full:
-            return out | {s: left * weight[s] / total for s in open_}
-        for s in full:
-            out[s] = limit[s]
-        left -= sum(limit[s] for s in full)
-        open_ = [s for s in open_ if s not in out]
-    return out
+    of = sized.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size").cast("double") * F.col("size")).alias("squares"))
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = scratch.write(scratch.write(of, "totals").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "parts")
+    before, at = [], 0
+    for r in parts.groupBy("part").agg(F.count("*").alias("k")).orderBy("part").collect():
+        before += [F.lit(r["part"]), F.lit(at)]
+        at += r["k"]
+    offset = F.create_map(*before)[F.col("part")] if before else F.lit(0)
+    number = offset + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))
+    # a size-weighted mean size is the scale: tilts then are of order one
+    scale = F.when(F.col("words") > 0, F.col("squares") / F.col("words")).otherwise(1.0)
+    out = parts.withColumn("number", number).select("source", "words", "n", scale.alias("scale"), (F.col("words") * float(cap)).alias("limit"), weight.alias("weight"))
+    return scratch.write(out, "sources")
 
 
-def _solve(histogram: DataFrame, facts: dict[int, tuple[float, float]], targets: dict[int, float], cap: float) -> dict[int, float]:
-    """Tilt of each source (by number) for which the expected words meet the target.
+def _with_targets(sources: DataFrame, share: float) -> DataFrame:
+    """``sources`` with ``target``: ``share`` of all words by weight, none above its limit.
 
-    ``histogram(source_no, size, n)``; ``facts``: words and scale of a source.
-    Newton steps on all duals at once, one aggregation an iteration, kept
-    inside a bracket of the root so that they converge from anywhere.
+    What a limit cuts off is shared among the sources below theirs by weight
+    until none is above: a source gets ``level * weight``, and the level rises
+    while limits are met.  If all are met the rest is not taken.
+    """
+    level, met = 0.0, -1
+    while True:
+        full = F.lit(level) * F.col("weight") >= F.col("limit")
+        r = sources.agg(F.sum("words").alias("words"), F.count_if(full).alias("met"), F.sum(F.when(full, F.col("limit")).otherwise(0.0)).alias("given"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if r["met"] == met or not r["open"]:
+            break
+        met, level = r["met"], (share * r["words"] - r["given"]) / r["open"]
+    return sources.withColumn("target", F.when(full, F.col("limit")).otherwise(F.lit(level) * F.col("weight")))
+
+
+def _solve(sources: DataFrame, histogram: DataFrame, cap: float, scratch: Scratch) -> DataFrame:
+    """``sources`` with the ``tilt`` of each for which its expected words meet the target; null at a bound.
+
+    ``histogram(source, size, n)``.  Newton steps on all duals at once, one
+    aggregation an iteration, each kept inside a bracket of its root so that it
+    converges from anywhere.  The state is a table: the driver sees how many
+    sources are open.
     """
-    tilts = {k: 0.0 for k, t in targets.items() if 0 < t < cap * facts[k][0]}
-    low, high = {k: -math.inf for k in tilts}, {k: math.inf for k in tilts}
-    open_ = set(tilts)
+    inner = (F.col("target") > 0) & (F.col("target") < F.col("limit"))
+    state = sources.select("*", F.when(inner, 0.0).alias("tilt"), F.lit(-math.inf).alias("low"), F.lit(math.inf).alias("high"), inner.alias("open"))
+    state, open_ = scratch.counted(state, "state", F.col("open"))
     while open_:
-        spark = histogram.sparkSession
-        state = spark.createDataFrame([(k, tilts[k], facts[k][1]) for k in sorted(open_)], "source_no int, tilt double, scale double")
+        now = state.where("open").select("source", "tilt", "scale")
         z = F.col("size") / F.col("scale")
         rate = F.lit(float(cap)) / (1.0 + F.exp(-F.col("tilt") * z))
         words = F.col("n") * F.col("size") * rate
         curve = words * z * (1.0 - rate / float(cap))
-        sums = histogram.join(F.broadcast(state), "source_no").groupBy("source_no").agg(F.sum(words).alias("words"), F.sum(curve).alias("curve")).collect()
-        for row in sums:
-            k, miss = row["source_no"], row["words"] - targets[row["source_no"]]
-            if abs(miss) <= TOLERANCE * targets[k]:
-                open_.discard(k)
-                continue
-            (high if miss > 0 else low)[k] = tilts[k]
-            step = tilts[k] - miss / row["curve"] if row["curve"] > 0 else math.nan
-            if not low[k] < step < high[k] or abs(step - tilts[k]) > 8.0:
-                if math.isinf(low[k]) or math.isinf(high[k]):
-                    step = tilts[k] + math.copysign(4.0, -miss)
-                else:
-                    step = (low[k] + high[k]) / 2
-            if step == tilts[k] or high[k] - low[k] < 1e-12:
-                open_.discard(k)
-            tilts[k] = step
-    return tilts
-
-
-def round_copies(sizes: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """Whole copies, each its rate rounded down or up, whose words stay near the expected words.
-
-    Largest documents first; each is rounded so that the words missed so far
-    come closest to none, so the smallest documents settle the balance.
+        sums = histogram.join(now, histogram["source"].eqNullSafe(now["source"])).groupBy(now["source"].alias("of")).agg(F.sum(words).alias("taken"), F.sum(curve).alias("curve"))
+        row = state.join(sums, state["source"].eqNullSafe(sums["of"]), "left")
+        miss = F.col("taken") - F.col("target")
+        low, high = F.when(miss > 0, F.col("low")).otherwise(F.col("tilt")), F.when(miss > 0, F.col("tilt")).otherwise(F.col("high"))
+        newton = F.col("tilt") - F.try_divide(miss, F.col("curve"))
+        wide = F.col("tilt") - F.signum(miss) * 4.0
+        bisect = F.when((low == -math.inf) | (high == math.inf), wide).otherwise((low + high) / 2)
+        step = F.when((newton > low) & (newton < high) & (F.abs(newton - F.col("tilt")) <= 8.0), newton).otherwise(bisect)
+        near = F.abs(miss) <= TOLERANCE * F.col("target")
+        stuck = (step == F.col("tilt")) | (high - low < 1e-12)
+        is_open = F.col("open") & ~near & ~stuck
+        tilt = F.when(F.col("open") & ~near, step).otherwise(F.col("tilt"))
+        row = row.select(*sources.columns, tilt.alias("tilt"), F.when(F.col("open"), low).alias("low"), F.when(F.col("open"), high).alias("high"), is_open.alias("open"))
+        state, open_ = scratch.counted(row, "state", F.col("open"))
+    # sums of floats differ in the last bits from run to run; rates must not
+    return state.select(*sources.columns, F.round("tilt", 9).alias("tilt"))
+
+
+def round_copies(sizes: np.ndarray, rates: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whole copies of each group of ``counts`` equal documents, whose words stay near the expected words.
+
+    A document's copies are its rate rounded down or up.  Largest documents
+    first; each group is rounded so that the words missed so far come closest
+    to none, so the smallest documents settle the balance.
     """
     base = np.floor(rates)
-    missing, out = 0.0, base.astype(np.int64)
-    for i, (size, part) in enumerate(zip(sizes.tolist(), (rates - base).tolist())):
+    missing, out = 0.0, (base * counts).astype(np.int64)
+    for i, (size, part, n) in enumerate(zip(sizes.tolist(), (rates - base).tolist(), counts.tolist())):
         if part > 0:
-            missing += part * size
-            if missing > size / 2:
-                out[i] += 1
-                missing -= size
+            missing += part * size * n
+            up = min(n, max(0, math.ceil(missing / size - 0.5)))
+            out[i] += up
+            missing -= up * size
     return out
 
 
+def _text_key(text: Column) -> Column:
+    """Two hashes of the text as written: with id, source and size they tell rows apart."""
+    return F.struct(F.xxhash64(text).alias("x"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("y"))
+
+
+def _decided(docs: DataFrame, weights: Sequence[float], share: float, cap: int, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> DataFrame:
+    """A row for each group of equal documents: ``doc_id, source, size, key``, how many (``n``), rate and ``copies`` in all.
+
+    Kept in ``scratch``.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), _text_key(text).alias("key"))
+    sized = scratch.write(rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n")), "sized")
+    sources = _with_targets(_per_source(sized, weights, cap, scratch), share)
+    histogram = scratch.write(sized.where("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n")), "histogram")
+    state, n_sources = scratch.counted(_solve(sources, histogram, cap, scratch).withColumnRenamed("source", "name"), "solved")
+    few = F.broadcast(state) if n_sources <= BROADCAST_KEYS else state
+    tilted = F.lit(float(cap)) / (1.0 + F.exp(-F.col("tilt") * F.col("size") / F.col("scale")))
+    bound = F.when(F.col("target") > 0, float(cap)).otherwise(0.0)
+    rate = F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce(tilted, bound))
+    cells = F.ceil(F.col("of") / CELL).cast("long")
+    rated = sized.join(few.withColumnRenamed("n", "of"), sized["source"].eqNullSafe(few["name"]))
+    rated = rated.select("doc_id", "source", "size", "key", "n", F.col("words").alias("source_size"), "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", "key", "size"), cells).alias("cell"))
+    columns = ["source", "size", "n", "source_size", "target", "rate"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "doc_id", "x", "y"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        return pdf.assign(copies=round_copies(pdf["size"].to_numpy(np.float64), pdf["rate"].to_numpy(), pdf["n"].to_numpy()))[["doc_id", "x", "y", *columns, "copies"]]
+
+    # the id travels as text: pandas would turn longs with nulls into doubles
+    typed = rated.select(F.col("doc_id").cast("string"), "key.x", "key.y", *columns, "cell")
+    out = typed.groupBy("source", "cell").applyInPandas(run, "doc_id string, x long, y long, source string, size long, n long, source_size long, target double, rate double, copies long")
+    return scratch.write(out.withColumn("doc_id", F.col("doc_id").cast("long")), "decided", keep=True)
+
+
 def entropy_mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -129,63 +182,59 @@ def entropy_mix(
     """Copies that a mix takes of every document so that each source meets its target in words.
 
     Null texts have size zero; documents of size zero are never taken.  A null
-    source is a source of its own, ordered last.  Repeated rows are separate
-    documents of equal rate.  An empty table gives an empty result.  Columns
-    besides the three named are neither read nor kept.
+    source is a source of its own, ordered last.  Rows that repeat id, source
+    and text are documents of equal rate, counted before anything is shuffled;
+    their copies differ by one at most.  An empty table gives an empty result.
+    Columns besides the three named are neither read nor kept.
 
-    The driver holds one number for each source.  Reruns agree: rates depend on
-    sums only and rounding on (size, id) order within cells dealt by the id.
+    The state of Newton's method is a table with a row for each source.  Reruns
+    agree: rates depend on sums only and rounding on (size, id, text) order
+    within cells dealt by a hash of them.
 
     Returns ``doc_id long, size long, source string, source_size long, target
     double, rate double, copies long, taken long``.
     """
-    spark = docs.sparkSession
-    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source")), "sized")
-    per = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares")).collect()
-    sizes = {r["source"]: r["words"] for r in per}
-    targets = source_targets(sizes, weights, share, cap)
-    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
-    number = {s: i for i, s in enumerate(order)}
-    by_no = {number[r["source"]]: r for r in per}
-    names = spark.createDataFrame([(i, s) for s, i in number.items()], "source_no int, source string") if order else spark.createDataFrame([], "source_no int, source string")
-    counted = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
-    histogram = materialize(counted.join(F.broadcast(names), counted["source"].eqNullSafe(names["source"])).select("source_no", "size", "n"), "histogram")
-    # a size-weighted mean size is the scale: tilts then are of order one
-    facts = {k: (float(r["words"]), r["squares"] / r["words"] if r["words"] else 1.0) for k, r in by_no.items()}
-    tilts = _solve(histogram, facts, {number[s]: t for s, t in targets.items()}, cap)
-
-    def fixed(k: int, target: float) -> float | None:
-        """The rate of a source whose target is one of its bounds."""
-        return None if k in tilts else (float(cap) if target > 0 else 0.0)
+    with Scratch(docs.sparkSession, "mix") as scratch:
+        of = _decided(docs, weights, share, cap, id_col, text_col, source_col, scratch)
+    each = _spread(of, "n", "no").withColumn("each", F.floor(F.col("copies") / F.col("n")) + (F.col("no") < F.pmod("copies", "n")).cast("long"))
+    return each.select("doc_id", "size", "source", "source_size", "target", "rate", F.col("each").alias("copies"), (F.col("size") * F.col("each")).alias("taken"))
 
-    table = [(k, order[k], int(facts[k][0]), float(targets[order[k]]), facts[k][1], tilts.get(k, 0.0), fixed(k, targets[order[k]]), max(1, math.ceil(by_no[k]["n"] / CELL))) for k in by_no]
-    state = spark.createDataFrame(table, "source_no int, name string, source_size long, target double, scale double, tilt double, fixed double, cells int")
-    rate = F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce("fixed", F.lit(float(cap)) / (1.0 + F.exp(-F.col("tilt") * F.col("size") / F.col("scale")))))
-    rated = sized.join(F.broadcast(state), sized["source"].eqNullSafe(state["name"]))
-    rated = rated.select("doc_id", "size", "source", "source_no", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), F.col("cells")).alias("cell"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
-        return pdf.assign(copies=round_copies(pdf["size"].to_numpy(np.float64), pdf["rate"].to_numpy()))[["doc_id", "size", "source", "source_size", "target", "rate", "copies"]]
+def _spread(df: DataFrame, times: str, no: str) -> DataFrame:
+    """Every row as many times as its column ``times`` says, numbered in ``no``; what is repeated often is dealt to many tasks."""
+    (part,) = fresh(df, "part")
+    parts = df.where(F.col(times) > 0).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / SPREAD))))
+    often = F.col(times) > SPREAD
+    parts = parts.where(~often).unionByName(parts.where(often).repartition(part))
+    first = F.col(part) * SPREAD
+    return parts.withColumn(no, F.explode(F.sequence(first, F.least(first + SPREAD, F.col(times)) - 1))).drop(part)
 
-    # the id travels as text: pandas would turn longs with nulls into doubles
-    typed = rated.withColumn("doc_id", F.col("doc_id").cast("string"))
-    out = typed.groupBy("source_no", "cell").applyInPandas(run, "doc_id string, size long, source string, source_size long, target double, rate double, copies long")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
 
-
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mix_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    cap: int = CAP,
+) -> DataFrame:
     """``docs`` with every row as many times as :func:`entropy_mix` takes it; its columns only.
 
-    Rows that share id, source and size are matched with their rates in the
-    order of a hash of the text, so each of them is used once.
+    Rows are found by id, source and text, whatever else they hold.  Of rows
+    that repeat all three, one is taken as many times as they are together.
+    Texts move once, to meet their copies.
     """
-    size, place, copies = fresh(docs, "size", "place", "copies")
-    mix = entropy_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    mix = mix.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    mix = materialize(mix.withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("_copies")))), "mix")
-    same = Window.partitionBy(id_col, source_col, size).orderBy(F.xxhash64(text_col))
-    rows = docs.withColumn(size, word_count(F.col(text_col))).withColumn(place, F.row_number().over(same))
-    on = rows[id_col].eqNullSafe(mix["_id"]) & rows[source_col].eqNullSafe(mix["_source"]) & (rows[size] == mix["_size"]) & (rows[place] == mix["_place"])
-    taken = rows.join(mix, on).withColumn(copies, F.explode(F.array_repeat(F.lit(True), F.col("_copies").cast("int"))))
-    return taken.select(*docs.columns)
+    with Scratch(docs.sparkSession, "mix-rows") as scratch:
+        of = _decided(docs, weights, share, cap, id_col, text_col, source_col, scratch)
+    x, y, no, times, id_, source, of_x, of_y = fresh(docs, "x", "y", "no", "times", "id", "of_source", "of_x", "of_y")
+    key = _text_key(F.col(text_col).cast("string"))
+    rows = docs.withColumns({x: key["x"], y: key["y"]})
+    side = of.where("copies > 0").select("n", F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("x").alias(of_x), F.col("y").alias(of_y), F.col("copies").alias(times))
+    single, repeated = side.where("n = 1").drop("n"), side.where("n > 1").drop("n")
+    same = lambda s: rows[id_col].cast("long").eqNullSafe(s[id_]) & rows[source_col].cast("string").eqNullSafe(s[source]) & (rows[x] == s[of_x]) & (rows[y] == s[of_y])
+    taken = rows.join(single, same(single)).withColumn(no, F.explode(F.array_repeat(F.lit(True), F.col(times).cast("int")))).select(*docs.columns)
+    if repeated.isEmpty():
+        return taken
+    once = rows.join(repeated, same(repeated)).dropDuplicates([id_col, source_col, x, y]).select(*docs.columns, times)
+    return taken.unionByName(_spread(once, times, no).select(*docs.columns))

@@ -19,7 +19,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,33 +35,53 @@ N_BEST = 3
 UNKNOWN_PENALTY = 10.0
 #: Scores at or below this mark runs of spaces, which cost nothing.
 RESERVED = -1e8
-#: Chunks longer than this are segmented one by one.
+#: Chunks longer than this are cut where no piece crosses; what is longer still is segmented by itself.
 LONG = 64
-#: Chunks kept in a task's memory, and texts (by characters) that are encoded together.
-KEPT_CHUNKS = 100_000
-GROUP_CHARS = 1_000_000
-#: Chunks that go through the forward pass together.
-TOGETHER = 30_000
+#: Characters of segmented chunks that a task keeps (some 40 bytes each), and of texts that are encoded together.
+KEPT_CHARS = 400_000
+GROUP_CHARS = 200_000
+#: Characters of chunks that go through the forward pass together (some 150 bytes each).
+TOGETHER_CHARS = 60_000
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Stands for a literal U+2581 of the text, which is spelled in bytes so that decoding tells it from a space.
 LITERAL = ""
 BYTES = -2
-SLOTS_BITS = 18
 
 
-@dataclass
 class PieceModel:
-    """Vocabulary: ``pieces`` that may be used with their ``ids`` and ``scores``, the ids of bytes, and all pieces by id."""
+    """A vocabulary as flat arrays: a trie over characters, scores and ids of its pieces, and the bytes of every id.
 
-    pieces: list[str]
-    ids: list[int]
-    scores: list[float]
-    byte_ids: list[int]
-    by_id: list[bytes]
-    unknown: float = 0.0
-    longest: int = 0
-    node_piece: np.ndarray = field(default=None, repr=False)
+    Trie transitions are one open-addressed table of (node, character), at most
+    half full whatever the size of the vocabulary.
+    """
+
+    def __init__(self, pieces: list[str], ids: list[int], scores: list[float], byte_ids: list[int], by_id: list[bytes]) -> None:
+        self.unknown = min(scores, default=0.0) - UNKNOWN_PENALTY
+        self.longest = max(map(len, pieces), default=1)
+        self.ids, self.byte_ids = np.array(ids, np.int32), np.array(byte_ids, np.int32)
+        self.piece_score = np.array([*scores, self.unknown], np.float64)  # the last is that of BYTES
+        self.id_bytes, self.id_ends = b"".join(by_id), np.cumsum([0, *map(len, by_id)])
+        steps: dict[tuple[int, int], int] = {}
+        piece_at = [-1]
+        for k, piece in enumerate(pieces):
+            node = 0
+            for c in map(ord, piece):
+                if (node, c) not in steps:
+                    steps[node, c] = len(piece_at)
+                    piece_at.append(-1)
+                node = steps[node, c]
+            piece_at[node] = k
+        self.node_piece = np.array(piece_at, np.int32)
+        self.slot_bits = max(8, (2 * len(steps)).bit_length())
+        self.slot_key = np.full(1 << self.slot_bits, -1, np.int64)
+        self.slot_node = np.zeros(1 << self.slot_bits, np.int32)
+        for (node, c), child in steps.items():
+            key = node << 21 | c
+            slot = int(self._slots(np.array([key]))[0])
+            while self.slot_key[slot] >= 0:
+                slot = slot + 1 & len(self.slot_key) - 1
+            self.slot_key[slot], self.slot_node[slot] = key, child
 
     @classmethod
     def load(cls, path: str = MODEL_FILE) -> PieceModel:
@@ -87,36 +106,9 @@ class PieceModel:
                 by_id[i] = b""
         return cls([names[i] for i in usable], usable, scores, [bytes_of[b] for b in range(256)], by_id)
 
-    def __post_init__(self) -> None:
-        """Lay the pieces out as a trie whose transitions are one open-addressed table of (node, character)."""
-        self.unknown = min(self.scores, default=0.0) - UNKNOWN_PENALTY
-        self.longest = max(map(len, self.pieces), default=0)
-        self.number = {p: k for k, p in enumerate(self.pieces)}
-        steps: dict[tuple[int, int], int] = {}
-        piece_at = [-1]
-        for k, piece in enumerate(self.pieces):
-            node = 0
-            for c in map(ord, piece):
-                if (node, c) not in steps:
-                    steps[node, c] = len(piece_at)
-                    piece_at.append(-1)
-                node = steps[node, c]
-            piece_at[node] = k
-        self.node_piece = np.array(piece_at, np.int32)
-        self.mask = (1 << SLOTS_BITS) - 1
-        self.slot_key = np.full(self.mask + 1, -1, np.int64)
-        self.slot_node = np.zeros(self.mask + 1, np.int32)
-        for (node, c), child in steps.items():
-            key = node << 21 | c
-            slot = self._slots(np.array([key]))[0]
-            while self.slot_key[slot] >= 0:
-                slot = slot + 1 & self.mask
-            self.slot_key[slot], self.slot_node[slot] = key, child
-        self.piece_score = np.array(self.scores + [self.unknown], np.float64)  # the last is that of BYTES
-
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
+        return (mixed >> np.uint64(64 - self.slot_bits)).astype(np.int64)
 
     def _children(self, keys: np.ndarray) -> np.ndarray:
         """Child of each (node, character) key, or -1."""
@@ -127,7 +119,30 @@ class PieceModel:
             hit = found == keys[open_]
             out[open_[hit]] = self.slot_node[slots[hit]]
             on = ~hit & (found >= 0)
-            open_, slots = open_[on], slots[on] + 1 & self.mask
+            open_, slots = open_[on], slots[on] + 1 & len(self.slot_key) - 1
+        return out
+
+    def _matches(self, codes: np.ndarray, limit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length (from 1): places where a piece starts that ends before ``limit`` of the place, and its number.
+
+        A character that is no piece counts as one of length 1, numbered BYTES.
+        """
+        spelled = np.ones(len(codes), bool)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for d in range(self.longest):
+            inside = at + d < limit[at]
+            at, node = at[inside], node[inside]
+            node = self._children(node << 21 | codes[at + d])
+            alive = node >= 0
+            at, node = at[alive], node[alive].astype(np.int64)
+            k = self.node_piece[node]
+            is_piece = k >= 0
+            out.append((at[is_piece], k[is_piece]))
+            if d == 0:
+                spelled[at[is_piece]] = False
+        odd = np.flatnonzero(spelled)
+        out[0] = (np.concatenate((out[0][0], odd)), np.concatenate((out[0][1], np.full(len(odd), BYTES, np.int32))))
         return out
 
     def spell(self, chunk: str, ks: Iterable[int], lengths: Iterable[int]) -> np.ndarray:
@@ -136,9 +151,9 @@ class PieceModel:
         at = 0
         for k, n in zip(ks, lengths):
             if k == BYTES:
-                out += [self.byte_ids[b] for b in chunk[at : at + n].encode("utf-8", "surrogatepass")]
+                out += self.byte_ids[list(chunk[at : at + n].encode("utf-8", "surrogatepass"))].tolist()
             else:
-                out.append(self.ids[k])
+                out.append(int(self.ids[k]))
             at += n
         return np.array(out, np.int32)
 
@@ -147,19 +162,13 @@ class PieceModel:
     def _edges(self, chunk: str) -> list[list[tuple[int, int]]]:
         """For each place, the (length, piece number) that end there, shortest first."""
         ends: list[list[tuple[int, int]]] = [[] for _ in range(len(chunk) + 1)]
-        for a in range(len(chunk)):
-            if chunk[a] not in self.number:
-                ends[a + 1].append((1, BYTES))
-            for b in range(a + 1, min(a + self.longest, len(chunk)) + 1):
-                k = self.number.get(chunk[a:b])
-                if k is not None:
-                    ends[b].append((b - a, k))
-        for e in ends:
-            e.sort()
+        for d, (start, k) in enumerate(self._matches(_codes(chunk), np.full(len(chunk), len(chunk)))):
+            for a, piece in zip(start.tolist(), k.tolist()):
+                ends[a + d + 1].append((d + 1, piece))
         return ends
 
     def _score(self, k: int) -> float:
-        return self.unknown if k == BYTES else self.scores[k]
+        return float(self.piece_score[-1 if k == BYTES else k])
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, np.ndarray]]:
         """The ``n`` best segmentations of a chunk, best first: score and ids."""
@@ -210,55 +219,67 @@ class PieceModel:
 
     # ---- many chunks ----
 
+    def chunks(self, text: str) -> list[str]:
+        """Parts of a text that no piece crosses: :func:`chunks_of`, of which long ones are cut further."""
+        out = chunks_of(text)
+        if max(map(len, out), default=0) <= LONG:
+            return out
+        return [part for chunk in out for part in (self._cut(chunk) if len(chunk) > LONG else (chunk,))]
+
+    def _cut(self, chunk: str) -> list[str]:
+        """A chunk cut wherever no piece goes on; cuts that would leave short parts are left out."""
+        crossed = np.zeros(len(chunk) + 1, np.int64)
+        for d, (start, _) in enumerate(self._matches(_codes(chunk), np.full(len(chunk), len(chunk)))):
+            if d:  # a piece of d + 1 characters crosses the d places within it
+                crossed += np.bincount(start + 1, minlength=len(crossed)) - np.bincount(start + d + 1, minlength=len(crossed))
+        places, last, cuts = np.flatnonzero(np.cumsum(crossed)[1:-1] == 0) + 1, 0, [0]
+        for place in places.tolist():
+            if place - last >= LONG // 2:
+                cuts.append(place)
+                last = place
+        return [chunk[a:b] for a, b in zip(cuts, [*cuts[1:], len(chunk)])]
+
     def segment(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
         """For each chunk: ids of the best segmentation (as int32 bytes), its score, and the gap to the second."""
         out: list[tuple[bytes, float, float]] = [None] * len(chunks)
-        short = []
+        short: list[int] = []
+        size = 0
+
+        def together() -> None:
+            for i, result in zip(short, self._segment_short([chunks[i] for i in short])):
+                out[i] = result
+            short.clear()
+
         for i, chunk in enumerate(chunks):
             if chunk == LITERAL:
-                out[i] = (np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes(), self.unknown, np.inf)
-            elif len(chunk) > LONG:
+                out[i] = (self.byte_ids[list(SPACE.encode())].tobytes(), self.unknown, np.inf)
+            elif len(chunk) > 4 * LONG:
                 ids, score, gap = self._best_two(chunk)
                 out[i] = (ids.tobytes(), score, gap)
             else:
                 short.append(i)
-        for lo in range(0, len(short), TOGETHER):
-            part = short[lo : lo + TOGETHER]
-            for i, result in zip(part, self._segment_short([chunks[i] for i in part])):
-                out[i] = result
+                size += len(chunk)
+                if size >= TOGETHER_CHARS:
+                    together()
+                    size = 0
+        together()
         return out
 
     def _segment_short(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
         if not chunks:
             return []
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = _codes("".join(chunks))
         upto = np.concatenate(([0], np.cumsum(sizes)))
         chunk_of = np.repeat(np.arange(len(chunks)), sizes)
         place = np.arange(len(codes)) - upto[chunk_of]  # within the chunk
-        limit = upto[chunk_of + 1]
         # edges by length; each also by the place where it ends
-        spelled = np.ones(len(codes), bool)
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
-        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
-        for d in range(self.longest):
-            inside = at + d < limit[at]
-            at, node = at[inside], node[inside]
-            node = self._children(node << 21 | codes[at + d])
-            alive = node >= 0
-            at, node = at[alive], node[alive].astype(np.int64)
-            k = self.node_piece[node]
-            is_piece = k >= 0
-            edges.append((at[is_piece], k[is_piece]))
-            if d == 0:
-                spelled[at[is_piece]] = False
-        odd = np.flatnonzero(spelled)
-        edges[0] = (np.concatenate((edges[0][0], odd)), np.concatenate((edges[0][1], np.full(len(odd), BYTES, np.int32))))
+        edges = self._matches(codes, upto[chunk_of + 1])
         by_end = []
         for d, (start, k) in enumerate(edges):
-            end = (place[start] + d + 1).astype(np.uint8)
+            end = (place[start] + d + 1).astype(np.uint16)
             order = np.argsort(end, kind="stable")
-            bounds = np.searchsorted(end[order], np.arange(LONG + 2))
+            bounds = np.searchsorted(end[order], np.arange(int(sizes.max()) + 2))
             by_end.append((start[order], k[order], bounds))
         # forward pass over nodes: place p of chunk c is node upto[c] + c + p
         nodes = len(codes) + len(chunks)
@@ -294,7 +315,7 @@ class PieceModel:
             ks[running, step], ns[running, step] = back_k[spot], back_n[spot]
             here[running] -= back_n[spot]
             running = running[here[running] > first_node[running]]
-        ids = np.array(self.ids, np.int32)[np.maximum(ks, 0)]
+        ids = self.ids[np.maximum(ks, 0)]
         used = (ks != -1).sum(axis=1)
         in_bytes = (ks == BYTES).any(axis=1)
         out = []
@@ -311,8 +332,12 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids were encoded from."""
-        joined = b"".join(map(self.by_id.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
-        return joined[1:]
+        starts, ends, all_ = self.id_ends[ids].tolist(), self.id_ends[ids + 1].tolist(), self.id_bytes
+        return b"".join([all_[a:b] for a, b in zip(starts, ends)]).decode("utf-8", "surrogatepass")[1:]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
 def chunks_of(text: str) -> list[str]:
@@ -328,32 +353,31 @@ def chunks_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts with one model; keeps up to ``KEPT_CHUNKS`` segmented chunks."""
+    """Encodes texts with one model; keeps segmented chunks of up to ``KEPT_CHARS`` characters."""
 
     def __init__(self, model: PieceModel, n: int = N_BEST) -> None:
         self.model, self.n = model, n
         self._forget()
 
     def _forget(self) -> None:
+        self.held = 0
         self.place: dict[str, int] = {}
-        self.names: list[str] = []
         self.ids: list[bytes] = []
-        self.scores: list[float] = []
-        self.gaps: list[float] = []
-        self.searched: dict[int, list[tuple[float, np.ndarray]]] = {}
+        self.score_array, self.gap_array = np.zeros(0), np.zeros(0)
+        self.searched: dict[str, list[tuple[float, np.ndarray]]] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
         """Segment the chunks of the texts that are new."""
-        if len(self.place) > KEPT_CHUNKS:
+        if self.held > KEPT_CHARS:
             self._forget()
         new = list({c: None for chunks in texts for c in chunks if c not in self.place})
-        for chunk, (ids, score, gap) in zip(new, self.model.segment(new)):
+        found = self.model.segment(new)
+        for chunk, (ids, _, _) in zip(new, found):
             self.place[chunk] = len(self.ids)
-            self.names.append(chunk)
             self.ids.append(ids)
-            self.scores.append(score)
-            self.gaps.append(gap)
-        self.score_array, self.gap_array = np.array(self.scores), np.array(self.gaps)
+            self.held += len(chunk)
+        self.score_array = np.concatenate((self.score_array, [score for _, score, _ in found]))
+        self.gap_array = np.concatenate((self.gap_array, [gap for _, _, gap in found]))
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, list[float]]:
         """Ids of the best segmentation of a text and the scores of its ``n`` best, of which there may be fewer."""
@@ -374,23 +398,23 @@ class Encoder:
         for spot in sorted(spots.tolist()):
             if not np.isfinite(gaps[spot]):
                 continue
-            i = int(at[spot])
-            if i not in self.searched:
-                self.searched[i] = self.model.n_best(self.names[i], self.n)
-            options = self.searched[i]
+            chunk = chunks[spot]
+            if chunk not in self.searched:
+                self.searched[chunk] = self.model.n_best(chunk, self.n)
+            options = self.searched[chunk]
             lost = [options[0][0] - score for score, _ in options]
             choices = heapq.nsmallest(self.n, ((a + b, (*how, (spot, rank)) if rank else how) for a, how in choices for rank, b in enumerate(lost)))
         return ids, [(total - loss, how) for loss, how in choices]
 
     def segmentations(self, text: str) -> list[tuple[float, np.ndarray]]:
         """The ``n`` best segmentations of a text, best first: score and ids."""
-        chunks = chunks_of(text)
+        chunks = self.model.chunks(text)
         self.learn([chunks])
         _, ranked = self.ranked(chunks)
         out = []
         for score, how in ranked:
             other = dict(how)
-            parts = [self.searched[self.place[c]][other[i]][1].tobytes() if i in other else self.ids[self.place[c]] for i, c in enumerate(chunks)]
+            parts = [self.searched[c][other[i]][1].tobytes() if i in other else self.ids[self.place[c]] for i, c in enumerate(chunks)]
             out.append((score, np.frombuffer(b"".join(parts), np.int32)))
         return out
 
@@ -405,7 +429,7 @@ def with_pieces(docs: DataFrame, model: PieceModel, name: str, n: int = N_BEST,
     columns are carried along untouched.
     """
     def encoded(encoder: Encoder, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], bool]]:
-        split = [chunks_of(t) for t in texts]
+        split = [model.chunks(t) for t in texts]
         encoder.learn(split)
         for text, chunks in zip(texts, split):
             ids, scores = encoder.encode(chunks)

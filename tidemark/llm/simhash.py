@@ -10,26 +10,28 @@ Two settings share these steps.  *Close* groups link 64-bit fingerprints at 3
 or fewer differing bits: two halves, balls of radius one, no link is missed.
 *Similar* groups link texts whose word shingles are alike to 0.8 or more: their
 bits differ in up to 15 of 100, so the fingerprint is wider and has many
-segments.  Segments grow with the logarithm of the number of documents, and
-their number with them, so that a pair at 0.8 is met as surely at any size.
+segments.  A segment's bits grow with the logarithm of the number of documents,
+and the number of segments with them, so that a pair at 0.8 is met as surely at
+any size.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back_memory, materialize, without_ids
+from .common import Scratch, batches_of, give_back_memory, text_digest, without_rows
 from .components import connected_components
 
 #: Bits in which linked fingerprints may differ; the ball of radius one around two halves covers up to 3.
 MAX_BITS = 3
-#: A half that more distinct fingerprints share is looked up together with an equal byte of the other half.
+#: A half that more distinct fingerprints share is looked up together with an equal part of the other half.
 DENSE = 256
 #: Shingles whose bits are counted at once.
 BLOCK = 65536
@@ -52,9 +54,14 @@ def text_fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _words(text: str | None) -> list[bytes]:
+    """The words of a text, with A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """XXH64 (seed 42) of every shingle of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
@@ -78,12 +85,14 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("fp"))
 
 
-def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def near_pairs(prints: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs ``a, b`` of distinct fingerprints (``prints(fp long)``, no repeats) at most ``max_bits`` (0 to 3) apart.
 
     All pairs are found.  A half shared by more than ``DENSE`` fingerprints is
-    looked up with each byte of the other half as well: of four bytes that
-    differ in at most three bits, one is equal.
+    looked up together with a part of the other half, in which at most three
+    bits differ: one of its four bytes is equal, and so are five of its eight
+    nibbles.  Bytes split a half 256 ways, nibbles, which serve the halves that
+    are denser still, a million ways.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits must be 0 to {MAX_BITS}")
@@ -97,18 +106,21 @@ def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     probes = halves.withColumn("bit", F.explode(F.expr(ball)))
     target = F.expr("if(bit < 0, value, value + shiftleft(1L, bit))")
     probes = probes.select(slot(target), "half", (F.col("bit") < 0).alias("same"), F.col("fp").alias("a"))
-    dense = materialize(table.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("slot"), "dense")
+    held = table.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > DENSE)
+    marked, n_dense = scratch.counted(held.select("slot", F.when(F.col("n") > DENSE * 256, 5).otherwise(1).alias("parts")), "dense")
     keys = ["slot"]
-    if not dense.isEmpty():
-        marked = dense.withColumn("dense", F.lit(True))
-
-        def byted(side: DataFrame, fp: str) -> DataFrame:
-            other = F.when(F.col("half") == 0, F.shiftrightunsigned(fp, 32)).otherwise(F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF)))
-            octets = F.array(*[(F.shiftright(other, 8 * i).bitwiseAND(F.lit(255)) + 256 * i).cast("int") for i in range(4)])
-            side = side.join(marked, "slot", "left")
-            return side.withColumn("part", F.explode(F.when(F.col("dense"), octets).otherwise(F.array(F.lit(-1)))))
-
-        table, probes = materialize(byted(table, "b"), "table"), materialize(byted(probes, "a"), "probes")
+    if n_dense:
+
+        def parted(side: DataFrame, fp: str) -> DataFrame:
+            other = F.when(F.col("half") == 0, F.shiftrightunsigned(fp, 32)).otherwise(F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF))).alias("other")
+            parts = lambda bits, places: F.expr(
+                f"transform(array({', '.join(f'array({', '.join(map(str, c))})' for c in places)}), (c, no) -> aggregate(c, cast(no as bigint), (acc, i) -> acc * {1 << bits} + (shiftright(other, {bits} * i) & {(1 << bits) - 1})))"
+            )
+            one, five = parts(8, [(i,) for i in range(4)]), parts(4, list(combinations(range(8), 5)))
+            side = side.join(marked, "slot", "left").select("*", other)
+            return side.withColumn("part", F.explode(F.when(F.col("parts") == 1, one).when(F.col("parts") == 5, five).otherwise(F.array(F.lit(-1).cast("long")))))
+
+        table, probes = scratch.write(parted(table, "b"), "table"), scratch.write(parted(probes, "a"), "probes")
         keys.append("part")
     pairs = probes.select(*keys, "same", "a").join(table.select(*keys, "b"), keys)
     pairs = pairs.where((~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
@@ -128,41 +140,38 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, id
 
     Returns ``doc_id long, fp long, component_id long`` (the least id of the group).
     """
-    rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    joined = materialize(connected_components(near_pairs(nodes.select("fp"), max_bits)), "joined")
-    placed = materialize(nodes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "placed")
-    least = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    named = materialize(placed.join(least, "component").select("fp", "component_id"), "named")
+    with Scratch(docs.sparkSession, "simhash") as scratch:
+        rows = scratch.write(fingerprints(docs, width, id_col, text_col), "fingerprints", keep=True)
+        nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        joined = scratch.write(connected_components(near_pairs(nodes.select("fp"), scratch, max_bits), scratch), "joined")
+        placed = nodes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
+        placed = scratch.write(placed.select("fp", "least", F.coalesce("component", "fp").alias("component")), "placed")
+        least = scratch.write(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+        named = scratch.write(placed.join(least, "component").select("fp", "component_id"), "named", keep=True)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 # ---- similar texts: wide fingerprints ----
 
-#: Chance that a pair at the linking similarity is met in some segment, and bits of a segment beyond the logarithm of
-#: the number of fingerprints: a lookup then meets a fixed number of unrelated fingerprints at any size.
-MET, SPARE_BITS = 0.99, 6
-#: Least bits of a wide fingerprint; it has more where its segments need them.
-WIDE = 640
-#: Least shingle hashes that are kept of a text, by which the similarity of a pair is estimated, and standard errors of
+#: Chance that a pair at the linking similarity is met in some segment.
+MET = 0.99
+#: Bits of a segment below the logarithm of the number of documents, and at least: a lookup meets some 2 ** FEWER_BITS
+#: unrelated fingerprints at any size.  Their first 64 bits, which travel along, rule out all but 2 of 1,000 at once.
+FEWER_BITS, LEAST_BITS = 3, 8
+#: Bits of a wide fingerprint that belong to no segment, and its least width.
+APART, WIDE = 64, 256
+#: Shingle hashes that are kept of a text at most, by which the similarity of a pair is estimated, and standard errors of
 #: an estimate from cut sets around the linking similarity within which all shingles are read.
 LOW, DOUBT = 384, 5.0
 #: Standard deviations of the distance at the linking similarity within which a pair is verified by its shingles (LOOSE),
-#: and below which a large group's first links are sought, most of which then hold (FIRM).
+#: and below which a full slot's first links are sought, most of which then hold (FIRM).
 LOOSE, FIRM = 5.0, -2.0
-#: Members and visitors of a segment's value whose pairs are few enough to be joined; fuller ones are compared in blocks.
-FEW, COMPARED = 8, 2_048
+#: Members up to which all visitors of a segment's value are joined with them; fuller ones are compared in blocks of COMPARED.
+FEW, COMPARED = 64, 2_048
 #: Partners of a member that a round over full slots proposes at most; the last round (None) proposes all that are left.
 PROPOSED = (8, 64, 512, None)
-
-
-def wide_fingerprint(text: str | None, width: int, wide: int = WIDE) -> np.ndarray:
-    """``wide / 64`` words of 64 bits; a bit is 1 if set in over half of the shingles' mixed hashes.
-
-    Shingles are those of :func:`text_fingerprint`; one XXH64 for each is
-    stretched by odd multipliers.  No words: all bits zero.
-    """
-    return _wide(_shingle_hashes(text, width), wide)
+#: Texts, and pairs with their shingle hashes, that travel to Python at once.
+BATCH_ROWS = 1_000
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -176,7 +185,12 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).size / max(1, len(both))
 
 
-def _wide(hashes: np.ndarray, wide: int) -> np.ndarray:
+def wide_fingerprint(hashes: np.ndarray, wide: int) -> np.ndarray:
+    """``wide / 64`` words of 64 bits; a bit is 1 if set in over half of the mixed shingle hashes.
+
+    One XXH64 of each shingle is stretched by odd multipliers.  No shingles:
+    all bits zero.
+    """
     lanes = wide // 64
     if not len(hashes):
         return np.zeros(lanes, np.uint64)
@@ -198,15 +212,15 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def differing_bits(similarity: float, deviations: float, wide: int = WIDE) -> int:
-    """Bits in which wide fingerprints of texts of a similarity differ: the expectation and some deviations more."""
+def differing_bits(similarity: float, deviations: float, wide: int) -> int:
+    """Bits in which so wide fingerprints of texts of a similarity differ: the expectation and some deviations more."""
     share = differing_share(similarity)
     return round(wide * share + deviations * math.sqrt(wide * share * (1 - share)))
 
 
 def segment_bits(count: int) -> int:
     """Bits of a segment for so many fingerprints."""
-    return max(8, math.ceil(math.log2(max(2, count))) + SPARE_BITS)
+    return max(LEAST_BITS, math.ceil(math.log2(max(2, count))) - FEWER_BITS)
 
 
 def segment_count(bits: int, similarity: float) -> int:
@@ -216,169 +230,219 @@ def segment_count(bits: int, similarity: float) -> int:
     return math.ceil(math.log(1 - MET) / math.log1p(-one)) if one < MET else 1
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group of every document under links between texts of ``similarity`` or more on ``width``-word shingles.
-
-    Segments are looked up with the ball of radius one.  What is met is
-    verified by the distance of the whole fingerprints and then by the shingles
-    themselves: the least ``LOW`` of their hashes, and all of them where a set
-    was cut and its estimate lies near ``similarity``.  Of a segment value that
-    many fingerprints share not all pairs leave the task: first a spanning
-    forest of the closest ones, then, in rounds, pairs that links verified so
-    far do not join, until none is left.  A tight group never spells out its
-    pairs, and every link is verified.  Equal fingerprints are one node.
-
-    Word-less and null texts have the zero fingerprint and form one group.  A
-    null id ranks above every id.  Repeated rows stay; an empty table gives an
-    empty result.  Returns ``doc_id long, component_id long``.
-    """
+def _fingerprinted(docs: DataFrame, width: int, bits: int, n_segments: int, wide: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, digest`` (of the text), ``key`` (of its words), ``wide`` (the fingerprint's words) and the ``values`` of its segments."""
 
-    most_bits = segment_bits(docs.count())
-    width_bits = 64 * math.ceil(max(WIDE, most_bits * segment_count(most_bits, similarity)) / 64)
-
-    @F.arrow_udf("struct<wide:binary,low:binary>")
+    @F.arrow_udf("struct<key:binary,wide:array<long>,values:array<long>>")
     def run(texts: pa.Array) -> pa.Array:
-        wide, low = [], []
-        for text in texts:
-            hashes = _shingle_hashes(text.as_py(), width)
-            wide.append(_wide(hashes, width_bits).astype("<u8").tobytes())
-            low.append(least_hashes(hashes).tobytes())
+        keys, prints = [], np.zeros((len(texts), wide // 64), np.uint64)
+        for i, text in enumerate(texts):
+            text = text.as_py()
+            prints[i] = wide_fingerprint(_shingle_hashes(text, width), wide)
+            keys.append(xxhash.xxh3_128_digest(b" ".join(_words(text))))
+        spread = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, APART : APART + bits * n_segments]
+        values = spread.reshape(-1, n_segments, bits).astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (prints.view(np.int64), values)]
+        out = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), *lists], ["key", "wide", "values"])
         give_back_memory()
-        return pa.StructArray.from_arrays([pa.array(wide, pa.binary()), pa.array(low, pa.binary())], ["wide", "low"])
+        return out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("f"))
-    rows = materialize(rows.select("doc_id", "f.wide", "f.low"), "wide")
-    nodes = rows.groupBy("wide").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("wide"))
-    nodes = materialize(nodes, "nodes")
-    bits = segment_bits(nodes.count())
-    n_segments = segment_count(bits, similarity)
-    loose, firm = differing_bits(similarity, LOOSE, width_bits), differing_bits(similarity, FIRM, width_bits)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), run(F.col(text_col).cast("string")).alias("f"))
+    return rows.select("doc_id", "digest", "f.*")
 
-    @F.arrow_udf("array<long>")
-    def segments(column: pa.Array) -> pa.Array:
-        octets = np.frombuffer(b"".join(v.as_py() for v in column), np.uint8).reshape(len(column), width_bits // 8)
-        spread = np.unpackbits(octets, axis=1, bitorder="little")[:, : bits * n_segments].reshape(-1, n_segments, bits)
-        values = spread.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-        return pa.array(values.tolist(), pa.list_(pa.int64()))
 
-    cut = materialize(nodes.select("node", F.posexplode(segments("wide")).alias("segment", "value")), "segments")
+def _apart(x: str, y: str) -> Column:
+    """Differing bits of two fingerprints as arrays of words."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+
+def _met(nodes: DataFrame, bits: int, most: int) -> DataFrame:
+    """What lookups of the balls of radius one find in the table of segments (``nodes(node, sig, values)``).
+
+    ``a, b`` for a visitor and a member of a slot with at most ``FEW``
+    members, if their first 64 bits differ in at most ``most``; for a fuller
+    slot ``slot, a`` and whether the visitor is a ``member``.  The table is
+    shuffled once, and so are the lookups.
+    """
     slot = lambda value: (F.col("segment").cast("long") * (1 << bits) + value).alias("slot")
-    members = cut.select(slot(F.col("value")), "node")
-    counts = materialize(members.groupBy("slot").agg(F.count("*").alias("members")), "slots")
-    ball = f"filter(sequence(0, {bits - 1}), i -> (value & shiftleft(1L, i)) = 0)"
-    probes = cut.withColumn("bit", F.explode(F.expr(ball))).select(slot(F.expr("value + shiftleft(1L, bit)")), "node")
-    visits = materialize(probes.join(counts, "slot").select("slot", "node"), "visits")
-    shared = materialize(members.join(counts.where("members > 1").select("slot"), "slot"), "shared")
-    met = visits.select("slot", "node", F.lit(False).alias("member")).union(shared.select("slot", "node", F.lit(True).alias("member")))
-    # a slot that is only visited needs its members, even a single one
-    visited = visits.groupBy("slot").agg(F.count("*").alias("visitors"))
-    lone = members.join(counts.where("members = 1").select("slot"), "slot").join(visited.select("slot"), "slot", "left_semi")
-    met = materialize(met.union(lone.select("slot", "node", F.lit(True).alias("member"))), "met")
-    size = met.groupBy("slot").agg(F.count_if("member").alias("members"), F.count_if(~F.col("member")).alias("visitors"))
-    size = materialize(size, "size")
-    is_few = (F.col("members") <= FEW) & (F.col("visitors") <= FEW)
-    few = materialize(met.join(size.where(is_few).select("slot"), "slot"), "few")
-    table = few.where("member").select("slot", F.col("node").alias("b"))
-    pairs = few.select("slot", F.col("node").alias("a")).join(table, "slot").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wide = nodes.select("node", "wide")
-    pairs = materialize(pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a"), "pairs")
-    pairs = pairs.join(wide.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b")
-
-    @F.arrow_udf("int")
-    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
-        words = [np.frombuffer(b"".join(v.as_py() for v in side), "<u8").reshape(len(side), -1) for side in (x, y)]
-        return pa.array(np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int32), pa.int32())
-
-    @F.arrow_udf("struct<wide:binary,all:binary>")
-    def whole(texts: pa.Array) -> pa.Array:
-        hashes = [_shingle_hashes(t.as_py(), width) for t in texts]
-        found = [_wide(h, width_bits).astype("<u8").tobytes() for h in hashes], [np.unique(h).astype("<u8").tobytes() for h in hashes]
-        return pa.StructArray.from_arrays([pa.array(f, pa.binary()) for f in found], ["wide", "all"])
-
-    @F.arrow_udf("double")
-    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
-            both = np.intersect1d(a, b, assume_unique=True).size
-            out.append(both / max(1, len(a) + len(b) - both))
-        return pa.array(out, pa.float64())
-
-    @F.arrow_udf("double")
-    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([resemblance(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(x, y)], pa.float64())
-
-    close = materialize(pairs.where(distance("x", "y") <= loose).select("a", "b"), "close")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` (a written table) whose shingles are alike enough."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        lows = rows.select(F.xxhash64("wide").alias("node"), "low").join(ends, "node", "left_semi")
-        lows = materialize(lows.groupBy("node").agg(F.min("low").alias("low")), "lows")
-        half = materialize(pairs.join(lows.select(F.col("node").alias("a"), F.col("low").alias("x")), "a"), "half")
-        both = half.join(lows.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
+    cut = nodes.select("node", "sig", F.posexplode("values").alias("segment", "value"))
+    members = cut.select(slot(F.col("value")), F.col("node").alias("b"), F.col("sig").alias("of_b"))
+    here = Window.partitionBy("slot")
+    members = members.withColumn("n", F.count("*").over(here)).withColumn("place", F.row_number().over(here.orderBy("b")))
+    full = F.col("n") > FEW
+    table = members.where(~full | (F.col("place") == 1)).select("slot", "b", "of_b", full.alias("full"))
+    # of two values that differ in one bit, the one without that bit looks the other one up; -1 is the value itself
+    ball = f"filter(sequence(-1, {bits - 1}), i -> i < 0 or (value & shiftleft(1L, i)) = 0)"
+    target = F.expr("if(bit < 0, value, value + shiftleft(1L, bit))")
+    probes = cut.withColumn("bit", F.explode(F.expr(ball))).select(slot(target), F.col("node").alias("a"), F.col("sig").alias("of_a"), (F.col("bit") < 0).alias("member"))
+    near = F.when(F.col("member"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & (F.bit_count(F.col("of_a").bitwiseXOR(F.col("of_b"))) <= most)
+    found = probes.join(table, "slot").where(F.col("full") | near)
+    return found.select(F.when(F.col("full"), F.col("slot")).alias("slot"), "a", F.when(~F.col("full"), F.col("b")).alias("b"), "member")
+
+
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+class _Verifier:
+    """Verifies pairs of nodes by the shingles of their texts."""
+
+    def __init__(self, scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, similarity: float, text_col: str) -> None:
+        """Read the texts of the nodes in ``wanted`` once and keep their least shingle hashes."""
+        self.scratch, self.docs, self.nodes, self.similarity, self.text_col = scratch, docs, nodes, similarity, text_col
+
+        @F.arrow_udf("binary")
+        def low(texts: pa.Array) -> pa.Array:
+            out = pa.array([least_hashes(_shingle_hashes(t.as_py(), width)).tobytes() for t in texts], pa.binary())
+            give_back_memory()
+            return out
+
+        @F.arrow_udf("binary")
+        def whole(texts: pa.Array) -> pa.Array:
+            out = pa.array([np.unique(_shingle_hashes(t.as_py(), width)).astype("<u8").tobytes() for t in texts], pa.binary())
+            give_back_memory()
+            return out
+
+        self._whole = whole
+        self.lows = scratch.write(self._texts(wanted).select("node", low("text").alias("hashes")), "lows")
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """``node, text``: one text of each node in ``wanted(node)``."""
+        ids = self.scratch.write(self.nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("digest").alias("_digest")), "wanted")
+        texts = self.docs.select(F.col(self.text_col).cast("string").alias("text"))
+        found = texts.join(ids, text_digest(F.col("text")) == F.col("_digest"))
+        return found.groupBy("node").agg(F.first("text").alias("text"))
+
+    def _beside(self, pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+        side = lambda node, name: hashes.select(F.col("node").alias(node), F.col("hashes").alias(name))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)``, a written table, whose shingles are alike enough."""
+
+        @F.arrow_udf("double")
+        def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+            return pa.array([resemblance(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(x, y)], pa.float64())
+
+        @F.arrow_udf("double")
+        def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
+            out = []
+            for a, b in zip(x, y):
+                a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
+                both = np.intersect1d(a, b, assume_unique=True).size
+                out.append(both / max(1, len(a) + len(b) - both))
+            return pa.array(out, pa.float64())
+
+        least = self.similarity
+        error = DOUBT * math.sqrt(least * (1 - least) / LOW)
         was_cut = F.greatest(F.length("x"), F.length("y")) >= 4 * LOW
-        scored = materialize(both.select("a", "b", alike("x", "y").alias("alike"), was_cut.alias("cut")), "scored")
-        doubtful = F.col("cut") & (F.abs(F.col("alike") - similarity) <= DOUBT * math.sqrt(similarity * (1 - similarity) / LOW))
-        sure, unsure = scored.where(~doubtful & (F.col("alike") >= similarity)).select("a", "b"), scored.where(doubtful).select("a", "b")
-        if unsure.isEmpty():
+        scored = self._beside(pairs, self.lows).select("a", "b", alike("x", "y").alias("alike"), was_cut.alias("cut"))
+        doubtful = F.col("cut") & (F.abs(F.col("alike") - least) <= error)
+        scored, unsure = self.scratch.counted(scored, "scored", doubtful)
+        sure = scored.where(~doubtful & (F.col("alike") >= least)).select("a", "b")
+        if not unsure:
             return sure
         # the few texts of doubtful pairs are read again
-        ends = unsure.select(F.col("a").alias("node")).union(unsure.select(F.col("b").alias("node"))).distinct()
-        ids = rows.withColumn("node", F.xxhash64("wide")).join(ends, "node", "left_semi").select(F.col("doc_id").alias("_wanted")).distinct()
-        ids = materialize(ids, "wanted")
-        texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        texts = materialize(texts.join(ids, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi"), "texts")
-        sets = texts.select(whole("_text").alias("f")).select(F.xxhash64("f.wide").alias("node"), F.col("f.all").alias("all"))
-        sets = materialize(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.min("all").alias("all")), "sets")
-        left = materialize(unsure.join(sets.select(F.col("node").alias("a"), F.col("all").alias("x")), "a"), "left")
-        exact = left.join(sets.select(F.col("node").alias("b"), F.col("all").alias("y")), "b").where(jaccard("x", "y") >= similarity)
-        return sure.union(materialize(exact.select("a", "b"), "exact"))
-
-    links = verified(close)
-    # full slots: blocks of members against blocks of all that met there
-    full = size.where(~is_few).select("slot", F.ceil(F.col("members") / COMPARED).cast("int").alias("cuts"), F.ceil((F.col("members") + F.col("visitors")) / COMPARED).cast("int").alias("waves"))
-    full = materialize(met.join(full, "slot").join(wide, "node"), "full")
+        pairs = scored.where(doubtful).select("a", "b")
+        sets = self.scratch.write(self._texts(_nodes_of(pairs)).select("node", self._whole("text").alias("hashes")), "sets")
+        exact = self._beside(pairs, sets).where(jaccard("x", "y") >= least).select("a", "b")
+        return sure.union(self.scratch.write(exact, "exact"))
+
+
+def _full_slots(scratch: Scratch, met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What met in full slots, with fingerprints and the numbers of blocks (``cuts`` of members, ``waves`` of all)."""
+    visits = met.where(F.col("slot").isNotNull()).select("slot", F.col("a").alias("node"), "member")
+    size = visits.groupBy("slot").agg(F.ceil(F.count_if("member") / COMPARED).cast("int").alias("cuts"), F.ceil(F.count("*") / COMPARED).cast("int").alias("waves"))
+    return scratch.write(visits.join(size, "slot").join(nodes.select("node", "wide"), "node"), "full")
+
+
+def _proposed(scratch: Scratch, full: DataFrame, labels: DataFrame | None, cap: int | None, loose: int, firm: int) -> tuple[DataFrame, int]:
+    """Pairs of full slots that may be links, and how many: without labels a first forest, then close pairs of different labels."""
+    first = labels is None
+    named = full.withColumn("label", F.col("node")) if first else full.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     grain = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     columns = ["node", "wide", "label"]
-    tested = close
-
-    def propose(labels: DataFrame | None, cap: int | None) -> DataFrame:
-        """Close pairs of full slots that may be links: the first forest without labels, then pairs of different labels."""
-        named = full.withColumn("label", F.col("node")) if labels is None else full.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        left = named.where("member").select("slot", (grain % F.col("cuts")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"), F.lit(True).alias("member"), *columns)
-        right = named.select("slot", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), (grain % F.col("waves")).cast("int").alias("wave"), F.lit(False).alias("member"), *columns)
-        first = labels is None
-
-        def compare(block: pa.Table) -> pa.Table:
-            member = block["member"].to_numpy(zero_copy_only=False).astype(bool)
-            names, groups = block["node"].to_numpy(), block["label"].to_numpy()
-            words = np.frombuffer(b"".join(block["wide"].to_pylist()), "<u8").reshape(len(names), -1)
-            if first:
-                found = spanning_roots(names[~member], words[~member], names[member], words[member], firm)
-            else:
-                found = unjoined(names[~member], words[~member], groups[~member], names[member], words[member], groups[member], loose, cap)
-            return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
-
-        found = left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "a long, b long")
-        return materialize(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
-
-    joined = None
+    left = named.where("member").select("slot", (grain % F.col("cuts")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"), F.lit(True).alias("member"), *columns)
+    right = named.select("slot", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), (grain % F.col("waves")).cast("int").alias("wave"), F.lit(False).alias("member"), *columns)
+
+    def compare(block: pa.Table) -> pa.Table:
+        member = block["member"].to_numpy(zero_copy_only=False).astype(bool)
+        names, groups = block["node"].to_numpy(), block["label"].to_numpy()
+        words = block["wide"].combine_chunks().flatten().to_numpy().reshape(len(names), -1).view(np.uint64)
+        if first:
+            found = spanning_roots(names[~member], words[~member], names[member], words[member], firm)
+        else:
+            found = unjoined(names[~member], words[~member], groups[~member], names[member], words[member], groups[member], loose, cap)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    found = left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "a long, b long")
+    return scratch.counted(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+
+
+def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col: str, text_col: str, scratch: Scratch, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``doc_id, digest, key`` of every row (of ``count``), and for every key its ``component``, a node's number."""
+    bits = segment_bits(count)
+    n_segments = segment_count(bits, similarity)
+    wide = 64 * math.ceil(max(WIDE, APART + bits * n_segments) / 64)
+    loose, firm = differing_bits(similarity, LOOSE, wide), differing_bits(similarity, FIRM, wide)
+    prints = scratch.write(_fingerprinted(docs, width, bits, n_segments, wide, id_col, text_col), "prints", keep)
+    rows = prints.select("doc_id", "digest", "key")
+    # the numbers are fixed by being written; equal word sequences are one node, so copies are never paired
+    nodes = prints.groupBy("key").agg(F.first("wide").alias("wide"), F.first("values").alias("values"), F.min("digest").alias("digest"))
+    nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "*", F.col("wide")[0].alias("sig")), "nodes")
+    met = scratch.write(_met(nodes, bits, differing_bits(similarity, LOOSE - 1, 64)), "met")
+    whole = nodes.select("node", "wide")
+    pairs = met.where(F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = pairs.join(whole.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b").where(_apart("x", "y") <= loose)
+    close = scratch.write(close.select("a", "b"), "close")
+    full = _full_slots(scratch, met, nodes)
+    verifier = _Verifier(scratch, docs, nodes, _nodes_of(close).union(full.select("node")), width, similarity, text_col)
+    links, tested, joined = verifier.links(close), close, None
     for cap in (0, *PROPOSED) if not full.isEmpty() else ():
-        found = propose(joined, cap)
-        if joined is not None and found.isEmpty():
+        found, n = _proposed(scratch, full, joined, cap, loose, firm)
+        if joined is not None and not n:
             break
-        fresh_pairs = materialize(found.join(tested, ["a", "b"], "left_anti"), "untested")
+        fresh_pairs, n = scratch.counted(found.join(tested, ["a", "b"], "left_anti"), "untested")
         tested = tested.union(fresh_pairs)
-        if joined is None or not fresh_pairs.isEmpty():
-            links = links.union(verified(fresh_pairs))
-            joined = materialize(connected_components(links), "joined")
+        if n:
+            links = links.union(verifier.links(fresh_pairs))
+        if n or joined is None:
+            joined = scratch.write(connected_components(links, scratch), "joined")
     if joined is None:
-        joined = materialize(connected_components(links), "joined")
-    placed = materialize(nodes.join(joined, "node", "left").select("wide", "least", F.coalesce("component", "node").alias("component")), "placed")
-    least = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    named = materialize(placed.join(least, "component").select("wide", "component_id"), "named")
-    return rows.select("doc_id", "wide").join(named, "wide").select("doc_id", "component_id")
+        joined = connected_components(links, scratch)
+    placed = nodes.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    return rows, scratch.write(placed, "placed")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Group of every document under links between texts of ``similarity`` or more on ``width``-word shingles.
+
+    Segments are looked up with the ball of radius one.  What is met is
+    verified by the distance of the whole fingerprints and then by the shingles
+    themselves: the least ``LOW`` of their hashes, and all of them where a set
+    was cut and its estimate lies near ``similarity``.  Of a segment value that
+    more than ``FEW`` fingerprints share not all pairs leave the task: first a
+    spanning forest of the closest ones, then, in rounds, pairs that links
+    verified so far do not join, until none is left.  A tight group never
+    spells out its pairs, and every link is verified, so groups do not depend
+    on how full a slot is.  Texts of equal words are one node.
+
+    A pair at ``similarity`` is met with the chance ``MET`` at any size; the
+    lookups of a document grow with about the fourth root of their number.
+
+    Word-less and null texts have no shingles and form one group.  A null id
+    ranks above every id.  Rows that share an id but not a text are placed
+    each by its text; repeated rows stay.  An empty table gives an empty
+    result.  Returns ``doc_id long, component_id long``.
+    """
+    spark = docs.sparkSession
+    with batches_of(spark, BATCH_ROWS), Scratch(spark, "similar") as scratch:
+        rows, placed = _similar(docs, docs.count(), width, similarity, id_col, text_col, scratch, keep=True)
+        own = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
+        named = scratch.write(own.join(placed, "key"), "own")
+        least = scratch.write(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+        named = scratch.write(named.join(least, "component").select("key", "component_id"), "named", keep=True)
+    return rows.join(named, "key").select("doc_id", "component_id")
 
 
 def spanning_roots(left: np.ndarray, left_words: np.ndarray, right: np.ndarray, right_words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -422,10 +486,27 @@ def unjoined(left: np.ndarray, left_words: np.ndarray, left_labels: np.ndarray,
 
 
 def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the least of their similar group; all columns, nothing else.
+    """One row of every group of :func:`similar_groups`; all columns, nothing else.
 
-    Rows without a word are no copies of anything and stay.
+    It is the row with the least id (a null id ranks last), of rows that share
+    that id the one whose text has the least digest, and any one of rows that
+    repeat both.  Rows go by id and text, so a row that merely shares its id
+    with a copy stays.  Rows without a word are no copies of anything and stay.
     """
-    groups = similar_groups(docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), width, similarity, id_col, text_col)
-    gone = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).dropna().distinct(), "gone")
-    return without_ids(docs, id_col, gone)
+    spark = docs.sparkSession
+    worded = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    with Scratch(spark, "near-copies") as scratch:
+        with batches_of(spark, BATCH_ROWS):
+            rows, placed = _similar(worded, docs.count(), width, similarity, id_col, text_col, scratch)
+            order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+            size = placed.groupBy("component").agg(F.count("*").alias("keys"))
+            texts = rows.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+            texts = scratch.write(texts.join(placed, "key").join(size, "component").where("n > 1 or keys > 1"), "grouped")
+            kept = scratch.write(texts.groupBy("component").agg(F.min("first").alias("kept")), "first")
+            texts = scratch.write(texts.join(kept, "component").select("key", "kept"), "texts")
+            ranked = scratch.write(rows.join(texts, "key").select("doc_id", "digest", "kept"), "ranked")
+            is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest"))
+            key = [F.col("doc_id").alias("id"), "digest"]
+            gone = scratch.write(ranked.where(~is_kept).select(*key).distinct(), "gone", keep=True)
+            again = scratch.write(ranked.where(is_kept).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select("id", "digest"), "again", keep=True)
+        return without_rows(docs, gone, again, id_col, text_col)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back_memory, held_out, materialize
+from .common import Scratch, give_back_memory, held_out, text_digest, without_rows
 
 #: Labelled documents that the model is fitted on, at most; near copies count once.
 MAX_LABELLED = 24_000
@@ -136,11 +136,11 @@ def _sketch(text: str) -> int:
     return min(xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in joined) >> 1
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, bound: int, scratch: Scratch) -> DataFrame:
     """``text, toxic`` of at most ``bound`` labelled documents outside the held-out quarter, near copies once."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna()
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    known = materialize(known.orderBy(F.xxhash64("_id"), "_id").limit(bound), "labelled")
+    known = scratch.write(known.orderBy(F.xxhash64("_id"), "_id").limit(bound), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(known), "_id").where("text is not null")  # at most bound rows of two numbers
 
@@ -148,9 +148,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     def sketch(texts: pa.Array) -> pa.Array:
         return pa.array([_sketch(t.as_py()) for t in texts], pa.int64())
 
-    rows = materialize(rows.select("_id", F.col("_toxic").alias("toxic"), "text", sketch("text").alias("sketch")), "sample")
-    once = materialize(rows.groupBy("sketch").agg(F.min("_id").alias("_id")), "once").select("_id").distinct()
-    return rows.join(F.broadcast(once), "_id", "left_semi").select("text", "toxic")
+    rows = scratch.write(rows.select("_id", F.col("_toxic").alias("toxic"), "text", sketch("text").alias("sketch")), "sample")
+    once = scratch.write(rows.groupBy("sketch").agg(F.min("_id").alias("_id")), "once").select("_id").distinct()
+    return scratch.write(rows.join(F.broadcast(once), "_id", "left_semi").select("text", "toxic"), "training")
 
 
 def token_scores(counts: list[tuple[str, int, int]], toxic: int, total: int) -> dict[str, float]:
@@ -185,7 +185,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
     document labelled twice is toxic if either says so.  Without a toxic or
     without a clean row the model finds nothing.
     """
-    sample = materialize(_labelled(docs, labels, bound), "training")
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        return _fitted(_labelled(docs, labels, bound, scratch))
+
+
+def _fitted(sample: DataFrame) -> ToxicityModel:
+    """Fit on a written table ``text, toxic``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, with_toxic = Counter(), Counter()
@@ -301,3 +306,17 @@ def _in_text(text: str, segments: list[tuple[int, int, float, float]]) -> list[d
     if len(places) != len(WORD.findall(text.lower())):  # a letter whose lower case is more than a letter
         return [{"start": 0, "end": len(text), "score": s, "p_value": p} for _, _, s, p in segments]
     return [{"start": places[a][0], "end": places[b][1], "score": s, "p_value": p} for a, b, s, p in segments]
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose toxicity probability reaches ``threshold``; all columns, nothing else.
+
+    The model is fitted on the labelled rows of ``docs`` themselves.  Rows go
+    by id and text.  Null and empty texts stay.
+    """
+    model = fit_toxicity(docs, labels)
+    with Scratch(docs.sparkSession, "toxic") as scratch:
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        scored = with_toxicity(texts, model, "found").where(F.col("found.score") >= threshold)
+        gone = scratch.write(scored.select("id", text_digest(F.col("text")).alias("digest")).distinct(), "gone", keep=True)
+        return without_rows(docs, gone, None, id_col, text_col)
