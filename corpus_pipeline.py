@@ -1,7 +1,13 @@
 """From raw documents to training tokens: five stages over whole tables.
 
 Each stage takes all that the one before kept and applies its decisions; all
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``.  A stage first writes its
+decisions, keyed by id and text, into the shared folder, and its result applies
+them to the documents it was given.
+
+In every stage null texts count as empty, a null id is an id like any other,
+rows that share an id but not a text are documents of their own, other columns
+may have any name, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,61 +15,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, materialize, read_table, without_ids
-from tidemark.llm.exact_dedup import dedup_once
-from tidemark.llm.mixing import mix_rows
+from tidemark.llm import exact_dedup, mixing, simhash, toxicity
+from tidemark.llm.common import Scratch, batches_of, fresh, read_table
 from tidemark.llm.pieces import PieceModel, with_pieces
-from tidemark.llm.simhash import keep_one_of_similar
-from tidemark.llm.toxicity import THRESHOLD, fit_toxicity, with_toxicity
 
 #: Rows that travel to Python at once: texts vary by a thousand times in length, and a task holds a batch or two.
 BATCH_ROWS = 1_000
 
 
-def _bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session that runs the pipeline; results do not depend on it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity probability reaches the threshold go; null and empty texts stay."""
-    _bound_batches(spark)
-    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    (found,) = fresh(docs, "toxicity")
-    return with_toxicity(docs, model, found).where(F.col(found)["score"] < THRESHOLD).select(*docs.columns)
+    with batches_of(spark, BATCH_ROWS):
+        return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays; of rows that repeat id and text, one."""
-    found = materialize(dedup_once(docs), "found")
-    kept = without_ids(docs, "doc_id", materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).dropna().distinct(), "gone"))
-    again = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "again")
-    if again.isEmpty():
-        return kept
-    # only rows whose id occurs again are compared by their text
-    repeats = docs["doc_id"].eqNullSafe(again["_again"])
-    return kept.join(again, repeats, "left_anti").union(kept.join(again, repeats, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike to 0.8 or more on five-word shingles the least id stays."""
-    _bound_batches(spark)
-    return keep_one_of_similar(docs)
+    """Of each group of texts alike to 0.8 or more on five-word shingles the least id stays; word-less texts stay."""
+    return simhash.keep_one_of_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the entropy-balanced mix of the sources takes it."""
-    return mix_rows(docs)
+    """Every document as many times as the entropy-balanced mix of the sources takes it; word-less ones never."""
+    return mixing.mix_rows(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, with the scores of its best segmentations."""
-    _bound_batches(spark)
     (found,) = fresh(docs, "pieces")
     out = with_pieces(docs.select("doc_id", "source", "text"), PieceModel.load(), found)
-    return out.select("doc_id", "source", f"{found}.ids", f"{found}.n_pieces", f"{found}.scores", f"{found}.exact")
+    with batches_of(spark, BATCH_ROWS), Scratch(spark, "pieces") as scratch:
+        return scratch.write(out.select("doc_id", "source", f"{found}.ids", f"{found}.n_pieces", f"{found}.scores", f"{found}.exact"), "pieces", keep=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -80,8 +67,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, name)
+    with Scratch(spark, "pipeline") as scratch:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = scratch.write(docs, name)
     return docs

@@ -23,6 +23,20 @@ def spark():
     yield session
 
 
+#: The folder with the driver's tables.
+DATA = os.environ.get("TEST_DATA", "/root/testdata")
+
+
 @pytest.fixture(scope="session")
 def sf():
-    return "/root/testdata/sf0.001"
+    return f"{DATA}/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf01():
+    return f"{DATA}/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def sf1():
+    return f"{DATA}/sf0.1"
