@@ -5,6 +5,8 @@ codebooks is a grid of cells, and every vector lies in one.  A vector visits
 cells in the order of its distance to them (multi-sequence traversal) until
 the cells that hold its neighbours at the linking cosine are passed with the
 target probability, and what the cells hold is verified in double precision.
+Of the cells on its way it visits its own and those of a higher number, so a
+pair meets once and half the visits are spared.
 """
 
 from __future__ import annotations
@@ -18,22 +20,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 from .components import connected_components
 
 #: Cosine from which vectors link.
 COSINE = 0.9
-#: Vectors that codebooks and stopping rule are fitted on, at most.
-SAMPLE = 8_192
+#: Vectors that codebooks and stopping rule are fitted on: SAMPLE, or for large codebooks A_WORD for each word.
+SAMPLE, A_WORD = 8_192, 16
 #: Chance that a neighbour at exactly the linking cosine, in a random direction, lies in a visited cell.
-TARGET = 0.96
-#: Codewords of each half: about sqrt(vectors) / SPREAD, a power of two, within the bounds.
-SPREAD, LEAST_WORDS, MOST_WORDS = 7.0, 4, 1_024
+TARGET = 0.98
+#: Codewords of each half: about sqrt(vectors) / SPREAD, a power of two, within the bounds.  A cell holds some
+#: SPREAD ** 2 vectors up to (MOST_WORDS * SPREAD) ** 2 = 9.7e9 vectors, and grows in proportion beyond.
+SPREAD, LEAST_WORDS, MOST_WORDS = 24.0, 4, 4_096
+#: Vectors of one length up to this many are a single cell, where every pair is compared.
+ONE_CELL = 2_048
 #: Vectors of a cell, and visitors of a cell, that are compared at once; fuller cells are cut into such blocks.
-CELL_BLOCK, VISITOR_BLOCK = 512, 2_048
+CELL_BLOCK, VISITOR_BLOCK = 2_048, 2_048
 ITERATIONS = 15
 
 
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length one, none of them zero; scaled first, so that no square overflows or vanishes."""
+    scaled = matrix / np.abs(matrix).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def _squared(half: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Squared distances of aligned or broadcast rows, in an order of sums that depends on the row alone."""
     return ((half - words) ** 2).sum(axis=-1)
@@ -68,7 +79,7 @@ class MultiIndex:
 
     @classmethod
     def fit(cls, sample: np.ndarray, words: int, cosine: float, target: float) -> MultiIndex:
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = unit_rows(sample)
         cut = (unit.shape[1] + 1) // 2
         index = cls(_codebook(unit[:, :cut], words, 1), _codebook(unit[:, cut:], words, 2))
         noise = np.random.default_rng(3).normal(size=unit.shape)
@@ -135,90 +146,112 @@ def _forest(linked: np.ndarray, visitors: np.ndarray, members: np.ndarray) -> tu
         best = again
 
 
+def _fitted(classes: DataFrame, cosine: float, target: float) -> dict[int, MultiIndex]:
+    """An index for each length that more than ``ONE_CELL`` distinct vectors have; the others are one cell."""
+    out = {}
+    for r in classes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("vectors")).where(F.col("vectors") > ONE_CELL).collect():
+        words = min(MOST_WORDS, max(LEAST_WORDS, 1 << max(0, round(math.log2(math.sqrt(r["vectors"]) / SPREAD)))))
+        rows = classes.where(F.size("v") == r["n"]).orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, A_WORD * words)).select("v").collect()
+        out[r["n"]] = MultiIndex.fit(np.array([x["v"] for x in rows], np.float64), words, cosine, target)
+    return out
+
+
+def _placed(classes: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
+    """``classes`` with ``cell`` and, besides its own, the cells ``visits`` of higher numbers that a vector visits.
+
+    A cell is numbered by its words and by the length of its vectors.
+    """
+
+    @F.arrow_udf("struct<cell:long,visits:array<long>>")
+    def place(column: pa.Array) -> pa.Array:
+        sizes = np.diff(column.offsets.to_numpy())
+        cells, visits = np.zeros(len(column), np.int64), [[] for _ in range(len(column))]
+        for length, index in indexes.items():
+            at = np.flatnonzero(sizes == length)
+            for part in (at[lo : lo + 256] for lo in range(0, len(at), 256)):
+                a, b = index.halves(unit_rows(_matrix(column.take(pa.array(part)))))
+                own = a.argmin(axis=1) * len(index.second) + b.argmin(axis=1)
+                cells[part] = own
+                for i, x, y, cell in zip(part.tolist(), a, b, own.tolist()):
+                    visits[i] = [c | length << 32 for c in index.visited(x, y) if c > cell]
+        return pa.StructArray.from_arrays([pa.array(cells | sizes.astype(np.int64) << 32), pa.array(visits, pa.list_(pa.int64()))], ["cell", "visits"])
+
+    return classes.withColumn("p", place("v")).select("id", "n", "v", "p.*")
+
+
 def embedding_groups(vectors: DataFrame, cosine: float = COSINE, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links and groups of vectors whose cosine is at least ``cosine``.
 
     Equal vectors are one node with a count, so copies are never paired with
-    each other.  Every vector is indexed and visits the index; the two vectors
-    of a link count it once each, by whichever of them visits the other.  Of a
-    cell's links only sums and a spanning forest leave the task.
-
-    Null vectors, zero vectors, ones with null or non-finite components and
-    ones whose length is not the most common one link with nothing.  A null id
-    never links.  Repeated rows (equal id and vector) count as copies.  An
-    empty table gives an empty result.  Columns besides the two named are
+    each other.  Every vector is indexed and visits the index; a pair meets
+    where the vector of the lower cell visits the other one's.  Of a cell's
+    links only sums and a spanning forest leave the task.
+
+    Vectors link with those of their own length only.  Null vectors, zero
+    vectors and ones with null or non-finite components link with nothing.  A
+    null id never links.  Repeated rows (equal id and vector) count as copies.
+    An empty table gives an empty result.  Columns besides the two named are
     neither read nor kept.
 
     Returns ``vec_id long, n_links long, component_id long, kept boolean``.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    rows = materialize(rows.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), F.col("v")).alias("v")), "vectors")
-    lengths = rows.where("v is not null").groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    never = lambda part: part.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if lengths is None:
-        return never(rows)
-    proper = F.col("v").isNotNull() & (F.size("v") == lengths["n"])
-    classes = materialize(rows.where(proper).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
-    total = classes.count()
-    words = min(MOST_WORDS, max(LEAST_WORDS, 1 << max(0, round(math.log2(math.sqrt(total) / SPREAD)))))
-    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], np.float64)
-    index = MultiIndex.fit(sample, words, cosine, target)
-
-    @F.arrow_udf("struct<cell:int,visits:array<int>>")
-    def place(column: pa.Array) -> pa.Array:
-        cells, visits = [], []
-        matrix = _matrix(column)
-        for lo in range(0, len(matrix), 256):
-            a, b = index.halves(matrix[lo : lo + 256] / np.linalg.norm(matrix[lo : lo + 256], axis=1, keepdims=True))
-            cells += (a.argmin(axis=1) * len(index.second) + b.argmin(axis=1)).tolist()
-            visits += [index.visited(x, y) for x, y in zip(a, b)]
-        return pa.StructArray.from_arrays([pa.array(cells, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["cell", "visits"])
-
-    placed = materialize(classes.select("id", "n", "v", place("v").alias("p")).select("id", "n", "v", "p.cell", "p.visits"), "placed")
+    with Scratch(vectors.sparkSession, "embeddings") as scratch:
+        rows = scratch.write(rows.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), F.col("v")).alias("v")), "vectors", keep=True)
+        classes = scratch.write(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
+        placed = scratch.write(_placed(classes, _fitted(classes, cosine, target)), "placed")
+        met = scratch.write(_met(placed, cosine, scratch), "met")
+        links = met.where("not edge").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
+        groups = connected_components(met.where("edge").select("a", "b"), scratch)
+        named = classes.join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
+        named = scratch.write(named.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component")), "named", keep=True)
+    found = rows.where("v is not null").join(named, "v").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    return found.union(alone)
+
+
+def _met(placed: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """``edge boolean, a long, b long``: links to count for a vector (``a`` has ``b`` more), and edges of a spanning forest.
+
+    Members of a cell are dealt into ``cuts`` blocks, its visitors into
+    ``waves``.  A cell of one block is its members' own visitor.
+    """
     visits = placed.select(F.explode("visits").alias("to")).groupBy("to").agg(F.count("*").alias("visitors"))
     held = placed.groupBy(F.col("cell").alias("to")).agg(F.count("*").alias("members"))
-    # one row for each occupied cell: at most MOST_WORDS squared
-    blocks = materialize(held.join(visits, "to").select("to", F.ceil(F.col("members") / CELL_BLOCK).cast("int").alias("cuts"), F.ceil(F.col("visitors") / VISITOR_BLOCK).cast("int").alias("waves")), "blocks")
-    small = F.broadcast(blocks)
+    cuts = F.ceil(F.col("members") / CELL_BLOCK).cast("int")
+    visitors = F.coalesce("visitors", F.lit(0)) + F.when(cuts > 1, F.col("members")).otherwise(0)
+    # one row for each occupied cell: at most MOST_WORDS squared, joined as its size allows
+    blocks = scratch.write(held.join(visits, "to", "left").select("to", cuts.alias("cuts"), F.greatest(F.lit(1), F.ceil(visitors / VISITOR_BLOCK)).cast("int").alias("waves")), "blocks")
     # vectors travel as floats where that loses nothing
     lossless = placed.where(F.exists("v", lambda x: x.cast("float").cast("double") != x)).isEmpty()
     packed = F.col("v").cast("array<float>" if lossless else "array<double>").alias("v")
     grain = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    members = placed.withColumn("to", F.col("cell")).join(small, "to").withColumn("wave", F.explode(F.sequence(F.lit(0), F.col("waves") - 1)))
-    members = members.select("to", (grain % F.col("cuts")).cast("int").alias("cut"), "wave", F.lit(True).alias("member"), "id", "n", "cell", packed)
-    visitors = placed.withColumn("to", F.explode("visits")).join(small, "to").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    visitors = visitors.select("to", "cut", (grain % F.col("waves")).cast("int").alias("wave"), F.lit(False).alias("member"), "id", "n", "cell", packed)
+    members = placed.join(blocks, placed["cell"] == blocks["to"]).withColumn("wave", F.explode(F.sequence(F.lit(0), F.col("waves") - 1)))
+    members = members.select("to", (grain % F.col("cuts")).cast("int").alias("cut"), "wave", F.lit(True).alias("member"), ((F.col("cuts") == 1) & (F.col("wave") == 0)).alias("visitor"), "id", "n", packed)
+    guests = placed.withColumn("of", F.explode(F.concat("visits", F.array("cell")))).join(blocks, F.col("of") == blocks["to"]).where("of <> cell or cuts > 1")
+    guests = guests.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    guests = guests.select("to", "cut", (grain % F.col("waves")).cast("int").alias("wave"), (F.lit(False)).alias("member"), F.lit(True).alias("visitor"), "id", "n", packed, (F.col("of") == F.col("cell")).alias("own"))
+    # a vector that visits its own cell, of several blocks, meets each other member twice: the smaller id counts
+    members = members.withColumn("own", F.col("visitor"))
 
     def compare(table: pa.Table) -> pa.Table:
-        is_member = table["member"].to_numpy(zero_copy_only=False).astype(bool)
-        ids, counts, cells = (table[c].to_numpy().astype(np.int64) for c in ("id", "n", "cell"))
-        matrix = _matrix(table["v"])
-        unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        q, d = np.flatnonzero(~is_member), np.flatnonzero(is_member)
+        is_member, is_visitor, own = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("member", "visitor", "own"))
+        ids, counts = table["id"].to_numpy(), table["n"].to_numpy()
+        unit = unit_rows(_matrix(table["v"]))
+        q, d = np.flatnonzero(is_visitor), np.flatnonzero(is_member)
         out_a, out_b, out_kind = [], [], []
         if len(q) and len(d):
-            linked = (unit[q] @ unit[d].T >= cosine) & (ids[q][:, None] != ids[d][None, :])
+            linked = unit[q] @ unit[d].T >= cosine
+            linked &= np.where(own[q][:, None], ids[q][:, None] < ids[d][None, :], True)
             q, linked = q[linked.any(axis=1)], linked[linked.any(axis=1)]
             d, linked = d[linked.any(axis=0)], linked[:, linked.any(axis=0)]
             if len(q):
-                # a pair that meets twice, each visiting the other, counts where the visitor has the smaller id
-                i, j = np.nonzero(linked & (ids[q][:, None] > ids[d][None, :]))
-                limit = index.nearest(unit[d]) + index.reach
-                twice = index.cost(unit[d[j]], cells[q[i]]) <= limit[j]
                 nodes, roots = _forest(linked, ids[q], ids[d])
-                linked[i[twice], j[twice]] = False
                 out_a = [ids[q], ids[d], nodes]
                 out_b = [linked @ counts[d], linked.T @ counts[q], roots]
                 out_kind = [np.zeros(len(q) + len(d), bool), np.ones(len(nodes), bool)]
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
         return pa.table({"edge": join(out_kind, pa.bool_()), "a": join(out_a, pa.int64()), "b": join(out_b, pa.int64())})
 
-    met = members.unionByName(visitors).groupBy("to", "cut", "wave").applyInArrow(compare, "edge boolean, a long, b long")
-    met = materialize(met, "met")
-    links = met.where("not edge").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
-    groups = connected_components(met.where("edge").select("a", "b"))
-    named = classes.join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    named = materialize(named.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component")), "named")
-    found = rows.where(proper).join(named, "v").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
-    return found.union(never(rows.where(~F.coalesce(proper, F.lit(False)))))
+    return members.unionByName(guests).groupBy("to", "cut", "wave").applyInArrow(compare, "edge boolean, a long, b long")
