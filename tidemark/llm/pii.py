@@ -1,8 +1,8 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base spans come from the contract's expressions and always stay.  Further
-candidates (and the base matches that failed validation) are judged: a format,
-a gazetteer and a context labeler vote on every candidate and base span,
+candidates of valid formats (and the base matches that failed validation) are
+judged: a format, a gazetteer and a context labeler vote on all of them,
 expectation-maximisation estimates how reliable each labeler is, and the
 resulting soft labels train a span classifier whose verdict decides which
 candidates join the base spans.
@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 from .spans import hex_digest, with_spans
 
 #: The base expressions.  Possessive repeats and the anchors at the start of a run
@@ -120,42 +120,47 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "localphone": F.col("text").rlike(r"[0-9][ .-][0-9]{4}"), "ssn": F.col("text").rlike(r"[0-9]-[0-9]{2}-[0-9]")}
     found = with_spans(texts, "text", {k: (rx, 0, need.get(k)) for k, rx in (BASE | MORE).items()})
     valid = [F.expr(f"filter({k}, x -> {VALID[k]})").alias(k) for k in BASE]
-    judged = [F.expr(f"transform({k}, x -> named_struct('base', {'(' + VALID[k] + ')' if k in BASE else 'false'}, 'c', {_votes(k)}))") for k in BASE | MORE]
-    return found.select("doc_id", *valid, F.concat(*judged).alias("judged"))
+    of_base = [F.expr(f"transform({k}, x -> named_struct('base', {VALID[k]}, 'c', {_votes(k)}))") for k in BASE]
+    of_more = [F.expr(f"transform(filter({k}, x -> {VALID[k]}), x -> named_struct('base', false, 'c', {_votes(k)}))") for k in MORE]
+    return found.select("doc_id", *valid, F.concat(*of_base, *of_more).alias("judged"))
 
 
 def _sigmoid(x: float) -> float:
     return 1.0 / (1.0 + math.exp(-x)) if x > -700 else 0.0
 
 
-def estimate_reliability(patterns: list[tuple[str, tuple[int, ...], int]]) -> tuple[dict[tuple[str, tuple[int, ...]], float], dict[str, dict[int, tuple[float, float]]]]:
+#: Rates of a labeler's votes before anything is seen: it is right more often than wrong.
+RIGHT = {v: 0.8 if v > 0 else 0.1 for v in (-1, 0, 1)}
+Rates = dict[str, dict[str, dict[int, tuple[float, float]]]]
+
+
+def estimate_reliability(patterns: list[tuple[str, tuple[int, ...], int]]) -> tuple[dict[tuple[str, tuple[int, ...]], float], Rates]:
     """Two-class Dawid-Skene over vote patterns ``(kind, votes, count)``; there are at most 27 a kind.
 
-    Returns the probability of personal data for each (kind, votes), and for
-    each labeler and vote its rates (among true spans, among false ones).
+    Labelers are as reliable as they are for a kind.  One that votes alike on
+    all spans of a kind tells none of them from another and is not heard,
+    unless all do: then what is assumed of them decides.  Returns the
+    probability of personal data for each (kind, votes), and for each kind,
+    labeler and vote its rates (among true spans, among false ones).
     """
-    right = {v: 0.8 if v > 0 else 0.1 for v in (-1, 0, 1)}
-    rates = {name: {v: (right[v], right[-v]) for v in (-1, 0, 1)} for name in LABELERS}
-    prior = {kind: 0.5 for kind, _, _ in patterns}
+    rates: Rates = {kind: {name: {v: (RIGHT[v], RIGHT[-v]) for v in (-1, 0, 1)} for name in LABELERS} for kind in BASE | MORE | {k: "" for k, _, _ in patterns}}
     posterior: dict[tuple[str, tuple[int, ...]], float] = {}
-    for _ in range(ROUNDS):
-        for kind, votes, _ in patterns:
-            odds = math.log(prior[kind] / (1 - prior[kind]))
-            odds += sum(math.log(rates[name][v][0] / rates[name][v][1]) for name, v in zip(LABELERS, votes) if v)
-            posterior[kind, votes] = _sigmoid(odds)
-        for kind in prior:
-            own = [(posterior[k, v], n) for k, v, n in patterns if k == kind]
-            prior[kind] = (1.0 + sum(q * n for q, n in own)) / (2.0 + sum(n for _, n in own))
-        for i, name in enumerate(LABELERS):
-            for side in (0, 1):
-                mass = {v: ANCHOR * right[v if side == 0 else -v] for v in (-1, 0, 1)}
-                for kind, votes, n in patterns:
-                    q = posterior[kind, votes]
-                    mass[votes[i]] += n * (q if side == 0 else 1 - q)
-                total = sum(mass.values())
-                for v in mass:
-                    old = rates[name][v]
-                    rates[name][v] = (mass[v] / total, old[1]) if side == 0 else (old[0], mass[v] / total)
+    for kind in sorted({k for k, _, _ in patterns}):
+        own = [(votes, n) for k, votes, n in patterns if k == kind]
+        prior, of = 0.5, rates[kind]
+        differ = [len({votes[i] for votes, _ in own}) > 1 for i in range(len(LABELERS))]
+        for name, differs in zip(LABELERS, differ):
+            if any(differ) and not differs:
+                of[name] = {v: (1.0, 1.0) for v in (-1, 0, 1)}
+        for _ in range(ROUNDS if any(differ) else 1):
+            for votes, _ in own:
+                heard = sum(math.log(of[name][v][0] / of[name][v][1]) for name, v in zip(LABELERS, votes) if v)
+                posterior[kind, votes] = _sigmoid(math.log(prior / (1 - prior)) + heard)
+            prior = (1.0 + sum(posterior[kind, v] * n for v, n in own)) / (2.0 + sum(n for _, n in own))
+            for i, name in [(i, name) for i, name in enumerate(LABELERS) if differ[i]]:
+                true = {v: ANCHOR * RIGHT[v] + sum(n * posterior[kind, votes] for votes, n in own if votes[i] == v) for v in (-1, 0, 1)}
+                false = {v: ANCHOR * RIGHT[-v] + sum(n * (1 - posterior[kind, votes]) for votes, n in own if votes[i] == v) for v in (-1, 0, 1)}
+                of[name] = {v: (true[v] / sum(true.values()), false[v] / sum(false.values())) for v in (-1, 0, 1)}
     return posterior, rates
 
 
@@ -183,28 +188,37 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts count as empty and have no spans; repeated rows are judged each
     by itself and alike; an empty table gives an empty result.  Columns besides
     the two named are neither read nor kept.  Without any candidate nothing is
-    added to the base spans.
+    added to the base spans; a candidate that overlaps one is left out.
 
     Returns ``doc_id long``, an array of base spans for each base kind and
     ``added``, an array of ``kind, start, end, probability``.
     """
-    table = materialize(find_candidates(docs, id_col, text_col), "candidates")
+    with Scratch(docs.sparkSession, "personal") as scratch:
+        table = scratch.write(find_candidates(docs, id_col, text_col), "candidates", keep=True)
     judged = table.select(F.explode("judged").alias("j")).select("j.base", "j.c.*")
     counts = judged.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
     patterns = sorted((r["kind"], tuple(r["votes"]), r["n"]) for r in counts)
     posterior, rates = estimate_reliability(patterns)
     bias, weights = train_classifier(judged, posterior)
     vector = "array(" + ", ".join(f"{w!r}D" for w in weights) + ")"
-    # votes count in the verdict as the estimated reliabilities say, features as the classifier has learned
-    heard = " + ".join(
-        f"case element_at(j.c.votes, {i + 1}) when 1 then {math.log(rates[name][1][0] / rates[name][1][1])!r}D when -1 then {math.log(rates[name][-1][0] / rates[name][-1][1])!r}D else 0D end"
-        for i, name in enumerate(LABELERS)
-    )
+    # votes count in the verdict as the reliabilities estimated for their kind say, features as the classifier has learned
+    odds = lambda kind, name, v: repr(math.log(rates[kind][name][v][0] / rates[kind][name][v][1])) + "D"
+    votes = lambda kind: " + ".join(f"case element_at(j.c.votes, {i + 1}) when 1 then {odds(kind, name, 1)} when -1 then {odds(kind, name, -1)} else 0D end" for i, name in enumerate(LABELERS))
+    heard = "case j.c.kind " + " ".join(f"when '{kind}' then {votes(kind)}" for kind in BASE | MORE) + " end"
     score = f"({bias!r}D + {heard} + aggregate(j.c.features, 0D, (acc, f) -> acc + element_at({vector}, f + 1)) / 2D)"
-    scored = F.expr(f"transform(filter(judged, j -> not j.base), j -> named_struct('kind', j.c.kind, 'start', j.c.start, 'end', j.c.end, 'probability', 1D / (1D + exp(-{score})), 'valid', element_at(j.c.votes, 1) = 1))")
-    base = "concat(" + ", ".join(BASE) + ")"
-    clear = f"filter(added, a -> a.valid and a.probability >= {ACCEPT} and not exists({base}, b -> a.start < b.end and b.start < a.end))"
-    return table.withColumn("added", scored).select("doc_id", *BASE, F.expr(clear).alias("added"))
+    scored = F.expr(f"transform(filter(judged, j -> not j.base and element_at(j.c.votes, 1) = 1), j -> named_struct('kind', j.c.kind, 'start', j.c.start, 'end', j.c.end, 'probability', 1D / (1D + exp(-{score}))))")
+    added = table.select("doc_id", *BASE, scored.alias("found")).withColumn("found", F.expr(f"filter(found, a -> a.probability >= {ACCEPT})"))
+    # a base span is a run of ones in a mask as long as the text up to there; the optimizer must not move masks into the lambda
+    masked = added.select("*", *[F.expr(_mask(k)).alias(f"_{k}") for k in BASE])
+    covered = " or ".join(f"if(_{k} is null, false, contains(cast(substring(_{k}, cast(a.start + 1 as int), cast(a.end - a.start as int)) as string), '1'))" for k in BASE)
+    return masked.select("doc_id", *BASE, F.expr(f"filter(found, a -> not ({covered}))").alias("added"))
+
+
+def _mask(kind: str) -> str:
+    """Bytes ``0`` and ``1`` for the characters of a text up to the last span of a kind: 1 within spans; null without work to do."""
+    before = f"if(i = 0, 0, {kind}[i - 1].end)"
+    runs = f"transform(sequence(0, size({kind}) - 1), i -> concat(repeat('0', cast({kind}[i].start - {before} as int)), repeat('1', cast({kind}[i].end - {kind}[i].start as int))))"
+    return f"if(size({kind}) = 0 or size(found) = 0, null, cast(array_join({runs}, '') as binary))"
 
 
 def _span_list(kind: str) -> str:
