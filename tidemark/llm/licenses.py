@@ -1,9 +1,12 @@
 """License scan by conditional compression.
 
-Blocks of lines around trigger words are compared word by word with every
-license template; a wording that differs too little to be another license is
-confirmed.  Of those that overlap, the one whose template, as a zstandard raw
-dictionary, spares most in compressing what was found counts.
+Blocks of lines around trigger words are compressed with each template as a
+zstandard raw dictionary.  Templates are ranked by the bytes they spare and
+confirmed in that order by exact wording differences: a wording holds that
+differs too little to be another license.  The rank leaves no template out but
+those of which more words are missing from a block than any confirmation
+allows.  Of wordings that overlap, the one counts whose template spares most
+of the stretch itself; then the one of fewest differences; then of best rank.
 """
 
 from __future__ import annotations
@@ -78,11 +81,16 @@ class Matcher:
         #: Words of the longest wording with all foreign ones that it may have.
         self.longest = max((len(words) + int(TOLERANCE * len(words)) for words in self.words.values()), default=0)
 
-    def gain(self, name: str, found: str) -> int:
-        """Bytes that a template spares in compressing the stretch where its wording was found."""
-        data = _folded(found).encode("utf-8", "surrogatepass")
+    def gain(self, name: str, block: str) -> int:
+        """Bytes that a template spares in compressing a block."""
+        data = _folded(block).encode("utf-8", "surrogatepass")
         return len(self.plain.compress(data)) - len(self.primed[name].compress(data))
 
+    def possible(self, name: str, where: dict[str, int]) -> bool:
+        """Whether a block has enough of a template's words for any confirmation."""
+        wanted = self.words[name]
+        return bool(wanted) and sum(w not in where for w in wanted) <= int(TOLERANCE * len(wanted))
+
     def masks(self, words: list[str]) -> dict[str, int]:
         """The places (bits) of each word of the templates among ``words``."""
         bits: dict[str, bytearray] = {}
@@ -102,8 +110,6 @@ class Matcher:
         """
         wanted = self.words[name]
         allowed = int(TOLERANCE * len(wanted))
-        if not wanted or sum(w not in where for w in wanted) > allowed:
-            return []
         ends = _ends([where.get(w, 0) for w in wanted], (1 << n_words + 1) - 1, allowed)
         out: list[tuple[int, int, int, int]] = []
         busy = 0
@@ -121,19 +127,22 @@ class Matcher:
 
     def scan(self, text: str) -> list[dict]:
         """Licenses of a text: name, wording, place (code points), bytes spared, words missing and foreign."""
-        found: list[dict] = []
+        found: list[tuple[dict, int]] = []
         for a, b in blocks(text, self.reach):
             places = [m.span() for m in WORD.finditer(text, a, b)]
             for lo in range(0, max(1, len(places) - self.longest), PART):
                 part = places[lo : lo + PART + self.longest]
                 where = self.masks([text[x:y].lower() for x, y in part])
-                for name in self.templates:
+                possible = [name for name in self.templates if self.possible(name, where)]
+                block = text[part[0][0] : part[-1][1]] if possible else ""
+                ranked = sorted(possible, key=lambda name: (-self.gain(name, block), name)) if len(possible) > 1 else possible
+                for rank, name in enumerate(ranked):
+                    license_id, wording = name.split("/")
                     for first, last, missing, foreign in self.confirm(name, where, len(part)):
                         x, y = part[first][0], part[last - 1][1]
-                        license_id, wording = name.split("/")
-                        found.append({"license": license_id, "wording": wording, "start": x, "end": y, "gain": self.gain(name, text[x:y]), "missing": missing, "foreign": foreign})
+                        found.append(({"license": license_id, "wording": wording, "start": x, "end": y, "gain": self.gain(name, text[x:y]), "missing": missing, "foreign": foreign}, rank))
         out: list[dict] = []  # in the order of their places
-        for r in sorted(found, key=lambda r: (-r["gain"], r["missing"] + r["foreign"], r["start"], r["license"], r["wording"])):
+        for r, _ in sorted(found, key=lambda f: (-f[0]["gain"], f[0]["missing"] + f[0]["foreign"], f[1], f[0]["start"], f[0]["license"], f[0]["wording"])):
             i = bisect_left(out, r["end"], key=lambda o: o["start"])
             if not i or out[i - 1]["end"] <= r["start"]:
                 out.insert(i, r)
