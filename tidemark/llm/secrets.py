@@ -1,23 +1,26 @@
 """Secret scan with a trigram inverted index.
 
 Every rule's regular expression is turned into a Boolean query over trigrams
-that any match must contain.  Postings (trigram, document) are built for the
-trigrams that the rules mention, intersected by document, and only documents
-that satisfy a rule's query are scanned with its expression.  Rules without
-mandatory trigrams scan all documents.
+that any match must contain.  The index holds the postings (trigram, document)
+of the trigrams that the rules mention, in the order of the trigrams.  A
+query's postings are read and intersected by document, and only documents that
+satisfy it are scanned with the rule's expression.  Rules without mandatory
+trigrams scan all documents.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, hadoop_path
 from .spans import hex_digest, with_spans
 
 #: Candidate documents up to this many are broadcast (two longs each); more are joined by a shuffle.
@@ -54,7 +57,8 @@ Query = list[list[frozenset[str]]]
 
 
 def _trigrams(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + 3] for i in range(len(text) - 2))
+    """Trigrams that cover a text of three characters or more end to end: all of it is asked for, in few postings."""
+    return frozenset(text[i : i + 3] for i in {*range(0, len(text) - 2, 3), len(text) - 3})
 
 
 def trigram_query(regex: str) -> Query:
@@ -96,6 +100,10 @@ def trigram_query(regex: str) -> Query:
         known: set[str] | None = {""}
         for item in items:
             more = strings_of([item])
+            # what may be absent adds nothing that is mandatory to strings that have trigrams already
+            ends = item[0] in (sre.MAX_REPEAT, sre.MIN_REPEAT) and item[1][0] == 0 and all(len(k) >= 3 for k in known)
+            if ends:
+                more = None
             if more is not None and len(known) * len(more) <= MAX_STRINGS:
                 known = {a + b for a in known for b in more}
                 continue
@@ -112,11 +120,64 @@ def trigram_query(regex: str) -> Query:
     return clauses
 
 
-def posting_table(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The inverted index ``gram int (place in trigrams), id long`` of lower-cased texts."""
-    low = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return low.select("id", F.explode(present).alias("gram"))
+def trigrams_of(queries: Iterable[Query]) -> list[str]:
+    return sorted({t for q in queries for clause in q for grams in clause for t in grams})
+
+
+def _any_of(words: list[str]) -> str:
+    """A regular expression for any of some words of one length, as a tree over their letters."""
+    if words == [""]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    branches = [re.escape(h) + _any_of(rest) for h, rest in heads.items()]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+class TrigramIndex:
+    """Postings ``gram string, id long`` of lower-cased texts at ``path``, in the order of ``gram`` and ``id``.
+
+    It covers ``trigrams`` only: rules that mention others need an index of
+    their own.  Each append adds files that are ranges of the order, so reading
+    some trigrams skips the rest, and a trigram of very many documents spreads
+    over several files.
+    """
+
+    def __init__(self, path: str, trigrams: list[str]) -> None:
+        self.path, self.trigrams = path.rstrip("/"), trigrams
+
+    def append(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        """Add the postings of ``docs``.  One pass over the texts finds the places of all trigrams."""
+        firsts = "".join(sorted({re.escape(t[0]) for t in self.trigrams}))
+        pattern = f"(?=[{firsts}])(?=({_any_of(self.trigrams)}))"
+        with Scratch(docs.sparkSession, "postings") as scratch:
+            grams = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(pattern), F.lit(1)))
+            found = scratch.write(docs.select(F.col(id_col).cast("long").alias("id"), F.explode(grams).alias("gram")).select("gram", "id"), "found")
+            found.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("append").parquet(f"{self.path}/postings")
+
+    def postings(self, spark: SparkSession, trigrams: list[str]) -> DataFrame:
+        path, fs = hadoop_path(spark, f"{self.path}/postings")
+        if not fs.exists(path):
+            return spark.createDataFrame([], "gram string, id long")
+        return spark.read.schema("gram string, id long").parquet(f"{self.path}/postings").where(F.col("gram").isin(trigrams))
+
+    def candidates(self, spark: SparkSession, queries: dict[str, Query]) -> DataFrame:
+        """``id long, rules long``: bit i is set if the i-th rule's query holds for the documents of that id.
+
+        The postings of the queries are intersected by id: each id gathers the
+        trigrams of its lists in masks, on the map side first.
+        """
+        trigrams = trigrams_of(queries.values())
+        number = F.create_map(*[x for i, t in enumerate(trigrams) for x in (F.lit(t), F.lit(i))])
+        lists = self.postings(spark, trigrams).select("id", number[F.col("gram")].alias("no"))
+        words = range((len(trigrams) + 59) // 60)
+        bit = F.expr("shiftleft(1L, no % 60)")
+        masks = lists.groupBy("id").agg(*[F.bit_or(F.when((F.col("no") / 60).cast("int") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in words])
+        rules = F.lit(0).cast("long")
+        for i, query in enumerate(queries.values()):
+            rules = rules + F.when(_holds(query, trigrams), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        return masks.select("id", rules.alias("rules")).where("rules <> 0")
 
 
 def _holds(query: Query, trigrams: list[str]) -> Column:
@@ -147,17 +208,6 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def candidates(postings: DataFrame, queries: dict[str, Query], trigrams: list[str]) -> DataFrame:
-    """``id long, rules long``: bit i is set if the i-th rule's query holds for the id's postings."""
-    words = range((len(trigrams) + 59) // 60)
-    bit = F.expr("shiftleft(1L, gram % 60)")
-    masks = postings.groupBy("id").agg(*[F.bit_or(F.when((F.col("gram") / 60).cast("int") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in words])
-    rules = F.lit(0).cast("long")
-    for i, query in enumerate(queries.values()):
-        rules = rules + F.when(_holds(query, trigrams), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return masks.select("id", rules.alias("rules")).where("rules <> 0")
-
-
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of all rules in every whole text.
 
@@ -174,9 +224,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     kind, of start, end, value, arg and before (see :mod:`spans`).
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
-    trigrams = sorted({t for q in queries.values() for clause in q for grams in clause for t in grams})
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    hits = materialize(candidates(posting_table(texts, trigrams, "doc_id", "text"), queries, trigrams), "candidates")
+    with Scratch(docs.sparkSession, "secrets") as scratch:
+        index = TrigramIndex(scratch.own_path("index"), trigrams_of(queries.values()))
+        index.append(texts, "doc_id", "text")
+        hits = scratch.write(index.candidates(docs.sparkSession, queries), "candidates", keep=True)
     if hits.count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     marked = texts.join(hits, texts["doc_id"].eqNullSafe(hits["id"]), "left").select("doc_id", "text", F.coalesce("rules", F.lit(0).cast("long")).alias("rules"))
