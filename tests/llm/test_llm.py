@@ -281,25 +281,59 @@ def test_toxicity_awkward(spark, awkward, nothing):
 # ---- 4 embeddings ----
 
 
-def test_embeddings_against_brute_force(spark):
+def brute_links(rows, cosine=0.9):
+    """For each id: ids linked with it, by the cosine of all pairs of equal length in double precision."""
+    usable = [(i, np.array(v, float)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = {i: set() for i, _ in rows}
+    by_length = {}
+    for i, v in usable:
+        by_length.setdefault(len(v), []).append((i, v / np.abs(v).max()))
+    for group in by_length.values():
+        unit = np.array([v / np.linalg.norm(v) for _, v in group])
+        near = unit @ unit.T >= cosine
+        np.fill_diagonal(near, False)
+        for k, (i, _) in enumerate(group):
+            links[i] |= {group[j][0] for j in np.flatnonzero(near[k])}
+    return links
+
+
+def clustered(rng, sizes, width, loose=400):
+    centres = rng.normal(size=(len(sizes), width))
+    parts = [c + rng.normal(size=(n, width)) * 0.18 for c, n in zip(centres, sizes)]
+    return np.concatenate([*parts, rng.normal(size=(loose, width))]).astype(np.float32)
+
+
+@pytest.mark.parametrize("one_cell, blocks", [(2_048, 2_048), (100, 2_048), (100, 16)])
+def test_embeddings_against_brute_force(spark, one_cell, blocks):
+    """All links, by one cell, by the multi-index with every cell visited, and in many blocks."""
     rng = np.random.default_rng(1)
-    centres = rng.normal(size=(40, 24))
-    x = np.concatenate([c + rng.normal(size=(n, 24)) * 0.18 for c, n in zip(centres, rng.integers(1, 60, 40))] + [rng.normal(size=(400, 24))]).astype(np.float32)
-    x = np.concatenate([x, x[:5], x[:1]])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    linked = unit @ unit.T >= 0.9
-    np.fill_diagonal(linked, False)
-    bad = [(9001, None), (9002, [0.0] * 24), (9003, [float("nan")] * 24), (9004, [None] * 24), (9005, [1.0, 2.0])]
-    out = embeddings.embedding_groups(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")).toPandas().set_index("vec_id").sort_index()
-    got = out.loc[range(len(x))]
-    assert got.n_links.sum() >= 0.98 * linked.sum()
-    assert (got.n_links.to_numpy() <= linked.sum(axis=1)).all()
-    comp = brute_components([(i, i) for i in range(len(x))] + list(zip(*map(list, np.nonzero(linked)))))
-    if got.n_links.sum() == linked.sum():
-        assert all(comp[i] == got.component_id[i] for i in range(len(x)))
-    assert (got.kept == (got.component_id == got.index)).all()
-    assert (out.loc[9001:].n_links == 0).all() and out.loc[9001:].kept.all()
+    x = clustered(rng, rng.integers(1, 60, 40), 24)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x[:5], x[:1]]))]
+    rows += [(20_000 + i, v.tolist()) for i, v in enumerate(clustered(rng, [30, 9], 7, 60))]
+    rows += [(9001, None), (9002, [0.0] * 24), (9003, [float("nan")] * 24), (9004, [None] * 24), (9005, [1.0, 2.0]), (9006, [2.0, 4.0]), (9007, []), (9008, [float("inf")] + [0.0] * 23)]
+    rows += [(9010, [1e300] * 3), (9011, [1e-300] * 3), (9012, [1e300, 0.0, 0.0])]
+    # a cosine of exactly 0.9, and one just below
+    rows += [(9020, [1.0, 0.0, 0.0, 0.0, 0.0]), (9021, [0.9, 0.1, 0.3, 0.3, 0.0]), (9022, [0.0, 0.0, 0.0, 0.0, 1.0]), (9023, [0.0, 0.0, 0.44, 0.0, 0.9])]
+    held = {n: getattr(embeddings, n) for n in ("ONE_CELL", "CELL_BLOCK", "VISITOR_BLOCK")}
+    embeddings.ONE_CELL, embeddings.CELL_BLOCK, embeddings.VISITOR_BLOCK = one_cell, blocks, blocks
+    try:
+        out = embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), target=1.0).collect()
+    finally:
+        for n, v in held.items():
+            setattr(embeddings, n, v)
+    links = brute_links(rows)
+    comp = brute_components([(i, i) for i, _ in rows] + [(i, j) for i, near in links.items() for j in near])
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out} == {i: (len(links[i]), comp[i], comp[i] == i) for i, _ in rows}
+    assert links[9010] == {9011} and links[9005] == {9006} and len(out) == len(rows)
+
+
+def test_embeddings_recall_of_the_index(spark):
+    """With the production target nearly all links are found, and none that is not there."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(rng, rng.integers(1, 40, 120), 64, 3_000))]
+    out = {r["vec_id"]: r["n_links"] for r in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    links = brute_links(rows)
+    assert sum(out.values()) >= 0.98 * sum(map(len, links.values())) and all(out[i] <= len(near) for i, near in links.items())
     empty = embeddings.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert empty.isEmpty() and empty.columns == ["vec_id", "n_links", "component_id", "kept"]
 
@@ -615,11 +649,52 @@ def test_pii_estimates_reliability():
         vote = lambda right: (1 if true else -1) * (1 if rng.random() < right else -1)
         seen["k", (vote(0.95), vote(0.85), vote(0.6))] += 1
     posterior, rates = pii.estimate_reliability([(k, v, n) for (k, v), n in seen.items()])
-    hits = [rates[name][1][0] for name in pii.LABELERS]
+    hits = [rates["k"][name][1][0] for name in pii.LABELERS]
     assert hits[0] > hits[1] > hits[2] and abs(hits[0] - 0.95) < 0.05
     assert posterior["k", (1, 1, 1)] > 0.9 > 0.1 > posterior["k", (-1, -1, -1)]
 
 
+def test_pii_classifier_accepts_and_refuses(spark):
+    """Of spans that look alike, those in a context of personal data join the base spans, those of order numbers do not."""
+    rng = random.Random(2)
+    number = lambda: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+    rows, wanted = [], {}
+    for i in range(120):
+        said = i % 2 == 0
+        text = f"her social security number is ssn {number()} as written" if said else f"the part in order {number()} as written"
+        rows.append((i, text, None, None))
+        wanted[i] = said
+    rows += [(200 + i, f"write to ann{i}@example.com or call +49 30 {1000000 + i}", None, None) for i in range(40)]
+    out = {r["doc_id"]: r for r in pii.personal_report(table(spark, rows)).collect()}
+    accepted = {i for i in wanted if "ssn:" in out[i]["spans"]}
+    assert accepted == {i for i, said in wanted.items() if said}
+    assert all(out[i]["spans"] == brute_pii(t) + f"ssn:{t.index('-') - 3}:{t.index('-') + 8}" for i, t, *_ in rows if i in accepted)
+    assert all(out[200 + i]["n_email"] == out[200 + i]["n_phone"] == 1 for i in range(40))
+
+
+def test_pii_added_spans_leave_base_spans_alone(spark):
+    """A candidate that overlaps a base span is left out, whatever it scores."""
+    spans = pii.find_personal_data(table(spark, [(i, f"card 4111 1111 1111 1111 ssn 123-45-6789 tel 415-555-2671 visa 4111-1111-1111-1111 no {i}", None, None) for i in range(30)])).collect()
+    for r in spans:
+        base = [(x["start"], x["end"]) for k in pii.BASE for x in r[k]]
+        assert len(r["card"]) == 2 and all(a["end"] <= s or a["start"] >= e for a in r["added"] for s, e in base)
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches in one text: work grows with their number, not with its square."""
+    import time
+
+    rows = [(1, "".join(f"a{i}@b.co " for i in range(100_000)), None, None), (2, "token=abcdef " * 100_000, None, None)]
+    for report, kind, text in ((pii.personal_report, "email", rows[0][1]), (secrets.secret_report, "assign", rows[1][1])):
+        began = time.time()
+        out = {r["doc_id"]: r for r in report(table(spark, rows)).collect()}
+        assert time.time() - began < 60
+        found = out[1 if kind == "email" else 2]
+        assert found[f"n_{kind}"] == 100_000
+        want = ",".join(f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(r"[^ ]+", text))
+        assert found["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_pii_empty(awkward, nothing):
     assert pii.personal_report(nothing).isEmpty()
     assert pii.personal_report(awkward).count() == len(AWKWARD)
@@ -720,6 +795,46 @@ def test_licenses_many_in_a_row():
     assert [f"{f['license']}/{f['wording']}" for f in found] == names
 
 
+def test_licenses_at_every_block_offset():
+    """Every template behind a run of trigger lines of any length, so that it lies anywhere in a block and its parts."""
+    scan = licenses.Matcher(licenses.TEMPLATES).scan
+    line = "Copyright 2020 the warranty department\n"
+    for n, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        for lines in range(n, 420, 37):
+            before = line * lines
+            found = [f for f in scan(f"{before}{text}\n{line * 5}") if f["start"] >= len(before)]
+            assert [(f"{f['license']}/{f['wording']}", f["missing"], f["foreign"]) for f in found] == [(name, 0, 0)], (name, lines)
+    long = line * 20_000  # a text of nothing but triggers
+    assert scan(long) == [] and [f["license"] for f in scan(long + licenses.TEMPLATES["isc/text"])] == ["isc"]
+
+
+def test_license_alignment_against_brute_force():
+    """The bit-parallel alignment finds a wording exactly where a plain edit-distance table does."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    matcher = licenses.Matcher({"x/y": " ".join(words)})
+    allowed = int(licenses.TOLERANCE * len(words))
+    for _ in range(150):
+        text = list(words)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice([[], [text[at], "zz"], ["zz", text[at]]]) + text[at + 1 :]
+        text = ["aa"] * rng.randrange(3) + text + ["bb"] * rng.randrange(3)
+        reach = {(0, 0, 0): set(range(len(text) + 1))}  # template words done, missing, foreign: places in the text
+        for i in range(len(words)):
+            for m in range(allowed + 1):
+                for f in range(allowed + 1):
+                    for at in sorted(reach.get((i, m, f), ())):
+                        if at < len(text) and text[at] == words[i]:
+                            reach.setdefault((i + 1, m, f), set()).add(at + 1)
+                        if m < allowed:
+                            reach.setdefault((i + 1, m + 1, f), set()).add(at)
+                        if 0 < i and f < allowed and at < len(text):
+                            reach.setdefault((i, m, f + 1), set()).add(at + 1)
+        ends = any(reach.get((len(words), m, f)) for m in range(allowed + 1) for f in range(allowed + 1))
+        assert bool(matcher.confirm("x/y", matcher.masks(text), len(text))) == ends
+
+
 def test_licenses_documents(spark, sf01):
     base = sf01
     docs = common.read_table(spark, base, "documents").toPandas().set_index("doc_id").text
@@ -765,6 +880,24 @@ def test_trigram_queries_never_miss():
             assert all(any(all(g in low for g in grams) for grams in clause) for clause in query)
 
 
+def test_trigram_index(spark, tmp_path):
+    """Postings are those of a plain search, in the order of the trigrams, and appends add to them."""
+    texts = [(i, t, None, None) for i, t in enumerate(SECRET_TEXTS)]
+    queries_ = {r.kind: q for r in secrets.RULES if (q := secrets.trigram_query(r.regex))}
+    grams = secrets.trigrams_of(queries_.values())
+    index = secrets.TrigramIndex(str(tmp_path / "index"), grams)
+    assert index.postings(spark, grams).isEmpty()
+    index.append(table(spark, texts[:4]), "doc_id", "text")
+    index.append(table(spark, texts[4:]), "doc_id", "text")
+    got = {(r["gram"], r["id"]) for r in index.postings(spark, grams).collect()}
+    assert got == {(g, i) for i, t, *_ in texts for g in grams if g in (t or "").lower()}
+    assert {r["gram"] for r in index.postings(spark, ["key"]).collect()} == {"key"}
+    rules = {r["id"]: r["rules"] for r in index.candidates(spark, queries_).collect()}
+    for k, (kind, query) in enumerate(queries_.items()):
+        holds = {i for i, t, *_ in texts if all(any(all(g in (t or "").lower() for g in grams) for grams in clause) for clause in query)}
+        assert {i for i, bits in rules.items() if bits >> k & 1} == holds, kind
+
+
 def test_secrets_without_broadcast(spark, awkward):
     rows = secrets.secret_report(awkward).toPandas()
     bound, secrets.BROADCAST_ROWS = secrets.BROADCAST_ROWS, -1
