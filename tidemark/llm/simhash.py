@@ -158,6 +158,8 @@ MET = 0.99
 #: Bits of a segment below the logarithm of the number of documents, and at least: a lookup meets some 2 ** FEWER_BITS
 #: unrelated fingerprints at any size.  Their first 64 bits, which travel along, rule out all but 2 of 1,000 at once.
 FEWER_BITS, LEAST_BITS = 3, 8
+#: Segments at least: few short ones cost little.
+LEAST_SEGMENTS = 10
 #: Bits of a wide fingerprint that belong to no segment, and its least width.
 APART, WIDE = 64, 256
 #: Shingle hashes that are kept of a text at most, by which the similarity of a pair is estimated, and standard errors of
@@ -168,8 +170,8 @@ LOW, DOUBT = 384, 5.0
 LOOSE, FIRM = 5.0, -2.0
 #: Members up to which all visitors of a segment's value are joined with them; fuller ones are compared in blocks of COMPARED.
 FEW, COMPARED = 64, 2_048
-#: Partners of a member that a round over full slots proposes at most; the last round (None) proposes all that are left.
-PROPOSED = (8, 64, 512, None)
+#: Partners of a member that a round over full slots proposes at most, until a round holds none back; None is no bound.
+PROPOSED = (32, 1_024, None)
 #: Texts, and pairs with their shingle hashes, that travel to Python at once.
 BATCH_ROWS = 1_000
 
@@ -227,7 +229,7 @@ def segment_count(bits: int, similarity: float) -> int:
     """Segments of so many bits of which, with the chance ``MET``, one differs in at most a bit between texts of a similarity."""
     share = differing_share(similarity)
     one = (1 - share) ** bits + bits * share * (1 - share) ** (bits - 1)
-    return math.ceil(math.log(1 - MET) / math.log1p(-one)) if one < MET else 1
+    return max(LEAST_SEGMENTS, math.ceil(math.log(1 - MET) / math.log1p(-one)))
 
 
 def _fingerprinted(docs: DataFrame, width: int, bits: int, n_segments: int, wide: int, id_col: str, text_col: str) -> DataFrame:
@@ -357,7 +359,10 @@ def _full_slots(scratch: Scratch, met: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def _proposed(scratch: Scratch, full: DataFrame, labels: DataFrame | None, cap: int | None, loose: int, firm: int) -> tuple[DataFrame, int]:
-    """Pairs of full slots that may be links, and how many: without labels a first forest, then close pairs of different labels."""
+    """Pairs of full slots that may be links, and for how many of them ``cap`` held others back.
+
+    Without labels a first forest, then close pairs of different labels.
+    """
     first = labels is None
     named = full.withColumn("label", F.col("node")) if first else full.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     grain = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
@@ -373,10 +378,12 @@ def _proposed(scratch: Scratch, full: DataFrame, labels: DataFrame | None, cap:
             found = spanning_roots(names[~member], words[~member], names[member], words[member], firm)
         else:
             found = unjoined(names[~member], words[~member], groups[~member], names[member], words[member], groups[member], loose, cap)
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+        held = found[2] if len(found) > 2 else np.zeros(len(found[0]), bool)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "held": pa.array(held, pa.bool_())})
 
-    found = left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "a long, b long")
-    return scratch.counted(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    found = left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "a long, b long, held boolean")
+    found = found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("held").alias("held"))
+    return scratch.counted(found, "proposed", F.col("held"))
 
 
 def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col: str, text_col: str, scratch: Scratch, keep: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -399,15 +406,16 @@ def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col:
     verifier = _Verifier(scratch, docs, nodes, _nodes_of(close).union(full.select("node")), width, similarity, text_col)
     links, tested, joined = verifier.links(close), close, None
     for cap in (0, *PROPOSED) if not full.isEmpty() else ():
-        found, n = _proposed(scratch, full, joined, cap, loose, firm)
-        if joined is not None and not n:
-            break
-        fresh_pairs, n = scratch.counted(found.join(tested, ["a", "b"], "left_anti"), "untested")
+        first = joined is None
+        found, held = _proposed(scratch, full, joined, cap, loose, firm)
+        fresh_pairs, n = scratch.counted(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "untested")
         tested = tested.union(fresh_pairs)
         if n:
             links = links.union(verifier.links(fresh_pairs))
-        if n or joined is None:
+        if n or first:
             joined = scratch.write(connected_components(links, scratch), "joined")
+        if not first and not held:
+            break
     if joined is None:
         joined = connected_components(links, scratch)
     placed = nodes.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
@@ -471,18 +479,20 @@ def spanning_roots(left: np.ndarray, left_words: np.ndarray, right: np.ndarray,
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def unjoined(left: np.ndarray, left_words: np.ndarray, left_labels: np.ndarray, right: np.ndarray, right_words: np.ndarray, right_labels: np.ndarray, most: int, cap: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (node, other) of ``most`` or fewer bits and different labels; of each node of ``right`` the ``cap`` closest."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def unjoined(left: np.ndarray, left_words: np.ndarray, left_labels: np.ndarray, right: np.ndarray, right_words: np.ndarray, right_labels: np.ndarray, most: int, cap: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (node, other) of ``most`` or fewer bits and different labels; of each node of ``right`` the ``cap`` closest, and whether it had more."""
+    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for name, one, label in zip(right, right_words, right_labels):
         other = np.flatnonzero(left_labels != label)
         bits = np.bitwise_count(left_words[other] ^ one).sum(axis=1, dtype=np.int64)
         near = other[bits <= most]
-        if cap is not None and len(near) > cap:
+        more = cap is not None and len(near) > cap
+        if more:
             near = near[np.lexsort((left[near], bits[bits <= most]))[:cap]]
         a.append(np.full(len(near), name, np.int64))
         b.append(left[near])
-    return np.concatenate(a), np.concatenate(b)
+        held.append(np.full(len(near), more))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(held)
 
 
 def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
