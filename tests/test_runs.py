@@ -43,6 +43,12 @@ def test_config(tmp_path):
     (tmp_path / "own.yaml").write_text("extends: base.yaml\nsplit: {gap: 3}\nselection: {families: [logistic]}\n")
     loaded = config.load(tmp_path / "own.yaml", {"data.ticker": None})
     assert loaded.split.gap == 3 and loaded.split.n_splits == 4 and loaded.selection.families == ("logistic",)
+    assert config.load(tmp_path / "own.yaml", {"split.gap": 5}).split.gap == 5
+    assert config.from_dict(config.asdict(loaded)) == loaded
+    for text in ("nothing: {x: 1}\n", "split: 3\n", "split: {gaps: 1}\n"):
+        (tmp_path / "bad.yaml").write_text(text)
+        with pytest.raises(ValueError):
+            config.load(tmp_path / "bad.yaml")
     (tmp_path / "deep.yaml").write_text("extends: own.yaml\n")
     with pytest.raises(ValueError):
         config.load(tmp_path / "deep.yaml")
@@ -85,18 +91,48 @@ def test_calendar():
     assert calendar.close_time(date(2024, 11, 29)).hour == 18
     assert calendar.last_completed(datetime(2026, 3, 5, 20, tzinfo=UTC)) == date(2026, 3, 4)
     assert calendar.next_session(date(2026, 3, 6)) == date(2026, 3, 9)
+    assert not calendar.is_session(date(2001, 9, 12)) and calendar.last_completed(datetime(2012, 10, 30, 23, tzinfo=UTC)) == date(2012, 10, 26)
     with pytest.raises(ValueError):
         calendar.close_time(date(2026, 3, 5), "NOWHERE")
 
 
+def test_calendar_as_a_table(spark):
+    rows = calendar.sessions(spark, date(2024, 11, 27), date(2024, 12, 2)).orderBy("session").collect()
+    assert [(str(r["session"]), r["close_utc"].hour) for r in rows] == [("2024-11-27", 21), ("2024-11-29", 18), ("2024-12-02", 21)]
+
+
+def test_open_bar_is_dropped(spark, tmp_path):
+    """The last bar goes while its session is open, by the calendar, unless the configuration says otherwise."""
+    rows = [("F", date(2026, 3, d), 1.0, 1.0, 1.0, 1.0, 1.0) for d in (3, 4, 5)]
+    panel = spark.createDataFrame(rows, "ticker string, session date, open double, high double, low double, close double, volume double")
+    at = lambda hour, **over: workflow.without_open_bar(panel, small(tmp_path, **over), datetime(2026, 3, 5, hour, tzinfo=UTC))
+    assert at(20)[0].count() == 2 and at(20)[1].drop and at(21)[0].count() == 3
+    assert at(20, **{"data.drop_last_incomplete": False})[0].count() == 3 and at(20, **{"data.end": "2026-03-06"})[0].count() == 3
+    held, facts = workflow.cached_panel(spark, small(tmp_path), lambda: panel, now=datetime(2026, 3, 5, 20, tzinfo=UTC))
+    assert held.count() == 2 and facts["partial_bar"]["drop"] and facts["cache"] == "miss"
+    held, facts = workflow.cached_panel(spark, small(tmp_path), lambda: None, now=datetime(2026, 3, 5, 22, tzinfo=UTC))
+    assert held.count() == 3 and facts["cache"] == "hit"  # what is cached is what was fetched
+    assert workflow.cache_path(small(tmp_path)) != workflow.cache_path(small(tmp_path, **{"data.auto_adjust": False}))
+    panel.limit(1).write.mode("overwrite").parquet(workflow.cache_path(small(tmp_path)))
+    with pytest.raises(artifacts.DigestMismatch):
+        workflow.cached_panel(spark, small(tmp_path), lambda: None)
+
+
+def test_frame_digest(spark):
+    df = spark.range(100).selectExpr("id", "id * 0.5 as x", "if(id % 7 = 0, null, cast(id as string)) as s")
+    assert artifacts.frame_digest(df) == artifacts.frame_digest(df.repartition(7).select("s", "id", "x"))
+    assert artifacts.frame_digest(df) != artifacts.frame_digest(df.where("id <> 5")) != artifacts.frame_digest(df.unionByName(df.limit(1)))
+
+
 def test_candidates():
     assert len(md.candidates(("logistic", "gradient_boosting"))) == 8
     assert md.Candidate("lstm", {"units": (32, 16), "lookback": 5}).name == "lstm[lookback=5,units=32x16]"
     with pytest.raises(ValueError):
         md.Candidate("nothing")
-    if not md.lstm_available():
-        with pytest.raises(ValueError):
-            md.candidates(("lstm",))
+    with pytest.raises(ValueError):
+        md.candidates(("lstm",))
+    assert all(c.family != "lstm" for c in md.candidates(("logistic", "lstm")))
+    assert md.Candidate("logistic", {"C": 0.1}).simplicity < md.Candidate("logistic", {"C": 1.0}).simplicity
 
 
 def test_logistic_is_the_penalised_minimum(spark):
@@ -113,18 +149,83 @@ def test_logistic_is_the_penalised_minimum(spark):
         p = 1 / (1 + np.exp(-z1 @ beta))
         grad = 0.5 * z1.T @ (w * (p - y)) + ridge * beta
         beta -= np.linalg.solve(0.5 * (z1 * (w * p * (1 - p))[:, None]).T @ z1 + np.diag(ridge), grad)
-    assert np.allclose([fitted.importance()[n] for n in "abc"], beta[:3], atol=1e-4)
-
-
-def test_workflow(spark, tmp_path):
-    c = small(tmp_path)
-    panel, facts = workflow.cached_panel(spark, c, lambda: panels.daily(spark, "/root/testdata/sf0.001"))
+    assert np.allclose([fitted.importance()[n] for n in "abc"], beta[:3], atol=1e-6)
+    large = md.fit(md.Candidate("logistic", {"C": 0.5, "balanced": True}), df, ["a", "b", "c"], local_rows=0)  # by pyspark.ml
+    assert large.local is None and np.allclose([large.importance()[n] for n in "abc"], beta[:3], atol=1e-4)
+    both = [{r["a"]: r["proba_up"] for r in f.score(df).collect()} for f in (fitted, large)]
+    assert all(abs(both[0][k] - both[1][k]) < 1e-4 for k in both[0])
+
+
+def test_missing_values_take_the_median(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] > 0).astype(int)
+    x[::9, 0] = np.nan
+    filled = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
+    a, b = (md.learn(md.Candidate("logistic", {"C": 1.0}), v, y.astype(float)) for v in (x, filled))
+    assert np.allclose(a["beta"], b["beta"])
+    rows = [(None if np.isnan(p) else float(p), float(q), int(t)) for (p, q), t in zip(x, y)]
+    df = spark.createDataFrame(rows, "a double, b double, target int")
+    for local in (1000, 0):
+        fitted = md.fit(md.Candidate("logistic", {"C": 1.0, "balanced": False}), df, ["a", "b"], local_rows=local)
+        assert fitted.score(df).where("proba_up is null").isEmpty()
+        assert abs(fitted.importance()["a"] - a["beta"][0]) < 1e-3
+
+
+def test_trees_learn_what_is_there():
+    """Boosting and forests against the truth, a stump against all splits, and missing values as a side of a split."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    x[rng.random(1500) < 0.1, 2] = np.nan
+    x[(y == 1) & (rng.random(1500) < 0.3), 3] = np.nan
+    train, held = slice(0, 1000), slice(1000, 1500)
+    for family, params in (("gradient_boosting", {"rate": 0.1, "leaves": 7, "rounds": 60}), ("random_forest", {"trees": 80, "depth": 6, "least": 10})):
+        model = md.learn(md.Candidate(family, params), x[train], y[train])
+        p = md.learners.probabilities(model, x[held])
+        assert ((p >= 0.5) == y[held]).mean() > 0.85 and ((p >= 0) & (p <= 1)).all(), family
+        shares = md.learners.importances(model, 4)
+        assert abs(sum(shares) - 1) < 1e-9 and shares[2] == min(shares)
+        assert model == md.learn(md.Candidate(family, params), x[train], y[train])  # the same again
+    one = md.learners.fit_boosting(x[:200, :2], y[:200], np.ones(200), rate=1.0, leaves=2, rounds=1, least=5, ridge=1.0)
+    start = y[:200].mean()
+    g, h = start - y[:200], np.full(200, start * (1 - start))
+    best = max((sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (x[:200, j] <= cut, x[:200, j] > cut)) for j in (0, 1) for cut in x[:200, j] if 5 <= (x[:200, j] <= cut).sum() <= 195))
+    assert abs(one["trees"][0]["gain"][0] - (best - g.sum() ** 2 / (h.sum() + 1))) < 1e-9
+    flat = md.learn(md.Candidate("gradient_boosting", {}), np.zeros((50, 2)), np.ones(50))
+    assert md.learners.probabilities(flat, np.zeros((3, 2))).min() > 0.99
+
+
+def test_workflow(spark, sf, tmp_path):
+    c = small(tmp_path, **{"threshold.tune_classification": True, "threshold.tune_trading": True, "paths.tables": str(tmp_path / "tables")})
+    panel, facts = workflow.cached_panel(spark, c, lambda: panels.load(spark, c.data.source, sf, c.data.ticker, c.data.start))
     assert facts["cache"] == "miss" and workflow.cached_panel(spark, c, lambda: None)[1]["cache"] == "hit"
     chosen = [md.Candidate("logistic", {"C": 1.0, "balanced": True}), md.Candidate("logistic", {"C": 0.01, "balanced": False})]
-    run = workflow.selection_stage(spark, panel, c, "r1", chosen)
+    run = workflow.selection_stage(spark, panel, c, "r1", chosen, facts)
+    decision = run.read_json("selection_decision.json")
+    assert decision["gate"]["model"] == decision["ranking"][0]["candidate"] == decision["winner"]["name"] and decision["gate"]["reason"]
+    assert {b["candidate"] for b in decision["baselines"]} >= {"majority_class", "always_up"} and {h["part"] for h in decision["holdout"]} == {"train", "validation", "test"}
+    assert set(decision["thresholds"]) == {"classification", "trading"} and all(0.3 <= t <= 0.7 for t in decision["thresholds"].values())
+    assert run.read_table(spark, "oof_predictions.parquet").count() > 0 and "metric" in run.read_table(spark, "fold_metrics.csv").columns
+    assert not run.exists("oof_predictions.parquet") and run.read_json("data_manifest.json")["source"]["sha256"] == facts["sha256"]
+    sink = workflow.processed_sink(workflow.build_rows(panel, c), c)
+    assert "features" in (tmp_path / "processed").joinpath(sink.rsplit("/", 1)[1].replace(".parquet", ".json")).read_text()
     assert not run.exists("final_test.json") and run.read_json("selection_decision.json")["development_only"]
     report = workflow.final_test(spark, panel, run)
-    assert {m["candidate"] for m in report["metrics"]} >= {"majority_class", "last_direction"} and run.exists("model_card.md")
+    assert {m["candidate"] for m in report["metrics"]} >= {"majority_class", "last_direction"}
+    assert {b["strategy"] for b in report["backtests"]} == {decision["winner"]["name"], "last_direction", "always_up", "always_active", "cash", "buy_and_hold"}
+    assert report["bootstrap_against_always_active"][0]["statistic"] == "mean_daily" and len(run.read_json("permutation_importance.json")) == len(decision["features"])
+    card = (run.path / "model_card.md").read_text()
+    assert all(h in card for h in ("## Baselines", "against the best baseline", "## Calibration", "## Provenance", run.lock().data_sha256))
+    assert run.lock().data_sha256 == run.read_json("data_manifest.json")["data_sha256"]
+    assert report["verdict"] in cli.final_text(report) and "buy_and_hold" in cli.final_text(report)
+    model = run.read_json("model.json")
+    run.write_json("model.json", {**model, "local": {**model["local"], "beta": [0.0]}})
+    with pytest.raises(artifacts.DigestMismatch):
+        workflow.load_model(run)
+    run.write_json("model.json", model)
+    with pytest.raises(artifacts.DigestMismatch):  # other rows than those of the selection
+        workflow.final_test(spark, panel.where("session < '1996-01-01'"), run, True, "other rows")
     with pytest.raises(artifacts.FinalTestDone):
         workflow.final_test(spark, panel, run)
     out = workflow.predict(spark, panel, run, str(panel.agg({"session": "max"}).first()[0]))

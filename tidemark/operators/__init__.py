@@ -1,0 +1,8 @@
+"""Operators of the panel engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to executors carry their code along, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -85,7 +85,21 @@ def economic_metrics(days: DataFrame, config: BacktestConfig = BacktestConfig())
     root = math.sqrt(config.days)
     last = lambda c: F.max_by(c, "session")
     n = F.count("*")
-    change = days.withColumn("changed", (F.col("position") != F.lag("position", 1, 0.0).over(_w())).cast("long"))
+    r = F.col("trade_return")
+    gains, losses = F.sum(F.when(r > 0, r)), F.sum(F.when(r < 0, -r))
+    of_trades = [
+        F.count(r).alias("n_trades"),
+        F.avg(r).alias("average_trade"),
+        F.median(r).alias("median_trade"),
+        ratio(F.count_if(r > 0).cast("double"), F.count(r)).alias("trade_win_rate"),
+        F.max(r).alias("best_trade"),
+        F.min(r).alias("worst_trade"),
+        ratio(F.coalesce(gains, F.lit(0.0)), losses).alias("profit_factor"),
+        F.when(F.count(r) > 0, losses.isNull() & gains.isNotNull()).alias("only_wins"),
+    ]
+    # trades of single sessions are counted in the same pass
+    daily_trades = config.mode == "next_open"
+    change = days.withColumns({"changed": (F.col("position") != F.lag("position", 1, 0.0).over(_w())).cast("long"), "trade_return": F.when(active, F.col("net_return"))})
     base = change.groupBy(*KEYS).agg(
         n.alias("n_sessions"),
         (last("equity") - 1).alias("cumulative_return"),
@@ -101,20 +115,12 @@ def economic_metrics(days: DataFrame, config: BacktestConfig = BacktestConfig())
         (F.count_if(active) / n).alias("exposure"),
         F.avg("position").alias("average_position"),
         F.sum("cost").alias("total_cost"),
-        ratio(F.sum("cost"), F.count_if(active)).alias("cost_per_active"),
-    )
-    r = F.col("trade_return")
-    gains, losses = F.sum(F.when(r > 0, r)), F.sum(F.when(r < 0, -r))
-    done = trades(days, config).groupBy(*KEYS).agg(
-        n.alias("n_trades"),
-        F.avg(r).alias("average_trade"),
-        F.median(r).alias("median_trade"),
-        (F.count_if(r > 0) / n).alias("trade_win_rate"),
-        F.max(r).alias("best_trade"),
-        F.min(r).alias("worst_trade"),
-        ratio(F.coalesce(gains, F.lit(0.0)), losses).alias("profit_factor"),
-        (losses.isNull() & gains.isNotNull()).alias("only_wins"),
+        F.coalesce(ratio(F.sum("cost"), F.count_if(active)), F.lit(0.0)).alias("cost_per_active"),
+        *(of_trades if daily_trades else []),
     )
+    if daily_trades:
+        return base
+    done = trades(days, config).groupBy(*KEYS).agg(*of_trades)
     return base.join(done, list(KEYS), "left").fillna(0, subset=["n_trades"])
 
 
@@ -138,6 +144,12 @@ def buy_and_hold(panel: DataFrame, index: DataFrame) -> DataFrame:
     return held.select(F.lit("buy_and_hold").alias("strategy"), "ticker", "session", F.lit(1.0).alias("position"), F.coalesce("future_return", F.lit(0.0)).alias("future_return"))
 
 
+def rules(predicted: DataFrame, names: tuple[str, ...] = ("last_direction", "always_up")) -> DataFrame:
+    """Positions of baselines that trade their own hard ``prediction``, which is what they assert."""
+    own = predicted.where(F.col("candidate").isin(list(names)))
+    return own.select(F.col("candidate").alias("strategy"), "ticker", "session", F.col("prediction").cast("double").alias("position"), "future_return")
+
+
 def strategies(scored: DataFrame, config: BacktestConfig = BacktestConfig()) -> DataFrame:
     """One position panel from scored rows (``candidate`` becomes the strategy), with the always-active and cash rules."""
     columns = ("strategy", "ticker", "session", "position", "future_return")

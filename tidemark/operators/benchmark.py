@@ -23,14 +23,16 @@ def lost_sessions(asset: DataFrame, bench: DataFrame) -> DataFrame:
 def alignment_audit(asset: DataFrame, bench: DataFrame, shown: int = 50) -> DataFrame:
     """One row: sessions before and after, the share lost, and the first ``shown`` lost ones."""
     marked = asset.join(bench.withColumn("met", F.lit(True)), "session", "left")
-    lost = F.when(F.col("met").isNull(), F.col("session").cast("string"))
-    return marked.agg(
+    first = marked.where("met is null").select(F.col("session").cast("string").alias("lost")).orderBy("lost").limit(shown)
+    listed = first.agg(F.array_join(F.array_sort(F.collect_list("lost")), ",").alias("lost_sessions"), F.lit(1).alias("_one"))
+    counts = marked.agg(
+        F.lit(1).alias("_one"),
         F.count("*").alias("n_before"),
         F.count("met").alias("n_after"),
         F.count_if(F.col("met").isNull()).alias("n_lost"),
         F.try_divide(F.count_if(F.col("met").isNull()).cast("double"), F.count("*")).alias("lost_share"),
-        F.array_join(F.slice(F.array_sort(F.collect_list(lost)), 1, shown), ",").alias("lost_sessions"),
     )
+    return counts.join(listed, "_one").drop("_one")
 
 
 def align_checked(asset: DataFrame, bench: DataFrame, most_lost: float = 0.02) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Moving-block bootstrap of return series as joins and aggregations: resamples run in parallel."""
+"""Moving-block bootstrap of return series.
+
+A resample's statistics are sums over its blocks, and a block's sums are two
+lookups in running sums, so no resample is ever spelled out: work is draws x
+blocks, not draws x rows.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
@@ -45,10 +50,41 @@ def statistics(values: DataFrame, keys: tuple[str, ...], days: int = 252) -> Dat
 STATISTICS = ("mean_daily", "annualized", "sharpe")
 
 
+def _running(series: DataFrame) -> DataFrame:
+    """``key, n`` and arrays of running sums (a zero first): values, squares, log growth and days of ruin.
+
+    A series is as long as its sessions, so one row holds it.
+    """
+    v = F.col("value")
+    upto = Window.partitionBy("key").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"p1": v, "p2": v * v, "pl": F.when(v > -1, F.ln(v + 1)).otherwise(0.0), "pw": F.when(v <= -1, 1.0).otherwise(0.0)}
+    run = series.select("key", "idx", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
+    rows = run.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", *sums))).alias("r"))
+    zero = F.array(F.lit(0.0))
+    return rows.select("key", "n", *[F.concat(zero, F.col(f"r.{n}")).alias(n) for n in sums])
+
+
+def draw_statistics(series: DataFrame, n_samples: int = 2000, block: int = 20, seed: int = 42, days: int = 252) -> DataFrame:
+    """``key, sample`` and the statistics of each resample of ``key, idx, value``; draws are those of :func:`block_starts`."""
+    r = _running(series).withColumn("length", F.greatest(F.lit(1), F.least(F.lit(block), F.col("n"))).cast("int"))
+    r = r.withColumn("blocks", F.ceil(F.col("n") / F.col("length")).cast("int"))
+    start = f"cast(floor(cast(conv(substring(md5(concat_ws(':', '{seed}', cast(s as string), cast(b as string))), 1, 8), 16, 10) as double) / 4294967296D * (n - length + 1)) as int)"
+    size = "cast(least(length, n - b * length) as int)"
+    picks = f"transform(sequence(0, blocks - 1), b -> named_struct('a', {start}, 'z', {start} + {size}))"
+    total = lambda p: f"aggregate(x.picks, 0D, (acc, y) -> acc + {p}[y.z] - {p}[y.a])"
+    sampled = r.withColumn("drawn", F.expr(f"transform(sequence(0, {n_samples - 1}), s -> named_struct('sample', s, 'picks', {picks}))"))
+    sums = sampled.select("key", "n", F.explode(F.expr(f"transform(drawn, x -> named_struct('sample', x.sample, 's1', {total('p1')}, 's2', {total('p2')}, 'sl', {total('pl')}, 'sw', {total('pw')}))")).alias("d")).select("key", "n", "d.*")
+    mean = F.col("s1") / F.col("n")
+    spread = F.col("s2") - F.col("s1") * mean
+    # running sums of an unchanging series differ from it in the last bits
+    deviation = F.when((F.col("n") > 1) & (spread > 1e-12 * F.col("s2")), F.sqrt(spread / (F.col("n") - 1)))
+    return sums.select("key", "sample", mean.alias("mean_daily"), F.when(F.col("sw") < 0.5, F.exp(F.col("sl") * days / F.col("n")) - 1).alias("annualized"), (ratio(mean, deviation) * math.sqrt(days)).alias("sharpe"))
+
+
 def block_bootstrap(series: DataFrame, n_samples: int = 2000, block: int = 20, seed: int = 42, level: float = 0.95, days: int = 252) -> DataFrame:
     """Point, percentile interval and share above zero of each statistic of ``key, idx, value``."""
     long = lambda df: df.select("key", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in STATISTICS])).alias("x")).select("key", "x.*")
-    draws = long(statistics(resampled(series, n_samples, block, seed), ("key", "sample"), days))
+    draws = long(draw_statistics(series, n_samples, block, seed, days))
     tail = (1 - level) / 2
     spread = draws.groupBy("key", "statistic").agg(
         F.count("v").alias("n_draws"), F.percentile("v", F.lit(tail)).alias("low"), F.percentile("v", F.lit(1 - tail)).alias("high"), F.avg((F.col("v") > 0).cast("double")).alias("above_zero")
@@ -58,10 +94,10 @@ def block_bootstrap(series: DataFrame, n_samples: int = 2000, block: int = 20, s
 
 
 def bootstrap_difference(a: DataFrame, b: DataFrame, **how) -> DataFrame:
-    """Paired bootstrap of the mean of a - b over shared sessions (``key, session, value`` each)."""
-    from pyspark.sql import Window
-
+    """Paired bootstrap of the mean of a - b over shared sessions (``key, session, value`` each); none shared is an error."""
     both = a.withColumnRenamed("value", "va").join(b.withColumnRenamed("value", "vb"), ["key", "session"])
+    if both.isEmpty():
+        raise ValueError("the series share no session")
     idx = (F.row_number().over(Window.partitionBy("key").orderBy("session")) - 1).cast("long")
     series = both.select("key", idx.alias("idx"), (F.col("va") - F.col("vb")).alias("value"))
     return block_bootstrap(series, **how).where("statistic = 'mean_daily'")

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Folds up to this many are broadcast (some 50 bytes each).
+BROADCAST_FOLDS = 200_000
+
+
 @dataclass(frozen=True)
 class SplitConfig:
     train: float = 0.60
@@ -46,6 +50,27 @@ def holdout(sizes: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
     return sizes.select("ticker", F.explode(parts).alias("p")).select("ticker", "p.*")
 
 
+def holdout_spans(rows: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
+    """First and last session and number of rows of each part of :func:`holdout`, over a dataset with ``row_idx``."""
+    parts = holdout(rows.groupBy("ticker").agg(F.count("*").alias("n_rows")), config)
+    held = rows.join(small(parts), "ticker").where((F.col("row_idx") >= F.col("start")) & (F.col("row_idx") < F.col("end")))
+    return held.groupBy("ticker", "part").agg(F.min("session").alias("first_session"), F.max("session").alias("last_session"), F.count("*").alias("n"))
+
+
+def assert_holdout_causal(parts: list[dict], gap: int = 0) -> None:
+    """Train, validation and test of each ticker (rows of :func:`holdout`) follow each other, ``gap`` rows apart, none empty."""
+    by_ticker: dict[str, dict[str, dict]] = {}
+    for p in parts:
+        by_ticker.setdefault(p["ticker"], {})[p["part"]] = p
+    for ticker, of in by_ticker.items():
+        for name, p in of.items():
+            if p["end"] <= p["start"]:
+                raise ValueError(f"{ticker}: the {name} part is empty")
+        for a, b in (("train", "validation"), ("validation", "test")):
+            if of[b]["start"] < of[a]["end"] + gap:
+                raise ValueError(f"{ticker}: {b} does not follow {a} by {gap} rows")
+
+
 def walk_forward(sizes: DataFrame, config: SplitConfig = SplitConfig(), least_train: int | None = None) -> DataFrame:
     """Expanding folds over ``ticker, n_rows``: fold i trains on [0, train_end) and is evaluated on [eval_start, eval_end).
 
@@ -64,7 +89,12 @@ def development_folds(rows: DataFrame, config: SplitConfig = SplitConfig()) -> D
     """Folds within the development part of a dataset with ``row_idx`` and ``n_rows``."""
     sizes = rows.groupBy("ticker").agg(F.count("*").alias("n_rows"))
     dev = bounds(sizes, config).select("ticker", F.col("dev_end").alias("n_rows"))
-    return walk_forward(dev, config)
+    return small(walk_forward(dev, config))
+
+
+def small(folds: DataFrame) -> DataFrame:
+    """Folds to be broadcast where they are few (some rows a ticker): the rows beside them may have few, hot tickers."""
+    return F.broadcast(folds) if folds.count() <= BROADCAST_FOLDS else folds
 
 
 def fold_rows(rows: DataFrame, folds: DataFrame, part: str) -> DataFrame:

@@ -1,0 +1,230 @@
+"""Learners in NumPy for tables that fit a task: many of them are fitted side by side, one group of rows each.
+
+A model is a plain dictionary of lists, so that it travels as JSON.
+"""
+
+from __future__ import annotations
+
+from typing import Any
+
+import numpy as np
+
+#: Bins of a feature; one more holds missing values.
+BINS = 255
+#: Least sum of second derivatives on either side of a split.
+LEAST_CURVE = 1e-3
+
+
+def class_weights(y: np.ndarray, balanced: bool) -> np.ndarray:
+    """One for each row, or n / (2 * rows of its class)."""
+    up = int(y.sum())
+    if not balanced or not 0 < up < len(y):
+        return np.ones(len(y))
+    return np.where(y == 1, len(y) / (2.0 * up), len(y) / (2.0 * (len(y) - up)))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
+
+
+# ---- logistic regression ----
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> dict[str, Any]:
+    """The minimum of C * weighted log loss + half the squared coefficients (not the intercept), by damped Newton steps.
+
+    Missing values take their feature's median, and features are scaled by mean
+    and population deviation; both are part of the model.
+    """
+    median = np.array([np.median(v[~np.isnan(v)]) if (~np.isnan(v)).any() else 0.0 for v in x.T])
+    filled = np.where(np.isnan(x), median, x)
+    mean, scale = filled.mean(axis=0), filled.std(axis=0)
+    scale = np.where(scale > 0, scale, 1.0)
+    z = np.column_stack(((filled - mean) / scale, np.ones(len(x))))
+    ridge = np.append(np.ones(x.shape[1]), 0.0)
+    beta = np.zeros(z.shape[1])
+
+    def loss(b: np.ndarray) -> float:
+        m = z @ b
+        return c * float(weight @ (np.logaddexp(0, m) - y * m)) + 0.5 * float(ridge @ b**2)
+
+    now = loss(beta)
+    for _ in range(100):
+        p = _sigmoid(z @ beta)
+        slope = c * z.T @ (weight * (p - y)) + ridge * beta
+        curve = c * (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-12)
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while (after := loss(beta - size * step)) > now and size > 1e-8:
+            size /= 2
+        beta, before, now = beta - size * step, now, after
+        if np.abs(slope).max() < 1e-9 or before - now <= 1e-14 * abs(now):
+            break
+    return {"kind": "logistic", "median": median.tolist(), "mean": mean.tolist(), "scale": scale.tolist(), "beta": beta.tolist()}
+
+
+# ---- trees over binned features ----
+
+
+def bin_edges(x: np.ndarray) -> list[np.ndarray]:
+    """Upper edges of each feature's bins: its distinct values, or quantiles where they are more than the bins."""
+    out = []
+    for v in x.T:
+        values = np.unique(v[~np.isnan(v)])
+        if len(values) > BINS:
+            values = np.unique(np.quantile(v[~np.isnan(v)], np.linspace(0, 1, BINS + 1)[1:-1]))
+            out.append(values)
+        else:
+            out.append((values[:-1] + values[1:]) / 2)
+    return out
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Bin numbers; BINS stands for a missing value."""
+    out = np.empty(x.shape, np.int64)
+    for j, e in enumerate(edges):
+        out[:, j] = np.where(np.isnan(x[:, j]), BINS, np.searchsorted(e, x[:, j], "left"))
+    return out
+
+
+def _histogram(rows: np.ndarray, of: np.ndarray, features: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Sums of g, h and counts by (feature, bin) over some rows."""
+    width = BINS + 1
+    flat = (of[rows][:, features] + np.arange(len(features)) * width).ravel()
+    size, k = len(features) * width, len(features)
+    parts = [np.bincount(flat, np.repeat(g[rows], k), size), np.bincount(flat, np.repeat(h[rows], k), size), np.bincount(flat, minlength=size)]
+    return np.array(parts).reshape(3, k, width)
+
+
+def _best_split(hist: np.ndarray, least: int, ridge: float) -> tuple[float, int, int, bool] | None:
+    """Gain, feature, last bin that goes left, and whether missing values go left."""
+    total = hist[:, 0].sum(axis=1)
+    score = lambda g, h: g**2 / (h + ridge)
+    best = None
+    below = np.cumsum(hist[:, :, :BINS], axis=2)
+    for missing_left in (False, True) if hist[2, :, BINS].any() else (False,):
+        left = below + hist[:, :, BINS:] if missing_left else below
+        right = total[:, None, None] - left
+        fine = (left[2] >= least) & (right[2] >= least) & (left[1] >= LEAST_CURVE) & (right[1] >= LEAST_CURVE)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(fine, score(left[0], left[1]) + score(right[0], right[1]) - score(total[0], total[1]), -np.inf)
+        at = int(gain.argmax())
+        if gain.flat[at] > 1e-12 and (best is None or gain.flat[at] > best[0]):
+            best = (float(gain.flat[at]), at // BINS, at % BINS, missing_left)
+    return best
+
+
+def _grow(of: np.ndarray, g: np.ndarray, h: np.ndarray, leaves: int, depth: int, least: int, ridge: float, pick: Any = None) -> tuple[dict[str, list], np.ndarray]:
+    """A tree that splits the leaf of greatest gain until it has ``leaves``; nodes as lists, and the leaf of each row.
+
+    ``pick`` draws the features that a node may split on (all without it).
+    """
+    every = np.arange(of.shape[1])
+    tree: dict[str, list] = {"feature": [-1], "bin": [0], "missing": [False], "left": [0], "right": [0], "gain": [0.0]}
+    node_of = np.zeros(len(of), np.int64)
+
+    def look(node: int, rows: np.ndarray, level: int) -> tuple | None:
+        if level >= depth or len(rows) < 2 * least:
+            return None
+        features = every if pick is None else pick()
+        split = _best_split(_histogram(rows, of, features, g, h), least, ridge)
+        return None if split is None else (split[0], node, rows, level, int(features[split[1]]), split[2], split[3])
+
+    first = look(0, np.arange(len(of)), 0)
+    open_ = [first] if first else []
+    n_leaves = 1
+    while open_ and n_leaves < leaves:
+        k = max(range(len(open_)), key=lambda i: (open_[i][0], -open_[i][1]))
+        gain, node, rows, level, feature, at, missing_left = open_.pop(k)
+        value = of[rows, feature]
+        goes_left = np.where(value == BINS, missing_left, value <= at)
+        kids = []
+        for side in (rows[goes_left], rows[~goes_left]):
+            kids.append(len(tree["feature"]))
+            for name, empty in (("feature", -1), ("bin", 0), ("missing", False), ("left", 0), ("right", 0), ("gain", 0.0)):
+                tree[name].append(empty)
+            node_of[side] = kids[-1]
+        for name, v in (("feature", feature), ("bin", at), ("missing", missing_left), ("left", kids[0]), ("right", kids[1]), ("gain", gain)):
+            tree[name][node] = v
+        n_leaves += 1
+        for kid, side in zip(kids, (rows[goes_left], rows[~goes_left])):
+            if found := look(kid, side, level + 1):
+                open_.append(found)
+    return tree, node_of
+
+
+def _leaf_of(tree: dict[str, list], of: np.ndarray) -> np.ndarray:
+    feature, at, missing, left, right = (np.array(tree[k]) for k in ("feature", "bin", "missing", "left", "right"))
+    node = np.zeros(len(of), np.int64)
+    while True:
+        inner = np.flatnonzero(feature[node] >= 0)
+        if not len(inner):
+            return node
+        n = node[inner]
+        value = of[inner, feature[n]]
+        node[inner] = np.where(np.where(value == BINS, missing[n], value <= at[n]), left[n], right[n])
+
+
+def fit_boosting(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float = 0.05, leaves: int = 15, rounds: int = 200, least: int = 40, ridge: float = 1.0) -> dict[str, Any]:
+    """Gradient boosting of log loss: leaf-wise trees over histograms, L2 on leaf values, missing values as a side of each split."""
+    edges = bin_edges(x)
+    of = binned(x, edges)
+    share = float(np.clip((weight @ y) / max(weight.sum(), 1e-12), 1e-6, 1 - 1e-6))
+    start = float(np.log(share / (1 - share)))
+    raw, trees = np.full(len(y), start), []
+    for _ in range(rounds):
+        p = _sigmoid(raw)
+        g, h = weight * (p - y), weight * p * (1 - p)
+        tree, node_of = _grow(of, g, h, leaves, 1 << 30, least, ridge)
+        n = len(tree["feature"])
+        value = -rate * np.bincount(node_of, g, n) / (np.bincount(node_of, h, n) + ridge)
+        tree["value"] = value.tolist()
+        raw += value[node_of]
+        trees.append(tree)
+    return {"kind": "boosting", "edges": [e.tolist() for e in edges], "start": start, "trees": trees}
+
+
+def fit_forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 400, depth: int = 6, least: int = 30, seed: int = 42) -> dict[str, Any]:
+    """Random forest: bootstrap rows, a root of the features at each node, splits by Gini impurity, mean leaf shares."""
+    rng = np.random.default_rng(seed)
+    edges = bin_edges(x)
+    of = binned(x, edges)
+    n_features = max(1, int(np.sqrt(x.shape[1])))
+    grown = []
+    for _ in range(trees):
+        rows = rng.integers(len(y), size=len(y))
+        w, t = weight[rows], y[rows]
+        # with g = w * y and h = w, the gain of squares over h is the fall of weighted Gini impurity
+        tree, node_of = _grow(of[rows], w * t, w, 1 << 30, depth, least, 0.0, lambda: np.sort(rng.choice(x.shape[1], n_features, replace=False)))
+        n = len(tree["feature"])
+        total = np.bincount(node_of, w, n)
+        tree["value"] = np.divide(np.bincount(node_of, w * t, n), total, out=np.zeros(n), where=total > 0).tolist()
+        grown.append(tree)
+    return {"kind": "forest", "edges": [e.tolist() for e in edges], "trees": grown}
+
+
+# ---- any model ----
+
+
+def probabilities(model: dict[str, Any], x: np.ndarray) -> np.ndarray:
+    """Probability of a rise of each row."""
+    if model["kind"] == "logistic":
+        filled = np.where(np.isnan(x), model["median"], x)
+        z = (filled - np.array(model["mean"])) / np.array(model["scale"])
+        beta = np.array(model["beta"])
+        return _sigmoid(z @ beta[:-1] + beta[-1])
+    of = binned(x, [np.array(e) for e in model["edges"]])
+    leaves = [np.array(t["value"])[_leaf_of(t, of)] for t in model["trees"]]
+    if model["kind"] == "boosting":
+        return _sigmoid(model["start"] + np.sum(leaves, axis=0)) if leaves else np.full(len(x), _sigmoid(np.array(model["start"])))
+    return np.mean(leaves, axis=0)
+
+
+def importances(model: dict[str, Any], n_features: int) -> list[float]:
+    """Coefficients, or each feature's share of the gains of all splits."""
+    if model["kind"] == "logistic":
+        return list(model["beta"][:-1])
+    total = np.zeros(n_features)
+    for t in model["trees"]:
+        inner = np.array(t["feature"]) >= 0
+        np.add.at(total, np.array(t["feature"])[inner], np.array(t["gain"])[inner])
+    return (total / total.sum() if total.sum() > 0 else total).tolist()

@@ -7,6 +7,9 @@ rows, and order scores in a shuffle by group.
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,31 +17,55 @@ from ..functions.numeric import clip, ratio
 
 KEYS = ("candidate", "ticker", "fold")
 METRICS = ("accuracy", "balanced_accuracy", "f1_macro", "precision_up", "recall_up", "mcc", "brier", "log_loss", "roc_auc", "pr_auc")
-T_975 = {1: 12.706204736, 2: 4.302652730, 3: 3.182446305, 4: 2.776445105, 5: 2.570581836, 6: 2.446911851, 7: 2.364624252, 8: 2.306004135, 9: 2.262157163}
+#: Degrees of freedom up to which a t quantile is taken from a table of exact ones; beyond, from its expansion.
+MOST_DEGREES = 200
 
 
 def t_quantile(degrees: int, level: float = 0.95) -> float:
-    """Two-sided Student t quantile, by bisection of the distribution function (no SciPy)."""
-    import math
-
-    goal = 0.5 + level / 2
-    scale = math.exp(math.lgamma((degrees + 1) / 2) - math.lgamma(degrees / 2)) / math.sqrt(degrees * math.pi)
-
-    def below(t: float) -> float:
-        steps = 2000
-        h = t / steps
-        f = [scale * (1 + (i * h) ** 2 / degrees) ** (-(degrees + 1) / 2) for i in range(steps + 1)]
-        return 0.5 + h / 3 * (f[0] + f[-1] + 4 * sum(f[1:-1:2]) + 2 * sum(f[2:-1:2]))
+    """Two-sided Student t quantile: bisection of the distribution function, which is a finite sum (no SciPy)."""
+
+    def inside(t: float) -> float:
+        """Chance of a value between -t and t."""
+        angle = math.atan(t / math.sqrt(degrees))
+        square = math.cos(angle) ** 2
+        if degrees % 2:
+            term, total = math.cos(angle), 0.0
+            for k in range(1, (degrees - 1) // 2 + 1):
+                total += term
+                term *= square * 2 * k / (2 * k + 1)
+            return 2 / math.pi * (angle + math.sin(angle) * total)
+        term, total = 1.0, 0.0
+        for k in range(1, degrees // 2 + 1):
+            total += term
+            term *= square * (2 * k - 1) / (2 * k)
+        return math.sin(angle) * total
 
     low, high = 0.0, 1.0
-    while below(high) < goal and high < 1e6:
+    while inside(high) < level:
         low, high = high, high * 2
-    for _ in range(70):
+    for _ in range(80):
         middle = (low + high) / 2
-        low, high = (middle, high) if below(middle) < goal else (low, middle)
+        low, high = (middle, high) if inside(middle) < level else (low, middle)
     return (low + high) / 2
 
 
+def t_column(degrees: Column, level: float = 0.95) -> Column:
+    """The quantile as an expression over degrees of freedom: table, then Fisher's expansion about the normal one."""
+    table = F.array(*[F.lit(t_quantile(d, level)) for d in range(1, MOST_DEGREES + 1)])
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    terms = [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    n = degrees.cast("double")
+    far = F.lit(z)
+    for k, term in enumerate(terms, 1):
+        far = far + F.lit(term) / F.pow(n, F.lit(float(k)))
+    return F.when(degrees < 1, None).when(degrees <= MOST_DEGREES, F.get(table, (degrees - 1).cast("int"))).otherwise(far)
+
+
 def _sum(test: Column) -> Column:
     return F.count_if(test).cast("double")
 
@@ -121,17 +148,15 @@ def long_metrics(suite: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return suite.select(*keys, each.alias("m")).select(*keys, "m.*")
 
 
-def t_interval(values: DataFrame, keys: tuple[str, ...], value: str = "value", level: float = 0.95, most: int = 30) -> DataFrame:
+def t_interval(values: DataFrame, keys: tuple[str, ...], value: str = "value", level: float = 0.95) -> DataFrame:
     """Mean, sample deviation, extremes and Student interval of finite values.
 
-    One value has deviation zero and no interval; none has nothing.  Beyond
-    ``most`` degrees of freedom the quantile of ``most`` is used, which is wider.
+    One value has deviation zero and no interval; none has nothing.
     """
     x = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
-    table = F.create_map(*[c for d in range(1, most + 1) for c in (F.lit(d), F.lit(round(t_quantile(d, level), 9)))])
     a = values.groupBy(*keys).agg(F.count(x).alias("n_values"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("s"), F.min(x).alias("least"), F.max(x).alias("greatest"))
     n = F.col("n_values")
-    half = F.when(n > 1, F.try_element_at(table, F.least(n - 1, F.lit(most)).cast("int")) * F.col("s") / F.sqrt(n))
+    half = F.when(n > 1, t_column(n - 1, level) * F.col("s") / F.sqrt(n))
     return a.select(*keys, "n_values", "mean", F.when(n == 1, 0.0).otherwise(F.col("s")).alias("std"), "least", "greatest", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
 
 

@@ -1,17 +1,20 @@
-"""Model candidates on walk-forward folds, with pyspark.ml.
+"""Model candidates on walk-forward folds.
 
-Scaling statistics come from each fold's train part only.  Fits of different
-candidates, tickers and folds are independent jobs, run from a small pool of
-driver threads.
+Every (candidate, ticker, fold) is a group of its own: all of them are fitted
+by one job, a group a task.  A train part beyond ``LOCAL_ROWS``, which no panel
+of sessions has, is fitted by pyspark.ml instead.  Medians and scaling come
+from each train part only.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,11 +22,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import fold_rows
+from . import learners
+from .folds import small
+from .ranking import Standing
 
 #: Order of the families by complexity, the tie-break of the ranking.
 COMPLEXITY = {"logistic": 1, "random_forest": 2, "gradient_boosting": 3, "lstm": 4}
-#: Training rows that one task handles in an iteration, at least.
+#: Training rows up to which a model is fitted within one task (some 120 MB of features).
+LOCAL_ROWS = 500_000
+#: Training rows that one task of pyspark.ml handles in an iteration, at least.
 ROWS_A_PARTITION = 100_000
 #: Parameter grids by family.
 GRIDS: dict[str, list[dict[str, Any]]] = {
@@ -63,23 +70,40 @@ class Candidate:
         return (float(sum(p.get("units", ()))), float(p.get("lookback", 0)))
 
 
+    @property
+    def standing(self) -> Standing:
+        return Standing(COMPLEXITY[self.family], self.simplicity)
+
+    @property
+    def balanced(self) -> bool:
+        return bool(self.params.get("balanced", self.family == "random_forest"))
+
+
 def lstm_available() -> bool:
-    """Whether the library that the recurrent family needs can be imported."""
-    try:
-        import tensorflow  # noqa: F401
-    except Exception:
-        return False
-    return True
+    """Whether the recurrent family can be fitted; it has no learner here."""
+    return False
 
 
 def candidates(families: tuple[str, ...] = ("logistic", "gradient_boosting")) -> list[Candidate]:
-    """All settings of the families; the recurrent one is left out where its library is missing."""
+    """All settings of the families; the recurrent one is left out, as it has no learner."""
     out = [Candidate(f, p) for f in families for p in (GRIDS[f] if f in GRIDS else [{}]) if f != "lstm" or lstm_available()]
     if not out:
         raise ValueError("no candidates")
     return out
 
 
+def learn(candidate: Candidate, x: np.ndarray, y: np.ndarray, seed: int = 42) -> dict[str, Any]:
+    """Fit a candidate within this process."""
+    p, weight = candidate.params, learners.class_weights(y, candidate.balanced)
+    if candidate.family == "logistic":
+        return learners.fit_logistic(x, y, weight, float(p.get("C", 1.0)))
+    if candidate.family == "gradient_boosting":
+        return learners.fit_boosting(x, y, weight, float(p.get("rate", 0.05)), int(p.get("leaves", 15)), int(p.get("rounds", 200)), int(p.get("least", 40)), float(p.get("l2", 1.0)))
+    if candidate.family == "random_forest":
+        return learners.fit_forest(x, y, weight, int(p.get("trees", 400)), int(p.get("depth", 6)), int(p.get("least", 30)), seed)
+    raise ValueError(f"{candidate.family} has no learner here")
+
+
 def estimator(candidate: Candidate, total_weight: float, seed: int = 42) -> Any:
     """The pyspark.ml estimator of a candidate.
 
@@ -122,75 +146,140 @@ def scaled(rows: DataFrame, scales: dict[str, tuple[float, float]]) -> DataFrame
 
 @dataclass
 class Fitted:
-    """A fitted model with the scaling of its train part."""
+    """A fitted model: ``local`` is one of :mod:`learners`, ``model`` one of pyspark.ml with the medians and scaling of its train part."""
 
     candidate: Candidate
     names: list[str]
-    scales: dict[str, tuple[float, float]]
-    model: PipelineModel
+    local: dict[str, Any] | None = None
+    model: PipelineModel | None = None
+    medians: dict[str, float] = field(default_factory=dict)
+    scales: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Rows with ``proba_up``."""
-        moved = scaled(rows.select("*", *[F.col(n).alias(f"_raw_{n}") for n in self.names]), self.scales)
-        out = self.model.transform(moved).withColumn("proba_up", vector_to_array("probability")[1])
+        if self.local is not None:
+            local = self.local
+
+            @F.pandas_udf("double")
+            def proba(*columns: pd.Series) -> pd.Series:
+                return pd.Series(learners.probabilities(local, np.column_stack([c.to_numpy(np.float64) for c in columns])))
+
+            return rows.withColumn("proba_up", proba(*self.names))
+        filled = rows.select("*", *[F.col(n).alias(f"_raw_{n}") for n in self.names]).fillna(self.medians)
+        out = self.model.transform(scaled(filled, self.scales)).withColumn("proba_up", vector_to_array("probability")[1])
         out = out.drop("features", "rawPrediction", "probability", "prediction", *self.names)
         return out.withColumnsRenamed({f"_raw_{n}": n for n in self.names})
 
     def importance(self) -> dict[str, float]:
-        """Coefficients or impurity importances by feature."""
+        """Coefficients or shares of the splits' gains by feature."""
+        if self.local is not None:
+            return dict(zip(self.names, learners.importances(self.local, len(self.names))))
         last = self.model.stages[-1]
         values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
         return dict(zip(self.names, map(float, values.toArray())))
 
 
-def fit(candidate: Candidate, train: DataFrame, names: list[str], seed: int = 42) -> Fitted:
-    """Fit a candidate on ``train`` (features of ``names`` and ``target``)."""
-    balanced = bool(candidate.params.get("balanced", candidate.family == "random_forest"))
-    rows, total = weighted(train, balanced)
-    scales = scaling(train, names)
+def _arrays(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return pdf[names].to_numpy(np.float64), pdf["target"].to_numpy(np.float64)
+
+
+def fit(candidate: Candidate, train: DataFrame, names: list[str], seed: int = 42, local_rows: int = LOCAL_ROWS) -> Fitted:
+    """Fit a candidate on ``train`` (features of ``names``, which may be null, and ``target``)."""
+    train = train.select(*names, F.col("target").cast("double").alias("target"), *[c for c in ("ticker", "session") if c in train.columns])
+    if train.count() <= local_rows:
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([c for c in ("ticker", "session") if c in pdf.columns] or names, kind="stable")
+            return pd.DataFrame({"model": [json.dumps(learn(candidate, *_arrays(pdf, names), seed))]})
+
+        return Fitted(candidate, names, json.loads(train.groupBy(F.lit("all")).applyInPandas(one, "model string").first()["model"]))
+    rows, total = weighted(train, candidate.balanced)
+    row = train.agg(*[F.median(n).alias(n) for n in names]).first()
+    medians = {n: row[n] if row[n] is not None else 0.0 for n in names}
+    filled = rows.fillna(medians)
+    scales = scaling(filled, names)
     # every iteration is a job over all partitions: few rows go into few
-    moved = scaled(rows, scales).withColumn("target", F.col("target").cast("double")).coalesce(1 + int(total) // ROWS_A_PARTITION)
+    moved = scaled(filled, scales).coalesce(1 + int(total) // ROWS_A_PARTITION)
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), estimator(candidate, total, seed)])
-    return Fitted(candidate, names, scales, pipeline.fit(moved))
+    return Fitted(candidate, names, None, pipeline.fit(moved), medians, scales)
 
 
-def permutation_importance(fitted: Fitted, rows: DataFrame, repeats: int = 5, seed: int = 42) -> dict[str, float]:
-    """Mean loss of balanced accuracy when a feature's values are dealt anew by a hash order."""
-    from pyspark.sql import Window
+def permuted_losses(model: dict[str, Any], x: np.ndarray, y: np.ndarray, repeats: int = 5, seed: int = 42) -> list[float]:
+    """Mean loss of balanced accuracy when a feature's values are dealt anew."""
 
-    def score(df: DataFrame) -> float:
-        s = fitted.score(df).select("target", (F.col("proba_up") >= 0.5).cast("int").alias("h"))
-        r = s.agg(F.avg(F.when(F.col("target") == 1, F.col("h"))).alias("up"), F.avg(F.when(F.col("target") == 0, 1 - F.col("h"))).alias("down")).first()
-        return (r["up"] + r["down"]) / 2
+    def balanced(values: np.ndarray) -> float:
+        h = learners.probabilities(model, values) >= 0.5
+        return float(np.mean([np.mean(h[y == c] == c) for c in (0, 1) if (y == c).any()]))
 
-    kept = rows.withColumn("_i", F.row_number().over(Window.partitionBy("ticker").orderBy("session"))).persist()
-    base = score(kept)
-    out = {}
-    for name in fitted.names:
+    base, out = balanced(x), []
+    for j in range(x.shape[1]):
         losses = []
         for k in range(repeats):
-            dealt = kept.select("ticker", F.row_number().over(Window.partitionBy("ticker").orderBy(F.xxhash64(F.lit(seed + k), "_i"))).alias("_i"), F.col(name).alias("_v"))
-            losses.append(base - score(kept.join(dealt, ["ticker", "_i"]).withColumn(name, F.col("_v")).drop("_v")))
-        out[name] = sum(losses) / repeats
+            dealt = x.copy()
+            dealt[:, j] = x[np.random.default_rng([seed, j, k]).permutation(len(x)), j]
+            losses.append(base - balanced(dealt))
+        out.append(float(np.mean(losses)))
     return out
 
 
-def model_oof(rows: DataFrame, folds: DataFrame, chosen: list[Candidate], names: list[str], seed: int = 42, threads: int = 4) -> DataFrame:
-    """Out-of-fold predictions of every candidate, ticker and fold, shaped like the baselines'."""
-    ranges = folds.collect()  # a few rows a ticker
+def permuted(fitted: Fitted, rows: DataFrame, seed: int = 42, repeats: int = 5) -> dict[str, float] | None:
+    """:func:`permuted_losses` of a fitted model over ``rows``, in one task; None for a model of pyspark.ml."""
+    local, names = fitted.local, fitted.names
+    if local is None:
+        return None
 
-    def one(candidate: Candidate, r: Any) -> DataFrame:
-        one_fold = rows.sparkSession.createDataFrame([r.asDict()], folds.schema)
-        train, held = fold_rows(rows, one_fold, "train").persist(), fold_rows(rows, one_fold, "eval")
-        scored = fit(candidate, train, names, seed).score(held)
-        return scored.select(F.lit(candidate.name).alias("candidate"), "ticker", "fold", "session", "row_idx", "proba_up", (F.col("proba_up") >= 0.5).cast("int").alias("prediction"), "target", "future_return")
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _arrays(pdf.sort_values(["ticker", "session"], kind="stable"), names)
+        return pd.DataFrame({"name": names, "value": permuted_losses(local, x, y, repeats, seed)})
 
-    with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(lambda x: one(*x), [(c, r) for c in chosen for r in ranges]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    table = rows.select("ticker", "session", *names, F.col("target").cast("double").alias("target"))
+    return {r["name"]: r["value"] for r in table.groupBy(F.lit("all")).applyInPandas(one, "name string, value double").collect()}
+
+
+def importance(candidate: Candidate, train: DataFrame, names: list[str], seed: int = 42, repeats: int = 0) -> DataFrame:
+    """``ticker, name, value``: importances of a candidate fitted on each ticker's rows.
+
+    Coefficients or gain shares, or with ``repeats`` the mean loss of balanced
+    accuracy when a feature's values are dealt anew so many times.  A ticker is
+    a group of one job.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _arrays(pdf.sort_values("session", kind="stable"), names)
+        model = learn(candidate, x, y, seed)
+        values = permuted_losses(model, x, y, repeats, seed) if repeats else learners.importances(model, len(names))
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "name": names, "value": values})
+
+    rows = train.select("ticker", "session", *names, F.col("target").cast("double").alias("target"))
+    return rows.groupBy("ticker").applyInPandas(one, "ticker string, name string, value double")
+
+
+def model_oof(rows: DataFrame, folds: DataFrame, chosen: list[Candidate], names: list[str], seed: int = 42) -> DataFrame:
+    """Out-of-fold predictions of every candidate, ticker and fold, shaped like the baselines'.
+
+    One job: a group is a candidate's train and eval rows of a fold of a
+    ticker, so a row travels once for each candidate and fold that reads it.
+    """
+    by_name = {c.name: c for c in chosen}
+    of_fold = rows.join(small(folds.select("ticker", "fold", "train_end", "eval_start", "eval_end")), "ticker")
+    is_eval = (F.col("row_idx") >= F.col("eval_start")) & (F.col("row_idx") < F.col("eval_end"))
+    of_fold = of_fold.withColumn("is_eval", is_eval).where((F.col("row_idx") < F.col("train_end")) | is_eval)
+    each = of_fold.withColumn("candidate", F.explode(F.array(*[F.lit(n) for n in by_name])))
+    kept = ["candidate", "ticker", "fold", "session", "row_idx", "target", "future_return"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_idx", kind="stable", ignore_index=True)
+        train, held = pdf[~pdf["is_eval"]], pdf[pdf["is_eval"]]
+        if train.empty or held.empty:
+            return held[kept].assign(proba_up=np.zeros(0), prediction=np.zeros(0, np.int32))
+        model = learn(by_name[pdf["candidate"].iloc[0]], *_arrays(train, names), seed)
+        p = learners.probabilities(model, held[names].to_numpy(np.float64))
+        return held[kept].assign(proba_up=p, prediction=(p >= 0.5).astype(np.int32))
+
+    schema = "candidate string, ticker string, fold long, session date, row_idx long, target int, future_return double, proba_up double, prediction int"
+    kind = rows.schema["session"].dataType.simpleString()
+    out = each.select(*kept, "is_eval", *names).groupBy("candidate", "ticker", "fold").applyInPandas(one, schema.replace("session date", f"session {kind}"))
+    return out.select("candidate", "ticker", "fold", "session", "row_idx", "proba_up", "prediction", "target", "future_return")
 
 
 def sequences(rows: DataFrame, names: list[str], lookback: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import by_session, ratio
@@ -81,6 +81,27 @@ def quality_report(panel: DataFrame, threshold: float = 0.25) -> DataFrame:
     return base.join(bad, "ticker", "left").fillna(0, subset=list(GEOMETRY))
 
 
+def first_sessions(panel: DataFrame, threshold: float = 0.25, moves: int = 20, silent: int = 5) -> DataFrame:
+    """``ticker, large_moves, zero_volume``: the first sessions of either kind, as text, so many at most."""
+    moved = with_moves(panel)
+    kinds = {"large_moves": (F.abs("move") > threshold, moves), "zero_volume": (F.col("volume") == 0, silent)}
+    each = moved.select(*KEYS, F.explode(F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, (test, _) in kinds.items()]))).alias("kind"))
+    place = F.row_number().over(Window.partitionBy("ticker", "kind").orderBy("session"))
+    most = F.when(F.col("kind") == "large_moves", moves).otherwise(silent)
+    few = each.withColumn("place", place).where(F.col("place") <= most)
+    listed = [F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("session").cast("string")))), ",").alias(k) for k in kinds]
+    return panel.select("ticker").distinct().join(few.groupBy("ticker").agg(*listed), "ticker", "left").fillna("", list(kinds))
+
+
+def describe(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """``ticker, name``: count, mean, deviation, least, quartiles and greatest of each column, in one aggregation."""
+    long = frame.select("ticker", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("ticker", "e.*")
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return long.groupBy("ticker", "name").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("greatest"), *[F.percentile("x", F.lit(q)).alias(n) for n, q in quartiles.items()]
+    )
+
+
 def validate(panel: DataFrame, min_rows: int = 1000, full_ohlc: bool = True, threshold: float = 0.25) -> list[dict]:
     """The report of every ticker; raises on a defect that makes a panel unusable."""
     missing = {*KEYS, *BAR_COLUMNS} - {c.lower() for c in panel.columns}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import features as ft
-from ..operators.calibration import CANDIDATES
-from ..operators.metrics import METRICS, t_quantile
+from types import SimpleNamespace
 
-D = ft.FeatureConfig()
+# Stated here on their own, not taken from the operators: window lengths, metrics, thresholds and t quantiles.
+D = SimpleNamespace(returns=(1, 2, 3, 5, 10, 20), momentum=(5, 10, 20), up_days=(5, 10), averages=(5, 10, 20, 50), volatility=(5, 10, 20), volume=20, relative=(1, 5), rolling=20)
+METRICS = ("accuracy", "balanced_accuracy", "f1_macro", "precision_up", "recall_up", "mcc", "brier", "log_loss", "roc_auc", "pr_auc")
+CANDIDATES = tuple(round(0.30 + 0.01 * i, 2) for i in range(41))
+T_975 = {1: 12.7062047361747, 2: 4.30265272974946, 3: 3.18244630528371, 4: 2.77644510519779, 5: 2.57058183563631, 6: 2.44691185114497, 7: 2.36462425159278}
 W = "PARTITION BY ticker ORDER BY session"
 
 
@@ -223,7 +225,7 @@ ECONOMICS = f"""changes AS (SELECT *, CAST(position <> lag(position, 1, 0.0::DOU
         {div('avg(net_return)', 'stddev_samp(CASE WHEN net_return < 0 THEN net_return END)')} * sqrt(252) AS sortino, min(drawdown) AS max_drawdown,
         count(*) FILTER (position <> 0) AS n_active, CAST(sum(changed) AS BIGINT) AS n_position_changes,
         {div('CAST(count(*) FILTER (position <> 0 AND net_return > 0) AS DOUBLE)', 'count(*) FILTER (position <> 0)')} AS hit_rate,
-        CAST(count(*) FILTER (position <> 0) AS DOUBLE) / count(*) AS exposure, avg(position) AS average_position, sum(cost) AS total_cost, {div('sum(cost)', 'count(*) FILTER (position <> 0)')} AS cost_per_active
+        CAST(count(*) FILTER (position <> 0) AS DOUBLE) / count(*) AS exposure, avg(position) AS average_position, sum(cost) AS total_cost, coalesce({div('sum(cost)', 'count(*) FILTER (position <> 0)')}, 0) AS cost_per_active
         FROM changes GROUP BY 1, 2),
     done AS (SELECT strategy, ticker, count(*) AS n_trades, avg(trade_return) AS average_trade, median(trade_return) AS median_trade, CAST(count(*) FILTER (trade_return > 0) AS DOUBLE) / count(*) AS trade_win_rate,
         max(trade_return) AS best_trade, min(trade_return) AS worst_trade, {div('coalesce(sum(trade_return) FILTER (trade_return > 0), 0)', 'sum(-trade_return) FILTER (trade_return < 0)')} AS profit_factor,
@@ -239,7 +241,7 @@ def _boot(series: str, statistics: tuple[str, ...]) -> list[str]:
     return [
         f"series AS ({series})",
         "lengths AS (SELECT key, count(*) AS n, greatest(1, least(20, count(*))) AS length FROM series GROUP BY 1)",
-        "numbered AS (SELECT key, n, length, sample, block_no FROM lengths, range(0, 200) s(sample), range(0, CAST(ceil(n / length) AS BIGINT)) b(block_no))",
+        "numbered AS (SELECT key, n, length, sample, block_no FROM lengths, range(0, 2000) s(sample), range(0, CAST(ceil(n / length) AS BIGINT)) b(block_no))",
         """starts AS (SELECT *, CAST(floor(CAST(CAST('0x' || substr(md5('42:' || CAST(sample AS VARCHAR) || ':' || CAST(block_no AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0::DOUBLE * (n - length + 1)) AS BIGINT) AS start FROM numbered)""",
         "picked AS (SELECT key, sample, block_no * length + o AS place, start + o AS idx, n FROM starts, range(0, 20) t(o) WHERE o < length)",
         "resample AS (SELECT p.key, sample, value FROM picked p JOIN series s ON s.key = p.key AND s.idx = p.idx WHERE place < n)",
@@ -261,7 +263,8 @@ _KINDS = {"high_below_low": "high < low - slack", "high_below_open": "high < ope
 _SLACK = "slacked AS (SELECT *, greatest(abs(close), 1e-12::DOUBLE) * 1e-8::DOUBLE AS slack FROM defects)"
 _MOVES = f"moved AS (SELECT *, {div('close', lag('close', 1))} - 1 AS move, CAST(session AS DATE) - CAST({lag('session', 1)} AS DATE) AS gap_days FROM {{}})"
 _LOST = "bench AS (SELECT session FROM bars WHERE ticker = 'O' AND day(session) <> 20), asset AS (SELECT * FROM bars WHERE ticker = 'F')"
-_T = "CASE n_values - 1 " + " ".join(f"WHEN {d} THEN {round(t_quantile(d), 9)!r}::DOUBLE" for d in range(1, 8)) + " END"
+_T = "CASE n_values - 1 " + " ".join(f"WHEN {d} THEN {t!r}::DOUBLE" for d, t in T_975.items()) + " END"
+_SHORT = {"ba": "balanced_accuracy", "log_loss": "log_loss", "auc": "roc_auc", "mcc": "mcc", "brier": "brier", "accuracy": "accuracy"}
 _LONG = "long_ AS (" + " UNION ALL ".join(f"SELECT {KEYS}, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM suite" for m in METRICS) + ")"
 _HOLD = f"""moves_in AS (SELECT ticker, session, {div('close', lag('close', 1))} - 1 AS r FROM bars),
     held AS (SELECT 'buy_and_hold' AS strategy, ticker, session, 1.0::DOUBLE AS position, coalesce(r, 0) AS future_return FROM rows_ LEFT JOIN moves_in USING (ticker, session))"""
@@ -330,7 +333,17 @@ ORACLE: dict[str, str] = {
     "fold_aggregate": f"""{_with(*SUITE, _LONG)}, a AS (SELECT candidate, ticker, metric, count(value) AS n_values, avg(value) AS mean, stddev_samp(value) AS s, min(value) AS least, max(value) AS greatest FROM long_ GROUP BY 1, 2, 3)
         SELECT candidate, ticker, metric, n_values, {r8('mean', 'mean')}, {r8('CASE WHEN n_values = 1 THEN 0 ELSE s END', 'std')}, {r8('least', 'least')}, {r8('greatest', 'greatest')},
         {r8(f'mean - {_T} * s / sqrt(n_values)', 'ci_low')}, {r8(f'mean + {_T} * s / sqrt(n_values)', 'ci_high')} FROM a""",
-    "class_balance": f"{_with(*DATASET)} SELECT ticker, year(session) AS year, count(*) AS n, {r8('avg(target)', 'up_rate')} FROM rows_ GROUP BY 1, 2",
+    "class_balance": f"""{_with(*DATASET)} SELECT ticker, year(session) AS year, count(*) AS n, {r8('avg(target)', 'up_rate')} FROM rows_ GROUP BY 1, 2
+        UNION ALL SELECT ticker, CAST(0 AS BIGINT), count(*), {r8('avg(target)', 'up_rate')} FROM rows_ GROUP BY 1""",
+    "holdout_spans": f"""{_with(*DATASET)}, h AS (SELECT ticker, CAST(floor(b.n_rows * 0.6::DOUBLE) AS BIGINT) AS first_end, b.dev_end FROM bounds b),
+        p AS (SELECT r.ticker, session, CASE WHEN row_idx < first_end THEN 'train' WHEN row_idx > first_end AND row_idx < dev_end THEN 'validation' WHEN row_idx > dev_end THEN 'test' END AS part FROM rows_ r JOIN h USING (ticker))
+        SELECT ticker, part, strftime(min(session), '%Y-%m-%d') AS first_session, strftime(max(session), '%Y-%m-%d') AS last_session, count(*) AS n FROM p WHERE part IS NOT NULL GROUP BY 1, 2""",
+    "quality_sessions": f"""{_with(DAILY, _DEFECTS, _MOVES.format('defects'))}, k AS (SELECT ticker, strftime(session, '%Y-%m-%d') AS day, abs(move) > 0.04 AS large, volume = 0 AS silent FROM moved)
+        SELECT ticker, coalesce(array_to_string(list_sort(list(day) FILTER (large))[1:20], ','), '') AS large_moves, coalesce(array_to_string(list_sort(list(day) FILTER (silent))[1:5], ','), '') AS zero_volume FROM k GROUP BY 1""",
+    "bar_describe": f"{_with(DAILY)}, l AS (" + " UNION ALL ".join(f"SELECT ticker, '{c}' AS name, {c} AS x FROM bars" for c in ("open", "high", "low", "close", "volume")) + f""") SELECT ticker, name, count(x) AS n, {r8('avg(x)', 'mean')}, {r8('stddev_samp(x)', 'std')},
+        {r8('min(x)', 'least')}, {r8('max(x)', 'greatest')}, {r8('quantile_cont(x, 0.25)', 'q1')}, {r8('quantile_cont(x, 0.5)', 'median')}, {r8('quantile_cont(x, 0.75)', 'q3')} FROM l GROUP BY 1, 2""",
+    "feature_correlation": f"{_with(*DATASET)}, l AS (" + " UNION ALL ".join(f"SELECT ticker, row_idx, {i} AS i, '{n}' AS feature, {n} AS x FROM rows_" for i, n in enumerate(ALL)) + f""")
+        SELECT a.ticker, a.feature, b.feature AS other, {r8(_CORR('a.x', 'b.x'), 'correlation')} FROM l a JOIN l b ON a.ticker = b.ticker AND a.row_idx = b.row_idx AND a.i < b.i GROUP BY 1, 2, 3""",
     "calibration_bins": f"{_with(*SCORED, BINS)} SELECT {PAIR}, bin_id, {r8('bin_id / 10.0::DOUBLE', 'lower')}, {r8('(bin_id + 1) / 10.0::DOUBLE', 'upper')}, n, {r8('mean_predicted', 'mean_predicted')}, {r8('observed', 'observed')}, {r8('gap', 'gap')}, {r8('gap * gap', 'squared_gap')} FROM gaps_",
     "ece_mce": f"{_with(*SCORED, BINS)} SELECT {PAIR}, CAST(sum(n) AS BIGINT) AS n, {r8('sum(n * gap) / sum(n)', 'ece')}, {r8('max(gap)', 'mce')} FROM gaps_ GROUP BY ALL",
     "calibration_report": f"""{_with(*SCORED, BINS)}, e AS (SELECT {PAIR}, CAST(sum(n) AS BIGINT) AS n, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM gaps_ GROUP BY ALL),
@@ -354,9 +367,13 @@ ORACLE: dict[str, str] = {
     "buy_and_hold": f"{_with(*DATASET, _HOLD, *_daily('held', _C2C_COST, _SW))} SELECT ticker, {DAY}, {r8('net_return', 'net_return')}, {r8('cost', 'cost')}, {r8('ln(equity)', 'log_equity')} FROM days",
     "block_bootstrap": f"{_with(*_days('next_open'), *_boot(_NUMBERED, ('mean_daily', 'annualized', 'sharpe')))} {_BOOT_OUT}",
     "bootstrap_difference": f"{_with(*_days('next_open'), *_boot(_PAIRED, ('mean_daily',)))} {_BOOT_OUT}",
-    "candidate_rank": f"""{_with(*SUITE, SUMMARY)} SELECT ticker, candidate, {', '.join(r8(c, c) for c in ('mean_ba', 'std_ba', 'mean_log_loss', 'mean_auc', 'mean_mcc'))}, complexity,
-        row_number() OVER (PARTITION BY ticker ORDER BY round(mean_ba, 8) DESC NULLS LAST, round(std_ba, 8) NULLS LAST, round(mean_log_loss, 8) NULLS LAST, complexity, candidate) AS rank FROM summary""",
-    "edge_gate": f"""{_with(*SUITE, SUMMARY)}, b AS (SELECT ticker, candidate AS baseline, mean_ba AS baseline_ba, row_number() OVER (PARTITION BY ticker ORDER BY round(mean_ba, 8) DESC NULLS LAST, candidate) AS k FROM summary WHERE candidate <> 'reversion'),
+    "candidate_rank": f"""{_with(*SUITE)}, m AS (SELECT ticker, candidate, count(balanced_accuracy) AS n_folds, {', '.join(f'avg({c}) AS mean_{n}, coalesce(stddev_samp({c}), 0) AS std_{n}' for n, c in _SHORT.items())},
+            CASE WHEN candidate = 'reversion' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS complexity,
+            CASE candidate WHEN 'reversion' THEN [20.0::DOUBLE] WHEN 'always_up' THEN [1.0::DOUBLE] WHEN 'majority_class' THEN [0.0::DOUBLE] ELSE CAST([] AS DOUBLE[]) END AS simplicity FROM suite GROUP BY 1, 2)
+        SELECT ticker, candidate, n_folds, complexity, {', '.join(r8(f'{k}_{n}', f'{k}_{n}') for n in _SHORT for k in ('mean', 'std'))},
+        {r8(f"mean_ba - {_T.replace('n_values', 'n_folds')} * std_ba / sqrt(n_folds)", 'low_ba')}, {r8(f"mean_ba + {_T.replace('n_values', 'n_folds')} * std_ba / sqrt(n_folds)", 'high_ba')},
+        row_number() OVER (PARTITION BY ticker ORDER BY round(mean_ba, 8) DESC NULLS LAST, round(std_ba, 8) NULLS LAST, round(mean_log_loss, 8) NULLS LAST, complexity, simplicity, candidate) AS rank FROM m""",
+    "edge_gate": f"""{_with(*SUITE, SUMMARY)}, b AS (SELECT ticker, candidate AS baseline, mean_ba AS baseline_ba, row_number() OVER (PARTITION BY ticker ORDER BY round(mean_ba, 8) DESC NULLS LAST, CASE candidate WHEN 'majority_class' THEN 0 WHEN 'always_up' THEN 1 WHEN 'random' THEN 2 ELSE 3 END) AS k FROM summary WHERE candidate <> 'reversion'),
         g AS (SELECT m.ticker, m.candidate AS model, m.mean_ba AS model_ba, m.mean_auc, m.mean_mcc, baseline, baseline_ba, m.mean_ba - baseline_ba AS margin,
             (SELECT count(*) FROM suite x JOIN suite y ON x.ticker = y.ticker AND x.fold = y.fold WHERE x.ticker = m.ticker AND x.candidate = 'reversion' AND y.candidate = b.baseline AND round(x.balanced_accuracy, 8) > round(y.balanced_accuracy, 8)) AS fold_wins
             FROM summary m JOIN b ON m.ticker = b.ticker AND b.k = 1 WHERE m.candidate = 'reversion')

@@ -6,12 +6,11 @@ Sessions leave as text and floats rounded, so that results compare by value.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import iso, rounded
+from ..functions.shared import materialize
 from ..operators import backtest as bt
 from ..operators import baselines as bl
 from ..operators import benchmark as bm
@@ -31,7 +30,10 @@ ASSET, BENCHMARK = "F", "O"
 PAIR = ("candidate", "ticker")
 SHORT_RUN = bt.BacktestConfig(threshold=0.5, allow_short=True, short_threshold=0.45)
 CLOSE_RUN = bt.BacktestConfig(mode="close_to_close", threshold=0.5)
-SAMPLES, BLOCK = 200, 20
+SAMPLES, BLOCK = 2000, 20
+LOGISTIC = md.Candidate("logistic", {"C": 1.0, "balanced": True})
+#: What the ranking knows of the rule candidates besides their scores.
+STANDINGS = {"reversion": rk.Standing(1, (20.0,)), "always_up": rk.Standing(0, (1.0,)), "majority_class": rk.Standing(0, (0.0,))}
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -116,6 +118,14 @@ def ohlc_violations(spark: SparkSession, sf: str) -> DataFrame:
     return _out(ql.violations(_with_defects(panels.daily(spark, sf))))
 
 
+def quality_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return ql.first_sessions(_with_defects(panels.daily(spark, sf)), 0.04)
+
+
+def bar_describe(spark: SparkSession, sf: str) -> DataFrame:
+    return _out(ql.describe(panels.daily(spark, sf), list(panels.BAR_COLUMNS)))
+
+
 def open_session_drop(spark: SparkSession, sf: str) -> DataFrame:
     p = ql.drop_open_session(panels.daily(spark, sf), "1996-07-01")
     return _out(p.groupBy("ticker").agg(F.max("session").alias("last_session"), F.count("*").alias("n_rows")))
@@ -202,8 +212,8 @@ def label_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dataset(spark: SparkSession, sf: str) -> DataFrame:
-    """The labelled rows, kept: they feed every fold and candidate, and a kept table is a leaf to the optimizer."""
-    return lb.build_dataset(panels.daily(spark, sf)).persist()
+    """The labelled rows, written: they feed every fold and candidate, and a written table is a leaf to the optimizer."""
+    return materialize(lb.build_dataset(panels.daily(spark, sf)), "dataset")
 
 
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,6 +248,10 @@ def fold_membership(spark: SparkSession, sf: str) -> DataFrame:
     return _out(fo.fold_rows(rows, fo.development_folds(rows), "eval").select("ticker", "fold", "row_idx", "session"))
 
 
+def holdout_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return _out(fo.holdout_spans(_dataset(spark, sf)))
+
+
 def fold_spans(spark: SparkSession, sf: str) -> DataFrame:
     rows = _dataset(spark, sf)
     return _out(fo.fold_spans(rows, fo.development_folds(rows)))
@@ -250,7 +264,7 @@ def _scored(spark: SparkSession, sf: str, with_rule: bool = True) -> DataFrame:
     rows = _dataset(spark, sf)
     folds = fo.development_folds(rows)
     out = bl.baseline_oof(rows, folds)
-    return (out.unionByName(bl.reversion_oof(rows, folds)) if with_rule else out).persist()
+    return materialize(out.unionByName(bl.reversion_oof(rows, folds)) if with_rule else out, "scored")
 
 
 def _baseline(name: str) -> Query:
@@ -293,8 +307,10 @@ def fold_aggregate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_balance(spark: SparkSession, sf: str) -> DataFrame:
-    by_year = _dataset(spark, sf).groupBy("ticker", F.year("session").alias("year"))
-    return _out(by_year.agg(F.count("*").alias("n"), F.avg("target").alias("up_rate")))
+    """By year, and of all years (year 0), in one aggregation."""
+    years = F.explode(F.array(F.year("session"), F.lit(0))).alias("year")
+    each = _dataset(spark, sf).select("ticker", years, "target").groupBy("ticker", "year")
+    return _out(each.agg(F.count("*").alias("n"), F.avg("target").alias("up_rate")))
 
 
 # ---- calibration ----
@@ -334,7 +350,7 @@ def net_sharpe_scan(spark: SparkSession, sf: str) -> DataFrame:
 def _days(config: bt.BacktestConfig) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf: str) -> DataFrame:
         rule = _scored(spark, sf).where("candidate in ('reversion', 'last_direction')")
-        return bt.daily(bt.strategies(rule, config), config).persist()
+        return materialize(bt.daily(bt.strategies(rule, config), config), "days")
 
     return build
 
@@ -391,8 +407,6 @@ def _series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _numbered(series: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     idx = (F.row_number().over(Window.partitionBy("key").orderBy("session")) - 1).cast("long")
     return series.select("key", idx.alias("idx"), "value")
 
@@ -412,12 +426,11 @@ def bootstrap_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidate_rank(spark: SparkSession, sf: str) -> DataFrame:
     suite = mt.metric_suite(_scored(spark, sf))
-    return _out(rk.ranked(rk.summary(suite, {"reversion": 1})))
+    return _out(rk.ranked(rk.summary(suite, STANDINGS)).drop("folds", "simplicity"))
 
 
 def edge_gate(spark: SparkSession, sf: str) -> DataFrame:
-    suite = mt.metric_suite(_scored(spark, sf)).cache()
-    return _out(rk.edge_gate(suite.where("candidate = 'reversion'"), suite.where("candidate <> 'reversion'")))
+    return _out(rk.edge_gate(mt.metric_suite(_scored(spark, sf)), ["reversion"], bl.BASELINES))
 
 
 # ---- models (no SQL: iterative fits) ----
@@ -428,22 +441,28 @@ def _model(candidate: md.Candidate) -> Query:
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         rows = _dataset(spark, sf)
-        return md.model_oof(rows, fo.development_folds(rows), [candidate], list(ft.feature_columns())).drop("future_return")
+        return _out(md.model_oof(rows, fo.development_folds(rows), [candidate], list(ft.feature_columns())).drop("future_return"))
 
     return query
 
 
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    """Largest coefficients of a logistic model of each ticker."""
-    rows = _dataset(spark, sf)
-    tickers = [r["ticker"] for r in rows.select("ticker").distinct().orderBy("ticker").collect()]
-    candidate = md.Candidate("logistic", {"C": 1.0, "balanced": True})
+    """The 20 largest coefficients of a logistic model of each ticker's development part; the holdout stays sealed."""
+    found = md.importance(LOGISTIC, _development(spark, sf), list(ft.feature_columns()))
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc(F.abs("value")), "name"))
+    return _out(found.withColumn("place", place).where("place <= 20").drop("place"))
+
 
-    def one(ticker: str) -> DataFrame:
-        found = md.fit(candidate, rows.where(F.col("ticker") == ticker), list(ft.feature_columns())).importance()
-        return rk.top_absolute(spark.createDataFrame(sorted(found.items()), "name string, value double")).select(F.lit(ticker).alias("ticker"), "*")
+def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of balanced accuracy of that model when a feature is dealt anew, five times each."""
+    return _out(md.importance(LOGISTIC, _development(spark, sf), list(ft.feature_columns()), repeats=5))
 
-    return reduce(DataFrame.unionByName, map(one, tickers))
+
+def _development(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows before the holdout."""
+    rows = _dataset(spark, sf)
+    ends = fo.bounds(rows.groupBy("ticker").agg(F.count("*").alias("n_rows"))).select("ticker", "dev_end")
+    return rows.join(fo.small(ends), "ticker").where(F.col("row_idx") < F.col("dev_end"))
 
 
 def lookback_sequences(spark: SparkSession, sf: str) -> DataFrame:
@@ -480,6 +499,18 @@ def feature_target_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return _out(c.select("ticker", "feature", F.try_divide("c", "s").alias("correlation")))
 
 
+def feature_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature with every other, as places in an array of all features: the plan does not grow with their number."""
+    names = list(ft.feature_columns())
+    last = len(names) - 1
+    rows = _dataset(spark, sf).select("ticker", F.array(*names).alias("x"))
+    pairs = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(last - 1)))).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(last))))
+    each = pairs.select("ticker", "i", "j", F.col("x")[F.col("i")].alias("a"), F.col("x")[F.col("j")].alias("b")).groupBy("ticker", "i", "j")
+    c = each.agg(F.covar_samp("a", "b").alias("c"), (F.stddev_samp("a") * F.stddev_samp("b")).alias("s"))
+    named = F.array(*map(F.lit, names))
+    return _out(c.select("ticker", named[F.col("i")].alias("feature"), named[F.col("j")].alias("other"), F.try_divide("c", "s").alias("correlation")))
+
+
 def rolling_feature_correlation(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.numeric import trailing
 
@@ -509,15 +540,15 @@ def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        bars_daily, bars_wide, bars_hourly, order_flow, normalized_bars, bar_dedup, bar_conflicts, quality_report, large_moves, calendar_gaps, ohlc_violations, open_session_drop,
+        bars_daily, bars_wide, bars_hourly, order_flow, normalized_bars, bar_dedup, bar_conflicts, quality_report, quality_sessions, bar_describe, large_moves, calendar_gaps, ohlc_violations, open_session_drop,
         feature_matrix, benchmark_align, benchmark_lost_sessions, benchmark_feature_matrix, asof_signal, next_session,
         label_c2c, label_o2c, unlabeled_tail, label_summary, dataset, dataset_summary,
-        dev_test_bounds, holdout_ranges, fold_ranges, fold_membership, fold_spans,
+        dev_test_bounds, holdout_ranges, holdout_spans, fold_ranges, fold_membership, fold_spans,
         oof_union, metric_suite, roc_auc, avg_precision, roc_points, pr_points, confusion, fold_aggregate, class_balance,
         calibration_bins, ece_mce, calibration_report, probability_histogram, threshold_scan, best_threshold, net_sharpe_scan,
         positions, cost_intraday, cost_c2c, equity_curve, drawdown, trades_blocks, trades_intraday, backtest_metrics, backtest_compare, buy_and_hold,
-        block_bootstrap, bootstrap_difference, candidate_rank, edge_gate, feature_importance, lookback_sequences,
-        overnight_variance, lag_autocorrelation, feature_target_correlation, rolling_feature_correlation, hourly_strategy, stream_bars,
+        block_bootstrap, bootstrap_difference, candidate_rank, edge_gate, feature_importance, permutation_importance, lookback_sequences,
+        overnight_variance, lag_autocorrelation, feature_target_correlation, feature_correlation, rolling_feature_correlation, hourly_strategy, stream_bars,
     )
 }
 QUERIES |= {
@@ -532,7 +563,7 @@ QUERIES |= {
     "rolling_beta": _benchmark_family(("rolling_beta",)),
     "rolling_correlation": _benchmark_family(("rolling_correlation",)),
     **{f"baseline_{n}": _baseline(n) for n in bl.BASELINES},
-    "logistic_oof": _model(md.Candidate("logistic", {"C": 1.0, "balanced": True})),
+    "logistic_oof": _model(LOGISTIC),
     "gradient_boosting_oof": _model(md.Candidate("gradient_boosting", {"rate": 0.1, "leaves": 7})),
     "random_forest_oof": _model(md.Candidate("random_forest", {"trees": 400, "depth": 6, "least": 30})),
 }

@@ -12,6 +12,9 @@ from datetime import UTC, date, datetime
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from .config import Config, from_dict
 
 
@@ -108,9 +111,17 @@ def environment(spark: Any = None) -> dict[str, Any]:
     return out
 
 
+def frame_digest(df: DataFrame) -> str:
+    """Digest of a table's rows whatever their order and partitions: one aggregation of row hashes."""
+    row = F.to_json(F.struct(*sorted(df.columns)))
+    parts = [F.bit_xor(F.xxhash64(F.lit(k), row)).alias(f"h{k}") for k in range(4)]
+    sums = [F.sum(F.xxhash64(F.lit(9), row).cast("decimal(38,0)")).cast("string").alias("s"), F.count(F.lit(1)).alias("n")]
+    return sha256_json([sorted(map(list, df.dtypes)), list(df.agg(*parts, *sums).first())])
+
+
 @dataclass
 class Lock:
-    """Record of the one look at the holdout, with every later look and its reason."""
+    """Record of the one look at the holdout, with every later look and its reason.  Fixed values: the names of its fields."""
 
     config_sha256: str
     candidate: str
@@ -146,15 +157,25 @@ class Run:
 
         return self.write_text(name, yaml.safe_dump(plain(payload), sort_keys=True))
 
-    def write_table(self, name: str, df: Any, fmt: str = "parquet") -> Path:
+    def table_path(self, name: str) -> str:
+        """Where a table or model of this run lies: below ``paths.tables``, which all executors reach, or beside its files."""
+        tables = self.config().paths.tables if self.exists("config.json") else ""
+        return f"{tables.rstrip('/')}/{self.run_id}/{name}" if tables else str(self.path / name)
+
+    def write_table(self, name: str, df: DataFrame, fmt: str = "parquet") -> str:
         """A DataFrame as Parquet, or as one CSV file of a small result."""
-        target = self.path / name
+        target = self.table_path(name)
         if fmt == "csv":
-            df.coalesce(1).write.mode("errorifexists").option("header", True).csv(str(target))
+            df.coalesce(1).write.mode("errorifexists").option("header", True).csv(target)
         else:
-            df.write.mode("errorifexists").parquet(str(target))
+            df.write.mode("errorifexists").parquet(target)
         return target
 
+    def read_table(self, spark: SparkSession, name: str) -> DataFrame:
+        """A table that :meth:`write_table` wrote, by the ending of its name."""
+        target = self.table_path(name)
+        return spark.read.csv(target, header=True, inferSchema=True) if name.endswith(".csv") else spark.read.parquet(target)
+
     def read_json(self, name: str) -> Any:
         return json.loads((self.path / name).read_text())
 

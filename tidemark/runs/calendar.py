@@ -1,4 +1,4 @@
-"""Rule-based New York session calendar (closures by rule, not by list)."""
+"""New York session calendar: closures by rule, and the special ones of the last decades by date."""
 
 from __future__ import annotations
 
@@ -6,7 +6,13 @@ from datetime import date, datetime, time, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+from pyspark.sql import DataFrame, SparkSession
+
 EXCHANGES = {"XNYS": "America/New_York"}
+#: Days without a session that no rule gives (mourning, attacks, storms).
+CLOSED = frozenset(map(date.fromisoformat, (
+    "1994-04-27", "2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14", "2004-06-11", "2007-01-02", "2012-10-29", "2012-10-30", "2018-12-05", "2025-01-09",
+)))
 
 
 def _nth(year: int, month: int, weekday: int, n: int) -> date:
@@ -44,7 +50,14 @@ def holidays(year: int) -> frozenset[date]:
 
 
 def is_session(day: date) -> bool:
-    return day.weekday() < 5 and day not in holidays(day.year)
+    return day.weekday() < 5 and day not in holidays(day.year) and day not in CLOSED
+
+
+def sessions(spark: SparkSession, first: date, last: date, exchange: str = "XNYS") -> DataFrame:
+    """The calendar as a table ``session date, close_utc timestamp``, to be joined with panels."""
+    days = (first + timedelta(k) for k in range((last - first).days + 1))
+    rows = [(d, close_time(d, exchange).replace(tzinfo=None)) for d in days if is_session(d)]
+    return spark.createDataFrame(rows, "session date, close_utc timestamp_ntz")
 
 
 def close_time(day: date, exchange: str = "XNYS") -> datetime:

@@ -78,15 +78,34 @@ def normalize(raw: DataFrame, ticker: str | None = None) -> DataFrame:
     return raw.select(name.alias("ticker"), day.alias("session"), *columns).where(F.col("close").isNotNull() & ~F.isnan("close"))
 
 
+#: Panels of a folder of tables by the name that a configuration gives them.
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"bars_daily": daily, "bars_hourly": hourly, "order_flow": order_flow}
+VENDORS: dict[str, Vendor] = {}
+
+
+def register(vendor: Vendor) -> None:
+    """Make a vendor's bars available to configurations under its name."""
+    VENDORS[vendor.name] = vendor
+
+
+def load(spark: SparkSession, name: str, folder: str, ticker: str, start: str, end: str | None = None, interval: str = "1d", auto_adjust: bool = True) -> DataFrame:
+    """The panel of a source: a registered vendor's, or one of ``SOURCES`` over a folder of tables."""
+    if name in VENDORS:
+        return VENDORS[name].load(ticker, start, end, interval, auto_adjust)
+    if name not in SOURCES:
+        raise ValueError(f"unknown source {name!r}: {sorted([*SOURCES, *VENDORS])}")
+    return SOURCES[name](spark, folder)
+
+
 @dataclass(frozen=True)
 class Vendor:
-    """A source of raw bars: ``fetch(ticker, start, end, interval)`` gives a DataFrame."""
+    """A source of raw bars: ``fetch(ticker, start, end, interval, auto_adjust)`` gives a DataFrame."""
 
     name: str
-    fetch: Callable[[str, str, str | None, str], DataFrame]
+    fetch: Callable[[str, str, str | None, str, bool], DataFrame]
 
-    def load(self, ticker: str, start: str, end: str | None = None, interval: str = "1d") -> DataFrame:
-        raw = self.fetch(ticker, start, end, interval)
+    def load(self, ticker: str, start: str, end: str | None = None, interval: str = "1d", auto_adjust: bool = True) -> DataFrame:
+        raw = self.fetch(ticker, start, end, interval, auto_adjust)
         if raw.isEmpty():
             raise ValueError(f"{self.name} has no rows for {ticker}")
         panel = normalize(raw, ticker).where(F.col("session") >= F.lit(start).cast("date"))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_path
+
 
-def streaming_bars(ticks: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+def streaming_bars(ticks: DataFrame, window: str = "1 hour", lateness: str | None = "1 hour") -> DataFrame:
     """OHLCV windows of ``ticker, ts, price, size, order``; ticks later than ``lateness`` are left out.
 
+    Without ``lateness`` the stream must have its watermark already, as one of
+    :func:`once_only` has.
+
     A window is the streaming form of a completed session: in append mode it
     leaves once, when the watermark has passed its end.
     """
-    seen = ticks.withWatermark("ts", lateness)
+    seen = ticks if lateness is None else ticks.withWatermark("ts", lateness)
     grouped = seen.groupBy("ticker", F.window("ts", window).alias("w")).agg(
         F.min_by("price", "order").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "order").alias("close"), F.sum("size").alias("volume")
     )
@@ -30,12 +33,22 @@ def event_ticks(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), (F.lit(100.0) + F.col("value") / 50.0).alias("price"), F.lit(1.0).alias("size"), F.col("event_id").alias("order"))
 
 
-def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files, run to its end in complete mode; the bars as a table."""
+def replay_events(spark: SparkSession, sf_dir: str, lateness: str = "1 hour") -> DataFrame:
+    """The events table as a stream of files, run to its end; the bars as a table.
+
+    Windows leave in append mode, when the watermark has passed them, into
+    files of the shared folder.  A last tick far behind the others, of no
+    ticker, lets the watermark pass all of them.
+    """
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ticks = event_ticks(batch)
+    folder = shared_path(spark, "stream")
+    last = ticks.agg(F.max("ts").alias("ts")).where("ts is not null").select(F.lit(None).cast("string").alias("ticker"), (F.col("ts") + F.expr("interval 10 years")).alias("ts"), F.lit(0.0).alias("price"), F.lit(0.0).alias("size"), F.lit(-1).cast("long").alias("order"))
+    last.write.parquet(f"{folder}/last")
     # a file stream reads a folder: the pattern names the one table
-    stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")
-    name = f"bars_{uuid.uuid4().hex}"
-    query = streaming_bars(event_ticks(stream)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    stream = event_ticks(spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*"))
+    stream = stream.unionByName(spark.readStream.schema(ticks.schema).parquet(f"{folder}/last"))
+    bars = streaming_bars(stream, lateness=lateness)
+    query = bars.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/bars")
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(bars.schema).parquet(f"{folder}/bars").where("ticker is not null")
