@@ -19,17 +19,20 @@ from .toxicity import THRESHOLD, fit_toxicity, with_toxicity
 
 
 def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, its rate and the words that the mix takes of it."""
     mix = entropy_mix(read_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
 def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from text and language outside the held-out quarter."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = with_language(docs.select("doc_id", "text"), fit_languages(docs), "found")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.size("found.spans").alias("n_spans"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labels outside the held-out quarter."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = with_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")), "found")
     score = F.col("found.score")
@@ -37,10 +40,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.9."""
     return embedding_groups(read_table(spark, sf_dir, "embeddings"))
 
 
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole text, the scores of its best two segmentations, and whether decoding gives it back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_pieces(docs, PieceModel.load(), "found", keep_ids=False)
     best, second = F.col("found.scores")[0], F.get("found.scores", F.lit(1))
@@ -48,19 +53,23 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every whole text on three-word shingles, and its group at three differing bits."""
     groups = simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base spans by kind, and what the classifier adds."""
     return personal_report(read_table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the one that stays of its equal texts."""
     return dedup_once(read_table(spark, sf_dir, "documents"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that every whole text states."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_licenses(docs, "found")
     spans = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["wording"], x["start"].cast("string"), x["end"].cast("string"), x["missing"].cast("string"), x["foreign"].cast("string")))
@@ -68,6 +77,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: base spans by kind, and those of further rules."""
     return secret_report(read_table(spark, sf_dir, "documents"))
 
 
@@ -101,7 +111,41 @@ def _secret_sql() -> str:
         SELECT doc_id, {', '.join(f'CAST(len(s_{k}) AS BIGINT) AS n_{k}' for k in base)}, sha256({joined(base)}) AS base_sha256, {joined(kinds)} AS spans FROM p"""
 
 
+#: The contract's base expressions of personal data, and when a match of each is valid.
+_PERSONAL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"regexp_full_match(v, '(0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(\.|$)){4}')"),
+    "card": (r"[0-9]([ -]?[0-9])+", "length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(d, length(d) - i, 1) AS INT) ELSE (CAST(substr(d, length(d) - i, 1) AS INT) * 2) // 10 + (CAST(substr(d, length(d) - i, 1) AS INT) * 2) % 10 END)) % 10 = 0"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15"),
+}
+
+
+def _personal_sql() -> str:
+    """The base spans as SQL: matches and the stretches between them laid end to end.  No further span is in the tables' texts."""
+    parts = [f"SELECT doc_id, {no} AS k, '{kind}' AS kind, regexp_extract_all(t, '{regex}') AS vs, string_split_regex(t, '{regex}') AS gs FROM d" for no, (kind, (regex, _)) in enumerate(_PERSONAL.items())]
+    valid = " ".join(f"WHEN {no} THEN {test}" for no, (_, test) in enumerate(_PERSONAL.values()))
+    counts = ", ".join(f"count(*) FILTER (k = {no}) AS n_{kind}" for no, kind in enumerate(_PERSONAL))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({' UNION ALL '.join(parts)}),
+        e AS (SELECT doc_id, k, kind, vs, gs, unnest(range(1, len(vs) + 1)) AS i FROM m),
+        p AS (SELECT doc_id, k, kind, vs[i] AS v, regexp_replace(vs[i], '[^0-9]', '', 'g') AS d,
+            CAST(list_sum(list_transform(gs[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(vs[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS s FROM e),
+        f AS (SELECT doc_id, k, s, kind || ':' || s || ':' || (s + length(v)) AS span FROM p WHERE CASE k {valid} END),
+        j AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY k, s) AS spans FROM f GROUP BY 1)
+        SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _PERSONAL)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j ON j.doc_id = d.doc_id"""
+
+
 ORACLE_SQL = {
+    "op4_embedding_dedup": """
+        WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        usable AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1),
+        least AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+        FROM e LEFT JOIN degree USING (vec_id) LEFT JOIN least USING (vec_id)
+    """,
+    "op7_pii_spans": _personal_sql(),
     "op10_secret_scan": _secret_sql(),
     "op8_exact_dedup": """
         SELECT doc_id,
