@@ -156,8 +156,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, id
 #: Chance that a pair at the linking similarity is met in some segment.
 MET = 0.99
 #: Bits of a segment below the logarithm of the number of documents, and at least: a lookup meets some 2 ** FEWER_BITS
-#: unrelated fingerprints at any size.  Their first 64 bits, which travel along, rule out all but 2 of 1,000 at once.
-FEWER_BITS, LEAST_BITS = 3, 8
+#: unrelated fingerprints at any size.  Their first 64 bits, which travel along, rule out all but 4 of 10,000 at once.
+FEWER_BITS, LEAST_BITS = 2, 8
 #: Segments at least: few short ones cost little.
 LEAST_SEGMENTS = 10
 #: Bits of a wide fingerprint that belong to no segment, and its least width.
@@ -165,11 +165,12 @@ APART, WIDE = 64, 256
 #: Shingle hashes that are kept of a text at most, by which the similarity of a pair is estimated, and standard errors of
 #: an estimate from cut sets around the linking similarity within which all shingles are read.
 LOW, DOUBT = 384, 5.0
-#: Standard deviations of the distance at the linking similarity within which a pair is verified by its shingles (LOOSE),
-#: and below which a full slot's first links are sought, most of which then hold (FIRM).
-LOOSE, FIRM = 5.0, -2.0
-#: Members up to which all visitors of a segment's value are joined with them; fuller ones are compared in blocks of COMPARED.
-FEW, COMPARED = 64, 2_048
+#: Standard deviations of the distance at the linking similarity within which a pair passes by its first bits (SIGHT),
+#: by all of them (LOOSE), and below which a full slot's first links are sought, most of which then hold (FIRM).
+SIGHT, LOOSE, FIRM = 3.0, 5.0, -2.0
+#: Members up to which the visitors of a segment's value are joined with them, if these are few too (:func:`crowd`); fuller
+#: values are compared in blocks of COMPARED.
+FEW, COMPARED = 16, 2_048
 #: Partners of a member that a round over full slots proposes at most, until a round holds none back; None is no bound.
 PROPOSED = (32, 1_024, None)
 #: Texts, and pairs with their shingle hashes, that travel to Python at once.
@@ -232,6 +233,11 @@ def segment_count(bits: int, similarity: float) -> int:
     return max(LEAST_SEGMENTS, math.ceil(math.log(1 - MET) / math.log1p(-one)))
 
 
+def crowd(bits: int) -> int:
+    """Visitors up to which a segment's value is not full: a value with ``FEW`` / 4 members has half as many."""
+    return FEW * (bits + 2) // 4
+
+
 def _fingerprinted(docs: DataFrame, width: int, bits: int, n_segments: int, wide: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, digest`` (of the text), ``key`` (of its words), ``wide`` (the fingerprint's words) and the ``values`` of its segments."""
 
@@ -261,10 +267,10 @@ def _apart(x: str, y: str) -> Column:
 def _met(nodes: DataFrame, bits: int, most: int) -> DataFrame:
     """What lookups of the balls of radius one find in the table of segments (``nodes(node, sig, values)``).
 
-    ``a, b`` for a visitor and a member of a slot with at most ``FEW``
-    members, if their first 64 bits differ in at most ``most``; for a fuller
-    slot ``slot, a`` and whether the visitor is a ``member``.  The table is
-    shuffled once, and so are the lookups.
+    ``a, b`` for a visitor and a member of a slot with at most ``FEW`` members
+    and :func:`crowd` visitors, if their first 64 bits differ in at most
+    ``most``; for a fuller slot ``slot, a`` and whether the visitor is a
+    ``member``.  The table is shuffled once, and so are the lookups.
     """
     slot = lambda value: (F.col("segment").cast("long") * (1 << bits) + value).alias("slot")
     cut = nodes.select("node", "sig", F.posexplode("values").alias("segment", "value"))
@@ -272,14 +278,16 @@ def _met(nodes: DataFrame, bits: int, most: int) -> DataFrame:
     here = Window.partitionBy("slot")
     members = members.withColumn("n", F.count("*").over(here)).withColumn("place", F.row_number().over(here.orderBy("b")))
     full = F.col("n") > FEW
-    table = members.where(~full | (F.col("place") == 1)).select("slot", "b", "of_b", full.alias("full"))
+    table = members.where(~full | (F.col("place") == 1)).select("slot", "b", "of_b", "place", full.alias("many"))
     # of two values that differ in one bit, the one without that bit looks the other one up; -1 is the value itself
     ball = f"filter(sequence(-1, {bits - 1}), i -> i < 0 or (value & shiftleft(1L, i)) = 0)"
     target = F.expr("if(bit < 0, value, value + shiftleft(1L, bit))")
     probes = cut.withColumn("bit", F.explode(F.expr(ball))).select(slot(target), F.col("node").alias("a"), F.col("sig").alias("of_a"), (F.col("bit") < 0).alias("member"))
+    probes = probes.withColumn("visitors", F.count("*").over(here))
     near = F.when(F.col("member"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & (F.bit_count(F.col("of_a").bitwiseXOR(F.col("of_b"))) <= most)
-    found = probes.join(table, "slot").where(F.col("full") | near)
-    return found.select(F.when(F.col("full"), F.col("slot")).alias("slot"), "a", F.when(~F.col("full"), F.col("b")).alias("b"), "member")
+    full = F.col("many") | (F.col("visitors") > crowd(bits))
+    found = probes.join(table, "slot").where((full & (F.col("place") == 1)) | (~full & near))
+    return found.select(F.when(full, F.col("slot")).alias("slot"), "a", F.when(~full, F.col("b")).alias("b"), "member")
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:
@@ -397,7 +405,7 @@ def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col:
     # the numbers are fixed by being written; equal word sequences are one node, so copies are never paired
     nodes = prints.groupBy("key").agg(F.first("wide").alias("wide"), F.first("values").alias("values"), F.min("digest").alias("digest"))
     nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "*", F.col("wide")[0].alias("sig")), "nodes")
-    met = scratch.write(_met(nodes, bits, differing_bits(similarity, LOOSE - 1, 64)), "met")
+    met = scratch.write(_met(nodes, bits, differing_bits(similarity, SIGHT, 64)), "met")
     whole = nodes.select("node", "wide")
     pairs = met.where(F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     close = pairs.join(whole.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b").where(_apart("x", "y") <= loose)
@@ -429,7 +437,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     verified by the distance of the whole fingerprints and then by the shingles
     themselves: the least ``LOW`` of their hashes, and all of them where a set
     was cut and its estimate lies near ``similarity``.  Of a segment value that
-    more than ``FEW`` fingerprints share not all pairs leave the task: first a
+    many fingerprints share or visit not all pairs leave the task: first a
     spanning forest of the closest ones, then, in rounds, pairs that links
     verified so far do not join, until none is left.  A tight group never
     spells out its pairs, and every link is verified, so groups do not depend

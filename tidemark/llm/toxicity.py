@@ -314,7 +314,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     The model is fitted on the labelled rows of ``docs`` themselves.  Rows go
     by id and text.  Null and empty texts stay.
     """
-    model = fit_toxicity(docs, labels)
+    model = fit_toxicity(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     with Scratch(docs.sparkSession, "toxic") as scratch:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         scored = with_toxicity(texts, model, "found").where(F.col("found.score") >= threshold)
