@@ -38,10 +38,10 @@ RESERVED = -1e8
 #: Chunks longer than this are cut where no piece crosses; what is longer still is segmented by itself.
 LONG = 64
 #: Characters of segmented chunks that a task keeps (some 40 bytes each), and of texts that are encoded together.
-KEPT_CHARS = 400_000
-GROUP_CHARS = 200_000
+KEPT_CHARS = 800_000
+GROUP_CHARS = 600_000
 #: Characters of chunks that go through the forward pass together (some 150 bytes each).
-TOGETHER_CHARS = 60_000
+TOGETHER_CHARS = 150_000
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Stands for a literal U+2581 of the text, which is spelled in bytes so that decoding tells it from a space.
@@ -62,6 +62,7 @@ class PieceModel:
         self.ids, self.byte_ids = np.array(ids, np.int32), np.array(byte_ids, np.int32)
         self.piece_score = np.array([*scores, self.unknown], np.float64)  # the last is that of BYTES
         self.id_bytes, self.id_ends = b"".join(by_id), np.cumsum([0, *map(len, by_id)])
+        self.by_id: list[bytes] | None = None  # cut apart where it is first needed
         steps: dict[tuple[int, int], int] = {}
         piece_at = [-1]
         for k, piece in enumerate(pieces):
@@ -332,8 +333,10 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids were encoded from."""
-        starts, ends, all_ = self.id_ends[ids].tolist(), self.id_ends[ids + 1].tolist(), self.id_bytes
-        return b"".join([all_[a:b] for a, b in zip(starts, ends)]).decode("utf-8", "surrogatepass")[1:]
+        if self.by_id is None:
+            ends = self.id_ends.tolist()
+            self.by_id = [self.id_bytes[a:b] for a, b in zip(ends, ends[1:])]
+        return b"".join(map(self.by_id.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
 def _codes(text: str) -> np.ndarray:
