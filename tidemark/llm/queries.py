@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import held_out, read_table
 from .embeddings import embedding_groups
 from .exact_dedup import dedup_once
+from .filters import filter_audit
 from .language import fit_languages, with_language
 from .licenses import with_licenses
 from .mixing import entropy_mix
@@ -81,6 +82,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five text filters removes at every step of all 120 orders, by source."""
+    return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_entropy_mixing": op1_entropy_mixing,
     "op2_language_spans": op2_language_spans,
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op12_filter_interactions": op12_filter_interactions,
 }
 
 
@@ -146,6 +153,28 @@ ORACLE_SQL = {
         FROM e LEFT JOIN degree USING (vec_id) LEFT JOIN least USING (vec_id)
     """,
     "op7_pii_spans": _personal_sql(),
+    "op12_filter_interactions": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+        l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+        f AS (SELECT part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+                regexp_matches(t, '[#$%&*|]') AS d, coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+        cells AS (SELECT part, [x for x in [CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END] if x IS NOT NULL] AS failed, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+        orders AS (SELECT v.k || w.k || x.k || y.k || z.k AS filter_order FROM x v, x w, x, x y, x z WHERE len(list_distinct([v.k, w.k, x.k, y.k, z.k])) = 5),
+        steps AS (SELECT filter_order, step, filter_order[step] AS own, [filter_order[i] for i in range(1, step)] AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+        r AS (SELECT part, filter_order, step, own,
+                sum(CASE WHEN NOT list_has_any(failed, before) AND NOT list_contains(failed, own) THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN NOT list_has_any(failed, before) AND list_contains(failed, own) THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN list_has_any(failed, before) AND list_contains(failed, own) THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN failed = [own] THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN good AND NOT list_has_any(failed, before) AND list_contains(failed, own) THEN n ELSE 0 END) AS good_lost,
+                sum(CASE WHEN toxic AND NOT list_has_any(failed, before) AND list_contains(failed, own) THEN n ELSE 0 END) AS toxic_lost
+            FROM cells, steps GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+            CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+    """,
     "op10_secret_scan": _secret_sql(),
     "op8_exact_dedup": """
         SELECT doc_id,
