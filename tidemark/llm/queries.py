@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table
+from .common import Scratch, batches_of, held_out, read_table
 from .embeddings import embedding_groups
 from .exact_dedup import dedup_once
-from .filters import filter_audit
+from .filters import SPACES, filter_audit
 from .language import fit_languages, with_language
 from .licenses import with_licenses
 from .mixing import entropy_mix
+from .periodic import with_runs
 from .pieces import PieceModel, with_pieces
 from .pii import personal_report
+from .repeats import passage_digests
 from .secrets import RULES, secret_report
 from .simhash import simhash_groups
 from .toxicity import THRESHOLD, fit_toxicity, with_toxicity
@@ -82,11 +84,39 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The contract's repeats: in every tenth document (by crc32 of its id) the words from some place on repeat with some period."""
+    docs = docs.select("doc_id", "text", F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), "").alias("w"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    docs = docs.select("doc_id", "text", "w", "h", F.size("w").cast("long").alias("n"), F.expr("h div 10").alias("g"))
+    docs = docs.select("doc_id", "text", "w", "n", F.expr("if(h % 10 = 0 and n > 0, g % n, null)").alias("a"), "g")
+    docs = docs.select("doc_id", "text", "w", "n", "a", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    planted = F.expr("if(a is null, text, array_join(transform(sequence(0L, n - 1), i -> w[cast(if(i < a, i, a + (i - a) % p) as int)]), ' '))")
+    return docs.select("doc_id", planted.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every whole text, the one with most periods, and the text with its runs collapsed."""
+    docs = _with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = with_runs(docs, "found")
+    runs, best = F.col("found.runs"), F.col("found.best")
+    lines = F.transform(runs, lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    spelled = F.concat(F.array_join(lines, "\n"), F.when(F.size(runs) > 0, "\n").otherwise(""))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    out = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), F.expr("1000 * found.best.length div found.best.period").alias("exponent_milli"), sha(spelled).alias("runs_sha256"), sha(F.col("found.collapsed")).alias("collapsed_sha256"))
+    with batches_of(spark, 1_000), Scratch(spark, "runs") as scratch:
+        return scratch.write(out, "runs", keep=True)
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five text filters removes at every step of all 120 orders, by source."""
     return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text when bytes covered by an earlier string of 100 bytes are removed."""
+    return passage_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_entropy_mixing": op1_entropy_mixing,
     "op2_language_spans": op2_language_spans,
@@ -98,7 +128,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_filter_interactions": op12_filter_interactions,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
 
