@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter
 from datetime import UTC, date, datetime
 
 import numpy as np
 import pytest
 
+from tidemark.functions import ranks, shared
+from tidemark.operators import blocks, trees
 from tidemark.operators import models as md
 from tidemark.runs import artifacts, calendar, cli, config, workflow
 from tidemark.sources import panels
@@ -150,10 +154,8 @@ def test_logistic_is_the_penalised_minimum(spark):
         grad = 0.5 * z1.T @ (w * (p - y)) + ridge * beta
         beta -= np.linalg.solve(0.5 * (z1 * (w * p * (1 - p))[:, None]).T @ z1 + np.diag(ridge), grad)
     assert np.allclose([fitted.importance()[n] for n in "abc"], beta[:3], atol=1e-6)
-    large = md.fit(md.Candidate("logistic", {"C": 0.5, "balanced": True}), df, ["a", "b", "c"], local_rows=0)  # by pyspark.ml
-    assert large.local is None and np.allclose([large.importance()[n] for n in "abc"], beta[:3], atol=1e-4)
-    both = [{r["a"]: r["proba_up"] for r in f.score(df).collect()} for f in (fitted, large)]
-    assert all(abs(both[0][k] - both[1][k]) < 1e-4 for k in both[0])
+    scores = {r["a"]: r["proba_up"] for r in fitted.score(df).collect()}
+    assert all(abs(scores[float(r[0])] - 1 / (1 + np.exp(-z1[i] @ beta))) < 1e-8 for i, r in enumerate(x))
 
 
 def test_missing_values_take_the_median(spark):
@@ -162,38 +164,133 @@ def test_missing_values_take_the_median(spark):
     y = (x[:, 0] > 0).astype(int)
     x[::9, 0] = np.nan
     filled = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
-    a, b = (md.learn(md.Candidate("logistic", {"C": 1.0}), v, y.astype(float)) for v in (x, filled))
-    assert np.allclose(a["beta"], b["beta"])
-    rows = [(None if np.isnan(p) else float(p), float(q), int(t)) for (p, q), t in zip(x, y)]
-    df = spark.createDataFrame(rows, "a double, b double, target int")
-    for local in (1000, 0):
-        fitted = md.fit(md.Candidate("logistic", {"C": 1.0, "balanced": False}), df, ["a", "b"], local_rows=local)
-        assert fitted.score(df).where("proba_up is null").isEmpty()
-        assert abs(fitted.importance()["a"] - a["beta"][0]) < 1e-3
-
-
-def test_trees_learn_what_is_there():
-    """Boosting and forests against the truth, a stump against all splits, and missing values as a side of a split."""
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=(1500, 4))
-    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
-    x[rng.random(1500) < 0.1, 2] = np.nan
-    x[(y == 1) & (rng.random(1500) < 0.3), 3] = np.nan
-    train, held = slice(0, 1000), slice(1000, 1500)
-    for family, params in (("gradient_boosting", {"rate": 0.1, "leaves": 7, "rounds": 60}), ("random_forest", {"trees": 80, "depth": 6, "least": 10})):
-        model = md.learn(md.Candidate(family, params), x[train], y[train])
-        p = md.learners.probabilities(model, x[held])
-        assert ((p >= 0.5) == y[held]).mean() > 0.85 and ((p >= 0) & (p <= 1)).all(), family
-        shares = md.learners.importances(model, 4)
-        assert abs(sum(shares) - 1) < 1e-9 and shares[2] == min(shares)
-        assert model == md.learn(md.Candidate(family, params), x[train], y[train])  # the same again
-    one = md.learners.fit_boosting(x[:200, :2], y[:200], np.ones(200), rate=1.0, leaves=2, rounds=1, least=5, ridge=1.0)
-    start = y[:200].mean()
-    g, h = start - y[:200], np.full(200, start * (1 - start))
-    best = max((sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (x[:200, j] <= cut, x[:200, j] > cut)) for j in (0, 1) for cut in x[:200, j] if 5 <= (x[:200, j] <= cut).sum() <= 195))
-    assert abs(one["trees"][0]["gain"][0] - (best - g.sum() ** 2 / (h.sum() + 1))) < 1e-9
-    flat = md.learn(md.Candidate("gradient_boosting", {}), np.zeros((50, 2)), np.ones(50))
-    assert md.learners.probabilities(flat, np.zeros((3, 2))).min() > 0.99
+    table = lambda v: spark.createDataFrame([(None if np.isnan(p) else float(p), float(q), int(t)) for (p, q), t in zip(v, y)], "a double, b double, target int")
+    a, b = (md.fit(md.Candidate("logistic", {"C": 1.0, "balanced": False}), table(v), ["a", "b"]) for v in (x, filled))
+    assert a.local["fill"] == [np.nanmedian(x[:, 0]), 0.0] and np.allclose(a.local["beta"], b.local["beta"], atol=1e-9)
+    assert a.score(table(x)).where("proba_up is null").isEmpty()
+    none = table(np.column_stack((np.full(300, np.nan), x[:, 1])))  # a feature without a value
+    assert md.fit(md.Candidate("logistic", {}), none, ["a", "b"]).local["beta"][0] == 0
+
+
+def panel_rows(spark, n=700, seed=7):
+    """Two tickers with missing values, targets that two features decide, and a constant feature."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for ticker in "FO":
+        x = rng.normal(size=(n, 4))
+        y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(int)
+        x[rng.random(n) < 0.1, 2] = np.nan
+        x[(y == 1) & (rng.random(n) < 0.3), 3] = np.nan
+        rows += [(ticker, i, date(2020, 1, 1), *[None if np.isnan(v) else float(v) for v in r], 1.0, int(t), 0.0) for i, (r, t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "ticker string, row_idx long, session date, a double, b double, c double, d double, e double, target int, future_return double")
+
+
+NAMES = ["a", "b", "c", "d", "e"]
+TREES = [md.Candidate("gradient_boosting", {"rate": 0.3, "leaves": 7, "rounds": 12, "least": 5}), md.Candidate("random_forest", {"trees": 12, "depth": 6, "least": 5})]
+
+
+def test_all_models_of_all_folds(spark, monkeypatch):
+    """One call for all candidates, tickers and folds; the same models and scores from blocks of any size and rows in any order."""
+    rows = panel_rows(spark)
+    folds = spark.createDataFrame([(t, k, 200 * k, 200 * k + 1, 200 * k + 200) for t in "FO" for k in (1, 2, 3)], "ticker string, fold long, train_end long, eval_start long, eval_end long")
+    chosen = [*TREES, md.Candidate("logistic", {"C": 1.0, "balanced": True}), md.Candidate("logistic", {"C": 0.01, "balanced": False})]
+    key = ("candidate", "ticker", "fold", "row_idx")
+    read = lambda df: {tuple(r[k] for k in key): (r["proba_up"], r["prediction"], r["target"]) for r in df.collect()}
+    once = read(md.model_oof(rows, folds, chosen, NAMES))
+    assert len(once) == 4 * 2 * 199 * 2 + 4 * 2 * 99  # the last fold ends with the rows
+    for c in TREES:
+        right = [h == t for k, (_, h, t) in once.items() if k[0] == c.name and k[2] == 3]
+        assert np.mean(right) > 0.8, c.name
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(trees, "REFRESHED", 5)
+    monkeypatch.setattr(trees, "GROUP_BYTES", 1)
+    again = read(md.model_oof(rows.repartition(5), folds, chosen, NAMES))
+    assert once.keys() == again.keys() and all(once[k][0] == again[k][0] if "logistic" not in k[0] else abs(once[k][0] - again[k][0]) < 1e-9 for k in once)
+
+
+def brute_split(x, g, h, least, ridge):
+    """The best gain of all features, all cuts between distinct values, and both sides for missing values."""
+    best = 0.0
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + ridge)
+    for v in x.T:
+        for cut in np.unique(v[~np.isnan(v)]):
+            for gone in (False, True):
+                left = np.where(np.isnan(v), gone, v <= cut)
+                if least <= left.sum() <= len(v) - least:
+                    best = max(best, score(left) + score(~left) - score(np.ones(len(v), bool)))
+    return best
+
+
+def test_trees_split_where_it_gains_most(spark):
+    """Every split of a boosted tree against a search over all cuts of the rows in its node; leaf values; a forest's first splits."""
+    rows = panel_rows(spark, 120).where("ticker = 'F'")
+    table = rows.orderBy("row_idx").toPandas()
+    x, y = table[NAMES].to_numpy(float), table["target"].to_numpy(float)
+    fitted = md.fit(md.Candidate("gradient_boosting", {"rate": 0.5, "leaves": 4, "rounds": 2, "least": 5}), rows, NAMES)
+    raw = np.full(len(y), fitted.local["start"])
+    assert abs(raw[0] - np.log(y.mean() / (1 - y.mean()))) < 1e-12
+    for t in fitted.local["trees"]:
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        node = np.zeros(len(y), int)
+        for k, f in enumerate(t["feature"]):
+            of = node == k
+            if f < 0:
+                assert abs(t["value"][k] + 0.5 * g[of].sum() / (h[of].sum() + 1)) < 1e-5
+                raw[of] += t["value"][k]
+                continue
+            assert abs(t["gain"][k] - brute_split(x[of], g[of], h[of], 5, 1.0)) < 1e-4
+            left = np.where(np.isnan(x[:, f]), t["missing"][k], x[:, f] <= float(t["at"][k]))
+            node[of & left], node[of & ~left] = t["left"][k], t["right"][k]
+        assert sum(f < 0 for f in t["feature"]) == 4
+    scores = {r["row_idx"]: r["proba_up"] for r in fitted.score(rows).collect()}
+    assert all(abs(scores[i] - 1 / (1 + np.exp(-raw[i]))) < 1e-9 for i in range(len(y)))
+    shares = fitted.importance()
+    assert abs(sum(shares.values()) - 1) < 1e-9 and shares["e"] == 0
+    forest = md.fit(md.Candidate("random_forest", {"trees": 5, "depth": 2, "least": 5, "balanced": False}), rows, NAMES)
+    assert all(sum(f >= 0 for f in t["feature"]) <= 3 for t in forest.local["trees"]) and len({str(t) for t in forest.local["trees"]}) == 5
+    flat = md.fit(md.Candidate("gradient_boosting", {"rounds": 3}), spark.createDataFrame([(0.0, 0.0, 1)] * 50, "a double, b double, target int"), ["a", "b"])
+    assert flat.score(spark.createDataFrame([(0.0, None)], "a double, b double")).first()["proba_up"] > 0.99
+
+
+def test_bootstrap_draws():
+    drawn = np.array([trees.times_drawn(np.arange(2000), 42, t) for t in range(20)])
+    assert abs(drawn.mean() - 1) < 0.03 and abs(drawn.var() - 1) < 0.05 and abs(np.corrcoef(drawn).sum() - 20) < 2
+    model = {"kind": "forest", "seed": 1}
+    chosen = trees.features_at(model, 0, list(range(200)), 29)
+    assert chosen.shape == (200, 5) and all(len(set(r)) == 5 for r in chosen) and len(np.unique(chosen)) == 29
+    assert (trees.features_at(model, 0, [7], 29)[0] == chosen[7]).all()
+
+
+def test_ranks_of_one_large_group(spark):
+    """Nearly all rows in one group, with ties: ranks as a window in one task gives them."""
+    rows = spark.range(5000).selectExpr("if(id % 50 = 0, 'b', 'a') as k", "cast(pmod(xxhash64(id), 40) as double) as v", "id")
+    with shared.Scratch(spark, "test") as scratch:
+        found = ranks.ranked(rows, ["k"], ["v", "id"], scratch).collect()
+        middle = {r["k"]: r["median"] for r in ranks.medians(rows, ["k"], "v", "id", scratch).collect()}
+    for k in "ab":
+        of = sorted((r["v"], r["id"], r["rank"], r["rank_n"]) for r in found if r["k"] == k)
+        assert [r[2] for r in of] == list(range(len(of))) and {r[3] for r in of} == {len(of)}
+        assert middle[k] == np.median([r[0] for r in of])
+
+
+def test_permutation(spark):
+    """What a feature is worth, and that dealing anew is a permutation that no partitioning changes."""
+    rows = panel_rows(spark, 300).drop("e")
+    names = NAMES[:4]
+    with shared.Scratch(spark, "test") as scratch:
+        read = lambda df: {tuple(r)[:4]: list(r["x"]) for r in df.select("ticker", "row_idx", "j", "repeat", "x").collect()}
+        dealt = read(md.permuted_rows(rows, ["ticker"], names, 2, 42, scratch))
+        assert dealt == read(md.permuted_rows(rows.repartition(7), ["ticker"], names, 2, 42, scratch))
+    true = {(r["ticker"], r["row_idx"]): [r[n] for n in names] for r in rows.collect()}
+    for t, j, k in itertools.product("FO", range(4), range(2)):
+        for other in range(4):
+            plain, new = [true[t, i][other] for i in range(300)], [dealt[t, i, j, k][other] for i in range(300)]
+            assert new == plain if other != j else (new != plain and Counter(new) == Counter(plain))
+    worth = {(r["ticker"], r["name"]): r["value"] for r in md.importance(TREES[0], rows, names, repeats=3).collect()}
+    assert all(worth[t, n] > 0.1 > abs(worth[t, "c"]) for t in "FO" for n in "ab")
+    fitted = md.fit(TREES[0], rows, names)
+    assert md.permuted(fitted, rows)["a"] > 0.1
 
 
 def test_workflow(spark, sf, tmp_path):

@@ -1,37 +1,33 @@
 """Model candidates on walk-forward folds.
 
-Every (candidate, ticker, fold) is a group of its own: all of them are fitted
-by one job, a group a task.  A train part beyond ``LOCAL_ROWS``, which no panel
-of sessions has, is fitted by pyspark.ml instead.  Medians and scaling come
-from each train part only.
+All (candidate, ticker, fold) are fitted together, in passes over blocks of
+rows: logistic regressions by sums of gradients and curvatures
+(:mod:`logistic`), trees by sums of histograms (:mod:`trees`).  There is one
+way for tables of every size.  Medians, scaling and bins come from each train
+part only.
 """
 
 from __future__ import annotations
 
-import json
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import learners
+from ..functions.ranks import ranked
+from ..functions.shared import Scratch
+from . import logistic, trees
+from .blocks import END, arrays, hashed_positions, packed, rows_of
 from .folds import small
 from .ranking import Standing
 
 #: Order of the families by complexity, the tie-break of the ranking.
 COMPLEXITY = {"logistic": 1, "random_forest": 2, "gradient_boosting": 3, "lstm": 4}
-#: Training rows up to which a model is fitted within one task (some 120 MB of features).
-LOCAL_ROWS = 500_000
-#: Training rows that one task of pyspark.ml handles in an iteration, at least.
-ROWS_A_PARTITION = 100_000
 #: Parameter grids by family.
 GRIDS: dict[str, list[dict[str, Any]]] = {
     "logistic": [{"C": 1.0, "balanced": True}, {"C": 0.1, "balanced": True}, {"C": 0.01, "balanced": True}, {"C": 0.01, "balanced": False}, {"C": 0.001, "balanced": False}],
@@ -92,200 +88,211 @@ def candidates(families: tuple[str, ...] = ("logistic", "gradient_boosting")) ->
     return out
 
 
-def learn(candidate: Candidate, x: np.ndarray, y: np.ndarray, seed: int = 42) -> dict[str, Any]:
-    """Fit a candidate within this process."""
-    p, weight = candidate.params, learners.class_weights(y, candidate.balanced)
-    if candidate.family == "logistic":
-        return learners.fit_logistic(x, y, weight, float(p.get("C", 1.0)))
-    if candidate.family == "gradient_boosting":
-        return learners.fit_boosting(x, y, weight, float(p.get("rate", 0.05)), int(p.get("leaves", 15)), int(p.get("rounds", 200)), int(p.get("least", 40)), float(p.get("l2", 1.0)))
-    if candidate.family == "random_forest":
-        return learners.fit_forest(x, y, weight, int(p.get("trees", 400)), int(p.get("depth", 6)), int(p.get("least", 30)), seed)
-    raise ValueError(f"{candidate.family} has no learner here")
+def probabilities(model: dict[str, Any], x: np.ndarray) -> np.ndarray:
+    """Probability of a rise of each row of features (NaN where missing)."""
+    if model["kind"] != "logistic":
+        return trees.probabilities(model, x)
+    z = (np.where(np.isnan(x), model["fill"], x) - np.array(model["mean"])) / np.array(model["scale"])
+    beta = np.array(model["beta"])
+    return 1.0 / (1.0 + np.exp(-np.clip(z @ beta[:-1] + beta[-1], -35, 35)))
 
 
-def estimator(candidate: Candidate, total_weight: float, seed: int = 42) -> Any:
-    """The pyspark.ml estimator of a candidate.
-
-    Logistic: the penalty 1 / (C * total weight) gives the minimum of a sum
-    over rows with inverse strength C; features are scaled before, so it does
-    not scale again.  Boosting maps leaves to a depth and is approximate.
-    """
-    p = candidate.params
-    common = {"featuresCol": "features", "labelCol": "target", "weightCol": "weight"}
-    if candidate.family == "logistic":
-        return LogisticRegression(regParam=1.0 / (float(p.get("C", 1.0)) * total_weight), elasticNetParam=0.0, standardization=False, maxIter=int(p.get("max_iter", 2000)), tol=1e-9, **common)
-    if candidate.family == "gradient_boosting":
-        depth = max(1, math.ceil(math.log2(p.get("leaves", 15))))
-        return GBTClassifier(maxIter=int(p.get("rounds", 200)), stepSize=float(p.get("rate", 0.05)), maxDepth=depth, minInstancesPerNode=int(p.get("least", 40)), seed=seed, **common)
-    if candidate.family == "random_forest":
-        return RandomForestClassifier(numTrees=int(p.get("trees", 400)), maxDepth=int(p.get("depth", 6)), minInstancesPerNode=int(p.get("least", 30)), seed=seed, **common)
-    raise ValueError(f"{candidate.family} has no estimator here")
-
-
-def weighted(train: DataFrame, balanced: bool) -> tuple[DataFrame, float]:
-    """Rows with ``weight`` (n / (2 * rows of the class) if balanced) and the sum of weights."""
-    counts = {r["target"]: r["count"] for r in train.groupBy("target").count().collect()}
-    n = sum(counts.values())
-    weight = F.lit(1.0)
-    if balanced and len(counts) == 2:
-        weight = F.when(F.col("target") == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
-    return train.withColumn("weight", weight), float(n)
-
-
-def scaling(train: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation of each feature; a constant feature keeps its values."""
-    row = train.agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    return {n: (row[f"m_{n}"] or 0.0, row[f"s_{n}"] or 1.0) for n in names}
-
-
-def scaled(rows: DataFrame, scales: dict[str, tuple[float, float]]) -> DataFrame:
-    """Rows with the scaled features in place; other columns stay."""
-    return rows.withColumns({n: (F.col(n) - m) / s for n, (m, s) in scales.items()})
+def importances(model: dict[str, Any], d: int) -> list[float]:
+    """Coefficients, or each feature's share of the gains of all splits."""
+    return list(model["beta"][:-1]) if model["kind"] == "logistic" else trees.shares_of_gain(model, d)
 
 
 @dataclass
 class Fitted:
-    """A fitted model: ``local`` is one of :mod:`learners`, ``model`` one of pyspark.ml with the medians and scaling of its train part."""
+    """One fitted model: a plain dictionary, which travels as JSON."""
 
     candidate: Candidate
     names: list[str]
-    local: dict[str, Any] | None = None
-    model: PipelineModel | None = None
-    medians: dict[str, float] = field(default_factory=dict)
-    scales: dict[str, tuple[float, float]] = field(default_factory=dict)
+    local: dict[str, Any]
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Rows with ``proba_up``."""
-        if self.local is not None:
-            local = self.local
+        local = self.local
 
-            @F.pandas_udf("double")
-            def proba(*columns: pd.Series) -> pd.Series:
-                return pd.Series(learners.probabilities(local, np.column_stack([c.to_numpy(np.float64) for c in columns])))
+        @F.pandas_udf("double")
+        def proba(*columns: pd.Series) -> pd.Series:
+            return pd.Series(probabilities(local, np.column_stack([c.to_numpy(np.float64) for c in columns])))
 
-            return rows.withColumn("proba_up", proba(*self.names))
-        filled = rows.select("*", *[F.col(n).alias(f"_raw_{n}") for n in self.names]).fillna(self.medians)
-        out = self.model.transform(scaled(filled, self.scales)).withColumn("proba_up", vector_to_array("probability")[1])
-        out = out.drop("features", "rawPrediction", "probability", "prediction", *self.names)
-        return out.withColumnsRenamed({f"_raw_{n}": n for n in self.names})
+        return rows.withColumn("proba_up", proba(*self.names))
 
     def importance(self) -> dict[str, float]:
         """Coefficients or shares of the splits' gains by feature."""
-        if self.local is not None:
-            return dict(zip(self.names, learners.importances(self.local, len(self.names))))
-        last = self.model.stages[-1]
-        values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
-        return dict(zip(self.names, map(float, values.toArray())))
-
-
-def _arrays(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return pdf[names].to_numpy(np.float64), pdf["target"].to_numpy(np.float64)
-
-
-def fit(candidate: Candidate, train: DataFrame, names: list[str], seed: int = 42, local_rows: int = LOCAL_ROWS) -> Fitted:
-    """Fit a candidate on ``train`` (features of ``names``, which may be null, and ``target``)."""
-    train = train.select(*names, F.col("target").cast("double").alias("target"), *[c for c in ("ticker", "session") if c in train.columns])
-    if train.count() <= local_rows:
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values([c for c in ("ticker", "session") if c in pdf.columns] or names, kind="stable")
-            return pd.DataFrame({"model": [json.dumps(learn(candidate, *_arrays(pdf, names), seed))]})
-
-        return Fitted(candidate, names, json.loads(train.groupBy(F.lit("all")).applyInPandas(one, "model string").first()["model"]))
-    rows, total = weighted(train, candidate.balanced)
-    row = train.agg(*[F.median(n).alias(n) for n in names]).first()
-    medians = {n: row[n] if row[n] is not None else 0.0 for n in names}
-    filled = rows.fillna(medians)
-    scales = scaling(filled, names)
-    # every iteration is a job over all partitions: few rows go into few
-    moved = scaled(filled, scales).coalesce(1 + int(total) // ROWS_A_PARTITION)
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), estimator(candidate, total, seed)])
-    return Fitted(candidate, names, None, pipeline.fit(moved), medians, scales)
-
-
-def permuted_losses(model: dict[str, Any], x: np.ndarray, y: np.ndarray, repeats: int = 5, seed: int = 42) -> list[float]:
-    """Mean loss of balanced accuracy when a feature's values are dealt anew."""
-
-    def balanced(values: np.ndarray) -> float:
-        h = learners.probabilities(model, values) >= 0.5
-        return float(np.mean([np.mean(h[y == c] == c) for c in (0, 1) if (y == c).any()]))
-
-    base, out = balanced(x), []
-    for j in range(x.shape[1]):
-        losses = []
-        for k in range(repeats):
-            dealt = x.copy()
-            dealt[:, j] = x[np.random.default_rng([seed, j, k]).permutation(len(x)), j]
-            losses.append(base - balanced(dealt))
-        out.append(float(np.mean(losses)))
-    return out
+        return dict(zip(self.names, importances(self.local, len(self.names))))
+
+
+def _models(rows: DataFrame, parts: DataFrame, chosen: list[Candidate], names: list[str], seed: int, scratch: Scratch) -> Iterator[tuple[str, int, str, dict[str, Any]]]:
+    """``(ticker, fold, candidate, model)`` of every candidate on every train part ``(ticker, fold, train_end)``."""
+    for c in chosen:
+        if c.family == "lstm":
+            raise ValueError("lstm has no learner here")
+    last = parts.groupBy("ticker").agg(F.max("train_end").alias("_last"))
+    train = rows.join(small(last), "ticker").where(F.col("row_idx") < F.col("_last")).drop("_last")
+    blocks = scratch.write(packed(train, names), "blocks")
+    known = logistic.prepared(train, parts, names, scratch)
+    linear = [(c.name, float(c.params.get("C", 1.0)), c.balanced) for c in chosen if c.family == "logistic"]
+    if linear:
+        for r in logistic.fitted(blocks, known, linear, scratch).toLocalIterator():
+            name, fold = r["model"].rsplit("|", 1)
+            yield r["part"], int(fold), name, {"kind": "logistic"} | {k: list(r[k]) for k in ("fill", "mean", "scale", "beta")}
+    grown = [(c.name, c.family, c.params) for c in chosen if c.family != "logistic"]
+    if grown:
+        for m in trees.fitted(blocks, train, known, grown, names, seed, scratch):
+            yield m["part"], m["fold"], m["name"].rsplit("|", 1)[0], trees.model_of(m)
+
+
+def _in_order(train: DataFrame, names: list[str]) -> DataFrame:
+    """``train`` as the rows of one part: positions are hashes of a row's ticker and session, or of its values."""
+    keys = [c for c in ("ticker", "session") if c in train.columns] or [*names, "target"]
+    kept = train.select(*names, F.col("target").cast("double").alias("target"), F.xxhash64(*keys).alias("_key"))
+    return hashed_positions(kept, ["_key"], train.count()).drop("_key")
+
+
+def fit(candidate: Candidate, train: DataFrame, names: list[str], seed: int = 42) -> Fitted:
+    """Fit a candidate on all of ``train`` (features of ``names``, which may be null, and ``target``)."""
+    with Scratch(train.sparkSession, "fit") as scratch:
+        rows = scratch.write(_in_order(train, names), "train")
+        parts = rows.select("ticker").distinct().select("ticker", F.lit(1).cast("long").alias("fold"), F.lit(END).cast("long").alias("train_end"))
+        found = list(_models(rows, parts, [candidate], names, seed, scratch))
+    if not found:
+        raise ValueError("there are no rows to fit a model on")
+    return Fitted(candidate, names, found[0][3])
+
+
+#: Rows whose features travel to Python at once.
+SCORED_ROWS = 4_096
+
+
+def _scored(blocks: DataFrame, models: dict[str, list[tuple[str, int, int, int, dict]]]) -> DataFrame:
+    """``ticker, row_idx, candidate, fold, proba_up`` of the models' eval ranges, ``models[ticker] = [(name, fold, from, to, model)]``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("ticker", pa.string()), ("row_idx", pa.int64()), ("candidate", pa.string()), ("fold", pa.int64()), ("proba_up", pa.float64())])
+        for row in rows_of(batches):
+            pos, _, x = arrays(row)
+            for name, fold, start, end, model in models.get(row["part"], []):
+                a, b = np.searchsorted(pos, [start, end])
+                if a < b:
+                    n = int(b - a)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n), pa.array(pos[a:b]), pa.array([name] * n), pa.array([fold] * n, pa.int64()), pa.array(probabilities(model, x[a:b]))], schema=kind)
+
+    return blocks.mapInArrow(run, "ticker string, row_idx long, candidate string, fold long, proba_up double")
 
 
-def permuted(fitted: Fitted, rows: DataFrame, seed: int = 42, repeats: int = 5) -> dict[str, float] | None:
-    """:func:`permuted_losses` of a fitted model over ``rows``, in one task; None for a model of pyspark.ml."""
-    local, names = fitted.local, fitted.names
-    if local is None:
-        return None
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _arrays(pdf.sort_values(["ticker", "session"], kind="stable"), names)
-        return pd.DataFrame({"name": names, "value": permuted_losses(local, x, y, repeats, seed)})
+def model_oof(rows: DataFrame, folds: DataFrame, chosen: list[Candidate], names: list[str], seed: int = 42) -> DataFrame:
+    """Out-of-fold predictions of every candidate, ticker and fold, shaped like the baselines'.
 
-    table = rows.select("ticker", "session", *names, F.col("target").cast("double").alias("target"))
-    return {r["name"]: r["value"] for r in table.groupBy(F.lit("all")).applyInPandas(one, "name string, value double").collect()}
+    A row is read once for all candidates and folds of its ticker.  Models are
+    few numbers each and scored ``trees.MODELS`` at a time.
+    """
+    columns = ["candidate", "ticker", "fold", "session", "row_idx", "proba_up", "prediction", "target", "future_return"]
+    with Scratch(rows.sparkSession, "oof") as scratch:
+        parts = scratch.write(folds.select("ticker", "fold", "train_end", "eval_start", "eval_end"), "folds")
+        blocks = scratch.write(packed(rows, names), "all")
+        spans = {(r["ticker"], r["fold"]): (r["eval_start"], r["eval_end"]) for r in parts.collect()} if parts.count() <= trees.MODELS * 100 else None
+        if spans is None:
+            raise ValueError("too many folds for one call: fit tickers in groups")
+        out: DataFrame | None = None
+        group: dict[str, list] = {}
+        n = 0
+
+        def flushed(out: DataFrame | None) -> DataFrame:
+            some = scratch.write(_scored(blocks, group), "scores", keep=True)
+            return some if out is None else out.unionByName(some)
+
+        for ticker, fold, name, model in _models(rows, parts, chosen, names, seed, scratch):
+            group.setdefault(ticker, []).append((name, fold, *spans[ticker, fold], model))
+            n += 1
+            if n % trees.MODELS == 0:
+                out, group = flushed(out), {}
+        if group or out is None:
+            out = flushed(out)
+    scored = out.join(rows.select("ticker", "row_idx", "session", "target", "future_return"), ["ticker", "row_idx"])
+    return scored.withColumn("prediction", (F.col("proba_up") >= 0.5).cast("int")).select(*columns)
+
+
+# ---- importance ----
+
+
+def permuted_rows(rows: DataFrame, keys: list[str], names: list[str], repeats: int, seed: int, scratch: Scratch) -> DataFrame:
+    """``keys, row_idx, target, j, repeat, x``: the features of every row with feature j dealt anew, once for each feature and repeat.
+
+    A permutation is a join of two orders of a group's rows: row of place k by
+    ``row_idx`` takes the value of the row of place k by a hash of (seed, j,
+    repeat, row_idx).  ``x`` is the whole array of features with that value in it.
+    """
+    plain = ranked(rows.select(*keys, "row_idx", "target", F.array(*[F.col(n).cast("double") for n in names]).alias("x")), keys, ["row_idx"], scratch, "place").drop("place_n")
+    plain = scratch.write(plain, "plain")
+    draws = plain.select(*keys, "row_idx", "x").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "j", "repeat", F.col("row_idx").cast("string")))
+    draws = draws.select(*keys, "row_idx", "j", "repeat", F.expr("x[j]").alias("value"), draw.alias("draw"))
+    dealt = ranked(draws, [*keys, "j", "repeat"], ["draw", "row_idx"], scratch, "place").select(*keys, "place", "j", "repeat", "value")
+    both = plain.join(dealt, [*keys, "place"])
+    return both.select(*keys, "row_idx", "target", "j", "repeat", F.expr("transform(x, (v, i) -> if(i = j, value, v))").alias("x"))
+
+
+def _balanced(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean over the classes that occur of the share predicted right."""
+    right = found.groupBy(*keys, "target").agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("right"))
+    return right.groupBy(*keys).agg(F.avg("right").alias("balanced"))
+
+
+def permutation_losses(rows: DataFrame, keys: list[str], names: list[str], models: dict[Any, dict[str, Any]], repeats: int = 5, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
+    """``keys, name, value``: mean loss of balanced accuracy when a feature's values are dealt anew, of the model of each key."""
+    if scratch is None:
+        with Scratch(rows.sparkSession, "permuted") as own:
+            return own.write(permutation_losses(rows, keys, names, models, repeats, seed, own), "losses", keep=True)
+    key = F.concat_ws("|", *keys) if keys else F.lit("")
+
+    @F.pandas_udf("int")
+    def predicted(which: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(which), np.int32)
+        for k in which.unique():
+            at = np.flatnonzero(which == k)
+            out[at] = probabilities(models[k], np.array([np.array(v, np.float64) for v in x.iloc[at]])) >= 0.5
+        return pd.Series(out)
+
+    grouped = [*keys] or ["_all"]
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    base = rows.select(*grouped, "target", predicted(key, F.array(*[F.col(n).cast("double") for n in names])).alias("prediction"))
+    base = _balanced(base, grouped).withColumnRenamed("balanced", "base")
+    dealt = permuted_rows(rows, grouped, names, repeats, seed, scratch)
+    after = _balanced(dealt.select(*grouped, "j", "repeat", "target", predicted(key, "x").alias("prediction")), [*grouped, "j", "repeat"])
+    lost = after.join(base, grouped).groupBy(*grouped, "j").agg(F.avg(F.col("base") - F.col("balanced")).alias("value"))
+    return lost.select(*keys, F.array(*[F.lit(n) for n in names])[F.col("j")].alias("name"), "value")
+
+
+def permuted(fitted: Fitted, rows: DataFrame, seed: int = 42, repeats: int = 5) -> dict[str, float]:
+    """:func:`permutation_losses` of one model over ``rows``."""
+    found = permutation_losses(rows, [], fitted.names, {"": fitted.local}, repeats, seed)
+    return {r["name"]: r["value"] for r in found.collect()}
 
 
 def importance(candidate: Candidate, train: DataFrame, names: list[str], seed: int = 42, repeats: int = 0) -> DataFrame:
     """``ticker, name, value``: importances of a candidate fitted on each ticker's rows.
 
     Coefficients or gain shares, or with ``repeats`` the mean loss of balanced
-    accuracy when a feature's values are dealt anew so many times.  A ticker is
-    a group of one job.
+    accuracy when a feature's values are dealt anew so many times.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _arrays(pdf.sort_values("session", kind="stable"), names)
-        model = learn(candidate, x, y, seed)
-        values = permuted_losses(model, x, y, repeats, seed) if repeats else learners.importances(model, len(names))
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "name": names, "value": values})
-
-    rows = train.select("ticker", "session", *names, F.col("target").cast("double").alias("target"))
-    return rows.groupBy("ticker").applyInPandas(one, "ticker string, name string, value double")
-
-
-def model_oof(rows: DataFrame, folds: DataFrame, chosen: list[Candidate], names: list[str], seed: int = 42) -> DataFrame:
-    """Out-of-fold predictions of every candidate, ticker and fold, shaped like the baselines'.
-
-    One job: a group is a candidate's train and eval rows of a fold of a
-    ticker, so a row travels once for each candidate and fold that reads it.
-    """
-    by_name = {c.name: c for c in chosen}
-    of_fold = rows.join(small(folds.select("ticker", "fold", "train_end", "eval_start", "eval_end")), "ticker")
-    is_eval = (F.col("row_idx") >= F.col("eval_start")) & (F.col("row_idx") < F.col("eval_end"))
-    of_fold = of_fold.withColumn("is_eval", is_eval).where((F.col("row_idx") < F.col("train_end")) | is_eval)
-    each = of_fold.withColumn("candidate", F.explode(F.array(*[F.lit(n) for n in by_name])))
-    kept = ["candidate", "ticker", "fold", "session", "row_idx", "target", "future_return"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx", kind="stable", ignore_index=True)
-        train, held = pdf[~pdf["is_eval"]], pdf[pdf["is_eval"]]
-        if train.empty or held.empty:
-            return held[kept].assign(proba_up=np.zeros(0), prediction=np.zeros(0, np.int32))
-        model = learn(by_name[pdf["candidate"].iloc[0]], *_arrays(train, names), seed)
-        p = learners.probabilities(model, held[names].to_numpy(np.float64))
-        return held[kept].assign(proba_up=p, prediction=(p >= 0.5).astype(np.int32))
-
-    schema = "candidate string, ticker string, fold long, session date, row_idx long, target int, future_return double, proba_up double, prediction int"
-    kind = rows.schema["session"].dataType.simpleString()
-    out = each.select(*kept, "is_eval", *names).groupBy("candidate", "ticker", "fold").applyInPandas(one, schema.replace("session date", f"session {kind}"))
-    return out.select("candidate", "ticker", "fold", "session", "row_idx", "proba_up", "prediction", "target", "future_return")
+    spark = train.sparkSession
+    with Scratch(spark, "importance") as scratch:
+        rows = scratch.write(train.select("ticker", "row_idx", *names, F.col("target").cast("double").alias("target")), "rows")
+        parts = rows.select("ticker").distinct().select("ticker", F.lit(1).cast("long").alias("fold"), F.lit(END).cast("long").alias("train_end"))
+        models = {ticker: model for ticker, _, _, model in _models(rows, parts, [candidate], names, seed, scratch)}
+        if repeats:
+            out = permutation_losses(rows, ["ticker"], names, models, repeats, seed, scratch)
+        else:
+            found = [(t, n, float(v)) for t, m in models.items() for n, v in zip(names, importances(m, len(names)))]
+            out = spark.createDataFrame(found, "ticker string, name string, value double")
+        return scratch.write(out, "importance", keep=True)
 
 
 def sequences(rows: DataFrame, names: list[str], lookback: int) -> DataFrame:
     """``ticker, session, sequence``: for each row the features of the last ``lookback`` rows, oldest first; full ones only."""
-    from pyspark.sql import Window
-
     if lookback < 1:
         raise ValueError("lookback must be positive")
     w = Window.partitionBy("ticker").orderBy("session").rowsBetween(-(lookback - 1), 0)

@@ -278,7 +278,25 @@ _SMALL = {
     "up5": full("ret", 5, roll("count(*)", 5)), "sma10": _sma(10), "vol5": _vol(5), "volume10": full("volume", 10, div(roll("avg(volume)", 10), roll("stddev_samp(volume)", 10))), "volume1": lag("volume", 1),
 }
 
+_TRAIN = "train AS (SELECT r.*, f.fold FROM rows_ r JOIN folds f ON r.ticker = f.ticker AND r.row_idx < f.train_end)"
+_NAMES = "[" + ", ".join(f"'{n}'" for n in ALL) + "]"
+_VALUES = "[" + ", ".join(ALL) + "]"
+
 ORACLE: dict[str, str] = {
+    "train_medians": f"""{_with(*DATASET, _TRAIN)}, l AS (SELECT ticker, fold, unnest({_NAMES}) AS feature, unnest({_VALUES}) AS value FROM train)
+        SELECT ticker, fold, feature, {r8('median(value)', 'median')} FROM l GROUP BY 1, 2, 3""",
+    "feature_bins": f"""{_with(*DATASET, _TRAIN)}, l AS (SELECT ticker, fold, row_idx, unnest({_NAMES}) AS feature, round(unnest({_VALUES}), 8) AS value FROM train),
+        k AS (SELECT *, row_number() OVER (PARTITION BY ticker, fold, feature ORDER BY value, row_idx) - 1 AS place, count(*) OVER (PARTITION BY ticker, fold, feature) AS n FROM l),
+        c AS (SELECT DISTINCT ticker, fold, feature, value FROM k WHERE (place * 255) // n <> ((place + 1) * 255) // n),
+        e AS (SELECT *, max(value) OVER (PARTITION BY ticker, fold, feature) AS top FROM c),
+        g AS (SELECT ticker, fold, feature, min(value) FILTER (value < top) AS least, max(value) FILTER (value < top) AS most, coalesce(sum(value) FILTER (value < top), 0) AS total, count(*) FILTER (value < top) AS n_edges FROM e GROUP BY 1, 2, 3)
+        SELECT ticker, fold, feature, n_edges, {r8('least', 'least')}, {r8('most', 'most')}, {r8('total', 'total')} FROM g""",
+    "permuted_features": f"""{_with(*DATASET)}, dev AS (SELECT r.* FROM rows_ r JOIN bounds b ON r.ticker = b.ticker AND r.row_idx < b.dev_end),
+        d AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY row_idx) AS place FROM dev),
+        l AS (SELECT ticker, row_idx, unnest(range(0, {len(ALL)})) AS j, unnest({_NAMES}) AS feature, unnest({_VALUES}) AS value FROM d),
+        x AS (SELECT l.*, CAST(k AS BIGINT) AS repeat, row_number() OVER (PARTITION BY ticker, j, k ORDER BY md5('42:' || j || ':' || k || ':' || row_idx), row_idx) AS place FROM l, range(0, 5) t(k))
+        SELECT x.ticker, feature, repeat, count(*) AS n, {r8('sum(value * target)', 'with_target')}, {r8('sum(value * d.row_idx) / count(*)', 'with_place')} FROM x JOIN d ON d.ticker = x.ticker AND d.place = x.place GROUP BY 1, 2, 3""",
+    "logistic_stationarity": f"{_with(*DATASET, _TRAIN)} SELECT ticker, fold, count(*) AS n, true AS flat FROM train GROUP BY 1, 2",
     "bars_daily": f"{_with(DAILY)} SELECT ticker, {DAY}, {OHLCV} FROM bars",
     "bars_wide": f"{_with(WIDE)} SELECT ticker, {DAY}, {OHLCV} FROM bars",
     "bars_hourly": f"{_with(HOURLY)} SELECT ticker, strftime(session, '%Y-%m-%d %H:%M:%S') AS session, {OHLCV} FROM bars",

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import iso, rounded
-from ..functions.shared import materialize
+from ..functions import ranks as rks
+from ..functions.shared import Scratch, materialize
 from ..operators import backtest as bt
 from ..operators import baselines as bl
 from ..operators import benchmark as bm
@@ -19,10 +20,13 @@ from ..operators import calibration as cal
 from ..operators import features as ft
 from ..operators import folds as fo
 from ..operators import labels as lb
+from ..operators import logistic as lg
 from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import quality as ql
 from ..operators import ranking as rk
+from ..operators import trees as tr
+from ..operators.blocks import packed
 from ..sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +34,7 @@ ASSET, BENCHMARK = "F", "O"
 PAIR = ("candidate", "ticker")
 SHORT_RUN = bt.BacktestConfig(threshold=0.5, allow_short=True, short_threshold=0.45)
 CLOSE_RUN = bt.BacktestConfig(mode="close_to_close", threshold=0.5)
-SAMPLES, BLOCK = 2000, 20
+SAMPLES, BLOCK, SEED = 2000, 20, 42
 LOGISTIC = md.Candidate("logistic", {"C": 1.0, "balanced": True})
 #: What the ranking knows of the rule candidates besides their scores.
 STANDINGS = {"reversion": rk.Standing(1, (20.0,)), "always_up": rk.Standing(0, (1.0,)), "majority_class": rk.Standing(0, (0.0,))}
@@ -433,7 +437,7 @@ def edge_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _out(rk.edge_gate(mt.metric_suite(_scored(spark, sf)), ["reversion"], bl.BASELINES))
 
 
-# ---- models (no SQL: iterative fits) ----
+# ---- models ----
 
 
 def _model(candidate: md.Candidate) -> Query:
@@ -446,6 +450,56 @@ def _model(candidate: md.Candidate) -> Query:
     return query
 
 
+def _train_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = _dataset(spark, sf)
+    return rows, fo.development_folds(rows)
+
+
+def train_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact medians of every feature in every train part, by selection of ranks."""
+    rows, folds = _train_parts(spark, sf)
+    names = list(ft.feature_columns())
+    train = fo.fold_rows(rows, folds, "train").select("ticker", "fold", "row_idx", F.posexplode(F.array(*names)).alias("j", "value"))
+    with Scratch(spark, "medians") as scratch:
+        found = scratch.write(rks.medians(train, ["ticker", "fold", "j"], "value", "row_idx", scratch), "medians", keep=True)
+    return _out(found.select("ticker", "fold", F.array(*map(F.lit, names))[F.col("j")].alias("feature"), "median"))
+
+
+def feature_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """The bin edges of every feature in every train part: how many, the least, the largest and their sum."""
+    rows, folds = _train_parts(spark, sf)
+    names = list(ft.feature_columns())
+    rows = rows.withColumns({n: rounded(F.col(n)) for n in names})
+    with Scratch(spark, "bins") as scratch:
+        found = scratch.write(tr.edges(rows, folds, names, scratch).select("ticker", "fold", F.posexplode("edges").alias("j", "e")), "bins", keep=True)
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    return _out(found.select("ticker", "fold", F.array(*map(F.lit, names))[F.col("j")].alias("feature"), F.size("e").alias("n_edges"), F.array_min("e").alias("least"), F.array_max("e").alias("most"), total.alias("total")))
+
+
+def permuted_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature dealt anew five times over each ticker's development rows: its product with the target and with the row's place."""
+    names = list(ft.feature_columns())
+    with Scratch(spark, "dealt") as scratch:
+        dealt = md.permuted_rows(_development(spark, sf), ["ticker"], names, 5, SEED, scratch)
+        value = F.expr("x[j]")
+        sums = dealt.groupBy("ticker", "j", "repeat").agg(F.sum(value * F.col("target")).alias("with_target"), F.sum(value * F.col("row_idx")).alias("with_place"), F.count("*").alias("n"))
+        sums = scratch.write(sums, "sums", keep=True)
+    return _out(sums.select("ticker", F.array(*map(F.lit, names))[F.col("j")].alias("feature"), "repeat", "n", "with_target", (F.col("with_place") / F.col("n")).alias("with_place")))
+
+
+def logistic_stationarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the slope of the penalised loss is zero at the coefficients fitted on each train part."""
+    rows, folds = _train_parts(spark, sf)
+    names = list(ft.feature_columns())
+    with Scratch(spark, "stationary") as scratch:
+        parts = lg.prepared(rows, folds, names, scratch)
+        ends = folds.groupBy("ticker").agg(F.max("train_end").alias("_last"))
+        blocks = scratch.write(packed(rows.join(fo.small(ends), "ticker").where("row_idx < _last"), names), "blocks")
+        models = lg.fitted(blocks, parts, [("logistic", 1.0, True)], scratch)
+        found = scratch.write(lg.slopes(rows, parts, models, 1.0, True, names), "slopes", keep=True)
+    return _out(found.select("ticker", "fold", "n", (F.col("slope") < 1e-6).alias("flat")))
+
+
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 largest coefficients of a logistic model of each ticker's development part; the holdout stays sealed."""
     found = md.importance(LOGISTIC, _development(spark, sf), list(ft.feature_columns()))
@@ -547,7 +601,7 @@ QUERIES: dict[str, Query] = {
         oof_union, metric_suite, roc_auc, avg_precision, roc_points, pr_points, confusion, fold_aggregate, class_balance,
         calibration_bins, ece_mce, calibration_report, probability_histogram, threshold_scan, best_threshold, net_sharpe_scan,
         positions, cost_intraday, cost_c2c, equity_curve, drawdown, trades_blocks, trades_intraday, backtest_metrics, backtest_compare, buy_and_hold,
-        block_bootstrap, bootstrap_difference, candidate_rank, edge_gate, feature_importance, permutation_importance, lookback_sequences,
+        block_bootstrap, bootstrap_difference, candidate_rank, edge_gate, train_medians, feature_bins, permuted_features, logistic_stationarity, feature_importance, permutation_importance, lookback_sequences,
         overnight_variance, lag_autocorrelation, feature_target_correlation, feature_correlation, rolling_feature_correlation, hourly_strategy, stream_bars,
     )
 }

@@ -11,7 +11,6 @@ from dataclasses import asdict, dataclass
 from datetime import UTC, date, datetime
 from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from ..operators import labels as lb
 from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import quality as ql
-from ..functions.shared import hadoop_path, path_exists, remove_path
+from ..functions.shared import hadoop_path, path_exists
 from ..operators import ranking as rk
 from . import calendar
 from .artifacts import DigestMismatch, Lock, Run, create_run, environment, frame_digest, now_iso, sha256_json, to_json
@@ -277,43 +276,23 @@ def final_test(spark: SparkSession, panel: DataFrame, run: Run, rerun: bool = Fa
 def save_model(run: Run, fitted: md.Fitted, sample: DataFrame, extra: dict[str, Any]) -> None:
     """Model and digest; read back at once and compared by the scores of some rows, a failure fails the run."""
     meta = {"family": fitted.candidate.family, "params": fitted.candidate.params, "features": fitted.names, **extra}
-    if fitted.local is not None:
-        meta |= {"local": fitted.local, "sha256": sha256_json(fitted.local)}
-    else:
-        target = run.table_path("model")
-        remove_path(sample.sparkSession, target)
-        fitted.model.write().save(target)
-        meta |= {"medians": fitted.medians, "scales": {n: list(v) for n, v in fitted.scales.items()}, "sha256": _model_digest(sample.sparkSession, target)}
-    run.write_json("model.json", meta)
-    again, _ = load_model(run, sample.sparkSession)
+    run.write_json("model.json", meta | {"local": fitted.local, "sha256": sha256_json(fitted.local)})
+    again, _ = load_model(run)
     scores = lambda f: [r["proba_up"] for r in f.score(sample).orderBy("ticker", "session").collect()]
     if scores(again) != scores(fitted):
         raise DigestMismatch("the model that was read back scores otherwise")
 
 
-def _model_digest(spark: SparkSession, path: str) -> str:
-    """Digest of a saved model's files by their contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return sha256_json(sorted(r["h"] for r in files.select(F.sha2("content", 256).alias("h")).collect()))
-
-
-def load_model(run: Run, spark: SparkSession | None = None) -> tuple[md.Fitted, dict[str, Any]]:
+def load_model(run: Run) -> tuple[md.Fitted, dict[str, Any]]:
     meta = run.read_json("model.json")
-    candidate = md.Candidate(meta["family"], meta["params"])
-    if "local" in meta:
-        if sha256_json(meta["local"]) != meta["sha256"]:
-            raise DigestMismatch("the model has changed")
-        return md.Fitted(candidate, meta["features"], meta["local"]), meta
-    spark, path = spark or SparkSession.active(), run.table_path("model")
-    if _model_digest(spark, path) != meta["sha256"]:
-        raise DigestMismatch("the model's files have changed")
-    scales = {n: (m, s) for n, (m, s) in meta["scales"].items()}
-    return md.Fitted(candidate, meta["features"], None, PipelineModel.load(path), meta["medians"], scales), meta
+    if sha256_json(meta["local"]) != meta["sha256"]:
+        raise DigestMismatch("the model has changed")
+    return md.Fitted(md.Candidate(meta["family"], meta["params"]), meta["features"], meta["local"]), meta
 
 
 def predict(spark: SparkSession, panel: DataFrame, run: Run, last_completed: str, as_of: str | None = None) -> dict[str, Any]:
     """Probability of a rise from one session's features, with refusals and warnings."""
-    fitted, meta = load_model(run, spark)
+    fitted, meta = load_model(run)
     config, manifest = run.config(), run.read_json("feature_manifest.json")
     if meta["feature_version"] != manifest["version"] or manifest["version"] != ft.FEATURE_VERSION:
         raise InferenceRefused("the model was trained on another version of the features")
