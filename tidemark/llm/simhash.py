@@ -264,30 +264,46 @@ def _apart(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
 
 
+def _stars(nodes: DataFrame, n_segments: int) -> DataFrame:
+    """Pairs ``a, b`` of a node and the least node that shares two neighbouring segments with it: a first guess at tight families, linear in their size."""
+    cut = nodes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {n_segments - 2}, 2), i -> xxhash64(values[i], values[i + 1]))")).alias("band", "value"))
+    hubs = cut.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return cut.join(hubs, ["band", "value"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def _met(nodes: DataFrame, bits: int, most: int) -> DataFrame:
-    """What lookups of the balls of radius one find in the table of segments (``nodes(node, sig, values)``).
+    """What lookups of the balls of radius one find in the table of segments (``nodes(node, sig, values, family)``).
 
     ``a, b`` for a visitor and a member of a slot with at most ``FEW`` members
     and :func:`crowd` visitors, if their first 64 bits differ in at most
-    ``most``; for a fuller slot ``slot, a`` and whether the visitor is a
-    ``member``.  The table is shuffled once, and so are the lookups.
+    ``most`` and no family joins them yet.  A fuller slot that holds a single
+    family and few others gives the same pairs of those others with all, so the
+    family's own pairs are never formed.  For any other full slot: ``slot, a``
+    and whether the visitor is a ``member``.  The table is shuffled once, and
+    so are the lookups.
     """
     slot = lambda value: (F.col("segment").cast("long") * (1 << bits) + value).alias("slot")
-    cut = nodes.select("node", "sig", F.posexplode("values").alias("segment", "value"))
-    members = cut.select(slot(F.col("value")), F.col("node").alias("b"), F.col("sig").alias("of_b"))
+    cut = nodes.select("node", "sig", "family", F.posexplode("values").alias("segment", "value"))
+    members = cut.select(slot(F.col("value")), F.col("node").alias("b"), F.col("sig").alias("of_b"), F.col("family").alias("family_b"))
     here = Window.partitionBy("slot")
-    members = members.withColumn("n", F.count("*").over(here)).withColumn("place", F.row_number().over(here.orderBy("b")))
-    full = F.col("n") > FEW
-    table = members.where(~full | (F.col("place") == 1)).select("slot", "b", "of_b", "place", full.alias("many"))
+    members = members.withColumn("place", F.row_number().over(here.orderBy("b")))
+    # lanes of the table: all members, those outside of families, and one that visitors of full slots meet
+    none = F.array().cast("array<int>")
+    lanes = F.concat(F.array(F.lit(0)), F.when(F.col("family_b").isNull(), F.array(F.lit(1))).otherwise(none), F.when(F.col("place") == 1, F.array(F.lit(2))).otherwise(none))
+    table = members.withColumn("lane", F.explode(lanes)).drop("place")
     # of two values that differ in one bit, the one without that bit looks the other one up; -1 is the value itself
     ball = f"filter(sequence(-1, {bits - 1}), i -> i < 0 or (value & shiftleft(1L, i)) = 0)"
     target = F.expr("if(bit < 0, value, value + shiftleft(1L, bit))")
-    probes = cut.withColumn("bit", F.explode(F.expr(ball))).select(slot(target), F.col("node").alias("a"), F.col("sig").alias("of_a"), (F.col("bit") < 0).alias("member"))
-    probes = probes.withColumn("visitors", F.count("*").over(here))
-    near = F.when(F.col("member"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & (F.bit_count(F.col("of_a").bitwiseXOR(F.col("of_b"))) <= most)
-    full = F.col("many") | (F.col("visitors") > crowd(bits))
-    found = probes.join(table, "slot").where((full & (F.col("place") == 1)) | (~full & near))
-    return found.select(F.when(full, F.col("slot")).alias("slot"), "a", F.when(~full, F.col("b")).alias("b"), "member")
+    probes = cut.withColumn("bit", F.explode(F.expr(ball))).select(slot(target), F.col("node").alias("a"), F.col("sig").alias("of_a"), F.col("family").alias("family_a"), (F.col("bit") < 0).alias("member"))
+    full = (F.count_if("member").over(here) > FEW) | (F.count("*").over(here) > crowd(bits))
+    alone = (F.min("family_a").over(here) == F.max("family_a").over(here)) & (F.count_if(F.col("family_a").isNull()).over(here) <= crowd(bits))
+    lane = F.when(~full, 0).when(F.coalesce(alone, F.lit(False)), F.when(F.col("family_a").isNull(), 0).otherwise(1)).otherwise(2)
+    probes = probes.withColumn("lane", lane)
+    apart = F.coalesce(F.col("family_a") != F.col("family_b"), F.lit(True))
+    near = F.when(F.col("member"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & apart & (F.bit_count(F.col("of_a").bitwiseXOR(F.col("of_b"))) <= most)
+    found = probes.join(table, ["slot", "lane"]).where((F.col("lane") == 2) | near)
+    visit = F.col("lane") == 2
+    return found.select(F.when(visit, F.col("slot")).alias("slot"), "a", F.when(~visit, F.col("b")).alias("b"), "member")
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:
@@ -313,9 +329,14 @@ class _Verifier:
             give_back_memory()
             return out
 
-        self._whole = whole
+        self._whole, self._low = whole, low
         self.lows = scratch.write(self._texts(wanted).select("node", low("text").alias("hashes")), "lows")
 
+    def add(self, wanted: DataFrame) -> None:
+        """Read the texts of further nodes."""
+        more = wanted.distinct().join(self.lows, "node", "left_anti")
+        self.lows = self.lows.union(self.scratch.write(self._texts(more).select("node", self._low("text").alias("hashes")), "lows"))
+
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """``node, text``: one text of each node in ``wanted(node)``."""
         ids = self.scratch.write(self.nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("digest").alias("_digest")), "wanted")
@@ -405,14 +426,25 @@ def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col:
     # the numbers are fixed by being written; equal word sequences are one node, so copies are never paired
     nodes = prints.groupBy("key").agg(F.first("wide").alias("wide"), F.first("values").alias("values"), F.min("digest").alias("digest"))
     nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "*", F.col("wide")[0].alias("sig")), "nodes")
-    met = scratch.write(_met(nodes, bits, differing_bits(similarity, SIGHT, 64)), "met")
     whole = nodes.select("node", "wide")
+
+    def close_ones(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(whole.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b")
+        return scratch.write(sides.where(_apart("x", "y") <= loose).select("a", "b"), "close")
+
+    # tight families first: what verified links join is one to the lookups
+    stars = close_ones(_stars(nodes, n_segments))
+    verifier = _Verifier(scratch, docs, nodes, _nodes_of(stars), width, similarity, text_col)
+    links = verifier.links(stars)
+    joined = scratch.write(connected_components(links, scratch), "families")
+    large = joined.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("component")
+    family = scratch.write(joined.join(large, "component").select("node", F.col("component").alias("family")), "family")
+    met = scratch.write(_met(nodes.select("node", "sig", "values").join(family, "node", "left"), bits, differing_bits(similarity, SIGHT, 64)), "met")
     pairs = met.where(F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    close = pairs.join(whole.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b").where(_apart("x", "y") <= loose)
-    close = scratch.write(close.select("a", "b"), "close")
+    close = close_ones(pairs.join(stars, ["a", "b"], "left_anti"))
     full = _full_slots(scratch, met, nodes)
-    verifier = _Verifier(scratch, docs, nodes, _nodes_of(close).union(full.select("node")), width, similarity, text_col)
-    links, tested, joined = verifier.links(close), close, None
+    verifier.add(_nodes_of(close).union(full.select("node")))
+    links, tested, joined = links.union(verifier.links(close)), stars.union(close), None
     for cap in (0, *PROPOSED) if not full.isEmpty() else ():
         first = joined is None
         found, held = _proposed(scratch, full, joined, cap, loose, firm)
