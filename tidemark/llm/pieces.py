@@ -38,7 +38,7 @@ RESERVED = -1e8
 #: Chunks longer than this are cut where no piece crosses; what is longer still is segmented by itself.
 LONG = 64
 #: Characters of segmented chunks that a task keeps (some 40 bytes each), and of texts that are encoded together.
-KEPT_CHARS = 800_000
+KEPT_CHARS = 1_600_000
 GROUP_CHARS = 600_000
 #: Characters of chunks that go through the forward pass together (some 150 bytes each).
 TOGETHER_CHARS = 150_000
@@ -222,23 +222,43 @@ class PieceModel:
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that no piece crosses: :func:`chunks_of`, of which long ones are cut further."""
-        out = chunks_of(text)
-        if max(map(len, out), default=0) <= LONG:
-            return out
-        return [part for chunk in out for part in (self._cut(chunk) if len(chunk) > LONG else (chunk,))]
-
-    def _cut(self, chunk: str) -> list[str]:
-        """A chunk cut wherever no piece goes on; cuts that would leave short parts are left out."""
-        crossed = np.zeros(len(chunk) + 1, np.int64)
-        for d, (start, _) in enumerate(self._matches(_codes(chunk), np.full(len(chunk), len(chunk)))):
+        return self.split([text])[0]
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """:meth:`chunks` of many texts; their long chunks are cut together."""
+        found = [chunks_of(t) for t in texts]
+        has_long = [max(map(len, chunks), default=0) > LONG for chunks in found]
+        long = list({c: None for chunks, has in zip(found, has_long) if has for c in chunks if len(c) > LONG})
+        parts: dict[str, list[str]] = {}
+        group: list[str] = []
+        size = 0
+        for chunk in [*long, None]:
+            if group and (chunk is None or size >= TOGETHER_CHARS):
+                parts |= zip(group, self._cut(group))
+                group, size = [], 0
+            if chunk is not None:
+                group.append(chunk)
+                size += len(chunk)
+        return [[part for c in chunks for part in parts.get(c, (c,))] if has else chunks for chunks, has in zip(found, has_long)]
+
+    def _cut(self, chunks: list[str]) -> list[list[str]]:
+        """Each chunk cut wherever no piece goes on; cuts that would leave short parts are left out."""
+        upto = np.cumsum([0, *map(len, chunks)])
+        crossed = np.zeros(upto[-1] + 1, np.int64)
+        for d, (start, _) in enumerate(self._matches(_codes("".join(chunks)), np.repeat(upto[1:], np.diff(upto)))):
             if d:  # a piece of d + 1 characters crosses the d places within it
                 crossed += np.bincount(start + 1, minlength=len(crossed)) - np.bincount(start + d + 1, minlength=len(crossed))
-        places, last, cuts = np.flatnonzero(np.cumsum(crossed)[1:-1] == 0) + 1, 0, [0]
-        for place in places.tolist():
-            if place - last >= LONG // 2:
-                cuts.append(place)
-                last = place
-        return [chunk[a:b] for a, b in zip(cuts, [*cuts[1:], len(chunk)])]
+        free = np.flatnonzero(np.cumsum(crossed) == 0)
+        bounds = np.searchsorted(free, [upto[:-1] + 1, upto[1:]])
+        out = []
+        for chunk, first, lo, hi in zip(chunks, upto.tolist(), *bounds.tolist()):
+            last, cuts = 0, [0]
+            for place in (free[lo:hi] - first).tolist():
+                if place - last >= LONG // 2:
+                    cuts.append(place)
+                    last = place
+            out.append([chunk[a:b] for a, b in zip(cuts, [*cuts[1:], len(chunk)])])
+        return out
 
     def segment(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
         """For each chunk: ids of the best segmentation (as int32 bytes), its score, and the gap to the second."""
@@ -432,7 +452,7 @@ def with_pieces(docs: DataFrame, model: PieceModel, name: str, n: int = N_BEST,
     columns are carried along untouched.
     """
     def encoded(encoder: Encoder, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], bool]]:
-        split = [model.chunks(t) for t in texts]
+        split = model.split(texts)
         encoder.learn(split)
         for text, chunks in zip(texts, split):
             ids, scores = encoder.encode(chunks)
