@@ -293,7 +293,7 @@ def test_permutation(spark):
     assert md.permuted(fitted, rows)["a"] > 0.1
 
 
-def test_workflow(spark, sf, tmp_path):
+def test_workflow(spark, sf, tmp_path, monkeypatch):
     c = small(tmp_path, **{"threshold.tune_classification": True, "threshold.tune_trading": True, "paths.tables": str(tmp_path / "tables")})
     panel, facts = workflow.cached_panel(spark, c, lambda: panels.load(spark, c.data.source, sf, c.data.ticker, c.data.start))
     assert facts["cache"] == "miss" and workflow.cached_panel(spark, c, lambda: None)[1]["cache"] == "hit"
@@ -308,7 +308,14 @@ def test_workflow(spark, sf, tmp_path):
     sink = workflow.processed_sink(workflow.build_rows(panel, c), c)
     assert "features" in (tmp_path / "processed").joinpath(sink.rsplit("/", 1)[1].replace(".parquet", ".json")).read_text()
     assert not run.exists("final_test.json") and run.read_json("selection_decision.json")["development_only"]
-    report = workflow.final_test(spark, panel, run)
+    with monkeypatch.context() as m:  # a test that breaks off has looked: its lock stands before any figure
+        m.setattr(workflow.md, "fit", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            workflow.final_test(spark, panel, run)
+    assert run.lock().data_sha256 and not run.exists("final_test.json")
+    with pytest.raises(artifacts.FinalTestDone):
+        workflow.final_test(spark, panel, run)
+    report = workflow.final_test(spark, panel, run, True, "the first one broke off")
     assert {m["candidate"] for m in report["metrics"]} >= {"majority_class", "last_direction"}
     assert {b["strategy"] for b in report["backtests"]} == {decision["winner"]["name"], "last_direction", "always_up", "always_active", "cash", "buy_and_hold"}
     assert report["bootstrap_against_always_active"][0]["statistic"] == "mean_daily" and len(run.read_json("permutation_importance.json")) == len(decision["features"])

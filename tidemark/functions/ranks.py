@@ -32,3 +32,20 @@ def medians(df: DataFrame, keys: list[str], value: str, tie: str, scratch: Scrat
     places = ranked(df.where(F.col(value).isNotNull()).select(*keys, value, tie), keys, [value, tie], scratch, "_rank")
     middle: Column = (F.col("_rank") == F.expr("(_rank_n - 1) div 2")) | (F.col("_rank") == F.expr("_rank_n div 2"))
     return places.where(middle).groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], scratch: Scratch) -> DataFrame:
+    """``df`` with running sums ``name`` of the columns ``sums[name]`` up to and with each row, and their totals ``<name>_all``.
+
+    As :func:`ranked`: ranges of the order are summed side by side, and each is
+    offset by the sums of the group's earlier ranges, one row for each group
+    and range.  No group is sorted in one task, however many rows it has.
+    """
+    dealt = scratch.write(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    group = Window.partitionBy(*keys)
+    parts = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*keys, "_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0.0)).alias(f"_{n}") for n in sums], *[F.sum(f"_{n}").over(group).alias(f"{n}_all") for n in sums])
+    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()]).join(offsets, [*keys, "_range"])
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, ratio
+from ..functions.ranks import running
+from ..functions.shared import Scratch
 
 KEYS = ("candidate", "ticker", "fold")
 METRICS = ("accuracy", "balanced_accuracy", "f1_macro", "precision_up", "recall_up", "mcc", "brier", "log_loss", "roc_auc", "pr_auc")
@@ -114,9 +116,19 @@ def by_score(scored: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return scores.select("*", F.sum("pos").over(down).alias("tps"), F.sum("neg").over(down).alias("fps"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("q"))
 
 
-def rank_metrics(scored: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``roc_auc`` (ties count half) and ``pr_auc`` (average precision by steps); null where a class is absent."""
-    s = by_score(scored, keys)
+def by_score_in_ranges(scored: DataFrame, keys: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """:func:`by_score` for groups with any number of distinct scores: none is sorted in one task."""
+    scores = scored.groupBy(*keys, "proba_up").agg(F.count_if(F.col("target") == 1).cast("double").alias("pos"), F.count_if(F.col("target") == 0).cast("double").alias("neg"))
+    found = running(scores.withColumn("_down", -F.col("proba_up")), list(keys), ["_down"], {"tps": "pos", "fps": "neg"}, scratch)
+    return found.drop("_down").withColumnsRenamed({"tps_all": "p", "fps_all": "q"})
+
+
+def rank_metrics(scored: DataFrame, keys: tuple[str, ...] = KEYS, scratch: Scratch | None = None) -> DataFrame:
+    """``roc_auc`` (ties count half) and ``pr_auc`` (average precision by steps); null where a class is absent.
+
+    With ``scratch`` the scores of a group are taken in ranges: for millions of distinct ones.
+    """
+    s = by_score(scored, keys) if scratch is None else by_score_in_ranges(scored, keys, scratch)
     wins = F.col("pos") * (F.col("q") - F.col("fps")) + F.col("pos") * F.col("neg") / 2
     steps = F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))
     a = s.groupBy(*keys).agg(F.sum(wins).alias("wins"), F.sum(steps).alias("steps"), F.max("p").alias("p"), F.max("q").alias("q"))

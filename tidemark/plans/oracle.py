@@ -283,6 +283,8 @@ _NAMES = "[" + ", ".join(f"'{n}'" for n in ALL) + "]"
 _VALUES = "[" + ", ".join(ALL) + "]"
 
 ORACLE: dict[str, str] = {
+    "rank_metrics_in_ranges": f"""{_with("scored AS (SELECT l_returnflag AS candidate, l_extendedprice / l_quantity + l_discount AS proba_up, CAST(l_linestatus = 'F' AS INT) AS target FROM lineitem)", *_ranks('candidate'))}
+        SELECT candidate, {r8('roc_auc', 'roc_auc')}, {r8('pr_auc', 'pr_auc')} FROM rank_scores""",
     "train_medians": f"""{_with(*DATASET, _TRAIN)}, l AS (SELECT ticker, fold, unnest({_NAMES}) AS feature, unnest({_VALUES}) AS value FROM train)
         SELECT ticker, fold, feature, {r8('median(value)', 'median')} FROM l GROUP BY 1, 2, 3""",
     "feature_bins": f"""{_with(*DATASET, _TRAIN)}, l AS (SELECT ticker, fold, row_idx, unnest({_NAMES}) AS feature, round(unnest({_VALUES}), 8) AS value FROM train),

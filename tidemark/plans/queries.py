@@ -294,6 +294,14 @@ def avg_precision(spark: SparkSession, sf: str) -> DataFrame:
     return _out(mt.rank_metrics(_scored(spark, sf)).select(*mt.KEYS, "pr_auc"))
 
 
+def rank_metrics_in_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank metrics of order lines as scores of their status: nearly as many distinct scores as rows, taken in ranges."""
+    score = F.col("l_extendedprice") / F.col("l_quantity") + F.col("l_discount")
+    lines = panels.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("candidate"), score.alias("proba_up"), (F.col("l_linestatus") == "F").cast("int").alias("target"))
+    with Scratch(spark, "ranges") as scratch:
+        return _out(scratch.write(mt.rank_metrics(lines, ("candidate",), scratch), "ranks", keep=True))
+
+
 def roc_points(spark: SparkSession, sf: str) -> DataFrame:
     return _out(mt.roc_points(_scored(spark, sf), PAIR))
 
@@ -598,7 +606,7 @@ QUERIES: dict[str, Query] = {
         feature_matrix, benchmark_align, benchmark_lost_sessions, benchmark_feature_matrix, asof_signal, next_session,
         label_c2c, label_o2c, unlabeled_tail, label_summary, dataset, dataset_summary,
         dev_test_bounds, holdout_ranges, holdout_spans, fold_ranges, fold_membership, fold_spans,
-        oof_union, metric_suite, roc_auc, avg_precision, roc_points, pr_points, confusion, fold_aggregate, class_balance,
+        oof_union, metric_suite, roc_auc, avg_precision, rank_metrics_in_ranges, roc_points, pr_points, confusion, fold_aggregate, class_balance,
         calibration_bins, ece_mce, calibration_report, probability_histogram, threshold_scan, best_threshold, net_sharpe_scan,
         positions, cost_intraday, cost_c2c, equity_curve, drawdown, trades_blocks, trades_intraday, backtest_metrics, backtest_compare, buy_and_hold,
         block_bootstrap, bootstrap_difference, candidate_rank, edge_gate, train_medians, feature_bins, permuted_features, logistic_stationarity, feature_importance, permutation_importance, lookback_sequences,

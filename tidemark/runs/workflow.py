@@ -101,6 +101,7 @@ def build_rows(panel: DataFrame, config: Config) -> DataFrame:
     """The labelled rows of the configured ticker, validated and, if asked for, aligned with its benchmark."""
     asset, bench = bm.split_benchmark(panel, config.data.ticker, config.data.benchmark)
     ql.validate(asset, config.data.min_rows)
+    ql.assert_chronological(asset)
     if config.features.benchmark:
         asset = bm.align_checked(asset, bench, config.data.max_join_loss)
     return lb.build_dataset(asset, config.features, config.labels, config.data.min_rows)
@@ -123,6 +124,12 @@ class Selection:
     suite: DataFrame
     oof: DataFrame
     decision: dict[str, Any]
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what was kept in memory while selecting."""
+        for df in self.held:
+            df.unpersist()
 
 
 def select(spark: SparkSession, rows: DataFrame, config: Config, chosen: list[md.Candidate] | None = None) -> Selection:
@@ -164,7 +171,7 @@ def select(spark: SparkSession, rows: DataFrame, config: Config, chosen: list[md
         "thresholds": tune(oof.where(F.col("candidate") == winner.name), config),
     }
     decision["decision_sha256"] = sha256_json(decision)
-    return Selection(suite, oof, decision)
+    return Selection(suite, oof, decision, (dev, folds, oof, suite))
 
 
 def tune(winner_oof: DataFrame, config: Config) -> dict[str, float]:
@@ -206,6 +213,8 @@ def selection_stage(spark: SparkSession, panel: DataFrame, config: Config, run_i
     run.write_json("selection_decision.json", picked.decision)
     run.write_table("oof_predictions.parquet", picked.oof)
     run.write_table("fold_metrics.csv", mt.long_metrics(picked.suite), "csv")
+    picked.release()
+    rows.unpersist()
     return run
 
 
@@ -230,6 +239,9 @@ def final_test(spark: SparkSession, panel: DataFrame, run: Run, rerun: bool = Fa
         raise DigestMismatch("the rows are not those that the model was selected on")
     names, w = decision["features"], decision["winner"]
     dev, test = rows.where(F.col("row_idx") < decision["dev_end"]), rows.where(F.col("row_idx") >= decision["test_start"])
+    # the look at the holdout is on record before any figure of it exists: an interrupted test counts as one
+    span = test.agg(F.min("session").alias("a"), F.max("session").alias("b"), F.count("*").alias("n")).first()
+    lock = run.write_lock(Lock(config.sha256(), w["name"], str(span["a"]), str(span["b"]), span["n"], digest), previous, reason)
     fitted = md.fit(md.Candidate(w["family"], w["params"]), dev, names, config.statistics.seed)
     thresholds = decision["thresholds"]
     keys = ("candidate", "ticker")
@@ -245,9 +257,6 @@ def final_test(spark: SparkSession, panel: DataFrame, run: Run, rerun: bool = Fa
     holding = bt.BacktestConfig(**{**asdict(trading), "mode": "close_to_close"})
     owned = bt.daily(bt.buy_and_hold(panel, test), holding)
     economics = [r.asDict() for c, d in ((trading, days), (holding, owned)) for r in bt.economic_metrics(d, c).collect()]
-    # the look at the holdout is on record before anything about it is
-    span = test.agg(F.min("session").alias("a"), F.max("session").alias("b"), F.count("*").alias("n")).first()
-    lock = run.write_lock(Lock(config.sha256(), w["name"], str(span["a"]), str(span["b"]), span["n"], digest), previous, reason)
     of = lambda name: days.where(F.col("strategy") == name).select(F.col("ticker").alias("key"), "session", F.col("net_return").alias("value"))
     idx = F.row_number().over(bt.Window.partitionBy("key").orderBy("session")) - 1
     st = config.statistics
@@ -270,6 +279,8 @@ def final_test(spark: SparkSession, panel: DataFrame, run: Run, rerun: bool = Fa
     run.write_json("final_test.json", report)
     run.write_text("model_card.md", model_card(run, decision, report, lock))
     run.write_json("environment.json", {**run.read_json("environment.json"), "finished": now_iso()})
+    for df in (everything, days, rows):
+        df.unpersist()
     return report
 
 
