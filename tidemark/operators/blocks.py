@@ -61,7 +61,7 @@ def summed(blocks: DataFrame, state: DataFrame, fields: list[str], contribution:
     ``state`` has a row for each model (``part, model`` and ``fields``); a
     block meets all models of its part, which are one row then.
     ``contribution(block, models)`` gives a vector for each of them.  Tasks add
-    up their own blocks' vectors; the sums of tasks are added place by place.
+    up their own blocks' vectors, so what meets for a model is a vector a task.
     """
     models = state.groupBy("part").agg(F.collect_list(F.struct("model", *fields)).alias("models"))
 
@@ -82,6 +82,10 @@ def summed(blocks: DataFrame, state: DataFrame, fields: list[str], contribution:
         if held:
             yield out()
 
+    def total(table: pa.Table) -> pa.Table:
+        vectors = sorted(table["sums"].to_pylist())  # any order of arrival gives the same sum
+        kind = pa.schema([("part", pa.string()), ("model", pa.string()), ("sums", pa.list_(pa.float64()))])
+        return pa.table({"part": table["part"][:1], "model": table["model"][:1], "sums": [np.sum(vectors, axis=0).tolist()]}, kind)
+
     partial = blocks.join(models, "part").mapInArrow(add, "part string, model string, sums array<double>")
-    each = partial.select("part", "model", F.posexplode("sums").alias("place", "value")).groupBy("part", "model", "place").agg(F.sum("value").alias("value"))
-    return each.groupBy("part", "model").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("sums"))
+    return partial.groupBy("part", "model").applyInArrow(total, "part string, model string, sums array<double>")
