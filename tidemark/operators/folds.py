@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -113,6 +113,18 @@ def fold_spans(rows: DataFrame, folds: DataFrame) -> DataFrame:
     return train.join(out, ["ticker", "fold"])
 
 
+def causality(folds: DataFrame, gap: int = 0) -> DataFrame:
+    """``folds`` with ``after_train`` (evaluated ``gap`` rows behind the train part at least), ``in_order`` (behind the fold before) and ``filled`` (not empty)."""
+    before = F.lag("eval_end").over(Window.partitionBy("ticker").orderBy("fold"))
+    return folds.select("*", (F.col("eval_start") >= F.col("train_end") + gap).alias("after_train"), F.coalesce(F.col("eval_start") >= before, F.lit(True)).alias("in_order"), (F.col("eval_end") > F.col("eval_start")).alias("filled"))
+
+
+def holdout_causality(parts: DataFrame, gap: int = 0) -> DataFrame:
+    """Parts of :func:`holdout` with ``follows`` (``gap`` rows behind the part before) and ``filled``."""
+    before = F.lag("end").over(Window.partitionBy("ticker").orderBy("start"))
+    return parts.select("*", F.coalesce(F.col("start") >= before + gap, F.lit(True)).alias("follows"), (F.col("end") > F.col("start")).alias("filled"))
+
+
 def assert_causal(folds: list[dict], gap: int) -> None:
     """Each fold is evaluated after its train part and the gap, folds do not overlap and end in order."""
     last = 0

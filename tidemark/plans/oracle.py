@@ -285,6 +285,11 @@ _VALUES = "[" + ", ".join(ALL) + "]"
 ORACLE: dict[str, str] = {
     "rank_metrics_in_ranges": f"""{_with("scored AS (SELECT l_returnflag AS candidate, l_extendedprice / l_quantity + l_discount AS proba_up, CAST(l_linestatus = 'F' AS INT) AS target FROM lineitem)", *_ranks('candidate'))}
         SELECT candidate, {r8('roc_auc', 'roc_auc')}, {r8('pr_auc', 'pr_auc')} FROM rank_scores""",
+    "fold_causality": f"""{_with(*DATASET)}, moved AS (SELECT 'development' AS folds, ticker, fold, train_end, eval_start, eval_end FROM folds UNION ALL SELECT 'early', ticker, fold, train_end, eval_start - 2, eval_end FROM folds)
+        SELECT folds, ticker, fold, eval_start >= train_end + 1 AS after_train, coalesce(eval_start >= lag(eval_end) OVER (PARTITION BY folds, ticker ORDER BY fold), true) AS in_order, eval_end > eval_start AS filled FROM moved""",
+    "holdout_causality": f"""{_with(*DATASET)}, ends AS (SELECT ticker, n_rows, CAST(floor(n_rows * 0.6::DOUBLE) AS BIGINT) AS a, dev_end AS b FROM bounds),
+        parts AS (SELECT ticker, 'train' AS part, 0 AS s, a AS e FROM ends UNION ALL SELECT ticker, 'validation', a + 1, b FROM ends UNION ALL SELECT ticker, 'test', b + 1, n_rows FROM ends)
+        SELECT CAST(gap AS BIGINT) AS gap, ticker, part, coalesce(s >= lag(e) OVER (PARTITION BY gap, ticker ORDER BY s) + gap, true) AS follows, e > s AS filled FROM parts, (SELECT unnest([1, 2]) AS gap)""",
     "train_medians": f"""{_with(*DATASET, _TRAIN)}, l AS (SELECT ticker, fold, unnest({_NAMES}) AS feature, unnest({_VALUES}) AS value FROM train)
         SELECT ticker, fold, feature, {r8('median(value)', 'median')} FROM l GROUP BY 1, 2, 3""",
     "feature_bins": f"""{_with(*DATASET, _TRAIN)}, l AS (SELECT ticker, fold, row_idx, unnest({_NAMES}) AS feature, round(unnest({_VALUES}), 8) AS value FROM train),

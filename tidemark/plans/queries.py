@@ -247,6 +247,21 @@ def fold_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return _out(fo.development_folds(_dataset(spark, sf)))
 
 
+def fold_causality(spark: SparkSession, sf: str) -> DataFrame:
+    """The development folds, and the same with eval parts moved two rows forward in time: which of them look ahead."""
+    folds = fo.development_folds(_dataset(spark, sf)).select("ticker", "fold", "train_end", "eval_start", "eval_end")
+    early = folds.withColumn("eval_start", F.col("eval_start") - 2)
+    named = lambda df, name: fo.causality(df, 1).select(F.lit(name).alias("folds"), "ticker", "fold", "after_train", "in_order", "filled")
+    return _out(named(folds, "development").unionByName(named(early, "early")))
+
+
+def holdout_causality(spark: SparkSession, sf: str) -> DataFrame:
+    """Train, validation and test part: whether each follows the one before by the gap of one row, and by one of two."""
+    parts = fo.holdout(_sizes(spark, sf))
+    named = lambda gap: fo.holdout_causality(parts, gap).select(F.lit(gap).cast("long").alias("gap"), "ticker", "part", "follows", "filled")
+    return _out(named(1).unionByName(named(2)))
+
+
 def fold_membership(spark: SparkSession, sf: str) -> DataFrame:
     rows = _dataset(spark, sf)
     return _out(fo.fold_rows(rows, fo.development_folds(rows), "eval").select("ticker", "fold", "row_idx", "session"))
@@ -605,7 +620,7 @@ QUERIES: dict[str, Query] = {
         bars_daily, bars_wide, bars_hourly, order_flow, normalized_bars, bar_dedup, bar_conflicts, quality_report, quality_sessions, bar_describe, large_moves, calendar_gaps, ohlc_violations, open_session_drop,
         feature_matrix, benchmark_align, benchmark_lost_sessions, benchmark_feature_matrix, asof_signal, next_session,
         label_c2c, label_o2c, unlabeled_tail, label_summary, dataset, dataset_summary,
-        dev_test_bounds, holdout_ranges, holdout_spans, fold_ranges, fold_membership, fold_spans,
+        dev_test_bounds, holdout_ranges, holdout_spans, holdout_causality, fold_ranges, fold_causality, fold_membership, fold_spans,
         oof_union, metric_suite, roc_auc, avg_precision, rank_metrics_in_ranges, roc_points, pr_points, confusion, fold_aggregate, class_balance,
         calibration_bins, ece_mce, calibration_report, probability_histogram, threshold_scan, best_threshold, net_sharpe_scan,
         positions, cost_intraday, cost_c2c, equity_curve, drawdown, trades_blocks, trades_intraday, backtest_metrics, backtest_compare, buy_and_hold,
