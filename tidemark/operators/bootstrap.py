@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..functions.ranks import running
+from ..functions.shared import Scratch
 
 
 def block_starts(sizes: DataFrame, n_samples: int, block: int, seed: int) -> DataFrame:
@@ -73,7 +75,11 @@ def draw_statistics(series: DataFrame, n_samples: int = 2000, block: int = 20, s
     picks = f"transform(sequence(0, blocks - 1), b -> named_struct('a', {start}, 'z', {start} + {size}))"
     total = lambda p: f"aggregate(x.picks, 0D, (acc, y) -> acc + {p}[y.z] - {p}[y.a])"
     sampled = r.withColumn("drawn", F.expr(f"transform(sequence(0, {n_samples - 1}), s -> named_struct('sample', s, 'picks', {picks}))"))
-    sums = sampled.select("key", "n", F.explode(F.expr(f"transform(drawn, x -> named_struct('sample', x.sample, 's1', {total('p1')}, 's2', {total('p2')}, 'sl', {total('pl')}, 'sw', {total('pw')}))")).alias("d")).select("key", "n", "d.*")
+    return _of_sums(sampled.select("key", "n", F.explode(F.expr(f"transform(drawn, x -> named_struct('sample', x.sample, 's1', {total('p1')}, 's2', {total('p2')}, 'sl', {total('pl')}, 'sw', {total('pw')}))")).alias("d")).select("key", "n", "d.*"), days)
+
+
+def _of_sums(sums: DataFrame, days: int) -> DataFrame:
+    """The statistics of resamples from their sums of values, squares, log growth and days of ruin."""
     mean = F.col("s1") / F.col("n")
     spread = F.col("s2") - F.col("s1") * mean
     # running sums of an unchanging series differ from it in the last bits
@@ -81,10 +87,28 @@ def draw_statistics(series: DataFrame, n_samples: int = 2000, block: int = 20, s
     return sums.select("key", "sample", mean.alias("mean_daily"), F.when(F.col("sw") < 0.5, F.exp(F.col("sl") * days / F.col("n")) - 1).alias("annualized"), (ratio(mean, deviation) * math.sqrt(days)).alias("sharpe"))
 
 
-def block_bootstrap(series: DataFrame, n_samples: int = 2000, block: int = 20, seed: int = 42, level: float = 0.95, days: int = 252) -> DataFrame:
-    """Point, percentile interval and share above zero of each statistic of ``key, idx, value``."""
+def draw_statistics_in_ranges(series: DataFrame, scratch: Scratch, n_samples: int = 2000, block: int = 20, seed: int = 42, days: int = 252) -> DataFrame:
+    """:func:`draw_statistics`, the same draws, for series of any length: no row and no task holds one.
+
+    Running sums are taken in ranges of the series; a block's two ends look
+    them up by an equi-join on key and place.
+    """
+    v = F.col("value")
+    parts = series.select("key", "idx", v.alias("v1"), (v * v).alias("v2"), F.when(v > -1, F.ln(v + 1)).otherwise(0.0).alias("vl"), F.when(v <= -1, 1.0).otherwise(0.0).alias("vw"))
+    names = ("1", "2", "l", "w")
+    sums = running(parts, ["key"], ["idx"], {f"p{x}": f"v{x}" for x in names}, scratch).select("key", (F.col("idx") + 1).alias("at"), *[f"p{x}" for x in names])
+    starts = block_starts(series.groupBy("key").agg(F.count("*").alias("n")), n_samples, block, seed)
+    last = F.col("start") + F.least(F.col("length"), F.col("n") - F.col("block_no") * F.col("length"))
+    ends = starts.select("key", "n", "sample", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(-1.0).alias("sign")), F.struct(last.cast("long").alias("at"), F.lit(1.0).alias("sign")))).alias("e")).select("key", "n", "sample", "e.*")
+    met = ends.join(sums, ["key", "at"], "left")  # nothing lies before the first place
+    total = met.groupBy("key", "n", "sample").agg(*[F.sum(F.col("sign") * F.coalesce(f"p{x}", F.lit(0.0))).alias(f"s{x}") for x in names])
+    return _of_sums(total, days)
+
+
+def block_bootstrap(series: DataFrame, n_samples: int = 2000, block: int = 20, seed: int = 42, level: float = 0.95, days: int = 252, scratch: Scratch | None = None) -> DataFrame:
+    """Point, percentile interval and share above zero of each statistic of ``key, idx, value``; long series with ``scratch``."""
     long = lambda df: df.select("key", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in STATISTICS])).alias("x")).select("key", "x.*")
-    draws = long(draw_statistics(series, n_samples, block, seed, days))
+    draws = long(draw_statistics(series, n_samples, block, seed, days) if scratch is None else draw_statistics_in_ranges(series, scratch, n_samples, block, seed, days))
     tail = (1 - level) / 2
     spread = draws.groupBy("key", "statistic").agg(
         F.count("v").alias("n_draws"), F.percentile("v", F.lit(tail)).alias("low"), F.percentile("v", F.lit(1 - tail)).alias("high"), F.avg((F.col("v") > 0).cast("double")).alias("above_zero")

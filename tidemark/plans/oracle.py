@@ -391,6 +391,7 @@ ORACLE: dict[str, str] = {
     "backtest_compare": f"{_with(*_days('close_to_close'), TRADES_BLOCK, ECONOMICS)} SELECT strategy, ticker, n_trades, {', '.join(r8(c, c) for c in ('cumulative_return', 'sharpe', 'max_drawdown', 'total_cost', 'profit_factor'))} FROM economics",
     "buy_and_hold": f"{_with(*DATASET, _HOLD, *_daily('held', _C2C_COST, _SW))} SELECT ticker, {DAY}, {r8('net_return', 'net_return')}, {r8('cost', 'cost')}, {r8('ln(equity)', 'log_equity')} FROM days",
     "block_bootstrap": f"{_with(*_days('next_open'), *_boot(_NUMBERED, ('mean_daily', 'annualized', 'sharpe')))} {_BOOT_OUT}",
+    "block_bootstrap_in_ranges": f"{_with(*_days('next_open'), *_boot(_NUMBERED, ('mean_daily', 'annualized', 'sharpe')))} {_BOOT_OUT}",
     "bootstrap_difference": f"{_with(*_days('next_open'), *_boot(_PAIRED, ('mean_daily',)))} {_BOOT_OUT}",
     "candidate_rank": f"""{_with(*SUITE)}, m AS (SELECT ticker, candidate, count(balanced_accuracy) AS n_folds, {', '.join(f'avg({c}) AS mean_{n}, coalesce(stddev_samp({c}), 0) AS std_{n}' for n, c in _SHORT.items())},
             CASE WHEN candidate = 'reversion' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS complexity,

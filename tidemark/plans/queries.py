@@ -442,6 +442,13 @@ def block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return _out(bs.block_bootstrap(_numbered(_series(spark, sf)), SAMPLES, BLOCK))
 
 
+def block_bootstrap_in_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`block_bootstrap` as it is taken of series that no task could hold."""
+    with Scratch(spark, "bootstrap") as scratch:
+        found = bs.block_bootstrap(_numbered(_series(spark, sf)), SAMPLES, BLOCK, scratch=scratch)
+        return _out(scratch.write(found, "bootstrap", keep=True))
+
+
 def bootstrap_difference(spark: SparkSession, sf: str) -> DataFrame:
     d = _days(SHORT_RUN)(spark, sf)
     of = lambda s: d.where(F.col("strategy") == s).select(F.col("ticker").alias("key"), "session", F.col("net_return").alias("value"))
@@ -624,7 +631,7 @@ QUERIES: dict[str, Query] = {
         oof_union, metric_suite, roc_auc, avg_precision, rank_metrics_in_ranges, roc_points, pr_points, confusion, fold_aggregate, class_balance,
         calibration_bins, ece_mce, calibration_report, probability_histogram, threshold_scan, best_threshold, net_sharpe_scan,
         positions, cost_intraday, cost_c2c, equity_curve, drawdown, trades_blocks, trades_intraday, backtest_metrics, backtest_compare, buy_and_hold,
-        block_bootstrap, bootstrap_difference, candidate_rank, edge_gate, train_medians, feature_bins, permuted_features, logistic_stationarity, feature_importance, permutation_importance, lookback_sequences,
+        block_bootstrap, block_bootstrap_in_ranges, bootstrap_difference, candidate_rank, edge_gate, train_medians, feature_bins, permuted_features, logistic_stationarity, feature_importance, permutation_importance, lookback_sequences,
         overnight_variance, lag_autocorrelation, feature_target_correlation, feature_correlation, rolling_feature_correlation, hourly_strategy, stream_bars,
     )
 }
