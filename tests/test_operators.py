@@ -376,3 +376,48 @@ def test_model_queries_take_every_ticker(spark, sf):
     assert len(tickers) > 1
     for name in ("logistic_oof", "feature_importance", "permutation_importance"):
         assert {r["ticker"] for r in QUERIES[name](spark, sf).select("ticker").distinct().collect()} == tickers, name
+
+
+# ---- ranges and cells of long groups ----
+
+
+def test_scans_over_ranges(spark):
+    """Sums, products and maxima of a group that nearly all rows belong to, as one window gives them."""
+    from pyspark.sql import Window
+
+    from tidemark.functions import ranks
+    from tidemark.functions.shared import Scratch
+
+    rows = spark.range(3000).selectExpr("if(id % 60 = 0, 'b', 'a') as k", "id as i", "1 + cast(pmod(xxhash64(id), 200) - 100 as double) / 10000 as v")
+    upto = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r.k, r.i): (r.s, r.p, r.m) for r in rows.select("k", "i", F.sum("v").over(upto).alias("s"), F.product("v").over(upto).alias("p"), F.max("v").over(upto).alias("m")).collect()}
+    with Scratch(spark, "test") as scratch:
+        scans = {"s": ("sum", "v"), "p": ("product", "v"), "m": ("max", "v")}
+        got = {(r.k, r.i): (r.s, r.p, r.m) for r in ranks.scanned(rows, ["k"], ["i"], scans, scratch).collect()}
+        sums = {(r.k, r.i): (r.s, r.s_all) for r in ranks.running(rows, ["k"], ["i"], {"s": "v"}, scratch).collect()}
+    assert got.keys() == want.keys() == sums.keys()
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k])) and all(abs(sums[k][0] - want[k][0]) < 1e-9 for k in want)
+    assert all(abs(sums[k, i][1] - max(v[0] for (g, _), v in want.items() if g == k)) < 1e-6 for k, i in [("a", 1), ("b", 60)])
+
+
+@pytest.mark.parametrize("cell_rows", [51, 70, 1000])
+def test_features_of_cells(spark, sf, cell_rows):
+    """Features from cells of any length are those of whole tickers."""
+    from tidemark.functions.shared import Scratch
+
+    panel = panels.daily(spark, sf).where("session < '1996-01-01'")
+    read = lambda df: {(r["ticker"], r["session"]): [None if v is None else round(v, 9) for v in r[2:]] for r in df.collect()}
+    with Scratch(spark, "test") as scratch:
+        got = read(ft.build_features_in_cells(panel, scratch, cell_rows=cell_rows))
+    assert got == read(ft.build_features(panel)) and len(got) > 300
+    with pytest.raises(ValueError):
+        ft.build_features_in_cells(panel, Scratch(spark, "none"), cell_rows=10)
+
+
+def test_causality(spark):
+    from tidemark.operators import folds as fo
+
+    folds = spark.createDataFrame([("F", 1, 10, 11, 20), ("F", 2, 20, 20, 30), ("F", 3, 30, 29, 29)], "ticker string, fold long, train_end long, eval_start long, eval_end long")
+    assert [(r.after_train, r.in_order, r.filled) for r in fo.causality(folds, 1).orderBy("fold").collect()] == [(True, True, True), (False, True, True), (False, False, False)]
+    parts = spark.createDataFrame([("F", "train", 0, 5), ("F", "validation", 6, 6), ("F", "test", 6, 9)], "ticker string, part string, start long, end long")
+    assert [(r.follows, r.filled) for r in fo.holdout_causality(parts, 1).orderBy("start", "end").collect()] == [(True, True), (True, False), (False, True)]

@@ -49,3 +49,37 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()]).join(offsets, [*keys, "_range"])
     return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+
+
+def in_cells(df: DataFrame, key: str, order: list[str], halo: int, cell_rows: int, scratch: Scratch) -> DataFrame:
+    """Rows of long groups cut into cells of ``cell_rows`` consecutive ones, each with the last ``halo`` rows before it.
+
+    ``key``, a text, names the cell instead of the group, so whatever windows
+    over ``key`` look back at most ``halo`` rows give the same values on the
+    rows that are not ``_halo``; ``_key`` is the group.  Beyond the cells that
+    a halo spans rows are read twice at most if ``cell_rows`` >= ``halo``.
+    """
+    if not 0 <= halo <= cell_rows:
+        raise ValueError("a cell must have as many rows as its halo")
+    placed = ranked(df, [key], order, scratch, "_place").drop("_place_n")
+    cell, within = F.expr(f"_place div {cell_rows}"), F.col("_place") % cell_rows
+    cells = F.when(within >= cell_rows - halo, F.array(cell, cell + 1)).otherwise(F.array(cell))
+    cut = placed.select("*", F.posexplode(cells).alias("_copy", "_cell")).withColumn("_halo", F.col("_copy") == 1)
+    return cut.withColumn("_key", F.col(key)).withColumn(key, F.concat_ws("\u0001", key, F.col("_cell").cast("string"))).drop("_place", "_copy", "_cell")
+
+
+def scanned(df: DataFrame, keys: list[str], order: list[str], scans: dict[str, tuple[str, str]], scratch: Scratch) -> DataFrame:
+    """``df`` with running ``sum``, ``product`` or ``max`` of columns, ``scans[name] = (which, column)``, up to and with each row.
+
+    A scan on two levels: within ranges of the order, and over what whole
+    ranges come to, one row for each group and range.
+    """
+    whole = {"sum": F.sum, "product": F.product, "max": F.max}
+    both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0.0)), "product": lambda a, b: a * F.coalesce(b, F.lit(1.0)), "max": lambda a, b: F.greatest(a, b)}
+    dealt = scratch.write(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy(*keys, "_range").agg(*[whole[op](c).alias(f"_{n}") for n, (op, c) in scans.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*keys, "_range", *[whole[op](f"_{n}").over(earlier).alias(f"_{n}") for n, (op, _) in scans.items()])
+    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *[whole[op](c).over(within).alias(n) for n, (op, c) in scans.items()]).join(offsets, [*keys, "_range"])
+    return out.withColumns({n: both[op](F.col(n), F.col(f"_{n}")) for n, (op, _) in scans.items()}).drop("_range", *[f"_{n}" for n in scans])

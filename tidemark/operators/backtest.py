@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..functions.ranks import scanned
+from ..functions.shared import Scratch
 
 KEYS = ("strategy", "ticker")
 
@@ -65,6 +67,14 @@ def daily(positions: DataFrame, config: BacktestConfig = BacktestConfig()) -> Da
     return d.withColumn("drawdown", F.col("equity") / F.max("equity").over(so_far) - 1)
 
 
+def curve_in_ranges(days: DataFrame, scratch: Scratch) -> DataFrame:
+    """``strategy, ticker, session, equity, drawdown`` of :func:`daily` rows of strategies that no task could sort, by two-level scans."""
+    grown = days.select(*KEYS, "session", (F.col("net_return") + 1).alias("_growth"))
+    equity = scanned(grown, list(KEYS), ["session"], {"equity": ("product", "_growth")}, scratch)
+    peak = scanned(equity.drop("_growth"), list(KEYS), ["session"], {"_peak": ("max", "equity")}, scratch)
+    return peak.select(*KEYS, "session", "equity", (F.col("equity") / F.col("_peak") - 1).alias("drawdown"))
+
+
 def trades(days: DataFrame, config: BacktestConfig = BacktestConfig()) -> DataFrame:
     """Net return of each trade: an active session, or a stretch of one unchanged position; flat is no trade."""
     if config.mode == "next_open":

@@ -12,11 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import by_session, finite, full, ratio, trailing
+from ..functions.ranks import in_cells
+from ..functions.shared import Scratch
 from .quality import assert_no_leakage
 
 FEATURE_VERSION = "v1"
 
 
+#: Rows of a cell of a long ticker.
+CELL_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class FeatureConfig:
     """Window lengths in sessions."""
@@ -143,6 +149,17 @@ def build_features(panel: DataFrame, config: FeatureConfig = FeatureConfig(), ke
     return base.select("ticker", "session", *keep, *[finite(c).alias(n) for n, c in names.items()])
 
 
+def build_features_in_cells(panel: DataFrame, scratch: Scratch, config: FeatureConfig = FeatureConfig(), cell_rows: int = CELL_ROWS) -> DataFrame:
+    """:func:`build_features` for tickers with more rows than a task should sort: the same features from cells with a halo.
+
+    No feature looks further back than ``warm_up`` rows, so a cell with as many
+    rows before it gives the same values as the whole ticker.
+    """
+    cells = in_cells(panel, "ticker", ["session"], config.warm_up(), cell_rows, scratch)
+    found = build_features(cells, config, ("_key", "_halo")).where(~F.col("_halo"))
+    return found.withColumn("ticker", F.col("_key")).drop("_key", "_halo")
+
+
 def manifest(config: FeatureConfig = FeatureConfig()) -> dict:
     """What a model must be given: names in order, version, windows and warm-up."""
     return {"version": FEATURE_VERSION, "features": list(feature_columns(config)), "config": asdict(config), "max_window": config.warm_up()}

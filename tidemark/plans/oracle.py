@@ -290,6 +290,7 @@ ORACLE: dict[str, str] = {
     "holdout_causality": f"""{_with(*DATASET)}, ends AS (SELECT ticker, n_rows, CAST(floor(n_rows * 0.6::DOUBLE) AS BIGINT) AS a, dev_end AS b FROM bounds),
         parts AS (SELECT ticker, 'train' AS part, 0 AS s, a AS e FROM ends UNION ALL SELECT ticker, 'validation', a + 1, b FROM ends UNION ALL SELECT ticker, 'test', b + 1, n_rows FROM ends)
         SELECT CAST(gap AS BIGINT) AS gap, ticker, part, coalesce(s >= lag(e) OVER (PARTITION BY gap, ticker ORDER BY s) + gap, true) AS follows, e > s AS filled FROM parts, (SELECT unnest([1, 2]) AS gap)""",
+    "curve_in_ranges": f"{_with(*_days('next_open'))} SELECT strategy, ticker, {DAY}, {r8('ln(equity)', 'log_equity')}, {r8('drawdown', 'drawdown')} FROM days",
     "train_medians": f"""{_with(*DATASET, _TRAIN)}, l AS (SELECT ticker, fold, unnest({_NAMES}) AS feature, unnest({_VALUES}) AS value FROM train)
         SELECT ticker, fold, feature, {r8('median(value)', 'median')} FROM l GROUP BY 1, 2, 3""",
     "feature_bins": f"""{_with(*DATASET, _TRAIN)}, l AS (SELECT ticker, fold, row_idx, unnest({_NAMES}) AS feature, round(unnest({_VALUES}), 8) AS value FROM train),
@@ -322,6 +323,7 @@ ORACLE: dict[str, str] = {
     "open_session_drop": f"{_with(DAILY)} SELECT ticker, strftime(max(session), '%Y-%m-%d') AS last_session, count(*) AS n_rows FROM bars WHERE session < DATE '1996-07-01' GROUP BY 1",
     **{name: f"{_with(DAILY, RET)} {_select(family, 'returned')}" for name, family in FEATURES.items()},
     "feature_matrix": f"{_with(DAILY, RET, 'wide AS (SELECT ticker, session, ' + ', '.join(f'{e} AS {n}' for n, e in ALL.items()) + ' FROM returned)')} {_select({n: n for n in ALL}, 'wide')} WHERE {' AND '.join(f'{n} IS NOT NULL' for n in ALL)}",
+    "feature_matrix_in_cells": f"{_with(DAILY, RET, 'wide AS (SELECT ticker, session, ' + ', '.join(f'{e} AS {n}' for n, e in ALL.items()) + ' FROM returned)')} {_select({n: n for n in ALL}, 'wide')} WHERE {' AND '.join(f'{n} IS NOT NULL' for n in ALL)}",
     "benchmark_feature_matrix": f"{_with(DAILY, ALIGNED, BENCH_RET, 'wide AS (SELECT ticker, session, ' + ', '.join(f'{e} AS {n}' for n, e in (ALL | BENCH).items()) + ' FROM returned)')} {_select({n: n for n in ALL | BENCH}, 'wide')} WHERE {' AND '.join(f'{n} IS NOT NULL' for n in ALL | BENCH)}",
     "relative_returns": f"{_with(DAILY, ALIGNED, BENCH_RET)} {_select({n: e for n, e in BENCH.items() if 'return' in n}, 'returned')}",
     "rolling_beta": f"{_with(DAILY, ALIGNED, BENCH_RET)} {_select({n: e for n, e in BENCH.items() if 'beta' in n}, 'returned')}",

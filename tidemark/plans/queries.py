@@ -153,6 +153,13 @@ def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return _out(ft.build_features(panels.daily(spark, sf)).dropna())
 
 
+def feature_matrix_in_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`feature_matrix` from cells of 120 rows with a halo, as long tickers are taken."""
+    with Scratch(spark, "cells") as scratch:
+        found = ft.build_features_in_cells(panels.daily(spark, sf), scratch, cell_rows=120)
+        return _out(scratch.write(found, "features", keep=True).dropna())
+
+
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
     asset, bench = bm.split_benchmark(panels.daily(spark, sf), ASSET, BENCHMARK)
     return bm.align(asset, bench)
@@ -402,6 +409,13 @@ def drawdown(spark: SparkSession, sf: str) -> DataFrame:
     return _out(_days(SHORT_RUN)(spark, sf).select("strategy", "ticker", "session", "drawdown"))
 
 
+def curve_in_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Equity and drawdown by scans over ranges of the sessions."""
+    with Scratch(spark, "curve") as scratch:
+        found = scratch.write(bt.curve_in_ranges(_days(SHORT_RUN)(spark, sf), scratch), "curve", keep=True)
+    return _out(found.select("strategy", "ticker", "session", F.ln("equity").alias("log_equity"), "drawdown"))
+
+
 def trades_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return _out(bt.trades(_days(CLOSE_RUN)(spark, sf), CLOSE_RUN))
 
@@ -625,12 +639,12 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         bars_daily, bars_wide, bars_hourly, order_flow, normalized_bars, bar_dedup, bar_conflicts, quality_report, quality_sessions, bar_describe, large_moves, calendar_gaps, ohlc_violations, open_session_drop,
-        feature_matrix, benchmark_align, benchmark_lost_sessions, benchmark_feature_matrix, asof_signal, next_session,
+        feature_matrix, feature_matrix_in_cells, benchmark_align, benchmark_lost_sessions, benchmark_feature_matrix, asof_signal, next_session,
         label_c2c, label_o2c, unlabeled_tail, label_summary, dataset, dataset_summary,
         dev_test_bounds, holdout_ranges, holdout_spans, holdout_causality, fold_ranges, fold_causality, fold_membership, fold_spans,
         oof_union, metric_suite, roc_auc, avg_precision, rank_metrics_in_ranges, roc_points, pr_points, confusion, fold_aggregate, class_balance,
         calibration_bins, ece_mce, calibration_report, probability_histogram, threshold_scan, best_threshold, net_sharpe_scan,
-        positions, cost_intraday, cost_c2c, equity_curve, drawdown, trades_blocks, trades_intraday, backtest_metrics, backtest_compare, buy_and_hold,
+        positions, cost_intraday, cost_c2c, equity_curve, drawdown, curve_in_ranges, trades_blocks, trades_intraday, backtest_metrics, backtest_compare, buy_and_hold,
         block_bootstrap, block_bootstrap_in_ranges, bootstrap_difference, candidate_rank, edge_gate, train_medians, feature_bins, permuted_features, logistic_stationarity, feature_importance, permutation_importance, lookback_sequences,
         overnight_variance, lag_autocorrelation, feature_target_correlation, feature_correlation, rolling_feature_correlation, hourly_strategy, stream_bars,
     )
