@@ -406,6 +406,13 @@ def test_text_n_best_and_round_trip(model, vocabulary):
         assert model.decode(encoder.encode(chunks)[0]) == t
 
 
+def test_long_chunks_are_cut_alike_in_any_company(model):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab漢字cd-") for _ in range(rng.choice([5, 70, 900]))) + " and words" for _ in range(40)] + ["", " ", "▁x"]
+    assert model.split(texts) == [model.chunks(t) for t in texts]
+    assert all("".join(c) for c in model.split(texts)[:40])
+
+
 def test_unspaced_texts_are_cut_where_no_piece_crosses(model):
     """Long chunks: parts join to the text, and have the score and gap of the whole."""
     rng = random.Random(3)
