@@ -912,3 +912,9 @@ def test_secrets_without_broadcast(spark, awkward):
         assert len(secrets.secret_report(awkward).toPandas()) == len(rows) == len(AWKWARD)
     finally:
         secrets.BROADCAST_ROWS = bound
+
+
+def test_more_rules_than_bits_are_refused(spark):
+    index = secrets.TrigramIndex("nowhere", [])
+    with pytest.raises(ValueError):
+        index.candidates(spark, {str(i): () for i in range(secrets.MOST_RULES + 1)})

@@ -135,6 +135,10 @@ def _any_of(words: list[str]) -> str:
     return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
+#: Rules whose candidates fit the bits of a number.
+MOST_RULES = 62
+
+
 class TrigramIndex:
     """Postings ``gram string, id long`` of lower-cased texts at ``path``, in the order of ``gram`` and ``id``.
 
@@ -166,8 +170,11 @@ class TrigramIndex:
         """``id long, rules long``: bit i is set if the i-th rule's query holds for the documents of that id.
 
         The postings of the queries are intersected by id: each id gathers the
-        trigrams of its lists in masks, on the map side first.
+        trigrams of its lists in masks, on the map side first.  At most
+        ``MOST_RULES`` queries are answered at once.
         """
+        if len(queries) > MOST_RULES:
+            raise ValueError(f"{len(queries)} rules; an index answers {MOST_RULES} at a time")
         trigrams = trigrams_of(queries.values())
         number = F.create_map(*[x for i, t in enumerate(trigrams) for x in (F.lit(t), F.lit(i))])
         lists = self.postings(spark, trigrams).select("id", number[F.col("gram")].alias("no"))
