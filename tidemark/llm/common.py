@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import LOCAL_SHARED, Scratch, hadoop_path, materialize, remove_path, shared_dir, shared_path
 
-__all__ = ["BROADCAST_KEYS", "LOCAL_SHARED", "Scratch", "batches_of", "fresh", "give_back_memory", "hadoop_path", "held_out", "materialize", "read_table", "remove_path", "shared_dir", "shared_path", "text_digest", "without_rows"]
+__all__ = ["BROADCAST_KEYS", "LOCAL_SHARED", "Scratch", "batches_of", "bounded", "fresh", "give_back_memory", "hadoop_path", "held_out", "materialize", "read_table", "remove_path", "shared_dir", "shared_path", "text_digest", "without_rows"]
 #: Keys up to this many are broadcast to leave rows out (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Rows up to which Spark may choose to broadcast a table that grows with the input: it goes by the size of files, and a
+#: megabyte of hashes in a file takes the driver many times that while it builds the table.
+BROADCAST_ROWS = 100_000
 
 
 @contextmanager
@@ -54,6 +57,11 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that has so many rows: beyond ``BROADCAST_ROWS`` it is shuffled, whatever the size of its files."""
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 def text_digest(text: Column) -> Column:
     """SHA-256 of the UTF-8 text as binary; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
     point at roots, and the edges are rewritten onto roots; at least half of
     the nodes of every component that still has an edge vanish.  A hub's edges
     are only ever pre-aggregated (``min``) or joined between two written
-    tables, so adaptive execution can split them.  Every round is written to
+    tables, so adaptive execution can split them; the driver builds no table of
+    more than ``BROADCAST_ROWS`` rows.  Every round is written to
     the shared folder: into ``scratch``, or into one of its own of which only
     the result stays.
 
@@ -34,24 +35,24 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         with Scratch(edges.sparkSession, "components") as own:
             return own.write(connected_components(edges, own), "labels", keep=True)
     edges, left = scratch.counted(_pairs(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()).distinct(), "edges")
-    levels: list[DataFrame] = []
+    levels: list[tuple[DataFrame, int]] = []
     while left:
         hooks = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
         hooks, moved = scratch.write(hooks, "hooks"), 1
         while moved:
             up = hooks.select(F.col("node").alias("to"), F.col("to").alias("upper"))
-            jumped = hooks.join(up, "to", "left").select("node", F.coalesce("upper", "to").alias("next"), "to")
+            jumped = hooks.join(bounded(up, left), "to", "left").select("node", F.coalesce("upper", "to").alias("next"), "to")
             jumped, moved = scratch.counted(jumped, "jumped", F.col("next") != F.col("to"))
             hooks = jumped.select("node", F.col("next").alias("to"))
-        levels.append(hooks)
-        half = edges.where("a < b").join(hooks.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        levels.append((hooks, left))
+        half = edges.where("a < b").join(bounded(hooks.select(F.col("node").alias("a"), F.col("to").alias("x")), left), "a")
         half = scratch.write(half.select("b", "x"), "half")
-        both = half.join(hooks.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        both = half.join(bounded(hooks.select(F.col("node").alias("b"), F.col("to").alias("y")), left), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         edges, left = scratch.counted(_pairs(both).distinct(), "edges")
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = levels[0]
-    for deeper in levels[1:]:
+    labels, _ = levels[0]
+    for deeper, size in levels[1:]:
         up = deeper.select(F.col("node").alias("to"), F.col("to").alias("upper"))
-        labels = scratch.write(labels.join(up, "to", "left").select("node", F.coalesce("upper", "to").alias("to")), "labels")
+        labels = scratch.write(labels.join(bounded(up, size), "to", "left").select("node", F.coalesce("upper", "to").alias("to")), "labels")
     return labels.select("node", F.col("to").alias("component"))

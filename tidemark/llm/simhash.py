@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_of, give_back_memory, text_digest, without_rows
+from .common import Scratch, batches_of, bounded, give_back_memory, text_digest, without_rows
 from .components import connected_components
 
 #: Bits in which linked fingerprints may differ; the ball of radius one around two halves covers up to 3.
@@ -117,12 +117,12 @@ def near_pairs(prints: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) ->
                 f"transform(array({', '.join(f'array({', '.join(map(str, c))})' for c in places)}), (c, no) -> aggregate(c, cast(no as bigint), (acc, i) -> acc * {1 << bits} + (shiftright(other, {bits} * i) & {(1 << bits) - 1})))"
             )
             one, five = parts(8, [(i,) for i in range(4)]), parts(4, list(combinations(range(8), 5)))
-            side = side.join(marked, "slot", "left").select("*", other)
+            side = side.join(bounded(marked, n_dense), "slot", "left").select("*", other)
             return side.withColumn("part", F.explode(F.when(F.col("parts") == 1, one).when(F.col("parts") == 5, five).otherwise(F.array(F.lit(-1).cast("long")))))
 
         table, probes = scratch.write(parted(table, "b"), "table"), scratch.write(parted(probes, "a"), "probes")
         keys.append("part")
-    pairs = probes.select(*keys, "same", "a").join(table.select(*keys, "b"), keys)
+    pairs = probes.select(*keys, "same", "a").join(bounded(table.select(*keys, "b"), 2 * prints.count()), keys)
     pairs = pairs.where((~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return pairs.select("a", "b")
 
@@ -142,13 +142,13 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, id
     """
     with Scratch(docs.sparkSession, "simhash") as scratch:
         rows = scratch.write(fingerprints(docs, width, id_col, text_col), "fingerprints", keep=True)
-        nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        nodes, count = scratch.counted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
         joined = scratch.write(connected_components(near_pairs(nodes.select("fp"), scratch, max_bits), scratch), "joined")
-        placed = nodes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
+        placed = nodes.join(bounded(joined.select(F.col("node").alias("fp"), "component"), count), "fp", "left")
         placed = scratch.write(placed.select("fp", "least", F.coalesce("component", "fp").alias("component")), "placed")
         least = scratch.write(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-        named = scratch.write(placed.join(least, "component").select("fp", "component_id"), "named", keep=True)
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+        named = scratch.write(placed.join(bounded(least, count), "component").select("fp", "component_id"), "named", keep=True)
+    return rows.join(bounded(named, count), "fp").select("doc_id", "fp", "component_id")
 
 
 # ---- similar texts: wide fingerprints ----
