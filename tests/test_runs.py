@@ -253,6 +253,28 @@ def test_trees_split_where_it_gains_most(spark):
     assert flat.score(spark.createDataFrame([(0.0, None)], "a double, b double")).first()["proba_up"] > 0.99
 
 
+def test_boosting_takes_few_short_passes(spark, monkeypatch):
+    """Models go their own pace, nodes too small to split take no pass, and a pass is one job that carries only unwritten trees."""
+    passes, sent = [], []
+    inner = trees._pass
+
+    def counted(blocks, models, growing, *rest):
+        passes.append(growing)
+        found = inner(blocks, models, growing, *rest)
+        sent.append(max(len(m["trees"]) - m["written"] for m in models))
+        return found
+
+    monkeypatch.setattr(trees, "_pass", counted)
+    monkeypatch.setattr(trees, "REFRESHED", 3)
+    rows = panel_rows(spark)
+    folds = spark.createDataFrame([(t, k, 200 * k, 200 * k + 1, 200 * k + 200) for t in "FO" for k in (1, 2)], "ticker string, fold long, train_end long, eval_start long, eval_end long")
+    md.model_oof(rows, folds, [md.Candidate("gradient_boosting", {"rate": 0.3, "leaves": 7, "rounds": 8, "least": 60})], NAMES).collect()
+    by_model = [sum(any(m == k for k, _ in growing) for growing in passes) for m in range(4)]
+    assert len(passes) == max(by_model)  # no model waits for another
+    assert max(by_model[::2]) <= 16  # 200 rows, 60 at least on either side of a split: no node of a third level can split
+    assert max(sent) <= 3 + 1
+
+
 def test_bootstrap_draws():
     drawn = np.array([trees.times_drawn(np.arange(2000), 42, t) for t in range(20)])
     assert abs(drawn.mean() - 1) < 0.03 and abs(drawn.var() - 1) < 0.05 and abs(np.corrcoef(drawn).sum() - 20) < 2

@@ -1,10 +1,10 @@
 """Boosted trees and forests, grown level by level from histograms that are added up over blocks.
 
-All trees that can grow at once grow in one pass: a forest's trees, and one
-tree of every (candidate, ticker, fold) of a boosting.  A task bins nothing and
+All trees that can grow at once grow in one pass: a forest's trees, and the
+present tree of every (candidate, ticker, fold) of a boosting.  A task bins nothing and
 sorts nothing: it finds each row's node, adds first and second derivatives up by
 (node, feature, bin) in whole numbers, which no order of addition changes, and
-hands the filled bins on.  Splits are sought where the sums of a few trees meet.
+hands the filled bins on.  Splits are sought where the sums of a tree meet.
 
 Trees are small and live on the driver, ``MODELS`` models at a time; rows never do.
 """
@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from .logistic import class_weights
 BINS = 255
 #: Sums are whole multiples of this, and the least sum of second derivatives on either side of a split.
 GRAIN, LEAST_CURVE = 2.0**-26, 1e-3
-#: Models that grow together, rounds after which scores of the rows are written anew, bytes of the sums that one group of trees takes.
+#: Models that grow together, trees of a model after which scores of the rows are written anew, bytes of sums for which one more task seeks splits.
 MODELS, REFRESHED, GROUP_BYTES = 5_000, 20, 4_000_000
 #: Share of a Poisson variable of mean 1 up to each count.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
@@ -127,9 +129,15 @@ def histogram(model: dict, no: int, tree: dict[str, list], of: np.ndarray, pos:
     chosen = features_at(model, no, tree["frontier"], of.shape[1])
     slot, k = slot_of[node[rows]], chosen.shape[1]
     flat = ((slot * k)[:, None] + np.arange(k)) * WIDTH + of[rows[:, None], chosen[slot]]
-    places, inverse = np.unique(flat.ravel(), return_inverse=True)
-    whole = lambda v: np.bincount(inverse, np.repeat(np.rint(v[rows] / GRAIN), k), len(places)).astype(np.int64)
-    return places.astype(np.uint32), np.array([whole(g), whole(h), np.bincount(inverse, np.repeat(count[rows], k), len(places)).astype(np.int64)])
+    flat, size = flat.ravel(), len(tree["frontier"]) * k * WIDTH
+    if size <= 4 * len(flat):  # most bins are filled: no sorting
+        places, inverse = np.flatnonzero(np.bincount(flat, minlength=size)), flat
+    else:
+        places, inverse = np.unique(flat, return_inverse=True)
+        size = len(places)
+    at = places if inverse is flat else slice(None)
+    whole = lambda v: np.bincount(inverse, np.repeat(v, k), size)[at].astype(np.int64)
+    return places.astype(np.uint32), np.array([whole(np.rint(g[rows] / GRAIN)), whole(np.rint(h[rows] / GRAIN)), whole(count[rows])])
 
 
 def best_split(hist: np.ndarray, least: int, ridge: float) -> tuple[float, int, int, bool] | None:
@@ -174,16 +182,19 @@ def grow(model: dict, tree: dict[str, list], found: list[tuple], level: int) ->
         for side in sides:
             for name, empty in (("feature", -1), ("bin", 0), ("missing", False), ("left", 0), ("right", 0), ("gain", 0.0), ("value", 0.0)):
                 tree[name].append(empty)
-            after.append(len(tree["feature"]) - 1)
-            g, h = side
-            tree["value"][after[-1]] = -model["rate"] * g / (h + model["ridge"]) if model["kind"] == "boosting" else (g / h if h > 0 else 0.0)
-        for name, v in (("feature", feature), ("bin", at), ("missing", missing), ("left", after[-2]), ("right", after[-1]), ("gain", gain)):
+            child = len(tree["feature"]) - 1
+            g, h, count = side
+            tree["value"][child] = -model["rate"] * g / (h + model["ridge"]) if model["kind"] == "boosting" else (g / h if h > 0 else 0.0)
+            if count >= 2 * max(1, model["least"]):  # else no split leaves both sides enough rows
+                after.append(child)
+        for name, v in (("feature", feature), ("bin", at), ("missing", missing), ("left", child - 1), ("right", child), ("gain", gain)):
             tree[name][node] = v
     last = level + 1 >= model["depth"] or sum(f < 0 for f in tree["feature"]) >= model["leaves"]
     tree["frontier"] = [] if last else after
 
 
 BINNED = "part string, block long, pos binary, y binary, folds array<struct<fold:long,of:binary>>, raws array<struct<model:string,raw:binary>>, models array<string>"
+DEALT = f"{BINNED}, share_n long, share long"
 
 
 def _binned_blocks(blocks: DataFrame, cuts: DataFrame, ends: DataFrame) -> DataFrame:
@@ -220,85 +231,84 @@ def _scores(model: dict, of: np.ndarray, known: bytes | None) -> np.ndarray:
     return raw
 
 
-def _pass(blocks: DataFrame, models: list[dict], growing: list[tuple[int, int]], d: int, tasks: int) -> dict[tuple[int, int], list[tuple]]:
-    """Sums and best splits of every frontier node of the ``growing`` (model, tree) pairs."""
+def _dealt(base: DataFrame, tasks: int, scratch: Scratch) -> DataFrame:
+    """Blocks once for each of ``share_n`` shares of the trees: more than one where blocks are fewer than tasks."""
+    n = max(1, base.count())
+    share_n = -(-tasks // n)
+    shares = base.withColumn("share_n", F.lit(share_n).cast("long")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share_n") - 1)))
+    return scratch.write(shares.repartition(n * share_n) if share_n > 1 else shares, "dealt")
+
+
+def _shared(row: Any, m: int, t: int) -> bool:
+    """Whether a tree of a model is in a dealt block's share."""
+    return (m + t) % row["share_n"] == row["share"]
+
+
+def _pass(blocks: RDD, models: list[dict], growing: list[tuple[int, int]], d: int, tasks: int) -> dict[tuple[int, int], list[tuple]]:
+    """Sums and best splits of every frontier node of the ``growing`` (model, tree) pairs.
+
+    A pass is a job of two stages over an RDD that is planned once: what a
+    block adds to a tree meets in order of the trees, so that a task holds the
+    sums of one tree.  Only trees that no written score covers travel.
+    """
     by_part: dict[str, list[int]] = {}
     for i, (m, _) in enumerate(growing):
         by_part.setdefault(models[m]["part"], []).append(i)
-    size = max(len(models[m]["open"][t]["frontier"]) for m, t in growing) * (d if models[growing[0][0]]["kind"] == "boosting" else max(1, int(math.sqrt(d)))) * WIDTH * 24
-    per_group = max(1, min(GROUP_BYTES // size, -(-len(growing) // tasks)))
-    spread = -(-len(growing) // per_group)
-    small_models = [{k: v for k, v in m.items() if k != "gains"} for m in models]
+    used = {m for m, _ in growing}
+    plain = {m: {k: models[m][k] for k in ("kind", "fold", "name", "seed", "weight", "start", "least", "ridge", "open")} for m in used}
+    scored = {m: plain[m] | {"trees": models[m]["trees"][models[m]["written"] :], "written": 0} for m in used}
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("grp", pa.int64()), ("tree", pa.int64()), ("places", pa.binary()), ("sums", pa.binary())])
-        for row in rows_of(batches):
+    def fill(rows: Iterator[Any]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+        for row in rows:
             pos, y, folds = _block(row)
             raws = {r["model"]: r["raw"] for r in row["raws"]}
-            out, scores = [], {}
+            scores: dict[int, np.ndarray] = {}
             for i in by_part.get(row["part"], []):
-                if i % row["share_n"] != row["share"]:
-                    continue
                 m, t = growing[i]
-                model = small_models[m]
-                if model["fold"] not in folds:
+                model = scored[m]
+                if not _shared(row, m, t) or model["fold"] not in folds:
                     continue
                 of = folds[model["fold"]].reshape(-1, d)
                 n = len(of)
                 if model["kind"] == "boosting" and m not in scores:
                     scores[m] = _scores(model, of, raws.get(model["name"]))
-                places, sums = histogram(model, t, model["open"][t], of, pos[:n], y[:n], scores.get(m))
-                out.append({"grp": i // per_group, "tree": i, "places": places.tobytes(), "sums": sums.tobytes()})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, kind)
-
-    def split(table: pa.Table) -> pa.Table:
-        dense: dict[int, np.ndarray] = {}
-        width: dict[int, int] = {}
-        for r in table.select(["tree", "places", "sums"]).to_pylist():
-            m, t = growing[r["tree"]]
-            model = small_models[m]
-            k = features_at(model, t, [0], d).shape[1]
-            if r["tree"] not in dense:
-                dense[r["tree"]] = np.zeros((3, len(model["open"][t]["frontier"]) * k * WIDTH), np.int64)
-                width[r["tree"]] = k
-            places = np.frombuffer(r["places"], np.uint32)
-            dense[r["tree"]][:, places] += np.frombuffer(r["sums"], np.int64).reshape(3, -1)
-        out = []
-        for i, sums in dense.items():
+                yield i, histogram(model, t, model["open"][t], of, pos[:n], y[:n], scores.get(m))
+
+    def split(rows: Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]) -> Iterator[tuple[int, list[tuple]]]:
+        for i, parts in groupby(rows, lambda r: r[0]):
             m, t = growing[i]
-            model, k = small_models[m], width[i]
-            hist = sums.reshape(3, -1, k, WIDTH) * np.array([GRAIN, GRAIN, 1.0])[:, None, None, None]
-            chosen = features_at(model, t, model["open"][t]["frontier"], d)
+            model, frontier = plain[m], plain[m]["open"][t]["frontier"]
+            chosen = features_at(model, t, frontier, d)
+            k = chosen.shape[1]
+            dense = np.zeros((3, len(frontier) * k * WIDTH), np.int64)
+            for _, (places, sums) in parts:
+                dense[:, places] += sums
+            hist = dense.reshape(3, -1, k, WIDTH) * np.array([GRAIN, GRAIN, 1.0])[:, None, None, None]
+            out = []
             for s in range(len(chosen)):
                 own = hist[:, s]
-                total = own[:, 0].sum(axis=1)
+                g, h, count = own[:, 0].sum(axis=1).tolist()
                 best = best_split(own, model["least"], model["ridge"])
-                row = {"tree": i, "slot": s, "g": total[0], "h": total[1], "gain": None, "feature": None, "bin": None, "missing": None, "lg": None, "lh": None}
+                found = None
                 if best is not None:
-                    left = own[:, best[1], : best[2] + 1].sum(axis=1) + (own[:, best[1], BINS] if best[3] else 0)
-                    row |= {"gain": best[0], "feature": int(chosen[s, best[1]]), "bin": best[2], "missing": best[3], "lg": left[0], "lh": left[1]}
-                out.append(row)
-        kind = pa.schema([("tree", pa.int64()), ("slot", pa.int64()), ("g", pa.float64()), ("h", pa.float64()), ("gain", pa.float64()), ("feature", pa.int64()), ("bin", pa.int64()), ("missing", pa.bool_()), ("lg", pa.float64()), ("lh", pa.float64())])
-        return pa.Table.from_pylist(out, kind)
-
-    shares = blocks.withColumn("share_n", F.lit(max(1, min(tasks, spread)))).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("share_n") - 1)))
-    if spread > 1:
-        shares = shares.repartition(tasks, "part", "block", "share")
-    filled = shares.mapInArrow(fill, "grp long, tree long, places binary, sums binary")
-    rows = filled.groupBy("grp").applyInArrow(split, "tree long, slot long, g double, h double, gain double, feature long, bin long, missing boolean, lg double, lh double").collect()  # a row a node
-    out: dict[tuple[int, int], list[tuple]] = {}
-    for r in sorted(rows, key=lambda r: (r["tree"], r["slot"])):
-        sides = ((r["lg"], r["lh"]), (r["g"] - r["lg"], r["h"] - r["lh"])) if r["gain"] is not None else None
-        out.setdefault(growing[r["tree"]], []).append(((r["g"], r["h"]), None if sides is None else (r["gain"], r["feature"], r["bin"], r["missing"], sides)))
-    return out
+                    gain, j, at, missing = best
+                    lg, lh, lc = (own[:, j, : at + 1].sum(axis=1) + (own[:, j, BINS] if missing else 0)).tolist()
+                    found = (gain, int(chosen[s, j]), at, missing, ((lg, lh, lc), (g - lg, h - lh, count - lc)))
+                out.append(((g, h), found))
+            yield i, out
+
+    slots = sum(len(models[m]["open"][t]["frontier"]) for m, t in growing)
+    size = slots * (d if models[growing[0][0]]["kind"] == "boosting" else max(1, int(math.sqrt(d)))) * WIDTH * 24
+    filled = blocks.mapPartitions(fill).repartitionAndSortWithinPartitions(max(1, min(tasks, len(growing), -(-size // GROUP_BYTES))))
+    return {growing[i]: found for i, found in filled.mapPartitions(split).collect()}  # a row a tree
 
 
 def _rewritten(blocks: DataFrame, models: list[dict], d: int, scratch: Scratch) -> DataFrame:
-    """Blocks with the present score of each of their rows in every model."""
-    by_part: dict[str, list[dict]] = {}
-    for m in models:
-        by_part.setdefault(m["part"], []).append(m)
+    """Dealt blocks with the present score of each of their rows in every model of their share."""
+    by_part: dict[str, list[tuple[int, dict]]] = {}
+    for no, m in enumerate(models):
+        sent = {k: m[k] for k in ("fold", "name", "start")} | {"trees": m["trees"][m["written"] :], "written": 0}
+        by_part.setdefault(m["part"], []).append((no, sent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,29 +316,47 @@ def _rewritten(blocks: DataFrame, models: list[dict], d: int, scratch: Scratch)
             for row in batch.to_pylist():
                 _, _, folds = _block(row)
                 known = {r["model"]: r["raw"] for r in row["raws"]}
-                row["raws"] = [{"model": m["name"], "raw": _scores(m, folds[m["fold"]].reshape(-1, d), known.get(m["name"])).tobytes()} for m in by_part.get(row["part"], []) if m["fold"] in folds]
+                row["raws"] = [{"model": m["name"], "raw": _scores(m, folds[m["fold"]].reshape(-1, d), known.get(m["name"])).tobytes()} for no, m in by_part.get(row["part"], []) if m["fold"] in folds and _shared(row, no, 0)]
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, batch.schema)
 
-    return scratch.write(blocks.mapInArrow(run, BINNED), "scored")
+    return scratch.write(blocks.mapInArrow(run, DEALT), "scored")
 
 
-def _grown(blocks: DataFrame, models: list[dict], d: int, scratch: Scratch) -> None:
-    """Grow the ``open`` trees of all models level by level into ``trees``."""
-    tasks = blocks.sparkSession.sparkContext.defaultParallelism
-    level = 0
-    while growing := [(m, t) for m, model in enumerate(models) for t, tree in enumerate(model["open"]) if tree["frontier"]]:
+def _grown(base: DataFrame, models: list[dict], d: int, scratch: Scratch) -> None:
+    """Grow all trees of models of one kind level by level into ``trees``.
+
+    A boosting starts its next tree as soon as one is grown, whatever the
+    others do, so passes are as many as the levels of the deepest model, not
+    of the deepest tree of every round.
+    """
+    tasks = base.sparkSession.sparkContext.defaultParallelism
+    held = _dealt(base, tasks, scratch)
+    blocks = held.rdd
+    while True:
+        for model in models:
+            if model["open"] and not any(tree["frontier"] for tree in model["open"]):
+                model["trees"] += model["open"]
+                model["open"] = []
+            if not model["open"] and len(model["trees"]) < model["rounds"] * model["n_trees"]:
+                model["open"], model["level"] = [new_tree() for _ in range(model["n_trees"])], 0
+        growing = [(m, t) for m, model in enumerate(models) for t, tree in enumerate(model["open"]) if tree["frontier"]]
+        if not growing:
+            return
+        if models[0]["kind"] == "boosting" and max(len(m["trees"]) - m["written"] for m in models if m["open"]) >= REFRESHED:
+            held = _rewritten(held, models, d, scratch)
+            blocks = held.rdd
+            for m in models:
+                m["written"] = len(m["trees"])
         found = _pass(blocks, models, growing, d, tasks)
         for m, t in growing:
             tree = models[m]["open"][t]
             if (m, t) in found:
-                grow(models[m], tree, found[m, t], level)
+                grow(models[m], tree, found[m, t], models[m]["level"])
             else:  # a bootstrap without a row
                 tree["frontier"] = []
-        level += 1
-    for model in models:
-        model["trees"] += model["open"]
-        model["open"] = []
+        for m in {m for m, _ in growing}:
+            models[m]["level"] += 1
 
 
 def fitted(blocks: DataFrame, rows: DataFrame, parts: DataFrame, settings: list[tuple[str, str, dict[str, Any]]], names: list[str], seed: int, scratch: Scratch) -> Iterator[dict]:
@@ -352,15 +380,7 @@ def fitted(blocks: DataFrame, rows: DataFrame, parts: DataFrame, settings: list[
             some = [m for m in models if m["kind"] == kind]
             if not some:
                 continue
-            held, rounds = base, max(m["rounds"] for m in some)
-            for r in range(rounds):
-                for m in some:
-                    m["open"] = [new_tree() for _ in range(m["n_trees"])] if r < m["rounds"] else []
-                _grown(held, some, d, scratch)
-                if kind == "boosting" and (r + 1) % REFRESHED == 0 and r + 1 < rounds:
-                    held = _rewritten(held, some, d, scratch)
-                    for m in some:
-                        m["written"] = len(m["trees"])
+            _grown(base, some, d, scratch)
             yield from some
 
     for p in order.toLocalIterator():
@@ -372,7 +392,7 @@ def fitted(blocks: DataFrame, rows: DataFrame, parts: DataFrame, settings: list[
                 "part": p["ticker"], "fold": p["fold"], "name": f"{name}|{p['fold']}", "kind": "boosting" if boosting else "forest", "seed": seed, "weight": list(weight), "edges": p["edges"],
                 "start": math.log(share / (1 - share)), "rate": float(params.get("rate", 0.05)), "ridge": float(params.get("l2", 1.0)) if boosting else 0.0, "least": int(params.get("least", 40 if boosting else 30)),
                 "leaves": int(params.get("leaves", 15)) if boosting else 1 << 30, "depth": 1 << 30 if boosting else int(params.get("depth", 6)),
-                "rounds": int(params.get("rounds", 200)) if boosting else 1, "n_trees": 1 if boosting else int(params.get("trees", 400)), "trees": [], "open": [], "written": 0,
+                "rounds": int(params.get("rounds", 200)) if boosting else 1, "n_trees": 1 if boosting else int(params.get("trees", 400)), "trees": [], "open": [], "written": 0, "level": 0,
             })
         if len(group) >= MODELS:
             yield from done(group)
