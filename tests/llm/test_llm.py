@@ -10,6 +10,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -499,6 +500,18 @@ def test_near_pairs_find_every_link(spark):
         simhash.DENSE = dense
 
 
+def test_a_worker_keeps_no_chunks_after_its_task(spark, monkeypatch):
+    taken, encoders, held = [], [], []
+    monkeypatch.setattr(pieces.F, "arrow_udf", lambda kind: lambda f: taken.append(f) or (lambda c: c))
+    monkeypatch.setattr(pieces, "give_back_memory", lambda: held.append(sum(e.held + len(e.place) + len(e.ids) for e in encoders)))
+    start = pieces.Encoder.__init__
+    monkeypatch.setattr(pieces.Encoder, "__init__", lambda self, *a: encoders.append(self) or start(self, *a))
+    pieces.with_pieces(spark.createDataFrame([("x",)], "text string"), pieces.PieceModel.load(), "found")
+    out = list(taken[0](iter([pa.array(["some words here", None]), pa.array(["other words"])])))
+    assert [len(x) for x in out] == [2, 1] and all(x.as_py()["exact"] for part in out for x in part)
+    assert len(held) == 3 and held[0] > 0 and held[1] > 0 and held[2] == 0
+
+
 def test_close_groups_build_no_large_table_on_the_driver(spark):
     """Files of 10 MB that Spark would broadcast hold a million fingerprints, which take the driver many times that."""
     prints = spark.range(120_000, numPartitions=4).select(F.xxhash64("id").alias("fp"))

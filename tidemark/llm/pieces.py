@@ -489,5 +489,7 @@ def with_pieces(docs: DataFrame, model: PieceModel, name: str, n: int = N_BEST,
             kept.clear()
             give_back_memory()
             yield pa.StructArray.from_arrays(columns, ["ids", "n_pieces", "ids_sha256", "scores", "exact"])
+        encoder._forget()  # a worker waits for other tasks, of other stages too, and would hold the chunks meanwhile
+        give_back_memory()
 
     return docs.withColumn(name, encode(F.col(text_col).cast("string")))
