@@ -581,6 +581,65 @@ def test_similar_groups_of_a_family(spark, changed, full):
         simhash.FEW = few
 
 
+def test_a_loose_family_never_spells_out_its_pairs(spark, monkeypatch):
+    """Pairs just below the similarity are compared within tasks: no written table holds a row for each of them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(240)]
+    texts = []
+    for _ in range(120):
+        t = list(base)
+        for at in rng.sample(range(240), 5):
+            t[at] = word()
+        texts.append(" ".join(t))
+    score = {(i, j): jaccard(texts[i], texts[j]) for i, j in itertools.combinations(range(120), 2)}
+    assert sum(0.6 <= s < 0.8 for s in score.values()) > 6_000
+    want = brute_components([(i, i) for i in range(120)] + [pair for pair, s in score.items() if s >= 0.8])
+    rows, write = {}, common.Scratch.write
+
+    def counting(self, df, name, keep=False):
+        out = write(self, df, name, keep)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", counting)
+    monkeypatch.setattr(simhash, "FEW", 0)
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()} == want
+    assert all(n <= 120 * 12 for n in rows.values()), rows
+
+
+def test_linked_blocks(monkeypatch):
+    """Sets that are cut or not: what is sure is joined, what is in doubt is proposed unless its ends are joined."""
+    monkeypatch.setattr(simhash, "LOW", 40)
+    rng = np.random.default_rng(3)
+    sets = []
+    for k in range(6):
+        base = rng.integers(0, 2**32, 30 + 20 * k, dtype=np.uint32)
+        sets += [np.unique(np.where(rng.random(len(base)) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 2**32, len(base), dtype=np.uint32), base))[:40] for _ in range(8)]
+    n = len(sets)
+
+    def estimate(x, y):
+        upto = min([s[-1] for s in (x, y) if len(s) == 40], default=2**32)
+        x, y = {v for v in x.tolist() if v <= upto}, {v for v in y.tolist() if v <= upto}
+        return len(x & y) / len(x | y)
+
+    pairs = {(i, j): (estimate(sets[i], sets[j]), 40 in (len(sets[i]), len(sets[j]))) for i, j in itertools.combinations(range(n), 2)}
+    doubtful = {p for p, (s, was_cut) in pairs.items() if was_cut and abs(s - 0.8) <= 0.15}
+    want = brute_components([(i, i) for i in range(n)] + [p for p, (s, _) in pairs.items() if s >= 0.8 and p not in doubtful])
+    side = (np.arange(n), np.zeros((n, 4), np.uint64), sets, np.arange(n))
+    for cap in (None, 1):
+        a, b, sure, held = simhash.linked(side, side, 10, 0.8, 0.15, cap)
+        found = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
+        links = [p for p, s in zip(found, sure) if s]
+        assert brute_components([(i, i) for i in range(n)] + links) == want and len(links) < n and set(links) <= set(pairs)
+        asked, left = {p for p, s in zip(found, sure) if not s}, {p for p in doubtful if want[p[0]] != want[p[1]]}
+        assert asked <= left and len(left) > 5
+        assert (asked == left and not held.any()) if cap is None else (asked < left and held.any() and len(asked) <= n)
+    far = (np.arange(n), np.full((n, 4), 2**64 - 1, np.uint64), sets, np.arange(n))
+    assert not len(simhash.linked(side, (far[0] + n, *far[1:3], far[3] + n), 10, 0.8, 0.15, None)[0])
+
+
 def test_similar_groups_of_long_texts(spark):
     """Texts of more shingles than a sketch holds, closely around the similarity, go by all their shingles."""
     rng = random.Random(6)

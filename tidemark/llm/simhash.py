@@ -22,11 +22,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_of, bounded, give_back_memory, text_digest, without_rows
+from .common import BROADCAST_KEYS, Scratch, batches_of, bounded, give_back_memory, text_digest, without_rows
 from .components import connected_components
 
 #: Bits in which linked fingerprints may differ; the ball of radius one around two halves covers up to 3.
@@ -166,12 +167,12 @@ APART, WIDE = 64, 256
 #: an estimate from cut sets around the linking similarity within which all shingles are read.
 LOW, DOUBT = 384, 5.0
 #: Standard deviations of the distance at the linking similarity within which a pair passes by its first bits (SIGHT),
-#: by all of them (LOOSE), and below which a full slot's first links are sought, most of which then hold (FIRM).
-SIGHT, LOOSE, FIRM = 3.0, 5.0, -2.0
+#: and by all of them (LOOSE).
+SIGHT, LOOSE = 3.0, 5.0
 #: Members up to which the visitors of a segment's value are joined with them, if these are few too (:func:`crowd`); fuller
 #: values are compared in blocks of COMPARED.
 FEW, COMPARED = 16, 2_048
-#: Partners of a member that a round over full slots proposes at most, until a round holds none back; None is no bound.
+#: Doubtful partners of a member that a round over full slots proposes at most, until a round holds none back; None is no bound.
 PROPOSED = (32, 1_024, None)
 #: Texts, and pairs with their shingle hashes, that travel to Python at once.
 BATCH_ROWS = 1_000
@@ -239,19 +240,21 @@ def crowd(bits: int) -> int:
 
 
 def _fingerprinted(docs: DataFrame, width: int, bits: int, n_segments: int, wide: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest`` (of the text), ``key`` (of its words), ``wide`` (the fingerprint's words) and the ``values`` of its segments."""
+    """``doc_id, digest`` (of the text), ``key`` (of its words), ``low`` (its least shingle hashes), ``wide`` (the fingerprint's words) and the ``values`` of its segments."""
 
-    @F.arrow_udf("struct<key:binary,wide:array<long>,values:array<long>>")
+    @F.arrow_udf("struct<key:binary,low:binary,wide:array<long>,values:array<long>>")
     def run(texts: pa.Array) -> pa.Array:
-        keys, prints = [], np.zeros((len(texts), wide // 64), np.uint64)
+        keys, lows, prints = [], [], np.zeros((len(texts), wide // 64), np.uint64)
         for i, text in enumerate(texts):
             text = text.as_py()
-            prints[i] = wide_fingerprint(_shingle_hashes(text, width), wide)
+            hashes = _shingle_hashes(text, width)
+            prints[i] = wide_fingerprint(hashes, wide)
+            lows.append(least_hashes(hashes).tobytes())
             keys.append(xxhash.xxh3_128_digest(b" ".join(_words(text))))
         spread = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, APART : APART + bits * n_segments]
         values = spread.reshape(-1, n_segments, bits).astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (prints.view(np.int64), values)]
-        out = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), *lists], ["key", "wide", "values"])
+        out = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(lows, pa.binary()), *lists], ["key", "low", "wide", "values"])
         give_back_memory()
         return out
 
@@ -269,8 +272,8 @@ def _met(nodes: DataFrame, bits: int, most: int) -> DataFrame:
 
     ``a, b`` for a visitor and a member of a slot with at most ``FEW`` members
     and :func:`crowd` visitors, if their first 64 bits differ in at most
-    ``most``; for a fuller slot ``slot, a`` and whether the visitor is a
-    ``member``.  The table is shuffled once, and so are the lookups.
+    ``most``; a fuller ``slot`` once.  The table is shuffled once, and so are
+    the lookups.
     """
     slot = lambda value: (F.col("segment").cast("long") * (1 << bits) + value).alias("slot")
     cut = nodes.select("node", "sig", F.posexplode("values").alias("segment", "value"))
@@ -286,8 +289,9 @@ def _met(nodes: DataFrame, bits: int, most: int) -> DataFrame:
     probes = probes.withColumn("visitors", F.count("*").over(here))
     near = F.when(F.col("member"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & (F.bit_count(F.col("of_a").bitwiseXOR(F.col("of_b"))) <= most)
     full = F.col("many") | (F.col("visitors") > crowd(bits))
-    found = probes.join(table, "slot").where((full & (F.col("place") == 1)) | (~full & near))
-    return found.select(F.when(full, F.col("slot")).alias("slot"), "a", F.when(~full, F.col("b")).alias("b"), "member")
+    once = F.col("member") & (F.col("place") == 1) & (F.col("a") == F.col("b"))
+    found = probes.join(table, "slot").where((full & once) | (~full & near))
+    return found.select(F.when(full, F.col("slot")).alias("slot"), F.when(~full, F.col("a")).alias("a"), F.when(~full, F.col("b")).alias("b"))
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:
@@ -297,16 +301,10 @@ def _nodes_of(pairs: DataFrame) -> DataFrame:
 class _Verifier:
     """Verifies pairs of nodes by the shingles of their texts."""
 
-    def __init__(self, scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, similarity: float, text_col: str) -> None:
-        """Read the texts of the nodes in ``wanted`` once and keep their least shingle hashes."""
+    def __init__(self, scratch: Scratch, docs: DataFrame, prints: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, similarity: float, text_col: str) -> None:
+        """Gather the least shingle hashes and the fingerprints of the nodes in ``wanted``; no text moves."""
         self.scratch, self.docs, self.nodes, self.similarity, self.text_col = scratch, docs, nodes, similarity, text_col
 
-        @F.arrow_udf("binary")
-        def low(texts: pa.Array) -> pa.Array:
-            out = pa.array([least_hashes(_shingle_hashes(t.as_py(), width)).tobytes() for t in texts], pa.binary())
-            give_back_memory()
-            return out
-
         @F.arrow_udf("binary")
         def whole(texts: pa.Array) -> pa.Array:
             out = pa.array([np.unique(_shingle_hashes(t.as_py(), width)).astype("<u8").tobytes() for t in texts], pa.binary())
@@ -314,14 +312,21 @@ class _Verifier:
             return out
 
         self._whole = whole
-        self.lows = scratch.write(self._texts(wanted).select("node", low("text").alias("hashes")), "lows")
-
-    def _texts(self, wanted: DataFrame) -> DataFrame:
-        """``node, text``: one text of each node in ``wanted(node)``."""
-        ids = self.scratch.write(self.nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("digest").alias("_digest")), "wanted")
+        self.error = DOUBT * math.sqrt(similarity * (1 - similarity) / LOW)
+        found = prints.select("digest", "low", "wide").join(self._ids(wanted), F.col("digest") == F.col("_digest"))
+        self.lows = scratch.write(found.groupBy("node").agg(F.first("low").alias("hashes"), F.first("wide").alias("wide")), "lows")
+
+    def _ids(self, wanted: DataFrame) -> DataFrame:
+        """``node, _digest`` of each node in ``wanted(node)``; few are broadcast, so that what they are joined with stays in place."""
+        ids = self.nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("digest").alias("_digest"))
+        ids, n = self.scratch.counted(ids, "wanted")
+        return F.broadcast(ids) if n <= BROADCAST_KEYS else ids
+
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """``node, hashes``: all shingle hashes of a text of each node in ``wanted(node)``."""
         texts = self.docs.select(F.col(self.text_col).cast("string").alias("text"))
-        found = texts.join(ids, text_digest(F.col("text")) == F.col("_digest"))
-        return found.groupBy("node").agg(F.first("text").alias("text"))
+        found = texts.join(self._ids(wanted), text_digest(F.col("text")) == F.col("_digest")).groupBy("_digest", "node").agg(F.first("text").alias("text"))
+        return self.scratch.write(found.select("node", self._whole("text").alias("hashes")), "sets")
 
     def _beside(self, pairs: DataFrame, hashes: DataFrame) -> DataFrame:
         side = lambda node, name: hashes.select(F.col("node").alias(node), F.col("hashes").alias(name))
@@ -334,6 +339,16 @@ class _Verifier:
         def alike(x: pa.Array, y: pa.Array) -> pa.Array:
             return pa.array([resemblance(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(x, y)], pa.float64())
 
+        was_cut = F.greatest(F.length("x"), F.length("y")) >= 4 * LOW
+        scored = self._beside(pairs, self.lows).select("a", "b", alike("x", "y").alias("alike"), was_cut.alias("cut"))
+        doubtful = F.col("cut") & (F.abs(F.col("alike") - self.similarity) <= self.error)
+        scored, unsure = self.scratch.counted(scored, "scored", doubtful)
+        sure = scored.where(~doubtful & (F.col("alike") >= self.similarity)).select("a", "b")
+        return sure.union(self.exact(scored.where(doubtful).select("a", "b"))) if unsure else sure
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)`` that are alike enough by all shingles: their texts are read again."""
+
         @F.arrow_udf("double")
         def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
             out = []
@@ -343,55 +358,49 @@ class _Verifier:
                 out.append(both / max(1, len(a) + len(b) - both))
             return pa.array(out, pa.float64())
 
-        least = self.similarity
-        error = DOUBT * math.sqrt(least * (1 - least) / LOW)
-        was_cut = F.greatest(F.length("x"), F.length("y")) >= 4 * LOW
-        scored = self._beside(pairs, self.lows).select("a", "b", alike("x", "y").alias("alike"), was_cut.alias("cut"))
-        doubtful = F.col("cut") & (F.abs(F.col("alike") - least) <= error)
-        scored, unsure = self.scratch.counted(scored, "scored", doubtful)
-        sure = scored.where(~doubtful & (F.col("alike") >= least)).select("a", "b")
-        if not unsure:
-            return sure
-        # the few texts of doubtful pairs are read again
-        pairs = scored.where(doubtful).select("a", "b")
-        sets = self.scratch.write(self._texts(_nodes_of(pairs)).select("node", self._whole("text").alias("hashes")), "sets")
-        exact = self._beside(pairs, sets).where(jaccard("x", "y") >= least).select("a", "b")
-        return sure.union(self.scratch.write(exact, "exact"))
-
+        found = self._beside(pairs, self._sets(_nodes_of(pairs))).where(jaccard("x", "y") >= self.similarity)
+        return self.scratch.write(found.select("a", "b"), "exact")
 
-def _full_slots(scratch: Scratch, met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What met in full slots, with fingerprints and the numbers of blocks (``cuts`` of members, ``waves`` of all)."""
-    visits = met.where(F.col("slot").isNotNull()).select("slot", F.col("a").alias("node"), "member")
-    size = visits.groupBy("slot").agg(F.ceil(F.count_if("member") / COMPARED).cast("int").alias("cuts"), F.ceil(F.count("*") / COMPARED).cast("int").alias("waves"))
-    return scratch.write(visits.join(size, "slot").join(nodes.select("node", "wide"), "node"), "full")
 
+def _visits(scratch: Scratch, slots: DataFrame, nodes: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Who meets in full ``slots``: ``slot, own`` for each slot whose members visit it, and the ``members(own, node, cut, cuts)`` of those.
 
-def _proposed(scratch: Scratch, full: DataFrame, labels: DataFrame | None, cap: int | None, loose: int, firm: int) -> tuple[DataFrame, int]:
-    """Pairs of full slots that may be links, and for how many of them ``cap`` held others back.
-
-    Without labels a first forest, then close pairs of different labels.
+    Members of a slot go together, in ``cuts`` parts, so a large group costs a row for each part and slot, not for each visitor.
     """
-    first = labels is None
-    named = full.withColumn("label", F.col("node")) if first else full.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    grain = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    columns = ["node", "wide", "label"]
-    left = named.where("member").select("slot", (grain % F.col("cuts")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"), F.lit(True).alias("member"), *columns)
-    right = named.select("slot", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), (grain % F.col("waves")).cast("int").alias("wave"), F.lit(False).alias("member"), *columns)
+    ball = f"filter(sequence(-1, {bits - 1}), i -> i < 0 or (slot & shiftleft(1L, i)) <> 0)"
+    visits = slots.withColumn("bit", F.explode(F.expr(ball))).select("slot", F.expr("if(bit < 0, slot, slot - shiftleft(1L, bit))").alias("own"))
+    visits = scratch.write(visits, "visits")
+    cut = nodes.select("node", F.posexplode("values").alias("segment", "value")).select("node", (F.col("segment").cast("long") * (1 << bits) + F.col("value")).alias("own"))
+    members = cut.join(visits.select("own").distinct(), "own", "left_semi")
+    members = members.withColumn("cuts", F.ceil(F.count("*").over(Window.partitionBy("own")) / COMPARED).cast("int"))
+    members = members.withColumn("cut", (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) % F.col("cuts")).cast("int"))
+    return visits, scratch.write(members, "members")
+
+
+def _compared(scratch: Scratch, visits: DataFrame, members: DataFrame, lows: DataFrame, labels: DataFrame | None, cap: int | None, most: int, similarity: float, error: float) -> DataFrame:
+    """What a comparison of the visitors of every full slot with its members finds: ``slot, a, b, sure, held`` (see :func:`linked`)."""
+    named = members.join(lows.select("node", "wide", F.col("hashes").alias("low")), "node")
+    named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    parts = named.groupBy("own", "cut").agg(F.collect_list(F.struct("node", "wide", "low", "label")).alias("part"))
+    size = members.groupBy("own").agg(F.count("*").alias("n"), F.first("cuts").alias("own_cuts"))
+    shape = visits.join(size, "own").groupBy("slot").agg(F.max(F.when(F.col("own") == F.col("slot"), F.col("own_cuts"))).alias("cuts"), F.ceil(F.sum("n") / COMPARED).cast("int").alias("waves"))
+    met = visits.join(scratch.write(shape, "shape"), "slot").join(parts, "own")
+    left = met.where("own = slot").select("slot", "cut", F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"), F.lit(True).alias("member"), "part")
+    wave = F.pmod(F.xxhash64("own", "cut"), F.col("waves").cast("long")).cast("int").alias("wave")
+    right = met.select("slot", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), wave, F.lit(False).alias("member"), "part")
 
     def compare(block: pa.Table) -> pa.Table:
-        member = block["member"].to_numpy(zero_copy_only=False).astype(bool)
-        names, groups = block["node"].to_numpy(), block["label"].to_numpy()
-        words = block["wide"].combine_chunks().flatten().to_numpy().reshape(len(names), -1).view(np.uint64)
-        if first:
-            found = spanning_roots(names[~member], words[~member], names[member], words[member], firm)
-        else:
-            found = unjoined(names[~member], words[~member], groups[~member], names[member], words[member], groups[member], loose, cap)
-        held = found[2] if len(found) > 2 else np.zeros(len(found[0]), bool)
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "held": pa.array(held, pa.bool_())})
+        sides = []
+        for side in (False, True):
+            rows = block.filter(pc.equal(block["member"], side))["part"].combine_chunks().flatten()
+            words = rows.field("wide").flatten().to_numpy().reshape(len(rows), -1).view(np.uint64)
+            hashes = [np.frombuffer(x.as_py(), "<u4") for x in rows.field("low")]
+            sides.append((rows.field("node").to_numpy(), words, hashes, rows.field("label").to_numpy()))
+        a, b, sure, held = linked(*sides, most, similarity, error, cap)
+        slot = np.full(len(a), block["slot"][0].as_py(), np.int64)
+        return pa.table({"slot": slot, "a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure, "held": held})
 
-    found = left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "a long, b long, held boolean")
-    found = found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("held").alias("held"))
-    return scratch.counted(found, "proposed", F.col("held"))
+    return left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "slot long, a long, b long, sure boolean, held boolean")
 
 
 def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col: str, text_col: str, scratch: Scratch, keep: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -399,7 +408,7 @@ def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col:
     bits = segment_bits(count)
     n_segments = segment_count(bits, similarity)
     wide = 64 * math.ceil(max(WIDE, APART + bits * n_segments) / 64)
-    loose, firm = differing_bits(similarity, LOOSE, wide), differing_bits(similarity, FIRM, wide)
+    loose = differing_bits(similarity, LOOSE, wide)
     prints = scratch.write(_fingerprinted(docs, width, bits, n_segments, wide, id_col, text_col), "prints", keep)
     rows = prints.select("doc_id", "digest", "key")
     # the numbers are fixed by being written; equal word sequences are one node, so copies are never paired
@@ -410,20 +419,27 @@ def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col:
     pairs = met.where(F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     close = pairs.join(whole.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b").where(_apart("x", "y") <= loose)
     close = scratch.write(close.select("a", "b"), "close")
-    full = _full_slots(scratch, met, nodes)
-    verifier = _Verifier(scratch, docs, nodes, _nodes_of(close).union(full.select("node")), width, similarity, text_col)
+    slots, n_full = scratch.counted(met.where(F.col("slot").isNotNull()).select("slot"), "full")
+    wanted = _nodes_of(close)
+    if n_full:
+        visits, members = _visits(scratch, slots, nodes, bits)
+        wanted = wanted.union(members.select("node"))
+    verifier = _Verifier(scratch, docs, prints, nodes, wanted, width, similarity, text_col)
     links, tested, joined = verifier.links(close), close, None
-    for cap in (0, *PROPOSED) if not full.isEmpty() else ():
-        first = joined is None
-        found, held = _proposed(scratch, full, joined, cap, loose, firm)
-        fresh_pairs, n = scratch.counted(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "untested")
+    for cap in PROPOSED if n_full else ():
+        found = scratch.write(_compared(scratch, visits, members, verifier.lows, joined, cap, loose, similarity, verifier.error), "found")
+        links = links.union(found.where("sure").select("a", "b"))
+        fresh_pairs, n = scratch.counted(found.where("not sure").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "untested")
         tested = tested.union(fresh_pairs)
         if n:
-            links = links.union(verifier.links(fresh_pairs))
-        if n or first:
+            links = links.union(verifier.exact(fresh_pairs))
+        if n or joined is None:
             joined = scratch.write(connected_components(links, scratch), "joined")
-        if not first and not held:
+        slots, n_held = scratch.counted(found.where("held").select("slot").distinct(), "held")
+        if not n_held:
             break
+        # only where partners were held back is compared again
+        visits = scratch.write(visits.join(slots, "slot", "left_semi"), "visits")
     if joined is None:
         joined = connected_components(links, scratch)
     placed = nodes.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
@@ -437,11 +453,11 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     verified by the distance of the whole fingerprints and then by the shingles
     themselves: the least ``LOW`` of their hashes, and all of them where a set
     was cut and its estimate lies near ``similarity``.  Of a segment value that
-    many fingerprints share or visit not all pairs leave the task: first a
-    spanning forest of the closest ones, then, in rounds, pairs that links
-    verified so far do not join, until none is left.  A tight group never
-    spells out its pairs, and every link is verified, so groups do not depend
-    on how full a slot is.  Texts of equal words are one node.
+    many fingerprints share or visit all pairs are compared within tasks, which
+    only put out links that join something, and pairs in doubt, these in
+    rounds, until none is left.  No group, tight or loose, spells out its
+    pairs, and every link is verified, so groups do not depend on how full a
+    slot is.  Texts of equal words are one node.
 
     A pair at ``similarity`` is met with the chance ``MET`` at any size; the
     lookups of a document grow with about the fourth root of their number.
@@ -461,46 +477,74 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     return rows.join(named, "key").select("doc_id", "component_id")
 
 
-def spanning_roots(left: np.ndarray, left_words: np.ndarray, right: np.ndarray, right_words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, other) that join what links of ``most`` or fewer bits between two blocks join.
+Side = tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]
+
+
+def linked(left: Side, right: Side, most: int, similarity: float, error: float, cap: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links between two blocks of nodes, each given as ids, fingerprints, least hashes and labels.
+
+    Pairs of equal labels or more than ``most`` differing bits are passed over.
+    Pairs that are alike by their least hashes join their labels, and of these
+    links only those that join two labels are returned: fewer than there are
+    nodes.  Pairs in doubt (a set was cut and the estimate lies within
+    ``error`` of ``similarity``) whose labels stay apart are returned for
+    verification: of each node of ``right`` the ``cap`` most alike.
 
-    At most two for each node: search spreads from node to node over the links,
-    and a node that is found is not looked at again.
+    Returns for each pair its two ids, whether it is ``sure``, and whether a
+    node's pairs were ``held`` back.
     """
-    a, b = [], []
-    open_left, open_right = np.ones(len(left), bool), np.ones(len(right), bool)
-    for seed in range(len(right)):
-        if not open_right[seed]:
+    ids, first = np.unique(np.concatenate((left[0], right[0])), return_index=True)
+    words = np.concatenate((left[1], right[1]))[first]
+    sets = [*left[2], *right[2]]
+    sets = [sets[i] for i in first]
+    label = np.unique(np.concatenate((left[3], right[3]))[first], return_inverse=True)[1]
+    visitors, members = np.searchsorted(ids, left[0]), np.searchsorted(ids, right[0])
+    # hashes as a matrix of their ranks, which none follows in shorter rows
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    names, rank = np.unique(np.concatenate([*sets, np.zeros(0, "<u4")]), return_inverse=True)
+    ranks = np.full((len(sets), max(1, sizes.max(initial=0))), len(names), np.int32)
+    ranks[np.arange(ranks.shape[1]) < sizes[:, None]] = rank
+    was_cut = sizes >= LOW
+    top = np.where(was_cut, ranks[:, -1], len(names) - 1)  # a set is known up to here
+    has = np.zeros(len(names) + 1, bool)
+    none = np.zeros(0, np.int64)
+    a, b, doubt = [none], [none], [(none, none, np.zeros(0))]
+    for i in members.tolist():
+        near = visitors[label[visitors] != label[i]]
+        near = near[np.bitwise_count(words[near] ^ words[i]).sum(axis=1, dtype=np.int64) <= most]
+        if not len(near):
             continue
-        open_right[seed] = False
-        queue = [(True, seed)]
-        while queue:
-            in_right, i = queue.pop()
-            one = right_words[i] if in_right else left_words[i]
-            rest = np.flatnonzero(open_left if in_right else open_right)
-            others = left_words if in_right else right_words
-            near = rest[np.bitwise_count(others[rest] ^ one).sum(axis=1) <= most]
-            (open_left if in_right else open_right)[near] = False
-            a += [(right if in_right else left)[i]] * len(near)
-            b += (left if in_right else right)[near].tolist()
-            queue += [(not in_right, int(j)) for j in near]
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def unjoined(left: np.ndarray, left_words: np.ndarray, left_labels: np.ndarray, right: np.ndarray, right_words: np.ndarray, right_labels: np.ndarray, most: int, cap: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (node, other) of ``most`` or fewer bits and different labels; of each node of ``right`` the ``cap`` closest, and whether it had more."""
-    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for name, one, label in zip(right, right_words, right_labels):
-        other = np.flatnonzero(left_labels != label)
-        bits = np.bitwise_count(left_words[other] ^ one).sum(axis=1, dtype=np.int64)
-        near = other[bits <= most]
-        more = cap is not None and len(near) > cap
-        if more:
-            near = near[np.lexsort((left[near], bits[bits <= most]))[:cap]]
-        a.append(np.full(len(near), name, np.int64))
-        b.append(left[near])
-        held.append(np.full(len(near), more))
-    return np.concatenate(a), np.concatenate(b), np.concatenate(held)
+        own = ranks[i, : sizes[i]]
+        has[own] = True
+        both = has[ranks[near]].sum(axis=1)
+        has[own] = False
+        upto = np.minimum(top[near], top[i])  # hashes up to here are known of either set
+        of_i, of_near = np.searchsorted(own, upto, "right"), sizes[near]
+        if was_cut[i]:
+            of_near = (ranks[near] <= upto[:, None]).sum(axis=1)
+        alike = both / np.maximum(1, of_i + of_near - both)
+        unsure = (was_cut[near] | was_cut[i]) & (np.abs(alike - similarity) <= error)
+        sure = near[~unsure & (alike >= similarity)]
+        if unsure.any():
+            doubt.append((np.full(unsure.sum(), i), near[unsure], alike[unsure]))
+        if len(sure):
+            met, one = np.unique(label[sure], return_index=True)
+            a.append(np.full(len(one), i))
+            b.append(sure[one])
+            label[np.isin(label, met)] = label[i]
+    n = sum(map(len, a))
+    x, y, alike = map(np.concatenate, zip(*doubt))
+    apart = label[x] != label[y]
+    x, y, alike = x[apart], y[apart], alike[apart]
+    order = np.lexsort((y, -alike, x))
+    x, y = x[order], y[order]
+    place = np.arange(len(x)) - np.searchsorted(x, x)
+    more = np.zeros(len(x), bool)
+    if cap is not None:
+        more = np.isin(x, x[place >= cap])
+        x, y, more = x[place < cap], y[place < cap], more[place < cap]
+    a, b = np.concatenate((*a, x)), np.concatenate((*b, y))
+    return ids[a], ids[b], np.arange(len(a)) < n, np.concatenate((np.zeros(n, bool), more))
 
 
 def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
