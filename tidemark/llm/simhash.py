@@ -398,6 +398,8 @@ def _compared(scratch: Scratch, visits: DataFrame, members: DataFrame, lows: Dat
             sides.append((rows.field("node").to_numpy(), words, hashes, rows.field("label").to_numpy()))
         a, b, sure, held = linked(*sides, most, similarity, error, cap)
         slot = np.full(len(a), block["slot"][0].as_py(), np.int64)
+        del sides
+        give_back_memory()
         return pa.table({"slot": slot, "a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure, "held": held})
 
     return left.union(right).groupBy("slot", "cut", "wave").applyInArrow(compare, "slot long, a long, b long, sure boolean, held boolean")
@@ -440,6 +442,7 @@ def _similar(docs: DataFrame, count: int, width: int, similarity: float, id_col:
             break
         # only where partners were held back is compared again
         visits = scratch.write(visits.join(slots, "slot", "left_semi"), "visits")
+        members = scratch.write(members.join(visits.select("own").distinct(), "own", "left_semi"), "members")
     if joined is None:
         joined = connected_components(links, scratch)
     placed = nodes.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
