@@ -581,6 +581,24 @@ def test_similar_groups_of_a_family(spark, changed, full):
         simhash.FEW = few
 
 
+def test_repeats_neither_hide_nor_feign_a_near_copy(spark):
+    """Similarity is one of sets: a passage's repeats must not outweigh the other shingles in the fingerprint."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared, texts = words(8), []
+    for _ in range(20):  # the same shingles, few and many times
+        own, passage = words(200), words(8)
+        texts += [f"{own} {' '.join([passage] * 3)}", f"{own} {' '.join([passage] * 80)}"]
+    assert all(jaccard(*texts[i : i + 2]) == 1 for i in range(0, 40, 2))
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table(spark, rows)).collect()} == {i: i - i % 2 for i in range(40)}
+    texts = [f"{words(60)} {' '.join([shared] * 80)}" for _ in range(20)]  # own words behind a common passage
+    assert max(jaccard(x, y) for x, y in itertools.combinations(texts, 2)) < 0.1
+    prints = simhash._fingerprinted(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), 5, 8, 10, 256, "doc_id", "text").collect()
+    apart = [sum(((a ^ b) % 2**64).bit_count() for a, b in zip(x["wide"], y["wide"])) for x, y in itertools.combinations(prints, 2)]
+    assert min(apart) > simhash.differing_bits(0.8, simhash.LOOSE, 256)
+
+
 def test_a_loose_family_never_spells_out_its_pairs(spark, monkeypatch):
     """Pairs just below the similarity are compared within tasks: no written table holds a row for each of them."""
     rng = random.Random(8)

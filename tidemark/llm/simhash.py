@@ -190,7 +190,7 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def wide_fingerprint(hashes: np.ndarray, wide: int) -> np.ndarray:
-    """``wide / 64`` words of 64 bits; a bit is 1 if set in over half of the mixed shingle hashes.
+    """``wide / 64`` words of 64 bits; a bit is 1 if set in over half of the mixed shingle hashes, which are distinct.
 
     One XXH64 of each shingle is stretched by odd multipliers.  No shingles:
     all bits zero.
@@ -247,7 +247,8 @@ def _fingerprinted(docs: DataFrame, width: int, bits: int, n_segments: int, wide
         keys, lows, prints = [], [], np.zeros((len(texts), wide // 64), np.uint64)
         for i, text in enumerate(texts):
             text = text.as_py()
-            hashes = _shingle_hashes(text, width)
+            # similarity is one of sets: a repeated shingle weighs as much as any other
+            hashes = np.unique(_shingle_hashes(text, width))
             prints[i] = wide_fingerprint(hashes, wide)
             lows.append(least_hashes(hashes).tobytes())
             keys.append(xxhash.xxh3_128_digest(b" ".join(_words(text))))
